@@ -71,3 +71,21 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
             break
         before = now
     return e.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp").union(e.select("b", "b").distinct().toDF("node", "comp"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells apart the rows of a table that differ in id or text: the id, then a hash of the text."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(text_or_empty(text_col)).cast("string"))
+
+
+def keep_rows(docs: DataFrame, said: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that said (_evs_key, kept: a row for each row of docs) keeps, with docs' own columns.
+
+    Rows of the same id and text can't be told apart; if some of them are kept and others not, one stays.
+    """
+    keys = said.groupBy("_evs_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    lost, twins = keys.where("not kept").select("_evs_key"), keys.where("kept and n > 1").select("_evs_key")
+    left = with_ids(docs.withColumn("_evs_key", row_key(id_col, text_col)), lost, "_evs_key", "left_anti")
+    if not twins.isEmpty():
+        left = with_ids(left, twins, "_evs_key", "left_anti").unionByName(with_ids(left, twins, "_evs_key", "left_semi").dropDuplicates(["_evs_key"]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

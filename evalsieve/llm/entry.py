@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, minhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(spark, table(spark, sf_dir, "documents")).drop("_evs_key")
+
+
+def op4_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return said.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("neighbours.doc_id").alias("neighbour_ids"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = exact_dedup.decisions(spark, table(spark, sf_dir, "documents"))
     return said.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

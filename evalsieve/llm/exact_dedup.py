@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_or_empty, with_ids, written
+from .common import ascii_lower, keep_rows, row_key, text_or_empty, written
 
 HEAVY = 1024
 
@@ -58,12 +58,12 @@ def heavy_digests(digests: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def digest_table(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rid, digest): rid tells apart rows that are otherwise the same."""
-    return written(spark, docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.unhex(F.sha2(ascii_lower(text_or_empty(text_col)), 256)).alias("digest")), "digests")
+    """(doc_id, rid, _evs_key, digest): rid tells apart rows that are otherwise the same."""
+    return written(spark, docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), row_key(id_col, text_col).alias("_evs_key"), F.unhex(F.sha2(ascii_lower(text_or_empty(text_col)), 256)).alias("digest")), "digests")
 
 
 def decisions(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, digest (binary)."""
+    """One row per document: doc_id, keep_id, group_size, kept, digest (binary) and the row's key."""
     rows = digest_table(spark, docs, id_col, text_col)
     frequent = F.broadcast(written(spark, heavy_digests(rows, heavy), "heavy"))
     winner = (F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
@@ -71,23 +71,10 @@ def decisions(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text
     hot = F.broadcast(written(spark, hot, "winners"))
     rest = rows.join(frequent, "digest", "left_anti")
     both = rows.join(hot, "digest").unionByName(rest.join(written(spark, rest.groupBy("digest").agg(*winner), "groups"), "digest"))
-    return both.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "digest")
-
-
-def row_key(doc_id, digest):
-    """The digest's 32 bytes, then the id."""
-    return F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
+    return both.select("_evs_key", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "digest")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """The rows of docs that stay, with docs' own columns."""
-    said = written(spark, decisions(spark, docs, id_col, text_col, heavy), "decisions")
-    lost = said.where("not kept").withColumn("_evs_key", row_key(F.col("doc_id"), F.col("digest")))
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    # a lost row that shares both text and id with its winner can't be told from it by key: such keys are made distinct
-    twins, others = lost.where(same).select("_evs_key").distinct(), lost.where(~same).select("_evs_key").distinct()
-    keyed = docs.withColumn("_evs_key", row_key(F.col(id_col), F.unhex(F.sha2(ascii_lower(text_or_empty(text_col)), 256))))
-    left = with_ids(keyed, others, "_evs_key", "left_anti")
-    if not twins.isEmpty():
-        left = with_ids(left, twins, "_evs_key", "left_anti").unionByName(with_ids(left, twins, "_evs_key", "left_semi").dropDuplicates(["_evs_key"]))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    said = decisions(spark, docs, id_col, text_col, heavy)
+    return keep_rows(docs, written(spark, said.select("_evs_key", "kept"), "decisions"), id_col, text_col)
