@@ -1,18 +1,18 @@
 """Language-model scores by context-tree weighting (operator 10).
 
-A text is its tokens: words between ASCII white space, A-Z lower-cased, then one end. A word is written as its bytes and
-a blank, the end as a line feed, and each byte as eight binary decisions, highest bit first. The context of a decision
-is the byte's bits so far and up to DEPTH bytes of the same word before it (blanks before the word's start). Every
-context of every depth holds a Krichevsky-Trofimov estimate of the training tokens' bits; its weighted probability is
+A text is its tokens: words between ASCII white space, A-Z lower-cased, then one end. As a stream of bytes a word is
+its bytes and a blank, the end a line feed, and each byte is eight binary decisions, highest bit first. The context of
+a decision is the byte's bits so far and up to DEPTH bytes of the stream before it (blanks before the start). Every
+context of every depth holds a Krichevsky-Trofimov estimate of the training texts' bits; its weighted probability is
 the mean of that estimate and of the product of its one byte longer contexts, as context-tree weighting has it. The
 tree is frozen after training: a decision's probability mixes the estimates along its path by their weights; contexts
 that training never met pass the estimate of the deepest one it met.
 
-Counting follows words: partitions count their words, the counts are added up, and only distinct words become byte
-grams, so the tree costs no more than the vocabulary. Subtrees below two bytes of context are computed apart; the
-rest of the tree has at most 256 * 255 nodes. Looking words up in texts goes in two steps at every size: the TOP_WORDS
-most frequent words are broadcast, and the others, of which none is frequent, are joined by an ordinary shuffle; byte
-grams of words likewise, with TOP_GRAMS.
+Partitions count their words and their byte grams (a context of DEPTH bytes and the byte after it), and the counts are
+added up; the tree is computed from distinct grams, subtrees below two bytes of context apart, so that what remains on
+the driver has at most 256 * 255 nodes. Looking words and grams up in texts goes in two steps at every size: the
+TOP_WORDS and TOP_GRAMS most frequent ones are broadcast, and the others, of which none is frequent, are joined by an
+ordinary shuffle.
 
 Defined results: null text counts as empty and consists of the end alone; a null doc_id is a training row. Repeated
 rows count and are scored each. Without training rows every decision has probability 1/2.
@@ -67,41 +67,71 @@ def count_words(batches):
     yield from flush()
 
 
-def grams(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(context << 8 | byte) of every byte of the words, one after another, and how many each word has."""
-    written_out = [w if w == END else w + BLANK for w in words]
-    sizes = np.fromiter(map(len, written_out), np.int64, len(words))
+def stream(text: bytes) -> bytes:
+    words = text.lower().split()
+    return BLANK.join(words) + BLANK + END if words else END
+
+
+def grams(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(context << 8 | byte) of every byte of the streams, one after another, and how many each stream has."""
+    sizes = np.fromiter(map(len, streams), np.int64, len(streams))
     pad = BLANK * depth
-    data = np.frombuffer(pad + pad.join(written_out), np.uint8).astype(np.int64)
-    ends = np.cumsum(sizes + depth)
-    at = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(words) + 1) * depth, sizes)
-    assert not len(words) or at[-1] == ends[-1] - 1
-    code = np.zeros(len(at), np.int64)
-    for i in range(depth, -1, -1):
-        code = code << 8 | data[at - i]
-    return code, sizes
+    data = np.frombuffer(pad + pad.join(streams), np.uint8)
+    code = np.zeros(len(data) - depth, np.int64)
+    for i in range(depth + 1):
+        code <<= 8
+        code |= data[i : len(data) - depth + i]
+    inside = np.ones(len(code), bool)  # windows that end in the padding between two streams are none
+    gaps = np.cumsum(sizes + depth)[:-1] - depth
+    inside[(gaps[:, None] + np.arange(depth)).ravel()] = False
+    return code[inside], sizes
+
+
+def portions(texts: list[bytes], most: int = 4_000_000):
+    """Slices of texts of about `most` bytes."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= most:
+            yield start, texts[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
+
+
+def tally(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code = np.sort(code)
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
+    return code[first], np.diff(np.r_[first, len(code)])
 
 
 def count_grams(depth: int):
-    def total(codes: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-        code, back = np.unique(np.concatenate(codes), return_inverse=True)
-        return code, np.bincount(back, np.concatenate(counts), len(code)).astype(np.int64)
+    """(text, train) -> (gram, n): a gram's training count; held-out grams come with 0."""
 
     def run(batches):
         codes, counts, held = [], [], 0
+
+        def total() -> tuple[np.ndarray, np.ndarray]:
+            code, back = np.unique(np.concatenate(codes), return_inverse=True)
+            return code, np.bincount(back, np.concatenate(counts), len(code)).astype(np.int64)
+
         for b in batches:
-            code, sizes = grams(b.column("word").to_pylist(), depth)
-            codes.append(code)
-            counts.append(np.repeat(b.column("n").to_numpy(), sizes))
-            held += len(code)
-            if held > 4_000_000:
-                code, n = total(codes, counts)
-                codes, counts, held = [code], [n], len(code)
-                if held > 2_000_000:
-                    yield pa.record_batch([pa.array(code), pa.array(n)], ["gram", "n"])
-                    codes, counts, held = [], [], 0
+            train = b.column("train").to_pylist()
+            for start, some in portions(b.column("text").to_pylist()):
+                for kind in (True, False):
+                    if streams := [stream(t) for t, k in zip(some, train[start:]) if k is kind]:
+                        code, n = tally(grams(streams, depth)[0])
+                        codes.append(code)
+                        counts.append(n if kind else np.zeros_like(n))
+                        held += len(code)
+                if held > 3_000_000:
+                    code, n = total()
+                    codes, counts, held = [code], [n], len(code)
+                    if held > 1_500_000:
+                        yield pa.record_batch([pa.array(code), pa.array(n)], ["gram", "n"])
+                        codes, counts, held = [], [], 0
         if codes:
-            code, n = total(codes, counts)
+            code, n = total()
             yield pa.record_batch([pa.array(code), pa.array(n)], ["gram", "n"])
 
     return run
@@ -217,80 +247,101 @@ def gram_scores(shared, depth: int):
     return run
 
 
-def score_words(shared, depth: int):
-    """(word, n) -> (word, n, score, missing): what the broadcast grams say and the grams beyond them."""
-
-    def run(batches):
-        key, value = pickle.loads(shared.value)
-        for b in batches:
-            words = b.column("word").to_pylist()
-            code, sizes = grams(words, depth)
-            at = np.minimum(np.searchsorted(key, code), max(0, len(key) - 1))
-            known = key[at] == code if len(key) else np.zeros(len(code), bool)
-            word = np.repeat(np.arange(len(words)), sizes)
-            score = np.bincount(word, np.where(known, value[at] if len(key) else 0, 0), len(words))
-            lost = np.bincount(word[~known], minlength=len(words))
-            missing = pa.ListArray.from_arrays(pa.array(np.r_[0, lost.cumsum()], pa.int32()), pa.array(code[~known]))
-            yield pa.record_batch([b.column("word"), b.column("n"), pa.array(score), missing], ["word", "n", "score", "missing"])
-
-    return run
-
-
-def score_texts(shared):
-    """(doc_id, held_out, text) -> a row per text: its sums over frequent words, and its other words."""
+class GramTable:
+    """Values of a fixed set of grams, in open addressing with at least four slots for each gram."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys) - 1).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        slot = self.slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last stays
+            got = self.keys[slot] == keys
+            self.values[slot[got]] = values[got]
+            keys, values, slot = keys[~got], values[~got], slot[~got] + 1 & self.last
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 for unknown grams) and which grams are known."""
+        slot = self.slot(keys)
+        met = self.keys[slot]
+        known = met == keys
+        value = np.where(known, self.values[slot], 0.0)
+        open_ = np.flatnonzero(~known & (met >= 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = slot + 1 & self.last
+            met = self.keys[slot]
+            hit = met == keys[open_]
+            known[open_[hit]] = True
+            value[open_[hit]] = self.values[slot[hit]]
+            go = ~hit & (met >= 0)
+            open_, slot = open_[go], slot[go]
+        return value, known
+
+
+def score_texts(shared, depth: int):
+    """(doc_id, held_out, text) -> a row per text: its sums over frequent words and grams, its other words and grams."""
 
     def run(batches):
-        words, known, base, score = pickle.loads(shared.value)
+        words, known, base, keys, values = pickle.loads(shared.value)
         get = dict(zip(words.to_pylist(), range(len(words)))).get
+        table = GramTable(keys, values)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            columns: list[list] = [[], [], [], [], [], []]
-            for text in b.column("text").to_pylist():
-                parts = tokens(text)
-                at = np.fromiter(map(get, parts, repeat(-1)), np.int64, len(parts))
-                found = at[at >= 0]
-                for column, x in zip(columns, (row, len(parts), int(known[found].sum()), float(base[found].sum()), float(score[found].sum()), [parts[i] for i in np.flatnonzero(at < 0)])):
-                    column.append(x)
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "missing"])
+            for start, some in portions(b.column("text").to_pylist()):
+                columns: list[list] = [[], [], [], [], []]
+                for text in some:
+                    parts = tokens(text)
+                    at = np.fromiter(map(get, parts, repeat(-1)), np.int64, len(parts))
+                    found = at[at >= 0]
+                    for column, x in zip(columns, (row, len(parts), int(known[found].sum()), float(base[found].sum()), [parts[i] for i in np.flatnonzero(at < 0)])):
+                        column.append(x)
+                    row += 1
+                code, sizes = grams([stream(t) for t in some], depth)
+                value, hit = table.get(code)
+                doc = np.repeat(np.arange(len(some)), sizes)
+                lost = np.bincount(doc[~hit], minlength=len(some))
+                score = np.add.reduceat(value, np.r_[0, sizes.cumsum()[:-1]])
+                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, lost.cumsum()], pa.int32()), pa.array(code[~hit]))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()))
+                yield pa.record_batch([*(b.column(c).slice(start, len(some)) for c in ("doc_id", "held_out")), *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(score), rare], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "words", "score", "grams"])
 
     return run
 
 
-def word_scores(spark: SparkSession, vocabulary: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, n, score) for a vocabulary (word binary, n: its training count)."""
-    counted = vocabulary.mapInArrow(count_grams(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def tree_scores(spark: SparkSession, texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, n, score) for every gram of texts (text binary, train boolean), learnt from those with train."""
+    counted = texts.mapInArrow(count_grams(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counted = written(spark, counted, "grams")
     parts = max(spark.sparkContext.defaultParallelism, counted.count() // 1_000_000)
     together = counted.repartition(parts, F.shiftright("gram", 8).bitwiseAND(0xFFFF))
     roots = together.mapInArrow(subtree_roots(depth), "key long, bit long, n double, n1 double, below double").groupBy("key", "bit").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "below")])
     top = spark.sparkContext.broadcast(cloudpickle.dumps(tops(roots.toArrow())))
-    scored = written(spark, together.mapInArrow(gram_scores(top, depth), "gram long, n long, score double"), "gram_scores")
-    often = scored.orderBy(F.desc("n"), "gram").limit(TOP_GRAMS).toArrow()
-    key, value = often.column("gram").to_numpy(), often.column("score").to_numpy()
-    order = np.argsort(key)
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps((key[order], value[order])))
-    half = written(spark, vocabulary.mapInArrow(score_words(shared, depth), "word binary, n long, score double, missing array<long>"), "half_words")
-    rest = half.where(F.size("missing") > 0)
-    added = rest.select("word", "n", "score", F.explode("missing").alias("gram")).join(scored.select("gram", F.col("score").alias("s")), "gram").groupBy("word").agg(F.first("n").alias("n"), (F.first("score") + F.sum("s")).alias("score"))
-    return half.where(F.size("missing") == 0).select("word", "n", "score").unionByName(added)
+    return written(spark, together.mapInArrow(gram_scores(top, depth), "gram long, n long, score double"), "gram_scores")
 
 
 def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text_or_empty(text_col).cast("binary").alias("text"))
-    counted = texts.select("text", (~F.col("held_out")).alias("train")).mapInArrow(count_words, "word binary, n long")
-    vocabulary = written(spark, counted.groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    total = vocabulary.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    learnt = texts.select("text", (~F.col("held_out")).alias("train"))
+    words = written(spark, learnt.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n, v = total.n or 0, total.v or 0
-    base = F.log10((F.col("n") + 1) / F.lit(float(n + v + 1)))
-    words = written(spark, word_scores(spark, vocabulary, depth).select("word", (F.col("n") > 0).cast("long").alias("known"), base.alias("base"), "score", "n"), "words")
+    words = words.select("word", "n", (F.col("n") > 0).cast("long").alias("known"), F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("base"))
+    scored = tree_scores(spark, learnt, depth)
 
     often = words.orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps((often.column("word").combine_chunks(), *(often.column(c).to_numpy() for c in ("known", "base", "score")))))
-    half = written(spark, texts.mapInArrow(score_texts(shared), "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, missing array<binary>"), "half_texts")
-    rest = half.select("row", F.explode("missing").alias("word")).join(words.drop("n"), "word").groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
-    whole = half.drop("missing").join(rest, "row", "left")
+    common = scored.orderBy(F.desc("n"), "gram").limit(TOP_GRAMS).toArrow()
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps((often.column("word").combine_chunks(), *(often.column(c).to_numpy() for c in ("known", "base")), *(common.column(c).to_numpy() for c in ("gram", "score")))))
+    half = texts.mapInArrow(score_texts(shared, depth), "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, words array<binary>, score double, grams array<long>")
+    half = written(spark, half, "half")
+    by_word = half.select("row", F.explode("words").alias("word")).join(words.drop("n"), "word").groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"))
+    by_gram = half.select("row", F.explode("grams").alias("gram")).join(scored.select("gram", F.col("score").alias("s")), "gram").groupBy("row").agg(F.sum("s").alias("s"))
+    whole = half.drop("words", "grams").join(by_word, "row", "left").join(by_gram, "row", "left")
     more = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0))).alias(c)
     return whole.select("doc_id", "held_out", "n_tokens", more("n_known", "k"), F.lit(n).cast("long").alias("train_tokens"), more("base_score", "b"), more("score", "s"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact_dedup, minhash, packing, toxicity
+from . import ctw, exact_dedup, maxscore, minhash, packing, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,6 +27,10 @@ def op4_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.col("neighbours.doc_id").alias("neighbour_ids"))
 
 
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -41,6 +45,15 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op5_maxscore": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256.0e0 * x::DOUBLE)) AS q FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (
+            SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+        SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM p
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
     "op8_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
