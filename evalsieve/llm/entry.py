@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact_dedup, maxscore, minhash, packing, toxicity
+from . import ctw, exact_dedup, maxscore, minhash, packing, templates, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -40,11 +40,36 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = templates.cleaned(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("_evs_lines").alias("n_lines"), F.col("_evs_dropped").alias("n_dropped"), F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
+
+
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(spark, table(spark, sf_dir, "documents"))
 
 
 SQL = {
+    "op9_line_templates": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, row_number() OVER () AS r FROM documents),
+        l AS (SELECT r, doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM d),
+        t AS (
+            SELECT r, doc_id, no, line, list_transform(list_filter(regexp_split_to_array(line, '[ \\t\\f\\r]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM l),
+        k AS (SELECT *, len(toks) AS n, toks[1:3] AS head FROM t),
+        u AS (SELECT n, head, toks, count(DISTINCT coalesce(doc_id, -1)) AS docs FROM k WHERE n > 0 GROUP BY ALL),
+        f AS (SELECT n, head, sum(docs) AS total FROM u GROUP BY ALL HAVING sum(docs) >= 10 AND count(*) > 1),
+        s AS (SELECT u.n, u.head, u.toks, u.docs, f.total, unnest(range(u.n)) AS pos, unnest(u.toks) AS tok FROM u JOIN f ON u.n = f.n AND u.head = f.head),
+        c AS (SELECT n, head, pos, tok FROM s GROUP BY ALL HAVING sum(docs) * 2 > any_value(total)),
+        fits AS (SELECT s.n, s.head, s.toks FROM s JOIN c ON s.n = c.n AND s.head = c.head AND s.pos = c.pos AND s.tok = c.tok GROUP BY ALL HAVING count(*) >= 0.7e0 * s.n),
+        wide AS (SELECT k.n, k.head FROM k JOIN fits ON k.n = fits.n AND k.toks = fits.toks GROUP BY ALL HAVING count(DISTINCT coalesce(k.doc_id, -1)) >= 10),
+        lost AS (
+            SELECT toks FROM u WHERE docs >= 10 AND toks NOT IN (SELECT toks FROM fits)
+            UNION SELECT fits.toks FROM fits JOIN wide ON fits.n = wide.n AND fits.head = wide.head),
+        m AS (SELECT k.*, k.n > 0 AND k.toks IN (SELECT toks FROM lost) AS gone FROM k)
+        SELECT doc_id, n_lines, n_dropped, length(kept) AS n_chars_kept, md5(kept) AS text_md5 FROM (
+            SELECT r, any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+                coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept
+            FROM m GROUP BY r)""",
     "op5_maxscore": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256.0e0 * x::DOUBLE)) AS q FROM embeddings

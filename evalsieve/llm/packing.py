@@ -21,8 +21,10 @@ Defined results: null text counts as empty and gives the closing id alone. Repea
 from __future__ import annotations
 
 import array
+import json
 import os
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,37 +41,71 @@ MEMO, AT_ONCE = 300_000, 2_000_000
 class ChunkIds:
     """Token ids, as bytes of unsigned 32-bit numbers, of texts cut at blanks and line feeds.
 
-    The tokenizer's patterns never join characters across white space, so a text's ids are those of its chunks; and
-    letters followed by one of PUNCTUATION are two tokens' worth of text in any case.
+    Holds for tokenizers that lower-case, part letters from other characters and never join across white space; a
+    text's ids are then those of its chunks, and letters before one of PUNCTUATION stand on their own. Others get
+    whole texts. Chunks of LETTERS alone, lower-cased, pass normaliser and pattern unchanged, so they go to the same
+    vocabulary and merges without these two, many chunks to a call.
     """
 
     PUNCTUATION = frozenset(".,;:!?")
+    LETTERS = "\u0250"  # below it no letter is a combining mark or changes under NFC
+    CALL = 512
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        said = json.load(open(path, encoding="utf-8"))
+        kinds = [[x["type"] for x in (said[k] or {}).get(f"{k.replace('_', '')}s", [])] for k in ("normalizer", "pre_tokenizer")]
+        self.by_chunk = kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
+        if self.by_chunk:
+            bytes_only = said["pre_tokenizer"]["pretokenizers"][1]
+            self.letters = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": bytes_only, "added_tokens": []}))
         self.known: dict[str, bytes] = {"": b""}
 
-    def learn(self, chunks: set[str]) -> None:
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        cut = {c: (c[:-1], c[-1]) for c in new if c[-1] in self.PUNCTUATION and c[:-1].isalpha()}
-        plain = {c for c in new if c not in cut}
-        plain.update(x for pair in cut.values() for x in pair if x not in known)
-        plain = list(plain)
-        for c, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-            known[c] = array.array("I", e.ids).tobytes()
-        for c, (a, b) in cut.items():
-            known[c] = known[a] + known[b]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        known, cut, plain, letters = self.known, [], [], {}
+        for c in new:
+            word = c[:-1] if c[-1] in self.PUNCTUATION else c
+            if word.isalpha() and max(word) < self.LETTERS:
+                low = word.lower()
+                if len(low) == len(word):
+                    letters[low] = None
+                    cut.append((c, low, c[len(word) :]))
+                    continue
+            plain.append(c)
+        for x in self.PUNCTUATION:
+            if x not in known:
+                plain.append(x)
+        known.update(zip(plain, self.whole(plain)))
+        words = [w for w in letters if w not in known]
+        for at in range(0, len(words), 64 * self.CALL):
+            calls = [words[i : i + self.CALL] for i in range(at, min(at + 64 * self.CALL, len(words)), self.CALL)]
+            for call, e in zip(calls, self.letters.encode_batch(calls, is_pretokenized=True, add_special_tokens=False)):
+                buf = array.array("I", e.ids).tobytes()
+                ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(1, len(call) + 1))).tolist()
+                start = 0
+                for w, end in zip(call, ends):
+                    known[w] = buf[start:end]
+                    start = end
+        for c, low, mark in cut:
+            known[c] = known[low] + known[mark] if mark else known[low]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_chunk:
+            return self.whole(texts)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > MEMO:
-            self.known = {"": b""}
-        self.learn(set().union(*parts) if parts else set())
+        before = len(self.known)
+        self.learn([c for c in set().union(*parts) if c not in self.known] if parts else [])
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        out = [b"".join(map(get, p)) for p in parts]
+        if len(self.known) > MEMO:  # the first chunks met are the frequent ones; the others make room
+            for c in list(islice(self.known, max(before, MEMO), None)):
+                del self.known[c]
+        return out
 
 
 def portions(texts: list[str], most: int = AT_ONCE):

@@ -19,6 +19,7 @@ import pickle
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -191,9 +192,7 @@ def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(train(spark, docs, labels, id_col, text_col, label_col)))
 
     @F.pandas_udf("double")
-    def rated(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def rated(texts: pd.Series) -> pd.Series:
         model = pickle.loads(shared.value)
         ids = TermIds(model["vocabulary"])
         return pd.Series([score_one(model, *vector(t, ids, model["idf"]))[0] for t in texts])
