@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 CAPACITY, SMALL, GROUPS, CLOSE = 2048, 1 / 3, 64, 0
-MEMO, AT_ONCE = 300_000, 2_000_000
+MEMO, AT_ONCE = 500_000, 2_000_000
 
 
 class ChunkIds:
@@ -66,7 +66,7 @@ class ChunkIds:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         known, cut, plain, letters = self.known, [], [], {}
         for c in new:
             word = c[:-1] if c[-1] in self.PUNCTUATION else c
@@ -99,7 +99,7 @@ class ChunkIds:
             return self.whole(texts)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         before = len(self.known)
-        self.learn([c for c in set().union(*parts) if c not in self.known] if parts else [])
+        self.learn(set().union(*parts).difference(self.known))
         get = self.known.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
         if len(self.known) > MEMO:  # the first chunks met are the frequent ones; the others make room
@@ -108,6 +108,17 @@ class ChunkIds:
         return out
 
 
+def chunk_ids(path: str) -> ChunkIds:
+    """One ChunkIds for each worker process. It is kept in the tokenizer library's namespace: this module is shipped by
+    value, so its own namespace lasts for one task only."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_evalsieve_chunk_ids", {})
+    if path not in kept:
+        kept[path] = ChunkIds(path)
+    return kept[path]
+
+
 def portions(texts: list[str], most: int = AT_ONCE):
     """Slices of texts of about `most` characters."""
     start = held = 0
@@ -125,13 +136,13 @@ def cutter(path: str, capacity: int, close: int):
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        chunk_ids = ChunkIds(path)
+        coder = chunk_ids(path)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for start, some in portions(texts):
                 out: list[list] = [[], [], [], [], [], []]
-                for doc_id, buf in zip(ids[start : start + len(some)], chunk_ids.encode(some)):
+                for doc_id, buf in zip(ids[start : start + len(some)], coder.encode(some)):
                     buf += closing
                     n = len(buf) // 4
                     for piece, at in enumerate(range(0, n, capacity)):
