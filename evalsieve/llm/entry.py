@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact_dedup, maxscore, minhash, packing, templates, toxicity
+from . import ctw, exact_dedup, licenses, maxscore, minhash, packing, pieces, sharding, templates, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(spark, table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(spark, table(spark, sf_dir, "documents")).drop("_evs_key")
 
@@ -31,6 +39,10 @@ def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -50,6 +62,13 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op1_sharding": """
+        WITH x AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) AS b FROM documents),
+        d AS (SELECT unnest(range(0, 31))::INTEGER AS depth),
+        s AS (SELECT depth, h >> (60 - depth) AS p, sum(b) AS bytes FROM x, d GROUP BY ALL),
+        l AS (SELECT doc_id, h, min(s.depth) AS depth FROM x, s WHERE s.p = h >> (60 - s.depth) AND s.bytes <= 1048576 GROUP BY ALL)
+        SELECT doc_id, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(s.p), l.depth, '0') END AS shard, l.depth::BIGINT AS depth, s.bytes::BIGINT AS shard_bytes
+        FROM l JOIN s ON s.depth = l.depth AND s.p = l.h >> (60 - l.depth)""",
     "op9_line_templates": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, row_number() OVER () AS r FROM documents),
         l AS (SELECT r, doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM d),
