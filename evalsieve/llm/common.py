@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,18 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp").union(e.select("b", "b").distinct().toDF("node", "comp"))
 
 
+def slices(batches, column: str = "text", most: int = 2_000_000):
+    """Slices of Arrow batches with about `most` bytes in a column, so that few texts are Python objects at a time."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """Tells apart the rows of a table that differ in id or text: the id, then a hash of the text."""
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(text_or_empty(text_col)).cast("string"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import slices, text_or_empty, written
 
 DEPTH, TOP_WORDS, TOP_GRAMS = 5, 200_000, 1 << 20
 END, BLANK = b"\n", b" "
@@ -59,7 +59,7 @@ def count_words(batches):
         counts.clear()
         others.clear()
 
-    for b in batches:
+    for b in slices(batches):
         for text, train in zip(b.column("text").to_pylist(), b.column("train").to_pylist()):
             (counts if train else others).update(tokens(text))
             if len(counts) + len(others) > AT_ONCE:
@@ -87,18 +87,6 @@ def grams(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndar
     return code[inside], sizes
 
 
-def portions(texts: list[bytes], most: int = 4_000_000):
-    """Slices of texts of about `most` bytes."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= most:
-            yield start, texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 def tally(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code = np.sort(code)
     first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, np.int64)
@@ -115,21 +103,20 @@ def count_grams(depth: int):
             code, back = np.unique(np.concatenate(codes), return_inverse=True)
             return code, np.bincount(back, np.concatenate(counts), len(code)).astype(np.int64)
 
-        for b in batches:
-            train = b.column("train").to_pylist()
-            for start, some in portions(b.column("text").to_pylist()):
-                for kind in (True, False):
-                    if streams := [stream(t) for t, k in zip(some, train[start:]) if k is kind]:
-                        code, n = tally(grams(streams, depth)[0])
-                        codes.append(code)
-                        counts.append(n if kind else np.zeros_like(n))
-                        held += len(code)
-                if held > 3_000_000:
-                    code, n = total()
-                    codes, counts, held = [code], [n], len(code)
-                    if held > 1_500_000:
-                        yield pa.record_batch([pa.array(code), pa.array(n)], ["gram", "n"])
-                        codes, counts, held = [], [], 0
+        for b in slices(batches):
+            texts, train = b.column("text").to_pylist(), b.column("train").to_pylist()
+            for kind in (True, False):
+                if streams := [stream(t) for t, k in zip(texts, train) if k is kind]:
+                    code, n = tally(grams(streams, depth)[0])
+                    codes.append(code)
+                    counts.append(n if kind else np.zeros_like(n))
+                    held += len(code)
+            if held > 3_000_000:
+                code, n = total()
+                codes, counts, held = [code], [n], len(code)
+                if held > 1_500_000:
+                    yield pa.record_batch([pa.array(code), pa.array(n)], ["gram", "n"])
+                    codes, counts, held = [], [], 0
         if codes:
             code, n = total()
             yield pa.record_batch([pa.array(code), pa.array(n)], ["gram", "n"])
@@ -292,24 +279,24 @@ def score_texts(shared, depth: int):
         get = dict(zip(words.to_pylist(), range(len(words)))).get
         table = GramTable(keys, values)
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            for start, some in portions(b.column("text").to_pylist()):
-                columns: list[list] = [[], [], [], [], []]
-                for text in some:
-                    parts = tokens(text)
-                    at = np.fromiter(map(get, parts, repeat(-1)), np.int64, len(parts))
-                    found = at[at >= 0]
-                    for column, x in zip(columns, (row, len(parts), int(known[found].sum()), float(base[found].sum()), [parts[i] for i in np.flatnonzero(at < 0)])):
-                        column.append(x)
-                    row += 1
-                code, sizes = grams([stream(t) for t in some], depth)
-                value, hit = table.get(code)
-                doc = np.repeat(np.arange(len(some)), sizes)
-                lost = np.bincount(doc[~hit], minlength=len(some))
-                score = np.add.reduceat(value, np.r_[0, sizes.cumsum()[:-1]])
-                rare = pa.ListArray.from_arrays(pa.array(np.r_[0, lost.cumsum()], pa.int32()), pa.array(code[~hit]))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()))
-                yield pa.record_batch([*(b.column(c).slice(start, len(some)) for c in ("doc_id", "held_out")), *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(score), rare], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "words", "score", "grams"])
+        for b in slices(batches):
+            texts = b.column("text").to_pylist()
+            columns: list[list] = [[], [], [], [], []]
+            for text in texts:
+                parts = tokens(text)
+                at = np.fromiter(map(get, parts, repeat(-1)), np.int64, len(parts))
+                found = at[at >= 0]
+                for column, x in zip(columns, (row, len(parts), int(known[found].sum()), float(base[found].sum()), [parts[i] for i in np.flatnonzero(at < 0)])):
+                    column.append(x)
+                row += 1
+            code, sizes = grams([stream(t) for t in texts], depth)
+            value, hit = table.get(code)
+            doc = np.repeat(np.arange(len(texts)), sizes)
+            lost = np.bincount(doc[~hit], minlength=len(texts))
+            score = np.add.reduceat(value, np.r_[0, sizes.cumsum()[:-1]])
+            rare = pa.ListArray.from_arrays(pa.array(np.r_[0, lost.cumsum()], pa.int32()), pa.array(code[~hit]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()))
+            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(score), rare], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "words", "score", "grams"])
 
     return run
 

@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep_rows, row_key, text_or_empty, with_ids, written
+from .common import components, keep_rows, row_key, slices, text_or_empty, with_ids, written
 
 WORDS, SIMILARITY, BANDS, ROWS, BLOCK, HUBS = 5, 0.8, 24, 5, 192, 8
 COMPONENTS = BANDS * ROWS
-MEMO, UNITS = 300_000, 120_000
+MEMO, UNITS = 200_000, 120_000
 
 
 class WordHashes(dict):
@@ -114,7 +114,7 @@ def content(words: list[str]) -> bytes:
 def sign(batches):
     """(doc_id, rid, _evs_key, text) -> (doc_id, rid, _evs_key, ck, bands)."""
     hashes = WordHashes()
-    for b in batches:
+    for b in slices(batches):
         cks, bags, keys, held = [], [], [], 0
         for text in b.column("text").to_pylist():
             words = text.lower().split()

@@ -24,7 +24,6 @@ import array
 import json
 import os
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import slices, text_or_empty, written
 
 CAPACITY, SMALL, GROUPS, CLOSE = 2048, 1 / 3, 64, 0
-MEMO, AT_ONCE = 500_000, 2_000_000
+MEMO, SEEN, PORTION = 250_000, (1 << 23) - 1, 4_000_000
 
 
 class ChunkIds:
@@ -61,49 +60,52 @@ class ChunkIds:
         if self.by_chunk:
             bytes_only = said["pre_tokenizer"]["pretokenizers"][1]
             self.letters = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": bytes_only, "added_tokens": []}))
+        self.seen = bytearray(SEEN + 1)
         self.known: dict[str, bytes] = {"": b""}
+        if self.by_chunk:
+            self.known.update(zip(sorted(self.PUNCTUATION), self.whole(sorted(self.PUNCTUATION))))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: set[str]) -> None:
-        known, cut, plain, letters = self.known, [], [], {}
+    def learn(self, new: set[str]) -> list[str]:
+        """Encodes new chunks; returns all that was added."""
+        known, cut, plain, letters = self.known, [], [], set()
+        marks = self.PUNCTUATION
         for c in new:
-            word = c[:-1] if c[-1] in self.PUNCTUATION else c
-            if word.isalpha() and max(word) < self.LETTERS:
+            word = c[:-1] if c[-1] in marks else c
+            if word.isalpha() and (word.isascii() or max(word) < self.LETTERS):
                 low = word.lower()
                 if len(low) == len(word):
-                    letters[low] = None
-                    cut.append((c, low, c[len(word) :]))
+                    letters.add(low)
+                    if low != c:
+                        cut.append((c, low, c[len(word) :]))
                     continue
             plain.append(c)
-        for x in self.PUNCTUATION:
-            if x not in known:
-                plain.append(x)
         known.update(zip(plain, self.whole(plain)))
-        words = [w for w in letters if w not in known]
+        words = list(letters.difference(known))
         for at in range(0, len(words), 64 * self.CALL):
             calls = [words[i : i + self.CALL] for i in range(at, min(at + 64 * self.CALL, len(words)), self.CALL)]
             for call, e in zip(calls, self.letters.encode_batch(calls, is_pretokenized=True, add_special_tokens=False)):
                 buf = array.array("I", e.ids).tobytes()
                 ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(1, len(call) + 1))).tolist()
-                start = 0
-                for w, end in zip(call, ends):
-                    known[w] = buf[start:end]
-                    start = end
-        for c, low, mark in cut:
-            known[c] = known[low] + known[mark] if mark else known[low]
+                known.update(zip(call, map(buf.__getitem__, map(slice, [0, *ends], ends))))
+        known.update([(c, known[low] + known[mark] if mark else known[low]) for c, low, mark in cut])
+        return [*plain, *words, *(c for c, _, _ in cut)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self.whole(texts)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        before = len(self.known)
-        self.learn(set().union(*parts).difference(self.known))
+        added = self.learn(set().union(*parts).difference(self.known))
         get = self.known.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
-        if len(self.known) > MEMO:  # the first chunks met are the frequent ones; the others make room
-            for c in list(islice(self.known, max(before, MEMO), None)):
+        # most chunks are met once: one is kept from its second portion of text on
+        seen, most = self.seen, len(self.known) - len(added) < MEMO
+        for c in added:
+            at = hash(c) & SEEN
+            if not (most and seen[at]):
+                seen[at] = 1
                 del self.known[c]
         return out
 
@@ -119,18 +121,6 @@ def chunk_ids(path: str) -> ChunkIds:
     return kept[path]
 
 
-def portions(texts: list[str], most: int = AT_ONCE):
-    """Slices of texts of about `most` characters."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= most:
-            yield start, texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 def cutter(path: str, capacity: int, close: int):
     closing = np.array([close], "<u4").tobytes()
 
@@ -138,19 +128,17 @@ def cutter(path: str, capacity: int, close: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = chunk_ids(path)
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for start, some in portions(texts):
-                out: list[list] = [[], [], [], [], [], []]
-                for doc_id, buf in zip(ids[start : start + len(some)], coder.encode(some)):
-                    buf += closing
-                    n = len(buf) // 4
-                    for piece, at in enumerate(range(0, n, capacity)):
-                        part = buf[4 * at : 4 * (at + capacity)]
-                        for column, x in zip(out, (doc_id, piece, at, len(part) // 4, zlib.crc32(part), row)):
-                            column.append(x)
-                    row += 1
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+        for b in slices(batches, "text", PORTION):
+            out: list[list] = [[], [], [], [], [], []]
+            for doc_id, buf in zip(b.column("doc_id").to_pylist(), coder.encode(b.column("text").to_pylist())):
+                buf += closing
+                n = len(buf) // 4
+                for piece, at in enumerate(range(0, n, capacity)):
+                    part = buf[4 * at : 4 * (at + capacity)]
+                    for column, x in zip(out, (doc_id, piece, at, len(part) // 4, zlib.crc32(part), row)):
+                        column.append(x)
+                row += 1
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return run
 

@@ -19,17 +19,16 @@ import pickle
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import slices, text_or_empty, written
 
 EXAMPLES, TERMS, MIN_CHI2, MIN_DF, K, BLOCK, VAGUE = 4096, 4096, 60.0, 4, 9, 64, 0.5
 EDGES = ".,;:!?\"'()[]{}<>*#%&-_"
-MEMO = 200_000
+MEMO = 150_000
 
 
 def held_out(doc_id: Column, mod: int = 5, rest: int = 0) -> Column:
@@ -175,7 +174,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
         model = pickle.loads(shared.value)
         ids = TermIds(model["vocabulary"])
         near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
-        for b in batches:
+        for b in slices(batches):
             scores, near = [], []
             for text in b.column("text").to_pylist():
                 s, rows, sims = score_one(model, *vector(text, ids, model["idf"]))
@@ -191,10 +190,11 @@ def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     """The rows of docs with a score under `most`, with docs' own columns. Each row is judged by its own text."""
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(train(spark, docs, labels, id_col, text_col, label_col)))
 
-    @F.pandas_udf("double")
-    def rated(texts: pd.Series) -> pd.Series:
+    def run(batches):
         model = pickle.loads(shared.value)
         ids = TermIds(model["vocabulary"])
-        return pd.Series([score_one(model, *vector(t, ids, model["idf"]))[0] for t in texts])
+        for b in slices(batches, text_col):
+            texts = b.column(text_col).to_pylist()
+            yield b.filter(pa.array([score_one(model, *vector(t or "", ids, model["idf"]))[0] < most for t in texts], pa.bool_()))
 
-    return docs.where(rated(text_or_empty(text_col)) < most)
+    return docs.mapInArrow(run, docs.schema)
