@@ -15,7 +15,7 @@ rows get equal results. Line feeds part lines, and what stays is joined by line
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import row_key, text_or_empty, with_ids, written
@@ -25,18 +25,30 @@ GAP = "[ \\t\\f\\r]+"
 FIELD = "<*>"
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, doc, no, leaf, line, tokens) of every line; tokens is null for a blank line."""
-    parts = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("no", "text"))
-    tokens = F.filter(F.split("text", GAP), lambda t: t != "")
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-    return parts.withColumn("tokens", masked).withColumn("tokens", F.when(F.size("tokens") > 0, F.col("tokens"))).select("key", "doc", "no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
+def once(value: Column, body) -> Column:
+    """body(value), with value computed once as a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def masked(line: Column) -> Column:
+    """The line's tokens, <*> for those with a digit. Most lines have neither digits nor other gaps than blanks."""
+    parts = F.when(line.rlike("[\\t\\f\\r]"), F.split(line, GAP)).otherwise(F.split(line, " "))
+    tokens = F.filter(parts, lambda t: t != "")
+    return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))).otherwise(tokens)
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str, tokens: bool) -> DataFrame:
+    """(key, doc, no, leaf, line, n) of every line, and its tokens if asked for; a blank line has n = 0."""
+    more = lambda t: [t.alias("tokens")] if tokens else []
+    about = lambda t: F.struct(F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)).alias("leaf"), F.xxhash64(t).alias("line"), F.size(t).alias("n"), *more(t))
+    all_lines = F.transform(F.split(text_or_empty(text_col), "\n"), lambda x: once(masked(x), about))
+    return docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).alias("doc"), F.posexplode(all_lines).alias("no", "x")).select("key", "doc", "no", "x.*")
 
 
 def marked(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, keep: array<boolean>): which lines of the texts under this row key stay."""
-    lines = lines_of(docs, id_col, text_col)
-    slim = written(spark, lines.select("key", "doc", "no", "leaf", "line", F.col("tokens").isNull().alias("blank")), "lines")
+    lines = lines_of(docs, id_col, text_col, tokens=False)
+    slim = written(spark, lines.select("key", "doc", "no", "leaf", "line", (F.col("n") == 0).alias("blank")), "lines")
     per_line = slim.where("not blank").groupBy("leaf", "line", "doc").agg(F.lit(1).alias("x")).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"))
     per_line = written(spark, per_line, "line_docs")
     leaves = per_line.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") >= MIN_DOCS)
@@ -44,7 +56,7 @@ def marked(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 
     # only leaves with several kinds of lines can have fields beyond digits
     mixed = leaves.where("kinds > 1").select("leaf")
-    kinds = with_ids(lines.where(F.col("tokens").isNotNull()).select("leaf", "line", "tokens"), mixed, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
+    kinds = with_ids(lines_of(docs, id_col, text_col, tokens=True).where("n > 0").select("leaf", "line", "tokens"), mixed, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     kinds = written(spark, kinds.join(per_line, ["leaf", "line"]), "kinds")
     spread = kinds.select("leaf", "line", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token"))
     constant = spread.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs")).join(leaves.select("leaf", "all"), "leaf").where(F.col("docs") * 2 > F.col("all")).select("leaf", "at", "token")
