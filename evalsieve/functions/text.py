@@ -10,6 +10,11 @@ from . import values
 PUNCTUATION = "[^\\p{L}\\p{N}_\\s]"
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once: as a lambda's variable it isn't repeated wherever body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """Split at white space; no empty words, so blank or empty text has none. Null stays null."""
     return F.filter(F.split(text, "\\s+"), lambda w: w != "")
@@ -26,8 +31,12 @@ def word_count(text: Column) -> Column:
 
 def grams(tokens: Column, n: int) -> Column:
     """The n-grams of an array of words, joined by blanks; none if there are fewer than n words."""
-    last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, of)
 
 
 def collapsed(text: Column) -> Column:
@@ -67,14 +76,21 @@ def has_negation(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 1 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+    def of(both: Column) -> Column:
+        union = F.size(F.array_union(both["a"], both["b"]))
+        return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(both["a"], both["b"])) / union)
+
+    return bound(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def share_in(a: Column, b: Column) -> Column:
     """Share of a's distinct elements that b has; 0 if a is empty."""
-    distinct = F.array_distinct(a)
-    return F.when(F.size(distinct) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(distinct, b)) / F.size(distinct))
+
+    def of(distinct: Column) -> Column:
+        return F.when(F.size(distinct) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(distinct, b)) / F.size(distinct))
+
+    return bound(F.array_distinct(a), of)
 
 
 def normal_answer(text: Column) -> Column:
@@ -125,10 +141,10 @@ def math_subject(text: Column) -> Column:
 
 def prefix_and_rest(text: Column) -> tuple[Column, Column]:
     """The first third of the words (three at least) and the rest; null below five words."""
-    w = words(text)
-    cut = F.greatest(F.lit(3), F.floor(F.size(w) / 3).cast("int"))
-    known = F.size(w) >= 5
-    return F.when(known, F.array_join(F.slice(w, 1, cut), " ")), F.when(known, F.array_join(F.slice(w, cut + 1, F.size(w)), " "))
+    cut = lambda w: F.greatest(F.lit(3), F.floor(F.size(w) / 3).cast("int"))
+    prefix = lambda w: F.when(F.size(w) >= 5, F.array_join(F.slice(w, 1, cut(w)), " "))
+    rest = lambda w: F.when(F.size(w) >= 5, F.array_join(F.slice(w, cut(w) + 1, F.size(w)), " "))
+    return bound(words(text), prefix), bound(words(text), rest)
 
 
 def bigrams(text: Column) -> Column:

@@ -42,14 +42,18 @@ def length_bias(choices: Column, answer: Column) -> Column:
 
 
 def lexical_overlap(question: Column, choices: Column, answer: Column) -> Column:
-    own = text.content_words(correct_choice(choices, answer))
-    share = text.share_in(own, text.content_words(question))
-    return F.when((F.size(own) >= 2) & (share >= 0.75), F.round(share, 2))
+    asked = text.content_words(question)
+
+    def of(own: Column) -> Column:
+        share = F.size(F.array_intersect(own, asked)) / F.nullif(F.size(own), F.lit(0))
+        return F.when((F.size(own) >= 2) & (share >= 0.75), F.round(share, 2))
+
+    return text.bound(text.content_words(correct_choice(choices, answer)), of)
 
 
 def negation_artifact(question: Column, choices: Column, answer: Column) -> Column:
-    own = F.array_distinct(text.without_negation(correct_choice(choices, answer)))
-    alike = F.exists(distractors(choices, answer), lambda d: text.jaccard(own, F.array_distinct(text.without_negation(d))) > 0.8)
+    others = distractors(choices, answer)
+    alike = text.bound(F.array_distinct(text.without_negation(correct_choice(choices, answer))), lambda own: F.exists(others, lambda d: text.jaccard(own, F.array_distinct(text.without_negation(d))) > 0.8))
     return F.when(text.has_negation(question) & alike, 0.7)
 
 

@@ -1,11 +1,13 @@
-"""Registry of the query plans and of the SQL that each must equal."""
+"""All query plans and their SQL."""
 
 from __future__ import annotations
 
+from . import contamination, items, psychometrics, registry, tracking  # noqa: F401  they register themselves
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
