@@ -70,11 +70,24 @@ def candidate_pairs(rows: DataFrame, id_col: str, text_col: str, permutations: i
     return pairs.join(left, "a").join(right, "b").select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
 
 
-def greedy_keep(spark: SparkSession, ids: DataFrame, collisions: DataFrame, folder: str) -> DataFrame:
-    """(id): keep iff no earlier kept row collides, in the order of ids. collisions: (a, b), a < b.
+def seeded_minhash(tokens: Column, permutations: int) -> Column:
+    """As minhash, with a fast 64-bit hash: for signatures that no other engine has to repeat."""
+    return text.bound(tokens, lambda w: F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda i: F.array_min(F.transform(w, lambda t: F.xxhash64(t, i)))))
 
-    Rounds: an undecided row whose smaller neighbours have all been dropped is kept, and its neighbours are dropped.
-    Each round is written to `folder`, which executors share, and cuts lineage.
+
+def buckets(rows: DataFrame, id_col: str, text_col: str, permutations: int = 128, band_rows: int = 16) -> DataFrame:
+    """(id, key): the MinHash bands of each text's white-space tokens, of those that more than one row has."""
+    tokens = F.array_distinct(text.words(F.col(text_col)))
+    signed = rows.select(F.col(id_col).alias("id"), tokens.alias("w")).where(F.size("w") > 0).select("id", seeded_minhash(F.col("w"), permutations).alias("s"))
+    keys = signed.select("id", F.explode(text.bound(F.col("s"), lambda s: F.transform(F.sequence(F.lit(0), F.lit(permutations - band_rows), F.lit(band_rows)), lambda i: F.xxhash64(i, F.slice(s, i + 1, band_rows))))).alias("key"))
+    return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
+
+
+def greedy_keep(spark: SparkSession, ids: DataFrame, members: DataFrame, folder: str) -> DataFrame:
+    """(id): keep iff no earlier kept row shares a key, in the order of ids. members: (id, key).
+
+    Rounds over keys, never over pairs: a row goes if a kept row comes before it in one of its keys, and is kept once
+    it is the first undecided row of all its keys. Rows are written to `folder`, which executors share, each round.
     """
 
     def written(df: DataFrame) -> DataFrame:
@@ -82,16 +95,16 @@ def greedy_keep(spark: SparkSession, ids: DataFrame, collisions: DataFrame, fold
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    edges = written(collisions.select("a", "b").where("a < b").distinct())
-    state = written(ids.select(F.col(ids.columns[0]).alias("id"), F.lit(None).cast("boolean").alias("kept")))
-    while True:
-        # rows with an undecided or kept smaller neighbour have to wait or go
-        smaller = edges.join(state.select(F.col("id").alias("a"), F.coalesce("kept", F.lit(True)).alias("live"), F.coalesce("kept", F.lit(False)).alias("sure")), "a")
-        seen = smaller.groupBy(F.col("b").alias("id")).agg(F.max("live").alias("live"), F.max("sure").alias("sure"))
-        said = state.join(seen, "id", "left").select("id", F.coalesce("kept", F.when(F.coalesce("sure", F.lit(False)), False), F.when(~F.coalesce("live", F.lit(False)), True)).alias("kept"))
-        state = written(said)
-        if state.where("kept is null").isEmpty():
-            return state.where("kept").select("id")
+    members = written(members.select("id", "key"))
+    state = written(ids.select(F.col(ids.columns[0]).alias("id")).join(members.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")).withColumn("in", F.lit(True)), "id", "left").select("id", F.when(F.col("in").isNull(), True).alias("kept")))
+    while not state.where("kept is null").isEmpty():
+        now = members.join(state, "id")
+        first = now.groupBy("key").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("kept_first"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("open_first"))
+        open_ = now.where("kept is null").join(first, "key")
+        said = open_.groupBy("id").agg(F.max(F.coalesce(F.col("kept_first") < F.col("id"), F.lit(False))).alias("goes"), F.min(F.col("open_first") == F.col("id")).alias("first"))
+        verdict = F.when(F.col("goes"), False).when(F.col("first"), True)
+        state = written(state.join(said, "id", "left").select("id", F.coalesce("kept", verdict).alias("kept")))
+    return state.where("kept").select("id")
 
 
 def unseen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
