@@ -100,7 +100,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int = COMPONENTS) -
 
 def band_keys(first: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """A 64-bit key for each text and band; the band's number is part of it."""
-    bits = np.ascontiguousarray(first).view(np.uint64).reshape(len(first), bands, -1)
+    bits = np.ascontiguousarray(first).view(np.uint64).reshape(len(first), bands, first.shape[1] // bands)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), bits.shape[:2])
     for i in range(bits.shape[2]):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + bits[:, :, i])
