@@ -21,6 +21,7 @@ Defined results: null text counts as empty and gives the closing id alone. Repea
 from __future__ import annotations
 
 import array
+import gc
 import json
 import os
 import zlib
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty, written
 
 CAPACITY, SMALL, GROUPS, CLOSE = 2048, 1 / 3, 64, 0
-MEMO, SEEN, PORTION = 250_000, (1 << 23) - 1, 4_000_000
+MEMO, PORTION = 500_000, 3_000_000
 
 
 class ChunkIds:
@@ -60,7 +61,6 @@ class ChunkIds:
         if self.by_chunk:
             bytes_only = said["pre_tokenizer"]["pretokenizers"][1]
             self.letters = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": bytes_only, "added_tokens": []}))
-        self.seen = bytearray(SEEN + 1)
         self.known: dict[str, bytes] = {"": b""}
         if self.by_chunk:
             self.known.update(zip(sorted(self.PUNCTUATION), self.whole(sorted(self.PUNCTUATION))))
@@ -70,20 +70,14 @@ class ChunkIds:
 
     def learn(self, new: set[str]) -> list[str]:
         """Encodes new chunks; returns all that was added."""
-        known, cut, plain, letters = self.known, [], [], set()
-        marks = self.PUNCTUATION
-        for c in new:
-            word = c[:-1] if c[-1] in marks else c
-            if word.isalpha() and (word.isascii() or max(word) < self.LETTERS):
-                low = word.lower()
-                if len(low) == len(word):
-                    letters.add(low)
-                    if low != c:
-                        cut.append((c, low, c[len(word) :]))
-                    continue
-            plain.append(c)
+        known, marks, letters = self.known, self.PUNCTUATION, self.LETTERS
+        chunks = list(new)
+        bodies = [c[:-1] if c[-1] in marks else c for c in chunks]
+        lows = [x.lower() if x.isalpha() and (x.isascii() or (max(x) < letters and len(x.lower()) == len(x))) else "" for x in bodies]
+        plain = [c for c, low in zip(chunks, lows) if not low]
+        cut = [(c, low, c[len(low) :]) for c, low in zip(chunks, lows) if low and low != c]
         known.update(zip(plain, self.whole(plain)))
-        words = list(letters.difference(known))
+        words = list(set(lows).difference(known))
         for at in range(0, len(words), 64 * self.CALL):
             calls = [words[i : i + self.CALL] for i in range(at, min(at + 64 * self.CALL, len(words)), self.CALL)]
             for call, e in zip(calls, self.letters.encode_batch(calls, is_pretokenized=True, add_special_tokens=False)):
@@ -100,13 +94,9 @@ class ChunkIds:
         added = self.learn(set().union(*parts).difference(self.known))
         get = self.known.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
-        # most chunks are met once: one is kept from its second portion of text on
-        seen, most = self.seen, len(self.known) - len(added) < MEMO
-        for c in added:
-            at = hash(c) & SEEN
-            if not (most and seen[at]):
-                seen[at] = 1
-                del self.known[c]
+        # the first chunks met are mostly the frequent ones: they stay, side by side in memory, and later ones go again
+        for c in added[max(0, MEMO - len(self.known) + len(added)) :]:
+            del self.known[c]
         return out
 
 
@@ -128,6 +118,7 @@ def cutter(path: str, capacity: int, close: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = chunk_ids(path)
         row = TaskContext.get().partitionId() << 33
+        gc.disable()  # millions of small objects, none of them in cycles
         for b in slices(batches, "text", PORTION):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, buf in zip(b.column("doc_id").to_pylist(), coder.encode(b.column("text").to_pylist())):
@@ -139,6 +130,7 @@ def cutter(path: str, capacity: int, close: int):
                         column.append(x)
                 row += 1
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+        gc.enable()
 
     return run
 
