@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,8 +77,18 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp").union(e.select("b", "b").distinct().toDF("node", "comp"))
 
 
+def tidy() -> None:
+    """Gives memory that Arrow's and C's allocators hold back to the system: worker processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 def slices(batches, column: str = "text", most: int = 2_000_000):
     """Slices of Arrow batches with about `most` bytes in a column, so that few texts are Python objects at a time."""
+    tidy()
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
@@ -85,6 +97,8 @@ def slices(batches, column: str = "text", most: int = 2_000_000):
             end = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(start, end - start)
             start = end
+        del batch
+        tidy()
 
 
 def row_key(id_col: str, text_col: str) -> Column:

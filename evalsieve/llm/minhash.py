@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep_rows, row_key, slices, text_or_empty, with_ids, written
+from .common import components, keep_rows, row_key, slices, text_or_empty, tidy, with_ids, written
 
 WORDS, SIMILARITY, BANDS, ROWS, BLOCK, HUBS = 5, 0.8, 24, 5, 192, 8
 COMPONENTS = BANDS * ROWS
@@ -153,10 +153,12 @@ def links(sets: list[np.ndarray], asks: np.ndarray, similarity: float = SIMILARI
     for i in asks:
         if root[i] == root[0] and (root == root[0]).all():
             break
-        t = term[begins[i] : begins[i + 1]]
-        n = start[t + 1] - start[t]
-        at = np.repeat(start[t] - np.r_[0, n.cumsum()[:-1]], n) + np.arange(n.sum())
-        both = np.bincount(postings[at], minlength=len(sets))
+        both = np.zeros(len(sets), np.int64)
+        for part in range(begins[i], begins[i + 1], 4096):
+            t = term[part : min(part + 4096, begins[i + 1])]
+            n = start[t + 1] - start[t]
+            at = np.repeat(start[t] - np.r_[0, n.cumsum()[:-1]], n) + np.arange(n.sum())
+            both += np.bincount(postings[at], minlength=len(sets))
         near = np.flatnonzero((both >= similarity * (sizes[i] + sizes - both) - 1e-9) & (root != root[i]))
         for j in near:
             if root[i] != root[j]:
@@ -168,6 +170,7 @@ def links(sets: list[np.ndarray], asks: np.ndarray, similarity: float = SIMILARI
 
 def compare(task: pd.DataFrame) -> pd.DataFrame:
     """Links between the texts of one task; rows with ask are compared with all rows."""
+    tidy()
     hashes, sets, nodes, asks, seen = WordHashes(), [], [], [], set()
     for text, ck, node, ask in zip(task["text"], task["ck"], task["node"], task["ask"]):
         words = text.lower().split()

@@ -66,7 +66,7 @@ class ChunkIds:
             self.known.update(zip(sorted(self.PUNCTUATION), self.whole(sorted(self.PUNCTUATION))))
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array.array("I", e.ids).tobytes() for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
 
     def learn(self, new: set[str]) -> list[str]:
         """Encodes new chunks; returns all that was added."""
@@ -78,8 +78,8 @@ class ChunkIds:
         cut = [(c, low, c[len(low) :]) for c, low in zip(chunks, lows) if low and low != c]
         known.update(zip(plain, self.whole(plain)))
         words = list(set(lows).difference(known))
-        for at in range(0, len(words), 64 * self.CALL):
-            calls = [words[i : i + self.CALL] for i in range(at, min(at + 64 * self.CALL, len(words)), self.CALL)]
+        for at in range(0, len(words), 8 * self.CALL):
+            calls = [words[i : i + self.CALL] for i in range(at, min(at + 8 * self.CALL, len(words)), self.CALL)]
             for call, e in zip(calls, self.letters.encode_batch(calls, is_pretokenized=True, add_special_tokens=False)):
                 buf = array.array("I", e.ids).tobytes()
                 ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(1, len(call) + 1))).tolist()
