@@ -45,3 +45,12 @@ def self_bleu(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def quality_score(recall: Column, precision: Column, mse: Column, diversity: Column, accuracy: Column) -> Column:
     return F.round(0.3 * recall + 0.3 * precision + 0.1 * (1 - F.least(F.lit(1.0), mse)) + 0.15 * diversity + 0.15 * accuracy, 4)
+
+
+def as_json(report: DataFrame) -> Column:
+    return F.to_json(F.struct(*report.columns))
+
+
+def as_text() -> Column:
+    """The audit's row for people."""
+    return F.format_string("%d items, %d contaminated (%.1f%%), %.1f%% with shortcuts: %s", "n_items", "n_contaminated", F.col("contamination_score") * 100, F.col("flagged_item_fraction") * 100, "recommendation")

@@ -14,20 +14,17 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1 - incomplete_beta(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d, out = 1e-300, 1.0, 0.0, 1.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            step = 1.0
-        elif i % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / (1 + step * d or tiny)
-        c = 1 + step / c if i else 1.0
-        c = c or tiny
-        out *= c * d
-        if i and abs(c * d - 1) < 1e-14:
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    out = d
+    for m in range(1, 400):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for step in (even, odd):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
             break
     return front * out
 

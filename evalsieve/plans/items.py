@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, values
 from ..operators import audit, planting, rewards, shortcuts, taxonomy
-from .contamination import LOW, PLAIN, WORDS, any_sql, contam_exact, quoted
+from .contamination import LOW, PLAIN, WORDS, any_sql, quoted
 from .fixtures import MCQ_SQL, mcq, table
 from .registry import query
 
@@ -255,3 +255,22 @@ def forge_quality(spark, sf_dir):
     revised = F.col("recommendation") != "KEEP"
     whole = r.agg(F.round(F.avg(some.cast("double")), 4).alias("recall"), F.coalesce(F.count_if(revised & some) / F.nullif(F.count_if(revised), F.lit(0)), F.lit(0.0)).alias("precision"))
     return whole.withColumn("quality", audit.quality_score(F.col("recall"), F.col("precision"), F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+
+
+@query(f"""WITH {MCQ_SQL} SELECT doc_id, CASE WHEN try_cast(replace(trim(choices[1]), ',', '') AS DOUBLE) IS NOT NULL THEN 'numeric' ELSE 'manual' END AS note,
+    CASE WHEN length(trim(code)) < 10 THEN 'answer too short for code' WHEN doc_id % 3 = 0 THEN 'syntax OK' ELSE 'syntax error' END AS code_note
+    FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'value = ' || doc_id WHEN 1 THEN 'def f(: ' || doc_id ELSE 'x' END AS code FROM mcq)""")
+def answer_checks(spark, sf_dir):
+    from ..operators import external
+
+    k = F.col("doc_id") % 3
+    code = F.when(k == 0, F.concat(F.lit("value = "), F.col("doc_id").cast("string"))).when(k == 1, F.concat(F.lit("def f(: "), F.col("doc_id").cast("string"))).otherwise(F.lit("x"))
+    return mcq(spark, sf_dir).select("doc_id", external.math_note(F.get("choices", F.lit(0)), F.col("question")).alias("note"), external.code_note(code).alias("code_note"))
+
+
+@query(f"""{RULES}, s AS (SELECT (SELECT count(*) FROM reports) AS n_items, (SELECT avg((patterns <> '')::INTEGER) FROM reports) AS flagged)
+    SELECT '{{"n_items":' || n_items || ',"n_contaminated":0,"contamination_score":0.0,"recommendation":"' || CASE WHEN flagged > 0.5e0 THEN 'MAJOR_REVISION_REQUIRED' WHEN flagged > 0.2e0 THEN 'PARTIAL_REVISION_RECOMMENDED' ELSE 'ACCEPTABLE_WITH_MONITORING' END || '"}}' AS report FROM s""")
+def audit_json(spark, sf_dir):
+    m = mcq(spark, sf_dir)
+    r = audit.audit(shortcuts.reports(m, "doc_id"), m.where("false").select("doc_id")).drop("flagged_item_fraction")
+    return r.select(audit.as_json(r).alias("report"))

@@ -27,11 +27,16 @@ def track(stream: DataFrame, log_path: str, report_path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def timed(stream: DataFrame, time: str) -> DataFrame:
+    """With the time as an instant: watermarks take no timestamps without a zone."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def first_seen(stream: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:
     """Each key once within the watermark; state is dropped as the watermark moves on."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return timed(stream, time).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def daily(stream: DataFrame, time: str = "ts", late: str = "1 hour") -> DataFrame:
     """Events, users' range and mean value by day and type."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
+    return timed(stream, time).withWatermark(time, late).groupBy(F.window(time, "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
