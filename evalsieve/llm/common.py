@@ -49,8 +49,8 @@ def row_bound(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, key: str, how: str, most: int = 1_000_000) -> DataFrame:
-    """docs semi- or anti-joined (how) with a table of keys: broadcast up to `most` keys of 8 bytes, else a shuffle join."""
+def with_ids(docs: DataFrame, ids: DataFrame, key: str, how: str, most: int = 500_000) -> DataFrame:
+    """docs semi- or anti-joined (how) with a table of short keys: broadcast up to `most` of them, else a shuffle join."""
     return docs.join(F.broadcast(ids) if row_bound(ids, most) else ids, key, how)
 
 

@@ -186,10 +186,9 @@ def compare(task: pd.DataFrame) -> pd.DataFrame:
 
 
 def verified(docs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The links found by tasks (task, node, doc_id, ck, ask)."""
-    ids = tasks.select("doc_id").distinct()
-    texts = with_ids(docs.where(F.col("doc_id").isNotNull()), ids, "doc_id", "left_semi")
-    return texts.join(tasks, "doc_id").groupBy("task").applyInPandas(compare, "a long, b long")
+    """The links found by tasks (task, node, _evs_key, ck, ask) between texts (_evs_key, text)."""
+    wanted = with_ids(docs, tasks.select("_evs_key").distinct(), "_evs_key", "left_semi")
+    return wanted.join(tasks, "_evs_key").drop("_evs_key").groupBy("task").applyInPandas(compare, "a long, b long")
 
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,8 +196,8 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), row_key(id_col, text_col).alias("_evs_key"), text_or_empty(text_col).alias("text"))
     signed = texts.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "rid", "_evs_key", "text").mapInArrow(sign, "doc_id long, rid long, _evs_key string, ck binary, bands array<long>")
     rows = written(spark, signed, "signed")
-    best = F.min(F.struct("doc_id", "rid")).alias("best")
-    nodes = written(spark, rows.groupBy("ck").agg(best, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).select("ck", "best", F.col("best.doc_id").alias("doc_id"), F.col("best.rid").alias("node"), "n", "bands"), "nodes")
+    best = F.min(F.struct("doc_id", "rid", "_evs_key")).alias("best")
+    nodes = written(spark, rows.groupBy("ck").agg(best, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).select("ck", "best", F.col("best._evs_key").alias("_evs_key"), F.col("best.rid").alias("node"), "n", "bands"), "nodes")
 
     bands = nodes.where(F.col("ck") != content([])).select("node", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -207,13 +206,13 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 
     size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     central = shared.groupBy("node").agg(F.sum("c").alias("c"))
-    member = written(spark, groups.join(size, "comp").join(central, "node", "left").join(nodes.select("node", "doc_id", "ck"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "member")
-    columns = ("node", "doc_id", "ck")
+    member = written(spark, groups.join(size, "comp").join(central, "node", "left").join(nodes.select("node", "_evs_key", "ck"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "member")
+    columns = ("node", "_evs_key", "ck")
     name = lambda kind, *x: F.concat_ws(":", F.lit(kind), *x)
     hubs = member.where("blocks > 1").groupBy("comp", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS))).agg(F.max(F.struct(F.coalesce("c", F.lit(0)), *columns)).alias("x")).select("comp", "x.*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     alone = member.select(name("b", "comp", "block").alias("task"), *columns, F.lit(True).alias("ask"))
     tasks = written(spark, alone.unionByName(hubs.select(name("b", "comp", "block").alias("task"), *columns, F.lit(True).alias("ask"))), "tasks")
-    plain = texts.select("doc_id", "text")
+    plain = texts.select("_evs_key", "text")
     found = written(spark, verified(plain, tasks), "links")
 
     # groups of more than one block: whatever lies outside the largest class so far is compared with every block
