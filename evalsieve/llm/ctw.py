@@ -30,7 +30,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, written
+from .common import slices, small_batches, text_or_empty, written
 
 DEPTH, TOP_WORDS, TOP_GRAMS = 5, 200_000, 1 << 20
 END, BLANK = b"\n", b" "
@@ -314,6 +314,7 @@ def tree_scores(spark: SparkSession, texts: DataFrame, depth: int = DEPTH) -> Da
 
 def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text_or_empty(text_col).cast("binary").alias("text"))
     learnt = texts.select("text", (~F.col("held_out")).alias("train"))
     words = written(spark, learnt.mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 KEPT, RANKED, MEMO = 0.85, 4, 100_000
 
@@ -115,6 +115,7 @@ class Scanner:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """A row per confirmed block: doc_id, start, length (characters), license, reduction, kept, differences, block."""
+    small_batches(docs.sparkSession)
     wanted = templates or TEMPLATES
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where(F.col("text").rlike(f"(?i){CUES}"))
 

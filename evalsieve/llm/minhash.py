@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep_rows, row_key, slices, text_or_empty, tidy, with_ids, written
+from .common import components, keep_rows, row_key, slices, small_batches, text_or_empty, tidy, with_ids, written
 
 WORDS, SIMILARITY, BANDS, ROWS, BLOCK, HUBS = 5, 0.8, 24, 5, 192, 8
 COMPONENTS = BANDS * ROWS
@@ -193,6 +193,7 @@ def verified(docs: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept, and the row's key."""
+    small_batches(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), row_key(id_col, text_col).alias("_evs_key"), text_or_empty(text_col).alias("text"))
     signed = texts.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "rid", "_evs_key", "text").mapInArrow(sign, "doc_id long, rid long, _evs_key string, ck binary, bands array<long>")
     rows = written(spark, signed, "signed")

@@ -25,6 +25,7 @@ import gc
 import json
 import os
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, written
+from .common import slices, small_batches, text_or_empty, written
 
 CAPACITY, SMALL, GROUPS, CLOSE = 2048, 1 / 3, 64, 0
 MEMO, PORTION = 500_000, 3_000_000
@@ -92,8 +93,8 @@ class ChunkIds:
             return self.whole(texts)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
         added = self.learn(set().union(*parts).difference(self.known))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
+        # itemgetter looks up all chunks of a text in one call; of a single one it gives no tuple
+        out = [b"".join(itemgetter(*p)(self.known)) if len(p) > 1 else self.known[p[0]] for p in parts]
         # the first chunks met are mostly the frequent ones: they stay, side by side in memory, and later ones go again
         for c in added[max(0, MEMO - len(self.known) + len(added)) :]:
             del self.known[c]
@@ -274,6 +275,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: float = SMA
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, close: int = CLOSE) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     pieces = written(spark, texts.mapInArrow(cutter(tokenizer, capacity, close), "doc_id long, piece int, start long, length long, ids_crc32 long, row long"), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, written
+from .common import slices, small_batches, text_or_empty, written
 
 EXAMPLES, TERMS, MIN_CHI2, MIN_DF, K, BLOCK, VAGUE = 4096, 4096, 60.0, 4, 9, 64, 0.5
 EDGES = ".,;:!?\"'()[]{}<>*#%&-_"
@@ -168,6 +168,7 @@ def score_one(model: dict, terms: np.ndarray, weights: np.ndarray, k: int = K) -
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per document: doc_id, score, neighbours array<struct<doc_id, label, similarity>>."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(train(spark, docs, labels, id_col, text_col, label_col)))
 
     def run(batches):
@@ -188,6 +189,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: float = 0.5) -> DataFrame:
     """The rows of docs with a score under `most`, with docs' own columns. Each row is judged by its own text."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(cloudpickle.dumps(train(spark, docs, labels, id_col, text_col, label_col)))
 
     def run(batches):
