@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, text_or_empty, written
 
 CAPACITY, SMALL, GROUPS, CLOSE = 2048, 1 / 3, 64, 0
-MEMO, PORTION = 500_000, 3_000_000
+MEMO, PORTION = 500_000, 4_500_000
 
 
 class ChunkIds:
