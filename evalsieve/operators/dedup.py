@@ -28,9 +28,9 @@ def exact_split(rows: DataFrame, id_col: str, seed: str = "42", train: float = 0
     """(id, split) of exact sizes: int(train * n), int(validation * n), the rest test.
 
     Global ranks come from counts per range of the hash, so no task sorts all rows: rows are numbered within one of
-    256 ranges and the ranges' totals, 256 numbers, are added up.
+    65,536 ranges and the ranges' totals, as many numbers, are added up.
     """
-    h = rows.select(F.col(id_col).alias("id"), split_order(F.col(id_col), seed).alias("h")).withColumn("part", F.substring("h", 1, 2))
+    h = rows.select(F.col(id_col).alias("id"), split_order(F.col(id_col), seed).alias("h")).withColumn("part", F.substring("h", 1, 4))
     sizes = h.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("part")
     before = sizes.select("part", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
