@@ -1,4 +1,4 @@
-"""Structured Streaming over measurement files. The reference has no streams; these are extensions."""
+"""Structured Streaming over measurement files. They extend the batch plans."""
 
 from __future__ import annotations
 
