@@ -2,31 +2,33 @@
 
 Labelled rows outside the held-out fold (crc32 of the doc_id as text, mod 5, is 0 there) supply at most EXAMPLES
 examples of each class; that bound is the only sampling, and documents are all scored on their whole texts. Terms are
-words and word beginnings of four to six letters; those whose presence goes with the label beyond chance (chi-squared
-over MIN_CHI2 in the examples, the TERMS strongest at most) make up the TF-IDF space. A document's K nearest examples
-by exact cosine come from an inverted index with block maxima: a block of examples is opened only while its upper
-bound can still reach the K best. Votes are weighted by similarity and by how far each class was thinned out; VAGUE
-votes at the labels' overall rate pull scores of documents with weak evidence towards that rate.
-
-Defined results: null text counts as empty; a text without any term scores the overall rate (0 without labelled
-rows). Labels other than 0 and 1 are ignored; a doc_id labelled both ways counts as toxic. Neighbours that tie are
+words and word beginnings of four to six letters; every term of the examples counts, at its TF-IDF in the examples times
+the strength of its association with the label (the phi coefficient, which does not grow with their number); the norm of
+a vector runs over these weights. A document's K nearest examples by exact cosine come from an inverted index: with all
+terms kept, a block of a term's postings holds hardly more than one, so bounds by block cost more than the products that
+they save. All products are added up, and the K best are looked for in the blocks of examples whose greatest product can
+be among them. Terms that more than one in DENSE examples has are rows of a matrix instead of postings. Votes are weighted by similarity and by how far each
+class was thinned out; VAGUE votes at the labels' overall rate pull scores of documents with weak evidence towards that
+rate.
+
+Defined results: null text counts as empty; a text without any of the examples' terms, or only with terms of no
+association at all, scores the overall rate (0 without labelled rows). Labels other than 0 and 1 are ignored; a doc_id labelled both ways counts as toxic. Neighbours that tie are
 taken in order of the example's place. Repeated rows are each scored. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
-import pickle
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches, text_or_empty, written
 
-EXAMPLES, TERMS, MIN_CHI2, MIN_DF, K, BLOCK, VAGUE = 4096, 4096, 60.0, 4, 9, 64, 0.5
+EXAMPLES, K, BLOCK, VAGUE = 4096, 9, 64, 0.5
+DENSE, TOGETHER = 16, 64
 EDGES = ".,;:!?\"'()[]{}<>*#%&-_"
 MEMO = 150_000
 
@@ -55,13 +57,14 @@ class TermIds(dict):
 
 
 def vector(text: str, ids: TermIds, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term ids and unit-length TF-IDF weights."""
+    """Term ids and unit-length weights: TF times idf, which holds a term's association too."""
     found = list(chain.from_iterable(filter(None, map(ids.__getitem__, text.lower().split()))))
     if not found:
         return np.empty(0, np.int64), np.empty(0)
     terms, tf = np.unique(np.array(found, np.int64), return_counts=True)
     w = (1 + np.log(tf)) * idf[terms]
-    return terms, w / np.sqrt((w * w).sum())
+    size = np.sqrt((w * w).sum())
+    return (terms, w / size) if size else (np.empty(0, np.int64), np.empty(0))
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -71,46 +74,65 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings of each term in blocks of examples, with each block's greatest weight."""
+    """Postings of each term, frequent terms in a matrix; the best are found by the maxima of blocks of examples.
+
+    All that a search needs is in `arrays`, plain values that can be broadcast. Weights, and the sums over frequent terms,
+    are 32-bit numbers, so products are exact to about 1e-7.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-        terms = np.concatenate([t for t, _ in vectors]) if len(rows) else np.empty(0, np.int64)
-        weights = np.concatenate([w for _, w in vectors]) if len(rows) else np.empty(0)
+        n = len(vectors)
+        terms = np.concatenate([np.asarray(t, np.int32) for t, _ in vectors]) if n else np.empty(0, np.int32)
+        weights = np.concatenate([np.asarray(w, np.float32) for _, w in vectors]) if n else np.empty(0, np.float32)
+        rows = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in vectors])
+        often = np.flatnonzero(np.bincount(terms, minlength=n_terms) * DENSE > n)
+        place = np.full(n_terms, -1, np.int32)
+        place[often] = np.arange(len(often))
+        matrix = np.zeros((len(often), n), np.float32)
+        at = place[terms] >= 0
+        matrix[place[terms[at]], rows[at]] = weights[at]
+        terms, weights, rows = terms[~at], weights[~at], rows[~at]
         order = np.lexsort((rows, terms))
-        self.n, self.block = len(vectors), block
-        self.rows, self.weights, terms = rows[order], weights[order], terms[order]
-        part = terms * (self.n // block + 1) + self.rows // block
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
-        self.part_start, self.part_end = first, np.r_[first[1:], len(part)]
-        self.part_block = self.rows[first] // block
-        self.part_max = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
-        self.term_start = np.searchsorted(terms[first], np.arange(n_terms + 1))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        rows, weights, terms = rows[order], weights[order], terms[order]
+        self.use({
+            "n": n, "block": block, "place": place, "matrix": matrix, "rows": rows.astype(np.min_scalar_type(n)), "weights": weights,
+            "start": np.searchsorted(terms, np.arange(n_terms + 1)).astype(np.int32),
+        })
+
+    def use(self, arrays: dict) -> BlockMaxIndex:
+        self.arrays = arrays
+        self.__dict__.update(arrays)
+        return self
+
+    @classmethod
+    def of(cls, arrays: dict) -> BlockMaxIndex:
+        return cls.__new__(cls).use(arrays)
+
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms add to the inner product of each query with each row."""
+        wide = np.zeros((len(queries), len(self.matrix)), np.float32)
+        for q, (terms, weights) in enumerate(queries):
+            at = self.place[terms]
+            wide[q, at[at >= 0]] = weights[at >= 0]
+        return (wide @ self.matrix).astype(np.float64)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k rows of greatest positive inner product, best first, ties by row; and their products."""
-        n = self.term_start[terms + 1] - self.term_start[terms]
-        parts, w = ranges(self.term_start[terms], self.term_start[terms + 1]), np.repeat(weights, n)
-        blocks = self.part_block[parts]
-        bound = np.bincount(blocks, self.part_max[parts] * w, self.n // self.block + 1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound)]
-        rows, scores, at, step = np.empty(0, np.int64), np.empty(0), 0, 4
-        while at < len(order):
-            if len(scores) >= k and scores[k - 1] > bound[order[at]] + 1e-9:
-                break
-            opened = np.zeros(len(bound), bool)
-            opened[order[at : at + step]] = True
-            use = opened[blocks]
-            at, step = at + step, step * 2
-            start, end = self.part_start[parts[use]], self.part_end[parts[use]]
-            here = ranges(start, end)
-            total = np.bincount(self.rows[here], self.weights[here] * np.repeat(w[use], end - start))
-            new = np.flatnonzero(total)
-            rows, scores = np.concatenate((rows, new)), np.concatenate((scores, total[new]))
-            best = np.lexsort((rows, -np.round(scores, 9)))[:k]
-            rows, scores = rows[best], scores[best]
-        return rows, scores
+        base = self.frequent([(terms, weights)])[0] if base is None else base
+        start, end = self.start[terms], self.start[terms + 1]
+        here = ranges(start, end)
+        n_blocks = self.n // self.block + 1
+        total = np.zeros(n_blocks * self.block)
+        total[: self.n] = base
+        total += np.bincount(self.rows[here], self.weights[here] * np.repeat(weights, end - start), n_blocks * self.block)
+        most = total.reshape(n_blocks, self.block).max(1)
+        # as many blocks as k, or all, reach `least`, so no row below it is among the k best
+        least = np.partition(most, -k)[-k] - 1e-8 if n_blocks >= k else -1.0
+        opened = np.flatnonzero(most >= least)
+        rows = (opened[:, None] * self.block + np.arange(self.block)).ravel()
+        rows = rows[(total[rows] >= least) & (total[rows] > 0)]
+        best = np.lexsort((rows, -np.round(total[rows], 9)))[:k]
+        return rows[best], total[rows[best]]
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
@@ -136,49 +158,56 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     df = texts.select("text", "y").mapInArrow(presence, "term string, y int").groupBy("term").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
     both = F.col("c0") + F.col("c1")
     total = float(n0 + n1)
-    expected = total * F.pow(F.col("c1") * (n0 - F.col("c0")) - F.col("c0") * (n1 - F.col("c1")), F.lit(2.0))
-    chi2 = expected / (1.0 * max(n0, 1) * max(n1, 1) * both * F.greatest(total - both, F.lit(0.5)))
-    best = df.where(both >= MIN_DF).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
-    vocabulary = {r.term: i for i, r in enumerate(best)}
-    idf = np.array([np.log((1 + total) / (1 + r.c0 + r.c1)) + 1 for r in best])
+    ahead = F.col("c1") * (n0 - F.col("c0")) - F.col("c0") * (n1 - F.col("c1"))
+    phi = F.abs(ahead) / F.sqrt(1.0 * max(n0, 1) * max(n1, 1) * both * F.greatest(total - both, F.lit(0.5)))
+    terms = df.select("term", both.alias("df"), phi.alias("phi")).toArrow()
+    vocabulary = {t: i for i, t in enumerate(terms.column("term").to_pylist())}
+    idf = (np.log((1 + total) / (1 + terms.column("df").to_numpy())) + 1) * terms.column("phi").to_numpy()
+    del terms
+    learnt = spark.sparkContext.broadcast((vocabulary, idf))
 
     def vectors(batches):
-        ids = TermIds(vocabulary)
-        for b in batches:
-            found = [vector(t, ids, idf) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.float64()))], ["doc_id", "y", "terms", "weights"])
-
-    rows = texts.mapInArrow(vectors, "doc_id long, y int, terms array<long>, weights array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    index = BlockMaxIndex([(np.array(r.terms, np.int64), np.array(r.weights)) for r in rows], len(vocabulary))
-    y = np.array([r.y for r in rows], np.int64)
+        ids = TermIds(learnt.value[0])
+        for b in slices(batches):
+            found = [vector(t, ids, learnt.value[1]) for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float32()))], ["doc_id", "y", "terms", "weights"])
+
+    rows = texts.mapInArrow(vectors, "doc_id long, y int, terms array<int>, weights array<float>").withColumn("h", F.xxhash64("doc_id")).toArrow().combine_chunks()
+    learnt.destroy()
+    rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    index = BlockMaxIndex([(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(rows.column("terms"), rows.column("weights"))], len(vocabulary))
+    y = rows.column("y").to_numpy().astype(np.int64)
     per_class = np.array([counts.get(0, 0) / max(n0, 1), counts.get(1, 0) / max(n1, 1)])
-    return {"vocabulary": vocabulary, "idf": idf, "index": index, "y": y, "ids": np.array([r.doc_id for r in rows], np.int64), "weight": per_class, "rate": counts.get(1, 0) / max(1, sum(counts.values()))}
+    return {"vocabulary": vocabulary, "idf": idf, "index": index.arrays, "y": y, "ids": rows.column("doc_id").to_numpy().astype(np.int64), "weight": per_class, "rate": counts.get(1, 0) / max(1, sum(counts.values()))}
 
 
-def score_one(model: dict, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[float, np.ndarray, np.ndarray]:
-    """Score, neighbours' places and their similarities."""
-    if not len(terms):
-        return model["rate"], np.empty(0, np.int64), np.empty(0)
-    rows, near = model["index"].search(terms, weights, k)
-    y = model["y"][rows]
-    votes = near * model["weight"][y]
-    vague = VAGUE * model["weight"].mean()
-    return float(min(1.0, (votes @ y + vague * model["rate"]) / (votes.sum() + vague))), rows, near
+def score_all(model: dict, index: BlockMaxIndex, ids: TermIds, texts: list[str], k: int = K):
+    """Of each text its score, neighbours' places and their similarities."""
+    for at in range(0, len(texts), TOGETHER):
+        vectors = [vector(t, ids, model["idf"]) for t in texts[at : at + TOGETHER]]
+        for (terms, weights), base in zip(vectors, index.frequent(vectors)):
+            if not len(terms):
+                yield model["rate"], np.empty(0, np.int64), np.empty(0)
+                continue
+            rows, near = index.search(terms, weights, k, base)
+            y = model["y"][rows]
+            votes = near * model["weight"][y]
+            vague = VAGUE * model["weight"].mean()
+            yield float(min(1.0, (votes @ y + vague * model["rate"]) / (votes.sum() + vague))), rows, near
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per document: doc_id, score, neighbours array<struct<doc_id, label, similarity>>."""
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(train(spark, docs, labels, id_col, text_col, label_col)))
+    shared = spark.sparkContext.broadcast(train(spark, docs, labels, id_col, text_col, label_col))
 
     def run(batches):
-        model = pickle.loads(shared.value)
-        ids = TermIds(model["vocabulary"])
+        model = shared.value
+        index, ids = BlockMaxIndex.of(model["index"]), TermIds(model["vocabulary"])
         near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
         for b in slices(batches):
             scores, near = [], []
-            for text in b.column("text").to_pylist():
-                s, rows, sims = score_one(model, *vector(text, ids, model["idf"]))
+            for s, rows, sims in score_all(model, index, ids, b.column("text").to_pylist()):
                 scores.append(s)
                 near.append([{"doc_id": int(model["ids"][r]), "label": int(model["y"][r]), "similarity": float(x)} for r, x in zip(rows[:5], sims[:5])])
             yield pa.record_batch([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(near, near_type)], ["doc_id", "score", "neighbours"])
@@ -190,13 +219,13 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: float = 0.5) -> DataFrame:
     """The rows of docs with a score under `most`, with docs' own columns. Each row is judged by its own text."""
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(cloudpickle.dumps(train(spark, docs, labels, id_col, text_col, label_col)))
+    shared = spark.sparkContext.broadcast(train(spark, docs, labels, id_col, text_col, label_col))
 
     def run(batches):
-        model = pickle.loads(shared.value)
-        ids = TermIds(model["vocabulary"])
+        model = shared.value
+        index, ids = BlockMaxIndex.of(model["index"]), TermIds(model["vocabulary"])
         for b in slices(batches, text_col):
             texts = b.column(text_col).to_pylist()
-            yield b.filter(pa.array([score_one(model, *vector(t or "", ids, model["idf"]))[0] < most for t in texts], pa.bool_()))
+            yield b.filter(pa.array([s < most for s, _, _ in score_all(model, index, ids, [t or "" for t in texts])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -241,6 +241,21 @@ def test_toxicity_learns_and_ignores_the_held_out_fold(spark):
     assert [r.score for r in toxicity.score(spark, docs.limit(3), lab.limit(0)).collect()] == [0.0] * 3
 
 
+def test_toxicity_needs_no_number_of_examples(spark):
+    def corpus(n, each):
+        bad = [i for i in range(n) if i % 5 == 0]
+        word = {i: "foulish" if j % each == 0 else "rotten" for j, i in enumerate(bad)}
+        return [prose(i, 30) + (f" {word[i]} {prose(i + 9000, 5)} {word[i]}" if i in word else "") for i in range(n)], word
+
+    for n, each in ((60, 60), (600, 12)):  # fewer than 60 examples; an insult in few of many toxic ones
+        texts, word = corpus(n, each)
+        fresh = [prose(5000 + i, 30) + f" {w} {prose(7000 + i, 5)} {w}" for i, w in enumerate(["rotten", *["foulish"] * (each < 60)] * 3)]
+        lab = spark.createDataFrame([(i, 1, int(i in word)) for i in range(n)], "doc_id long, quality int, toxic int")
+        got = {r.doc_id: r.score for r in toxicity.score(spark, documents(spark, texts + fresh + [prose(8000 + i, 30) for i in range(20)]), lab).collect()}
+        assert all(got[i] >= 0.5 for i in range(n, n + len(fresh))), n
+        assert sum(got[i] >= 0.5 for i in range(n + len(fresh), n + len(fresh) + 20)) <= 1
+
+
 def test_block_max_search_is_exact():
     r = np.random.default_rng(4)
     vectors = []
