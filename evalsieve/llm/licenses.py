@@ -1,10 +1,11 @@
 """License scans by conditional compression (operator 2).
 
 A text is cut into segments at line ends and after sentence marks; runs of segments that hold one of CUES are the
-candidate blocks. Each block is compressed by zstandard alone and with every template as raw dictionary; the templates
-are ranked by how much smaller the block becomes, and the RANKED best are confirmed, best first, by the exact wording
-differences: a block holds a template if at least KEPT of the template's words occur in it in order, all numbers among
-them. Blocks are looked up by their words, so a notice that many documents share is compressed once per task.
+candidate blocks. Each block is compressed by zstandard alone and with every template as raw dictionary, which tells how
+much smaller it becomes; every template is held against the exact wording: a block holds a template if at least KEPT of
+the template's words occur in it in order, all numbers among them. The best one takes its words out of the block, and the
+rest is held against the other templates again, so that neighbouring notices each get a row. Blocks are looked up by
+their words, so a notice that many documents share is compressed once per task.
 
 Defined results: null text counts as empty; texts without a confirmed block have no rows. Repeated rows give repeated
 rows. Columns besides id and text are not read.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty
 
-KEPT, RANKED, MEMO = 0.85, 4, 100_000
+KEPT, MEMO = 0.85, 100_000
 
 # Words that a license notice has, and the notices looked for.
 CUES = "licen[cs]e|copyright|warranty|spdx|public domain|all rights reserved|creative commons|cc by|cc0"
@@ -67,16 +68,17 @@ def blocks(text: str):
         yield tuple(run)
 
 
-def differences(template: list[str], block: list[str]) -> tuple[float, list[str]]:
-    """Share of the template's words that the block has in order, and the words lost (-) and added (+)."""
+def differences(template: list[str], block: list[str | None]) -> tuple[float, list[str], list[int]]:
+    """Share of the template's words that the block has in order, the words lost (-) and added (+), and the places of
+    the words kept. Places that are None were taken by another template."""
     matcher = SequenceMatcher(None, template, block, autojunk=False)
-    kept, said = 0, []
+    said, places = [], []
     for kind, a, b, c, d in matcher.get_opcodes():
         if kind == "equal":
-            kept += b - a
+            places += range(c, d)
         else:
-            said += [f"-{w}" for w in template[a:b]] + [f"+{w}" for w in block[c:d]]
-    return kept / max(1, len(template)), said
+            said += [f"-{w}" for w in template[a:b]] + [f"+{w}" for w in block[c:d] if w is not None]
+    return len(places) / max(1, len(template)), said, places
 
 
 class Scanner:
@@ -88,7 +90,7 @@ class Scanner:
         self.plain = make()
         self.with_template = {k: make(dict_data=zstandard.ZstdCompressionDict(v.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in templates.items()}
         self.words = {k: words_of(v) for k, v in templates.items()}
-        self.known: dict[tuple, tuple | None] = {}
+        self.known: dict[tuple, list[tuple]] = {}
 
     def ranking(self, block: str) -> list[tuple[float, str]]:
         """(share by which the template makes the block smaller, template), greatest first."""
@@ -96,25 +98,38 @@ class Scanner:
         alone = len(self.plain.compress(data))
         return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in self.with_template.items()), key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, key: str, words: list[str]) -> tuple[float, list[str]] | None:
-        kept, said = differences(self.words[key], words)
+    def confirm(self, key: str, words: list[str | None]) -> tuple[float, list[str], list[int]] | None:
+        kept, said, places = differences(self.words[key], words)
         numbers = {w for w in self.words[key] if any(c.isdigit() for c in w)}
-        return (kept, said) if kept >= KEPT and not numbers & {w[1:] for w in said if w[0] == "-"} else None
+        return (kept, said, places) if kept >= KEPT and not numbers & {w[1:] for w in said if w[0] == "-"} else None
 
-    def scan(self, block: str) -> tuple | None:
-        """(license, reduction, kept, differences) or None."""
+    def scan_all(self, block: str) -> list[tuple]:
+        """(license, reduction, kept, differences) of each template that the block holds, best first, no word in two."""
         words = words_of(block)
         if (key := tuple(words)) not in self.known:
             if len(self.known) >= MEMO:
                 self.known.clear()
-            sure = [(kept, gain, k, said) for gain, k in self.ranking(" ".join(words))[:RANKED] if (got := self.confirm(k, words)) for kept, said in [got]]
-            best = max(sure, key=lambda x: (x[0], -sum(w[0] == "-" for w in x[3]), x[1]), default=None)
-            self.known[key] = (best[2], best[1], best[0], best[3]) if best else None
+            self.known[key] = found = []
+            gains = {k: gain for gain, k in self.ranking(" ".join(words))}
+            left: list[str | None] = list(words)
+            while True:
+                sure = [(got[0], gain, k, *got[1:]) for k, gain in gains.items() if (got := self.confirm(k, left))]
+                if not sure:
+                    break
+                kept, gain, k, said, places = max(sure, key=lambda x: (x[0], -sum(w[0] == "-" for w in x[3]), x[1]))
+                found.append((k, gain, kept, said))
+                del gains[k]
+                for i in places:
+                    left[i] = None
         return self.known[key]
 
+    def scan(self, block: str) -> tuple | None:
+        """The first of scan_all, or None."""
+        return next(iter(self.scan_all(block)), None)
+
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """A row per confirmed block: doc_id, start, length (characters), license, reduction, kept, differences, block."""
+    """A row per template that a block holds: doc_id, start, length (characters), license, reduction, kept, differences, block."""
     small_batches(docs.sparkSession)
     wanted = templates or TEMPLATES
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where(F.col("text").rlike(f"(?i){CUES}"))
@@ -124,7 +139,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.string())
         names = ("doc_id", "start", "length", "license", "reduction", "kept", "differences", "block")
         for b in batches:
-            out = [(i, s, e - s, *found, t[s:e]) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for s, e in blocks(t) if (found := scanner.scan(t[s:e]))]
+            out = [(i, s, e - s, *found, t[s:e]) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for s, e in blocks(t) for found in scanner.scan_all(t[s:e])]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * len(names), kinds)], list(names))
 
     return texts.mapInArrow(run, "doc_id long, start long, length long, license string, reduction double, kept double, differences array<string>, block string")

@@ -320,6 +320,20 @@ def test_sharding_one_key_and_a_giant_row(spark):
 # licenses (2)
 
 
+def test_license_scan_finds_all_notices_of_a_block(spark):
+    gpl = "This work is licensed under the GNU General Public License, version"
+    texts = {
+        f"{gpl} 2.\nLicensed under the Apache License, Version 2.0.\nAll rights reserved.": ["Apache-2.0", "GPL-2.0", "Proprietary"],
+        f"{gpl} 3. Released under the MIT License.": ["GPL-3.0", "MIT"],
+        "All rights reserved. Licensed under CC BY-NC 4.0. Released under the MIT License.": ["CC-BY-NC-4.0", "MIT", "Proprietary"],
+        f"{gpl} 3.": ["GPL-3.0"],
+    }
+    found = collections.defaultdict(list)
+    for r in licenses.scan(documents(spark, list(texts))).collect():
+        found[r.doc_id].append(r.license)
+    assert [sorted(found[i]) for i in range(len(texts))] == list(texts.values())
+
+
 def test_license_scan_finds_wording_and_rejects_others(spark):
     clean = ["the driver took his license out", "All rights are reserved seats", "version 2.0 of the apache helicopter", None, ""]
     notices = {
