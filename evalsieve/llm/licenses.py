@@ -25,7 +25,7 @@ from .common import small_batches, text_or_empty
 KEPT, MEMO = 0.85, 100_000
 
 # Words that a license notice has, and the notices looked for.
-CUES = "licen[cs]e|copyright|warranty|spdx|public domain|all rights reserved|creative commons|cc by|cc0"
+CUES = "licen[cs]e|copyright|warranty|spdx|public domain|all rights reserved|creative commons|cc by|cc0|redistribution and use|mozilla.org/mpl"
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -46,6 +46,34 @@ TEMPLATES = {
     "Proprietary": "All rights reserved.",
 }
 
+# Further wordings: SPDX identifiers, the licenses' own headers, and the short licenses in full.
+SPDX = {
+    **{k: [k] for k in ("MIT", "Apache-2.0", "MPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "ISC", "EPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC0-1.0")},
+    **{k: [k, f"{k}-only", f"{k}-or-later"] for k in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0")},
+}
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details."
+CC = "This work is licensed under a Creative Commons Attribution{0} 4.0 International License."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+NAMES = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+FORMS = {
+    "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "GPL-2.0": [GNU.format("", 2)],
+    "GPL-3.0": [GNU.format("", 3)],
+    "LGPL-3.0": [GNU.format("Lesser ", 3)],
+    "AGPL-3.0": [GNU.format("Affero ", 3)],
+    "MPL-2.0": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "BSD-3-Clause": [BSD + NAMES],
+    "BSD-2-Clause": [BSD],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "CC-BY-4.0": [CC.format("")],
+    "CC-BY-SA-4.0": [CC.format("-ShareAlike")],
+    "CC-BY-NC-4.0": [CC.format("-NonCommercial")],
+    "CC-BY-ND-4.0": [CC.format("-NoDerivatives")],
+}
+for _name, _ids in SPDX.items():
+    FORMS.setdefault(_name, []).extend(f"SPDX-License-Identifier: {i}" for i in _ids)
+
 SEGMENT = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|$)")
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -54,14 +82,31 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def blocks(text: str):
-    """(start, end) of each run of segments with a cue."""
+def blocks(text: str, known: list[set[str]] | None = None):
+    """(start, end) of each run of segments with a cue.
+
+    Segments beside them belong to the run too if KEPT of their words are in one of `known`, the templates' words: the
+    other lines of a wrapped or long notice.
+    """
     cue = re.compile(CUES, re.IGNORECASE)
+    parts = [(m.start(), m.end(), m[0]) for m in SEGMENT.finditer(text) if m[0].strip()]
+    taken = [bool(cue.search(x)) for _, _, x in parts]
+    fits: dict[int, bool] = {}
+
+    def belongs(i: int) -> bool:
+        if i not in fits:
+            words = words_of(parts[i][2])
+            fits[i] = any(sum(w in t for w in words) >= KEPT * len(words) for t in known or ())
+        return fits[i]
+
+    for order, step in ((range(1, len(parts)), -1), (range(len(parts) - 2, -1, -1), 1)):
+        for i in order if known else ():
+            taken[i] = taken[i] or (taken[i + step] and belongs(i))
     run: list[int] | None = None
-    for m in SEGMENT.finditer(text):
-        if cue.search(m[0]):
-            run = [run[0] if run else m.start(), m.end()]
-        elif run and m[0].strip():
+    for (start, end, _), inside in zip(parts, taken):
+        if inside:
+            run = [run[0] if run else start, end]
+        elif run:
             yield tuple(run)
             run = None
     if run:
@@ -82,9 +127,14 @@ def differences(template: list[str], block: list[str | None]) -> tuple[float, li
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], forms: dict[str, list[str]] | None = None):
         import zstandard
 
+        self.license = {k: k for k in templates}
+        for name, more in (forms or {}).items():
+            templates = templates | {f"{name}#{i}": x for i, x in enumerate(more)}
+            self.license |= {f"{name}#{i}": name for i in range(len(more))}
+
         options = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         make = lambda **more: zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(options["level"], write_content_size=0, write_checksum=0, write_dict_id=0), **more)
         self.plain = make()
@@ -117,8 +167,8 @@ class Scanner:
                 if not sure:
                     break
                 kept, gain, k, said, places = max(sure, key=lambda x: (x[0], -sum(w[0] == "-" for w in x[3]), x[1]))
-                found.append((k, gain, kept, said))
-                del gains[k]
+                found.append((self.license[k], gain, kept, said))
+                gains = {c: g for c, g in gains.items() if self.license[c] != self.license[k]}
                 for i in places:
                     left[i] = None
         return self.known[key]
@@ -135,11 +185,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where(F.col("text").rlike(f"(?i){CUES}"))
 
     def run(batches):
-        scanner = Scanner(wanted)
+        scanner = Scanner(wanted, None if templates else FORMS)
+        known = list({frozenset(w) for w in scanner.words.values()})
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.string())
         names = ("doc_id", "start", "length", "license", "reduction", "kept", "differences", "block")
         for b in batches:
-            out = [(i, s, e - s, *found, t[s:e]) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for s, e in blocks(t) for found in scanner.scan_all(t[s:e])]
+            out = [(i, s, e - s, *found, t[s:e]) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for s, e in blocks(t, known) for found in scanner.scan_all(t[s:e])]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * len(names), kinds)], list(names))
 
     return texts.mapInArrow(run, "doc_id long, start long, length long, license string, reduction double, kept double, differences array<string>, block string")

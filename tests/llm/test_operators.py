@@ -320,6 +320,19 @@ def test_sharding_one_key_and_a_giant_row(spark):
 # licenses (2)
 
 
+def test_license_scan_finds_real_wordings(spark):
+    def wrapped(text, n=9):
+        words = text.split()
+        return "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+
+    texts = [("MIT", "SPDX-License-Identifier: MIT"), ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later"), ("Apache-2.0", "Licensed under the Apache License,\nVersion 2.0."), ("MPL-2.0", licenses.TEMPLATES["MPL-2.0"]), ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.")]
+    texts += [(k, f"own words here\n\n{wrapped(v[0])}\n\nmore own prose") for k, v in licenses.FORMS.items() if len(v) > 1]
+    got = collections.defaultdict(list)
+    for r in licenses.scan(documents(spark, [t for _, t in texts])).collect():
+        got[r.doc_id].append(r.license)
+    assert [got[i] for i in range(len(texts))] == [[k] for k, _ in texts]
+
+
 def test_license_scan_finds_all_notices_of_a_block(spark):
     gpl = "This work is licensed under the GNU General Public License, version"
     texts = {
