@@ -494,3 +494,19 @@ def test_context_tree_edge_tables(spark):
     rows = ctw.score(spark, documents(spark, ["ab", None], only_held)).collect()
     for r, size in zip(sorted(rows, key=lambda r: r.doc_id), (4, 1)):
         assert r.base_score == 0 and r.score == pytest.approx(-8 * size * math.log10(2)) and r.train_tokens == 0
+
+
+def test_sentencepiece_ids_are_those_of_the_rebuilt_tokenizer():
+    codes = pieces.Coder(public_tokenizers.path("piece_bpe_32k.model"))
+
+    class Other:
+        def encode(self, texts, num_threads=1):
+            return [[7] for _ in texts]
+
+        def decode(self, ids):
+            return ""
+
+    codes.library = Other()
+    want = np.array(codes.tokenizer.encode(" some words", add_special_tokens=False).ids, "<u4").tobytes()
+    for found in (codes.encode(["some words"]), codes.encode_whole(["some words"])):
+        assert found[0][0] == want and not found[0][1]
