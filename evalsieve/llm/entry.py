@@ -61,34 +61,46 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(spark, table(spark, sf_dir, "documents"))
 
 
-SQL = {
-    "op1_sharding": """
-        WITH x AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) AS b FROM documents),
-        d AS (SELECT unnest(range(0, 31))::INTEGER AS depth),
-        s AS (SELECT depth, h >> (60 - depth) AS p, sum(b) AS bytes FROM x, d GROUP BY ALL),
-        l AS (SELECT doc_id, h, min(s.depth) AS depth FROM x, s WHERE s.p = h >> (60 - s.depth) AND s.bytes <= 1048576 GROUP BY ALL)
-        SELECT doc_id, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(s.p), l.depth, '0') END AS shard, l.depth::BIGINT AS depth, s.bytes::BIGINT AS shard_bytes
-        FROM l JOIN s ON s.depth = l.depth AND s.p = l.h >> (60 - l.depth)""",
-    "op9_line_templates": """
+def line_templates_sql(splits: int = templates.SPLITS) -> str:
+    """The template tree, a group of common table expressions for each level."""
+    of_size = "QUALIFY sum(docs) OVER (PARTITION BY node) >= 10 AND count(*) OVER (PARTITION BY node) > 1"
+    levels = f"n0 AS (SELECT * FROM (SELECT list_prepend(n::VARCHAR, head) AS node, toks, docs FROM u) {of_size})"
+    for r in range(splits + 1):
+        levels += f""",
+        p{r} AS (SELECT node, pos, tok, sum(docs) AS d FROM (SELECT node, docs, unnest(range(len(toks))) AS pos, unnest(toks) AS tok FROM n{r}) GROUP BY ALL),
+        q{r} AS (SELECT node, pos, count(*) AS kinds, CASE WHEN max(d) * 2 > sum(d) THEN arg_max(tok, d) END AS tok FROM p{r} GROUP BY ALL),
+        s{r} AS (SELECT node, list(tok ORDER BY pos) AS cons, (min(kinds * 1000000 + pos) FILTER (kinds > 1)) % 1000000 AS cut FROM q{r} GROUP BY node),
+        j{r} AS MATERIALIZED (SELECT n{r}.*, cut, len(list_filter(range(1, len(toks) + 1), lambda i: toks[i] = cons[i])) >= 0.7e0 * len(toks) AS fits FROM n{r} JOIN s{r} USING (node)),
+        n{r + 1} AS (
+            SELECT node, toks, docs FROM (SELECT CASE WHEN bool_or(fits) OVER (PARTITION BY node) THEN list_append(node, 'rest') ELSE list_append(node, cut || ':' || toks[cut + 1]) END AS node, toks, docs, fits FROM j{r})
+            WHERE NOT fits {of_size})"""
+    return f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, row_number() OVER () AS r FROM documents),
         l AS (SELECT r, doc_id, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM d),
         t AS (
-            SELECT r, doc_id, no, line, list_transform(list_filter(regexp_split_to_array(line, '[ \\t\\f\\r]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM l),
-        k AS (SELECT *, len(toks) AS n, toks[1:3] AS head FROM t),
-        u AS (SELECT n, head, toks, count(DISTINCT coalesce(doc_id, -1)) AS docs FROM k WHERE n > 0 GROUP BY ALL),
-        f AS (SELECT n, head, sum(docs) AS total FROM u GROUP BY ALL HAVING sum(docs) >= 10 AND count(*) > 1),
-        s AS (SELECT u.n, u.head, u.toks, u.docs, f.total, unnest(range(u.n)) AS pos, unnest(u.toks) AS tok FROM u JOIN f ON u.n = f.n AND u.head = f.head),
-        c AS (SELECT n, head, pos, tok FROM s GROUP BY ALL HAVING sum(docs) * 2 > any_value(total)),
-        fits AS (SELECT s.n, s.head, s.toks FROM s JOIN c ON s.n = c.n AND s.head = c.head AND s.pos = c.pos AND s.tok = c.tok GROUP BY ALL HAVING count(*) >= 0.7e0 * s.n),
-        wide AS (SELECT k.n, k.head FROM k JOIN fits ON k.n = fits.n AND k.toks = fits.toks GROUP BY ALL HAVING count(DISTINCT coalesce(k.doc_id, -1)) >= 10),
-        lost AS (
-            SELECT toks FROM u WHERE docs >= 10 AND toks NOT IN (SELECT toks FROM fits)
-            UNION SELECT fits.toks FROM fits JOIN wide ON fits.n = wide.n AND fits.head = wide.head),
-        m AS (SELECT k.*, k.n > 0 AND k.toks IN (SELECT toks FROM lost) AS gone FROM k)
+            SELECT r, doc_id, no, line, list_transform(list_filter(regexp_split_to_array(line, '[ \t\f\r]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks FROM l),
+        k AS MATERIALIZED (SELECT *, len(toks) AS n, toks[1:3] AS head FROM t),
+        u AS MATERIALIZED (SELECT n, head, toks, count(DISTINCT coalesce(doc_id, -1)) AS docs, min(doc_id) AS first FROM k WHERE n > 0 GROUP BY ALL),
+        {levels},
+        fits AS ({" UNION ALL ".join(f"SELECT node, toks FROM j{r} WHERE fits" for r in range(splits + 1))}),
+        wide AS (SELECT node FROM k JOIN fits USING (toks) GROUP BY node HAVING count(DISTINCT coalesce(doc_id, -1)) >= 10),
+        frequent AS (SELECT toks FROM u WHERE docs >= 10 UNION SELECT toks FROM fits JOIN wide USING (node)),
+        m AS (SELECT k.*, k.n > 0 AND (k.toks IN (SELECT toks FROM frequent) OR (k.n >= 25 AND u.docs > 1 AND k.doc_id IS DISTINCT FROM u.first)) AS gone FROM k LEFT JOIN u USING (toks))
         SELECT doc_id, n_lines, n_dropped, length(kept) AS n_chars_kept, md5(kept) AS text_md5 FROM (
             SELECT r, any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                 coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept
-            FROM m GROUP BY r)""",
+            FROM m GROUP BY r)"""
+
+
+SQL = {
+    "op1_sharding": """
+        WITH x AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h, coalesce(strlen(text), 0) AS b FROM documents),
+        d AS (SELECT unnest(range(0, 31))::INTEGER AS depth),
+        s AS (SELECT depth, h >> (60 - depth) AS p, sum(b) AS bytes, count(*) AS n FROM x, d GROUP BY ALL),
+        l AS (SELECT doc_id, h, min(s.depth) AS depth FROM x, s WHERE s.p = h >> (60 - s.depth) AND (s.bytes <= 1048576 OR s.n = 1) GROUP BY ALL)
+        SELECT doc_id, CASE WHEN l.depth = 0 THEN '' ELSE lpad(bin(s.p), l.depth, '0') END AS shard, l.depth::BIGINT AS depth, s.bytes::BIGINT AS shard_bytes
+        FROM l JOIN s ON s.depth = l.depth AND s.p = l.h >> (60 - l.depth)""",
+    "op9_line_templates": line_templates_sql(),
     "op5_maxscore": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256.0e0 * x::DOUBLE)) AS q FROM embeddings
