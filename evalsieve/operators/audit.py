@@ -7,18 +7,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import text
+from . import irt
 
 
 def verdict(contaminated: Column, flagged: Column) -> Column:
     return F.when((contaminated > 0.3) | (flagged > 0.5), "MAJOR_REVISION_REQUIRED").when((contaminated > 0.1) | (flagged > 0.2), "PARTIAL_REVISION_RECOMMENDED").otherwise("ACCEPTABLE_WITH_MONITORING")
 
 
-def audit(report: DataFrame, flags: DataFrame) -> DataFrame:
-    """One row from shortcut reports and a table of contaminated item ids (one row each)."""
+FAVOURED = 1.5
+
+
+def faults(items: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """(id, more columns, kinds): the kinds of planted faults that the rules find in items (question, choices, answer).
+
+    Stock phrases tell n-gram overlap, template patterns a template, the rules on one item length bias and leaked
+    answers; position bias is laid to items at a place that FAVOURED times as many answers have as chance gives.
+    """
+    from . import contamination, shortcuts
+
+    places = items.groupBy("answer").agg(F.count(F.lit(1)).alias("_n"))
+    whole = places.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_places"))
+    favoured = places.crossJoin(F.broadcast(whole)).where(F.col("_n") * F.col("_places") >= FAVOURED * F.col("_all")).select("answer", F.lit(True).alias("_favoured"))
+    rules = shortcuts.reports(items, id_col).select(id_col, F.col("shortcuts.pattern").alias("_found"))
+    has = lambda k: F.array_contains("_found", k)
+    signs = {"ngram_overlap": contamination.audit_flag(F.col("question")), "template_fill": contamination.template_score(F.col("question")) > 0, "answer_leak": has("lexical_overlap"), "length_bias": has("length_bias"), "position_bias": F.col("_favoured")}
+    kinds = F.array_compact(F.array(*[F.when(sign, kind) for kind, sign in signs.items()]))
+    return items.join(F.broadcast(favoured), "answer", "left").join(rules, id_col).select(id_col, *more, kinds.alias("kinds"))
+
+
+def detection(mix: DataFrame, id_col: str) -> DataFrame:
+    """One row: recall of planted faults and precision of the flags raised, for a labelled mix of items."""
+    found = faults(mix, id_col, "planted_type", "is_contaminated")
+    flagged = F.size("kinds") > 0
+    recall = F.avg(F.when(F.col("is_contaminated"), F.array_contains("kinds", F.col("planted_type")).cast("double")))
+    precision = F.count_if(flagged & F.col("is_contaminated")) / F.nullif(F.count_if(flagged), F.lit(0))
+    return found.agg(F.round(F.coalesce(recall, F.lit(0.0)), 4).alias("recall"), F.round(F.coalesce(precision, F.lit(0.0)), 4).alias("precision"))
+
+
+def audit(report: DataFrame, flags: DataFrame, fitted: DataFrame | None = None, reliability: DataFrame | None = None) -> DataFrame:
+    """One row from shortcut reports, a table of contaminated item ids (one row each), and, if there are responses,
+    fitted items (flags) and the test's reliability."""
     whole = report.agg(F.count(F.lit(1)).alias("n_items"), F.avg((F.size("shortcuts") > 0).cast("double")).alias("flagged"))
     bad = flags.agg(F.count(F.lit(1)).alias("n_contaminated"))
     share = F.col("n_contaminated") / F.greatest(F.lit(1), F.col("n_items"))
-    return whole.crossJoin(bad).select("n_items", "n_contaminated", F.round(share, 3).alias("contamination_score"), F.round("flagged", 3).alias("flagged_item_fraction"), verdict(share, F.col("flagged")).alias("recommendation"))
+    out = whole.crossJoin(bad).select("n_items", "n_contaminated", F.round(share, 3).alias("contamination_score"), F.round("flagged", 3).alias("flagged_item_fraction"), verdict(share, F.col("flagged")).alias("recommendation"))
+    if fitted is not None:
+        out = out.crossJoin(irt.flag_counts(fitted).withColumnRenamed("n_items", "n_fitted"))
+    if reliability is not None:
+        out = out.crossJoin(reliability.select(F.round("reliability", 6).alias("reliability")))
+    return out
 
 
 def priority(weak: DataFrame, contaminated: DataFrame, item: str, weak_most: int = 10, other_most: int = 10, most: int = 20) -> DataFrame:

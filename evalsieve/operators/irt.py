@@ -130,3 +130,9 @@ def likelihood(responses: DataFrame, parameters: DataFrame) -> DataFrame:
     p = F.least(F.lit(1 - 1e-8), F.greatest(F.lit(1e-8), p_2pl(F.col("theta"), F.col("a"), F.col("b"))))
     r = F.col("response")
     return responses.join(parameters, "item").groupBy("item").agg(F.sum(r * F.ln(p) + (1 - r) * F.ln(1 - p)).alias("log_likelihood"))
+
+
+def recovery(estimates: DataFrame, truth: DataFrame, true_col: str) -> DataFrame:
+    """One row: the mean squared error of estimated difficulties against known ones, and the number of items."""
+    both = estimates.join(truth, "item")
+    return both.agg(F.round(F.avg(F.pow(F.col("b") - F.col(true_col), F.lit(2.0))), 4).alias("mse"), F.count(F.lit(1)).alias("n"))

@@ -50,5 +50,17 @@ def planted(items: DataFrame, id_col: str, kind: Column) -> DataFrame:
     return items.withColumn("planted_type", k).withColumns({"question": new_q, "choices": new_c, "answer": F.when(t == "position_bias", F.lit("A")).otherwise(a), "severity": severity})
 
 
+def labelled_mix(items: DataFrame, id_col: str, n: int, seed: str = "mix") -> DataFrame:
+    """n items with a planted fault each, and half as many clean ones: the items' columns, planted_type, severity and
+    is_contaminated. Ids become texts, "planted-" or "clean-" and the item's, so that an item may be in both."""
+    from .dedup import sampled
+
+    kind = F.get(F.array(*map(F.lit, values.PLANT_SEVERITY)), draw(F.col(id_col), "kind", len(values.PLANT_SEVERITY)))
+    flawed = planted(sampled(items, id_col, n, seed), id_col, kind).where(F.col("planted_type").isNotNull())
+    clean = sampled(items, id_col, n // 2, seed).withColumns({"planted_type": F.lit(None).cast("string"), "severity": F.lit(0.0)})
+    named = lambda df, what: df.withColumns({"is_contaminated": F.lit(what == "planted"), id_col: F.concat(F.lit(what + "-"), F.col(id_col).cast("string"))})
+    return named(flawed, "planted").unionByName(named(clean, "clean"))
+
+
 def bundle(key: Column, bundles: int, seed: str = "bundle") -> Column:
     return draw(key, seed, bundles)

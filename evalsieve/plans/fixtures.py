@@ -49,12 +49,28 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.crossJoin(b).select("model", "item", F.when(u < p, 1.0).otherwise(0.0).alias("response"), "th_true", "b_true")
 
 
+ABILITIES_SQL = "abilities AS (SELECT model, ln(p / (1 - p)) AS theta FROM (SELECT model, least(0.99e0, greatest(0.01e0, avg(response))) AS p FROM responses GROUP BY model))"
 RESPONSES_SQL = """
     responses AS (SELECT s.model, b.item, th_true, b_true,
         CASE WHEN ('0x' || substr(md5(s.model || '|' || b.item), 1, 8))::UBIGINT::DOUBLE / 4294967296e0 < 1 / (1 + exp(-(th_true - b_true))) THEN 1e0 ELSE 0e0 END AS response
         FROM (SELECT s_suppkey AS model, -3e0 + 6e0 * ((s_suppkey * 37) % 100) / 99e0 AS th_true FROM supplier) s,
              (SELECT item_id AS item, -2e0 + 4e0 * (item_id % 20) / 19e0 AS b_true FROM benchmark) b),
-    abilities AS (SELECT model, ln(p / (1 - p)) AS theta FROM (SELECT model, least(0.99e0, greatest(0.01e0, avg(response))) AS p FROM responses GROUP BY model))"""
+    """ + ABILITIES_SQL
+
+
+def flawed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response matrix with items that all models get right, that none does, and that ability hardly tells on."""
+    r, k = responses(spark, sf_dir), F.col("item") % 10
+    u = hex32(F.concat_ws("|", F.lit("flaw"), F.col("model").cast("string"), F.col("item").cast("string")))
+    dull = F.when(u < 1 / (1 + F.exp(-0.25 * F.col("th_true"))), 1.0).otherwise(0.0)
+    return r.withColumn("response", F.when(k == 0, 1.0).when(k == 1, 0.0).when(k == 2, dull).otherwise(F.col("response")))
+
+
+FLAWED_SQL = RESPONSES_SQL.replace("responses AS (", "whole AS (", 1).replace(ABILITIES_SQL, f"""
+    responses AS (SELECT * REPLACE (CASE item % 10 WHEN 0 THEN 1e0 WHEN 1 THEN 0e0
+        WHEN 2 THEN CASE WHEN ('0x' || substr(md5('flaw|' || model || '|' || item), 1, 8))::UBIGINT::DOUBLE / 4294967296e0 < 1 / (1 + exp(-0.25e0 * th_true)) THEN 1e0 ELSE 0e0 END
+        ELSE response END AS response) FROM whole),
+    {ABILITIES_SQL}""")
 
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:

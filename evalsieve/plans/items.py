@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text, values
 from ..operators import audit, planting, rewards, shortcuts, taxonomy
+from . import psychometrics
 from .contamination import LOW, PLAIN, WORDS, any_sql, quoted
 from .fixtures import MCQ_SQL, mcq, table
 from .registry import query
@@ -120,15 +123,24 @@ def plant_items(spark, sf_dir):
     return planted(spark, sf_dir).withColumn("choices", F.array_join("choices", "|"))
 
 
-@query(f"""WITH {MCQ_SQL}, {PLANTED_SQL}, {rules_sql('planted')}
-    SELECT planted_type, count(*) AS n, avg((CASE planted_type WHEN 'length_bias' THEN contains(patterns, 'length_bias') WHEN 'answer_leak' THEN contains(patterns, 'lexical_overlap') ELSE false END)::INTEGER) AS recall
-    FROM reports JOIN planted USING (doc_id) GROUP BY planted_type""")
+TEMPLATED = "(" + " OR ".join(f"regexp_matches(lower(question), {quoted(p)})" for p in values.TEMPLATE_PATTERNS) + ")"
+AUDIT_FLAGS = f"{any_sql('lower(question)', values.AUDIT_PHRASES)} AND length(question) < 100"
+
+
+def faults_sql(source: str) -> str:
+    """CTEs that end in faults(doc_id, kinds) of the items in source."""
+    return f"""{rules_sql(source)},
+    fav AS (SELECT answer FROM (SELECT answer, count(*) AS n, sum(count(*)) OVER () AS every, count(*) OVER () AS places FROM {source} GROUP BY answer) WHERE n * places >= 1.5e0 * every),
+    faults AS (SELECT doc_id, list_filter([CASE WHEN {AUDIT_FLAGS} THEN 'ngram_overlap' END, CASE WHEN {TEMPLATED} THEN 'template_fill' END, CASE WHEN contains(patterns, 'lexical_overlap') THEN 'answer_leak' END,
+        CASE WHEN contains(patterns, 'length_bias') THEN 'length_bias' END, CASE WHEN answer IN (SELECT answer FROM fav) THEN 'position_bias' END], lambda x: x IS NOT NULL) AS kinds
+        FROM (SELECT doc_id, patterns FROM reports) JOIN (SELECT doc_id, question, answer FROM {source}) USING (doc_id))"""
+
+
+@query(f"""WITH {MCQ_SQL}, {PLANTED_SQL}, {faults_sql('planted')}
+    SELECT planted_type, count(*) AS n, avg(list_contains(kinds, planted_type)::INTEGER) AS recall FROM faults JOIN planted USING (doc_id) GROUP BY planted_type""")
 def planted_recall(spark, sf_dir):
-    p = planted(spark, sf_dir)
-    found = shortcuts.reports(p, "doc_id").join(p.select("doc_id", "planted_type"), "doc_id")
-    has = lambda k: F.array_contains("shortcuts.pattern", k)
-    hit = F.when(F.col("planted_type") == "length_bias", has("length_bias")).when(F.col("planted_type") == "answer_leak", has("lexical_overlap")).otherwise(False)
-    return found.groupBy("planted_type").agg(F.count(F.lit(1)).alias("n"), F.avg(hit.cast("double")).alias("recall"))
+    found = audit.faults(planted(spark, sf_dir), "doc_id", "planted_type")
+    return found.groupBy("planted_type").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_contains("kinds", F.col("planted_type")).cast("double")).alias("recall"))
 
 
 @query(f"""WITH {MCQ_SQL}, b AS (SELECT doc_id, {DRAW.format('bundle', 50)} AS bundle, ('0x' || substr(md5('plant|' || doc_id), 1, 8))::UBIGINT % 10 < 3 AS planted, {KIND} AS kind FROM mcq)
@@ -139,15 +151,29 @@ def planted_bundles(spark, sf_dir):
     return b.groupBy("bundle").agg(F.count(F.lit(1)).alias("n_items"), F.count_if("planted").alias("n_planted"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("planted"), F.col("kind")))), ",").alias("kinds"))
 
 
-@query(f"""WITH {MCQ_SQL}, o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('mix|' || doc_id), doc_id) AS r FROM mcq)
-    SELECT doc_id, r > 100 AS is_contaminated FROM o WHERE r <= 200""")
+MIX_SQL = f"""{MCQ_SQL}, {PLANTED_SQL}, mo AS (SELECT doc_id, row_number() OVER (ORDER BY md5('mix|' || doc_id), doc_id) AS nth FROM mcq),
+    mix AS (SELECT 'planted-' || doc_id AS doc_id, planted_type, question, choices, answer, true AS is_contaminated FROM planted JOIN mo USING (doc_id) WHERE nth <= 200
+        UNION ALL SELECT 'clean-' || doc_id, NULL, question, choices, answer, false FROM mcq JOIN mo USING (doc_id) WHERE nth <= 100)"""
+
+
+def mixed(spark, sf_dir):
+    return planting.labelled_mix(mcq(spark, sf_dir), "doc_id", 200)
+
+
+@query(f"""WITH {MIX_SQL} SELECT doc_id, is_contaminated, planted_type, CASE planted_type WHEN 'ngram_overlap' THEN 0.8e0 WHEN 'template_fill' THEN 0.7e0 WHEN 'answer_leak' THEN 0.9e0 WHEN 'length_bias' THEN 0.6e0 WHEN 'position_bias' THEN 0.5e0 ELSE 0e0 END AS severity,
+    question, array_to_string(choices, '|') AS choices, answer FROM mix""")
 def labelled_mix(spark, sf_dir):
-    from ..operators.dedup import sampled, split_order
-    from pyspark.sql import Window
+    return mixed(spark, sf_dir).select("doc_id", "is_contaminated", "planted_type", "severity", "question", F.array_join("choices", "|").alias("choices"), "answer")
 
-    some = sampled(mcq(spark, sf_dir), "doc_id", 200, "mix").select("doc_id")
-    nth = F.row_number().over(Window.orderBy(split_order(F.col("doc_id"), "mix"), "doc_id"))
-    return some.select("doc_id", (nth > 100).alias("is_contaminated"))
+
+DETECTION_SQL = f"""{MIX_SQL}, {faults_sql('mix')},
+    detection AS (SELECT round(avg(list_contains(kinds, planted_type)::INTEGER) FILTER (is_contaminated), 4) AS recall,
+        round(count(*) FILTER (is_contaminated AND len(kinds) > 0) / nullif(count(*) FILTER (len(kinds) > 0), 0)::DOUBLE, 4) AS precision FROM faults JOIN mix USING (doc_id))"""
+
+
+@query(f"WITH {DETECTION_SQL} SELECT recall, precision FROM detection")
+def fault_detection(spark, sf_dir):
+    return audit.detection(mixed(spark, sf_dir), "doc_id")
 
 
 def answers(spark, sf_dir):
@@ -206,8 +232,11 @@ def pattern_lookup(spark, sf_dir):
     return found.join(known, "pattern").groupBy("pattern_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT avg((answer_id = (list_value('G01','G02','G03','G04'))[(conv_id % 4 + 1)::INTEGER])::INTEGER) AS accuracy, count(*) AS n FROM (
-    SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'G01' ELSE (list_value('G01','G02','G03','G04'))[(conv_id % 4 + 1)::INTEGER] END AS answer_id FROM conversations WHERE turn = 0)""")
+ACCURACY_SQL = """SELECT avg((answer_id = (list_value('G01','G02','G03','G04'))[(conv_id % 4 + 1)::INTEGER])::INTEGER) AS accuracy, count(*) AS n FROM (
+    SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'G01' ELSE (list_value('G01','G02','G03','G04'))[(conv_id % 4 + 1)::INTEGER] END AS answer_id FROM conversations WHERE turn = 0)"""
+
+
+@query(ACCURACY_SQL)
 def pattern_accuracy(spark, sf_dir):
     ids = F.array(*[F.lit(x) for x in ("G01_length_bias", "G02_lexical_overlap", "G03_negation_artifact", "G04_position_bias")])
     truth = F.get(ids, (F.col("conv_id") % 4).cast("int"))
@@ -216,20 +245,26 @@ def pattern_accuracy(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("turn = 0").agg(F.avg(right.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-AUDIT_FLAGS = f"{any_sql('lower(question)', values.AUDIT_PHRASES)} AND length(question) < 100"
+AUDIT_SQL = f"""{RULES}, bad AS (SELECT doc_id FROM mcq WHERE question IN (SELECT question FROM mcq GROUP BY question HAVING count(*) > 1) OR ({AUDIT_FLAGS})),
+    s AS (SELECT (SELECT count(*) FROM reports) AS n_items, (SELECT count(*) FROM bad) AS n_contaminated, (SELECT avg((patterns <> '')::INTEGER) FROM reports) AS flagged),
+    report AS (SELECT n_items, n_contaminated, round(n_contaminated / greatest(1, n_items)::DOUBLE, 3) AS contamination_score, round(flagged, 3) AS flagged_item_fraction,
+        CASE WHEN n_contaminated / greatest(1, n_items)::DOUBLE > 0.3e0 OR flagged > 0.5e0 THEN 'MAJOR_REVISION_REQUIRED' WHEN n_contaminated / greatest(1, n_items)::DOUBLE > 0.1e0 OR flagged > 0.2e0 THEN 'PARTIAL_REVISION_RECOMMENDED' ELSE 'ACCEPTABLE_WITH_MONITORING' END AS recommendation FROM s)"""
 
 
-@query(f"""{RULES}, bad AS (SELECT doc_id FROM mcq WHERE question IN (SELECT question FROM mcq GROUP BY question HAVING count(*) > 1) OR ({AUDIT_FLAGS})),
-    s AS (SELECT (SELECT count(*) FROM reports) AS n_items, (SELECT count(*) FROM bad) AS n_contaminated, (SELECT avg((patterns <> '')::INTEGER) FROM reports) AS flagged)
-    SELECT n_items, n_contaminated, round(n_contaminated / greatest(1, n_items)::DOUBLE, 3) AS contamination_score, round(flagged, 3) AS flagged_item_fraction,
-        CASE WHEN n_contaminated / greatest(1, n_items)::DOUBLE > 0.3e0 OR flagged > 0.5e0 THEN 'MAJOR_REVISION_REQUIRED' WHEN n_contaminated / greatest(1, n_items)::DOUBLE > 0.1e0 OR flagged > 0.2e0 THEN 'PARTIAL_REVISION_RECOMMENDED' ELSE 'ACCEPTABLE_WITH_MONITORING' END AS recommendation FROM s""")
-def audit_report(spark, sf_dir):
+def contaminated(items):
+    """Items whose question another one has too, or that an audit flags."""
     from ..operators.contamination import audit_flag
 
+    twice = items.groupBy("question").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("question", F.lit(True).alias("twice"))
+    return items.join(twice, "question", "left").where(F.col("twice").isNotNull() | audit_flag(F.col("question"))).select("doc_id")
+
+
+@query(f"""{AUDIT_SQL}, {psychometrics.RELIABILITY_SQL}
+    SELECT report.*, (SELECT count(*) FROM fit) AS n_fitted, (SELECT count(*) FROM fit WHERE contains(flags, 'LOW')) AS low_discrimination, (SELECT count(*) FROM fit WHERE contains(flags, 'CEILING')) AS ceiling, (SELECT count(*) FROM fit WHERE contains(flags, 'FLOOR')) AS floor,
+        round(reliability, 6) AS reliability FROM report, reliable""")
+def audit_report(spark, sf_dir):
     m = mcq(spark, sf_dir)
-    twice = m.groupBy("question").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("question", F.lit(True).alias("twice"))
-    bad = m.join(twice, "question", "left").where(F.col("twice").isNotNull() | audit_flag(F.col("question"))).select("doc_id")
-    return audit.audit(shortcuts.reports(m, "doc_id"), bad)
+    return audit.audit(shortcuts.reports(m, "doc_id"), contaminated(m), psychometrics.fitted(spark, sf_dir), psychometrics.reliable(spark, sf_dir))
 
 
 @query(f"SELECT doc_id, question || chr(10) || array_to_string(list_transform(choices, lambda c, i: '  (' || chr((64 + i)::INTEGER) || ') ' || c), chr(10)) || chr(10) || 'Answer:' AS prompt, question || ' ' || array_to_string(choices, ' ') AS searchable FROM (WITH {MCQ_SQL} SELECT * FROM mcq)")
@@ -247,14 +282,24 @@ def self_bleu(spark, sf_dir):
     return audit.self_bleu(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("bleu", F.round("bleu", 9))
 
 
-@query(f"""{RULES}, m AS (SELECT avg((patterns <> '')::INTEGER) AS recall FROM reports), c AS (SELECT count(*) FILTER (recommendation <> 'KEEP' AND patterns <> '') / nullif(count(*) FILTER (recommendation <> 'KEEP'), 0)::DOUBLE AS p FROM reports)
-    SELECT round(recall, 4) AS recall, coalesce(p, 0e0) AS precision, round(0.3e0 * round(recall, 4) + 0.3e0 * coalesce(p, 0e0) + 0.1e0 * (1 - least(1e0, 0.25e0)) + 0.15e0 * 0.5e0 + 0.15e0 * 0.75e0, 4) AS quality FROM m, c""")
+@query(f"""WITH {DETECTION_SQL}, {psychometrics.RECOVERY_SQL},
+    bl AS (SELECT item_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END) AS b FROM (SELECT item_id, {LOW.format('text')} AS w FROM benchmark)),
+    bp AS (SELECT x.item_id, CASE WHEN len(x.b) = 0 THEN 0e0 ELSE len(list_intersect(x.b, o.b)) / len(x.b)::DOUBLE END AS s FROM bl x JOIN bl o ON x.item_id <> o.item_id WHERE len(o.b) > 0),
+    variety AS (SELECT round(1 - avg(s), 4) AS diversity FROM (SELECT item_id, avg(s) AS s FROM bp GROUP BY item_id)),
+    acc AS ({ACCURACY_SQL})
+    SELECT recall, precision, mse, diversity, round(accuracy, 4) AS accuracy,
+        round(0.3e0 * recall + 0.3e0 * precision + 0.1e0 * (1 - least(1e0, mse)) + 0.15e0 * diversity + 0.15e0 * round(accuracy, 4), 4) AS quality FROM detection, mse, variety, acc""")
 def forge_quality(spark, sf_dir):
-    r = shortcuts.reports(mcq(spark, sf_dir), "doc_id")
-    some = F.size("shortcuts") > 0
-    revised = F.col("recommendation") != "KEEP"
-    whole = r.agg(F.round(F.avg(some.cast("double")), 4).alias("recall"), F.coalesce(F.count_if(revised & some) / F.nullif(F.count_if(revised), F.lit(0)), F.lit(0.0)).alias("precision"))
-    return whole.withColumn("quality", audit.quality_score(F.col("recall"), F.col("precision"), F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    """Every part from its own operator: planted faults, fitted difficulties, self-BLEU, answers on patterns."""
+    bleu = audit.self_bleu(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    parts = [
+        audit.detection(mixed(spark, sf_dir), "doc_id"),
+        psychometrics.b_recovery_mse(spark, sf_dir).select("mse"),
+        bleu.agg(F.round(1 - F.avg("bleu"), 4).alias("diversity")),
+        pattern_accuracy(spark, sf_dir).select(F.round("accuracy", 4).alias("accuracy")),
+    ]
+    whole = reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+    return whole.withColumn("quality", audit.quality_score(*map(F.col, whole.columns)))
 
 
 @query(f"""WITH {MCQ_SQL} SELECT doc_id, CASE WHEN try_cast(replace(trim(choices[1]), ',', '') AS DOUBLE) IS NOT NULL THEN 'numeric' ELSE 'manual' END AS note,
@@ -268,9 +313,8 @@ def answer_checks(spark, sf_dir):
     return mcq(spark, sf_dir).select("doc_id", external.math_note(F.get("choices", F.lit(0)), F.col("question")).alias("note"), external.code_note(code).alias("code_note"))
 
 
-@query(f"""{RULES}, s AS (SELECT (SELECT count(*) FROM reports) AS n_items, (SELECT avg((patterns <> '')::INTEGER) FROM reports) AS flagged)
-    SELECT '{{"n_items":' || n_items || ',"n_contaminated":0,"contamination_score":0.0,"recommendation":"' || CASE WHEN flagged > 0.5e0 THEN 'MAJOR_REVISION_REQUIRED' WHEN flagged > 0.2e0 THEN 'PARTIAL_REVISION_RECOMMENDED' ELSE 'ACCEPTABLE_WITH_MONITORING' END || '"}}' AS report FROM s""")
+@query(f"""{AUDIT_SQL} SELECT '{{"n_items":' || n_items || ',"n_contaminated":' || n_contaminated || ',"contamination_score":' || contamination_score || ',"recommendation":"' || recommendation || '"}}' AS report FROM report""")
 def audit_json(spark, sf_dir):
     m = mcq(spark, sf_dir)
-    r = audit.audit(shortcuts.reports(m, "doc_id"), m.where("false").select("doc_id")).drop("flagged_item_fraction")
+    r = audit.audit(shortcuts.reports(m, "doc_id"), contaminated(m)).drop("flagged_item_fraction")
     return r.select(audit.as_json(r).alias("report"))
