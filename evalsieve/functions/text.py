@@ -54,6 +54,22 @@ def catalog_grams(text: Column, n: int = 8) -> Column:
     return F.transform(grams(plain_words(text), n), F.md5)
 
 
+def gram_count(text: Column, n: int = 8) -> Column:
+    """How many n-grams catalog_grams gives, without making them."""
+    return F.greatest(F.size(plain_words(text)) - (n - 1), F.lit(0)).cast("long")
+
+
+def gram_keys(text: Column, n: int = 8) -> Column:
+    """A key of two hashes, 96 bits in all, for each of catalog_grams' n-grams: to join corpora without making texts of them."""
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - n
+        key = lambda i: bound(F.slice(w, i + 1, n), lambda g: F.struct(F.xxhash64(g).alias("h"), F.hash(g).alias("k")))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), key)).otherwise(F.array().cast("array<struct<h:bigint,k:int>>"))
+
+    return bound(plain_words(text), of)
+
+
 def index_grams(text: Column, n: int = 6) -> Column:
     """The first eight hex digits of the MD5 of each distinct n-gram; punctuation stays."""
     return F.transform(F.array_distinct(grams(words(F.lower(text)), n)), lambda g: F.substring(F.md5(g), 1, 8))
@@ -109,6 +125,33 @@ def pattern_hits(text: Column, patterns: list[str]) -> Column:
     return sum((low.rlike(p).cast("int") for p in patterns), F.lit(0))
 
 
+def element_texts(html: Column, tag: str, name: str) -> Column:
+    """The raw insides of the elements <tag class="... name ...">, elements of the same tag within them included.
+
+    Opening and closing tags are walked in order: the depth rises and falls, and an element that begins while no other
+    is open ends where the depth is back at nought (or with the page). Those inside another one are part of it.
+    """
+    mark = f"(?is)<{tag}\\b[^>]*>|</{tag}\\s*>"
+    class_has = f"(?is)^<{tag}\\b[^>]*\\bclass\\s*=\\s*[\"']([^\"']*\\s)?{name}(\\s[^\"']*)?[\"']"
+    tags, between = F.regexp_extract_all(html, F.lit(mark), F.lit(0)), F.split(html, mark)
+    steps = F.zip_with(tags, F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(0))), lambda t, after: F.struct(t.alias("tag"), after.alias("after")))
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(state: Column, x: Column) -> Column:
+        closes = F.startswith(x["tag"], F.lit("</"))
+        inside = state["depth"] > 0
+        begins = ~inside & ~closes & F.regexp_like(x["tag"], F.lit(class_has))
+        depth = F.when(inside, state["depth"] + F.when(closes, -1).otherwise(1)).when(begins, 1).otherwise(0)
+        ends = inside & (depth == 0)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(ends, F.array_append(state["done"], state["open"])).otherwise(state["done"]).alias("done"),
+            F.when(begins, x["after"]).when(ends, F.lit("")).when(inside, F.concat(state["open"], x["tag"], x["after"])).otherwise(F.lit("")).alias("open"),
+        )
+
+    return F.aggregate(steps, start, step, lambda s: F.when(s["depth"] > 0, F.array_append(s["done"], s["open"])).otherwise(s["done"]))
+
+
 def without_markup(text: Column) -> Column:
     """Without [[..]], {{..}} and <tags>, collapsed."""
     for pattern in ("\\[\\[.*?\\]\\]", "\\{\\{.*?\\}\\}", "<[^>]+>"):

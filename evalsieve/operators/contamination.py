@@ -20,33 +20,53 @@ def searchable(question: Column, choices: Column) -> Column:
 
 def by_fingerprint(items: DataFrame, corpus: DataFrame, id_col: str, text_col: str, corpus_id: str, corpus_text: str) -> DataFrame:
     """(id, matched, source): items whose fingerprint the corpus has; source is the last such row."""
-    known = corpus.groupBy(text.fingerprint(F.col(corpus_text)).alias("fp")).agg(F.max(corpus_id).alias("source"))
-    return items.withColumn("fp", text.fingerprint(F.col(text_col))).join(known, "fp", "left").select(id_col, F.col("source").isNotNull().alias("matched"), "source")
+    own = items.select(id_col, text.fingerprint(F.col(text_col)).alias("fp"))
+    told = corpus.select(F.col(corpus_id).alias("source"), text.fingerprint(F.col(corpus_text)).alias("fp"))
+    # the corpus is reduced to the items' fingerprints before anything is aggregated
+    known = told.join(own.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.max("source").alias("source"))
+    return own.join(known, "fp", "left").select(id_col, F.col("source").isNotNull().alias("matched"), "source")
 
 
 def gram_ratio(items: DataFrame, corpus: DataFrame, id_col: str, text_col: str, corpus_text: str, n: int = 8, threshold: float = 0.3) -> DataFrame:
     """(id, n_grams, hits, ratio, is_contaminated): share of an item's n-grams, repeats counted, that the corpus has."""
-    own = items.select(id_col, text.catalog_grams(F.col(text_col), n).alias("grams"))
-    spread = own.select(id_col, F.explode("grams").alias("gram"))
-    told = corpus.select(F.explode(text.catalog_grams(F.col(corpus_text), n)).alias("gram"))
+    own = items.select(id_col, text.gram_count(F.col(text_col), n).alias("n_grams"))
+    spread = items.select(id_col, F.explode(text.gram_keys(F.col(text_col), n)).alias("gram"))
+    told = corpus.select(F.explode(text.gram_keys(F.col(corpus_text), n)).alias("gram"))
     # the corpus is reduced to the items' grams before anything is made distinct
     known = told.join(spread.select("gram").distinct(), "gram", "left_semi").distinct()
     hits = spread.join(known, "gram", "left_semi").groupBy(id_col).agg(F.count(F.lit(1)).alias("hits"))
-    total = F.size("grams").cast("long")
+    total = F.col("n_grams")
     ratio = F.when(total > 0, F.coalesce("hits", F.lit(0)) / total).otherwise(0.0)
-    return own.join(hits, id_col, "left").select(id_col, total.alias("n_grams"), F.coalesce("hits", F.lit(0)).alias("hits"), F.round(ratio, 3).alias("ratio"), (ratio >= threshold).alias("is_contaminated"))
+    return own.join(hits, id_col, "left").select(id_col, "n_grams", F.coalesce("hits", F.lit(0)).alias("hits"), F.round(ratio, 3).alias("ratio"), (ratio >= threshold).alias("is_contaminated"))
 
 
 def best_source(candidates: DataFrame, catalog: DataFrame, id_col: str, text_col: str, source_col: str, catalog_text: str, n: int = 8, threshold: float = 0.3) -> DataFrame:
     """(id, source, hits, ratio, is_contaminated): the source with most hits; of equals the first by name."""
-    own = candidates.select(id_col, text.catalog_grams(F.col(text_col), n).alias("grams"))
-    grams = catalog.select(source_col, F.explode(text.catalog_grams(F.col(catalog_text), n)).alias("gram")).groupBy("gram").agg(F.max(source_col).alias(source_col))
-    hits = own.select(id_col, F.explode("grams").alias("gram")).join(grams, "gram").groupBy(id_col, source_col).agg(F.count(F.lit(1)).alias("hits"))
-    best = hits.withColumn("nth", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("hits"), source_col))).where("nth = 1").drop("nth")
-    ratio = F.col("hits") / F.size("grams")
+    own = candidates.select(id_col, text.gram_count(F.col(text_col), n).alias("_all"))
+    grams = catalog.select(source_col, F.explode(text.gram_keys(F.col(catalog_text), n)).alias("gram")).groupBy("gram").agg(F.max(source_col).alias(source_col))
+    hits = candidates.select(id_col, F.explode(text.gram_keys(F.col(text_col), n)).alias("gram")).join(grams, "gram").groupBy(id_col, source_col).agg(F.count(F.lit(1)).alias("hits"))
+    # most hits, then the first name: of equals max_by keeps none in particular, so the order is part of the key
+    best = hits.groupBy(id_col).agg(F.max("hits").alias("hits"), F.collect_list(F.struct((-F.col("hits")).alias("o"), F.col(source_col).alias("s"))).alias("x")).select(id_col, "hits", F.array_min("x").s.alias(source_col))
+    ratio = F.col("hits") / F.col("_all")
     return own.join(best, id_col).select(id_col, source_col, "hits", F.round(ratio, 3).alias("ratio"), (ratio >= threshold).alias("is_contaminated"))
 
 
+def catalog_check(candidates: DataFrame, catalog: DataFrame, id_col: str, text_col: str, source_col: str, catalog_text: str, n: int = 8, threshold: float = 0.3) -> DataFrame:
+    """(id, is_contaminated, source, match_type, confidence), a row for every candidate.
+
+    A candidate with the fingerprint of a catalog text is an exact match, of the last source by name that has it; of the
+    others those are fuzzy matches whose share of n-grams in their best source reaches the threshold.
+    """
+    own = candidates.select(id_col, text_col, text.fingerprint(F.col(text_col)).alias("_fp"))
+    told = catalog.groupBy(text.fingerprint(F.col(catalog_text)).alias("_fp")).agg(F.max(source_col).alias("_exact"))
+    tried = own.join(told, "_fp", "left").drop("_fp")
+    fuzzy = best_source(tried.where(F.col("_exact").isNull()), catalog, id_col, text_col, source_col, catalog_text, n, threshold).where("is_contaminated").select(id_col, F.col(source_col).alias("_fuzzy"), "ratio")
+    kind = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_fuzzy").isNotNull(), "fuzzy")
+    return tried.select(id_col, "_exact").join(fuzzy, id_col, "left").select(
+        id_col, kind.isNotNull().alias("is_contaminated"), F.coalesce("_exact", "_fuzzy").alias(source_col), kind.alias("match_type"),
+        F.when(kind == "exact", 1.0).when(kind == "fuzzy", F.col("ratio")).otherwise(0.0).alias("confidence"))
+
+
 def index_score(items: DataFrame, corpus: DataFrame, id_col: str, text_col: str, corpus_text: str, n: int = 6) -> DataFrame:
     """(id, n_grams, matches, score): three times the share of distinct n-grams that the index has, 1 at most."""
     own = items.select(id_col, text.index_grams(F.col(text_col), n).alias("grams"))

@@ -84,8 +84,8 @@ def contam_examples(spark, sf_dir):
 @query(f"""
     WITH {GRAM8} SELECT de.doc_id, be.item_id, count(*) AS hits FROM de JOIN (SELECT DISTINCT item_id, x FROM be) be USING (x) GROUP BY ALL""")
 def doc_benchmark_overlap(spark, sf_dir):
-    grams = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(text.catalog_grams(F.col("text")))).alias("gram"))
-    told = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.catalog_grams(F.col("text"))).alias("gram"))
+    grams = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(text.gram_keys(F.col("text")))).alias("gram"))
+    told = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.gram_keys(F.col("text"))).alias("gram"))
     return told.join(grams, "gram").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -99,6 +99,26 @@ def contam_best_source(spark, sf_dir):
     return op.best_source(table(spark, sf_dir, "documents"), catalog, "doc_id", "text", "source", "text")
 
 
+@query(f"""
+    WITH {GRAM8}, src AS (SELECT *, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source FROM benchmark),
+    cand AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, '  ' || lower(text) FROM benchmark WHERE item_id % 3 = 0),
+    cw AS (SELECT doc_id, {PLAIN.format('text')} AS w FROM cand), ce AS (SELECT doc_id, unnest({grams_sql('w', 8)}) AS x FROM cw),
+    ex AS (SELECT {FINGERPRINT.format('text')} AS fp, max(source) AS exact FROM src GROUP BY 1),
+    t AS (SELECT doc_id, exact FROM cand LEFT JOIN ex ON fp = {FINGERPRINT.format('cand.text')}),
+    c AS (SELECT x, max(source) AS source FROM be JOIN src USING (item_id) GROUP BY x),
+    h AS (SELECT doc_id, source, count(*) AS hits FROM ce JOIN c USING (x) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, source) AS nth FROM h),
+    z AS (SELECT doc_id, source AS fuzzy, round(hits / (len(w) - 7)::DOUBLE, 3) AS ratio FROM r JOIN cw USING (doc_id) WHERE nth = 1 AND hits / (len(w) - 7)::DOUBLE >= 0.3e0)
+    SELECT doc_id, exact IS NOT NULL OR fuzzy IS NOT NULL AS is_contaminated, coalesce(exact, fuzzy) AS source, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN fuzzy IS NOT NULL THEN 'fuzzy' END AS match_type,
+        CASE WHEN exact IS NOT NULL THEN 1e0 ELSE coalesce(ratio, 0e0) END AS confidence FROM t LEFT JOIN z USING (doc_id)""")
+def catalog_check(spark, sf_dir):
+    """Documents and a third of the items, in small letters, against the catalog: exact match, else n-grams, else none."""
+    b = table(spark, sf_dir, "benchmark")
+    catalog = b.withColumn("source", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd"))
+    shouted = b.where("item_id % 3 = 0").select((-1 - F.col("item_id")).alias("doc_id"), F.concat(F.lit("  "), F.lower("text")).alias("text"))
+    return op.catalog_check(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(shouted), catalog, "doc_id", "text", "source", "text")
+
+
 @query(f"""
     SELECT doc_id, CASE WHEN len({WORDS.format('text')}) < 6 THEN 0e0 ELSE least(1e0, {hits_sql('text', values.INDEX_FREE_PHRASES)} * 0.3e0) END AS score,
         {any_sql('lower(text)', values.AUDIT_PHRASES)} AND length(text) < 100 AS audit_flag FROM documents""")
