@@ -51,9 +51,20 @@ def capped(rows: DataFrame, by: str, order: str, most: int) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_nth") <= most).drop("_nth")
 
 
-def batches(rows: DataFrame, by: str, order: str, size: int = 10) -> DataFrame:
-    """Rows with the number of their batch of `size` within `by`."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+def batches(rows: DataFrame, by: str, order: str, size: int = 10, ranges: int = 1024) -> DataFrame:
+    """Rows with the number of their batch of `size` within `by`, in the order of a number.
+
+    Rows are numbered within ranges of the order, and the ranges' counts, of which there are as many at most for each
+    value of `by`, are added up: a value that most rows have is numbered by many tasks.
+    """
+    ends = rows.agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    width = (F.col("_high") - F.col("_low") + 1) / F.lit(float(ranges))
+    placed = rows.crossJoin(F.broadcast(ends)).withColumn("_part", F.coalesce(F.floor((F.col(order) - F.col("_low")) / width), F.lit(-1))).drop("_low", "_high")
+    counts = placed.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), (F.sum("_n").over(Window.partitionBy(by).orderBy("_part")) - F.col("_n")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order)) - 1
+    numbered = placed.withColumn("_nth", nth).join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return numbered.withColumn("batch", F.floor((F.col("_nth") + F.col("_before")) / size)).select(*rows.columns, "batch")
 
 
 def union_by_name(parts: list[DataFrame]) -> DataFrame:
@@ -84,6 +95,11 @@ def paragraphs(html: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(html, F.lit("(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), text.without_markup), lambda p: p != "")
 
 
+def container_texts(html: Column, name: str, tag: str = "div") -> Column:
+    """The texts of a page's containers of a class, nested ones included, without tags; empty ones left out."""
+    return F.filter(F.transform(text.element_texts(html, tag, name), text.without_markup), lambda p: p != "")
+
+
 def chat(rows: DataFrame, by: str, order: str, role: str, content: str) -> DataFrame:
     """(by, n_turns, chat): the turns in order, with ChatML marks; one conversation at a time is gathered."""
     turns = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(role).alias("r"), F.col(content).alias("c"))))

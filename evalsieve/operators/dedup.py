@@ -54,20 +54,34 @@ def band_keys(signature: Column, rows: int) -> Column:
     return text.bound(signature, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - rows, F.lit(rows)), lambda i: F.concat_ws(":", i.cast("string"), F.slice(s, i + 1, rows))))
 
 
-def candidate_pairs(rows: DataFrame, id_col: str, text_col: str, permutations: int = 16, band_rows: int = 4) -> DataFrame:
-    """(a, b, jaccard): pairs that share a band, a < b, with the Jaccard similarity of their white-space tokens.
-
-    Texts with the same tokens are one before banding; each bucket links its members to its smallest one, so a bucket
-    of n texts gives n - 1 pairs.
+def similar_sets(spark: SparkSession, rows: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, common: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
+    """Exact similarity join of texts as sets of words: ((a, b, jaccard), (id, set_id)).
+
+    Texts with the same words are one set, named by the smallest of their ids; the second table tells each text's set.
+    The first has every pair of sets, a < b, whose Jaccard similarity is `similarity` or more. Words are ordered from
+    rare to frequent (`common` of the most frequent are ranked, the others come first in the order of their hashes), and
+    two similar sets share a word among the first of either, as many as could be missing and one more. A pair is formed
+    only at the first such word that it shares, and only of sets whose sizes allow it.
     """
-    tokens = F.array_sort(F.array_distinct(text.words(F.col(text_col))))
-    sets = rows.select(F.col(id_col).alias("id"), tokens.alias("tokens")).where(F.size("tokens") > 0)
-    one = sets.groupBy("tokens").agg(F.min("id").alias("id"))
-    keys = one.select("id", F.explode(band_keys(minhash(F.col("tokens"), permutations), band_rows)).alias("key"))
-    low = keys.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keys.join(low, "key").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    left, right = one.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), one.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
+    from ..sources.store import written
+
+    hashes = F.array_sort(F.transform(F.array_distinct(text.words(F.col(text_col))), lambda w: F.xxhash64(w)))
+    sets = rows.select(F.col(id_col).alias("id"), hashes.alias("t")).where(F.size("t") > 0).withColumns({"h": F.xxhash64("t"), "k": F.hash("t")})
+    one = written(spark, sets.groupBy("h", "k").agg(F.min("id").alias("set_id"), F.first("t").alias("t")), "sets")
+    members = sets.select("id", "h", "k").join(one.select("h", "k", "set_id"), ["h", "k"]).select("id", "set_id")
+
+    words = one.select("set_id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    ranks = words.groupBy("w").agg(F.count(F.lit(1)).alias("f")).orderBy(F.desc("f"), "w").limit(common)
+    ordered = words.join(F.broadcast(written(spark, ranks, "ranks")), "w", "left").groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("o"))
+    length = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    starts = written(spark, ordered.select("set_id", "n", F.transform(F.slice("o", F.lit(1), length), lambda x: x.w).alias("p")), "starts")
+    left = starts.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.explode("p").alias("w"))
+    right = starts.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.explode("p").alias("w"))
+    sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+    met = left.join(right, "w").where((F.col("a") < F.col("b")) & sizes & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("w"))).select("a", "b")
+    sides = [one.select(F.col("set_id").alias(c), F.col("t").alias(f"t{c}")) for c in ("a", "b")]
+    pairs = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
+    return pairs.where(F.col("jaccard") >= similarity), members
 
 
 def seeded_minhash(tokens: Column, permutations: int) -> Column:

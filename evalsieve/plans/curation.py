@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from ..functions import text, values
 from ..operators import corpus, dedup
 from ..sources import jsonl
-from .contamination import CLEAN, FINGERPRINT, WORDS, any_sql, hits_sql, quoted
-from .fixtures import table
+from .contamination import CLEAN, FINGERPRINT, GRAM8, WORDS, any_sql, hits_sql, quoted
+from .fixtures import MEASURE_SQL, measurements, table
 from .registry import query
 
 COUNT = f"len({WORDS.format('text')})"
@@ -33,10 +33,22 @@ MINHASH = f"""
     k AS (SELECT id, unnest(list_transform([0, 4, 8, 12], lambda i: concat_ws(':', i, s[i + 1], s[i + 2], s[i + 3], s[i + 4]))) AS key FROM s)"""
 
 
-@query(f"""WITH {MINHASH}, l AS (SELECT key, min(id) AS a FROM k GROUP BY key HAVING count(*) > 1), p AS (SELECT DISTINCT a, id AS b FROM k JOIN l USING (key) WHERE id > a)
-    SELECT a, b, len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE AS jaccard FROM p JOIN one x ON x.id = a JOIN one y ON y.id = b""")
+SETS = f"""
+    t AS (SELECT doc_id AS id, list_sort(list_distinct({WORDS.format('text')})) AS w FROM documents),
+    one AS (SELECT min(id) AS id, w FROM t WHERE len(w) > 0 GROUP BY w)"""
+
+
+@query(f"""WITH {SETS} SELECT a, b, j AS jaccard FROM (
+    SELECT x.id AS a, y.id AS b, len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w)))::DOUBLE AS j FROM one x JOIN one y ON x.id < y.id AND len(x.w) * 10 >= len(y.w) * 8 AND len(y.w) * 10 >= len(x.w) * 8) WHERE j >= 0.8e0""")
 def jaccard_pairs(spark, sf_dir):
-    return dedup.candidate_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """All pairs of different sets of words at 0.8 or more; the SQL compares all with all."""
+    return dedup.similar_sets(spark, table(spark, sf_dir, "documents"), "doc_id", "text")[0]
+
+
+@query(f"WITH {SETS} SELECT t.id, one.id AS set_id FROM t JOIN one USING (w)")
+def word_sets(spark, sf_dir):
+    """Which texts stand for which in jaccard_pairs."""
+    return dedup.similar_sets(spark, table(spark, sf_dir, "documents"), "doc_id", "text")[1]
 
 
 @query(f"WITH {MINHASH} SELECT key, count(*) AS n, min(id) AS first_id FROM k GROUP BY key HAVING count(*) > 1")
@@ -50,11 +62,10 @@ def minhash_bands(spark, sf_dir):
 @query()
 def greedy_dedup(spark, sf_dir):
     """Keep iff no earlier kept document shares a MinHash band: rounds, so no SQL; tests hold it against a loop."""
-    from tempfile import mkdtemp
+    from ..sources.store import shared_dir
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    folder = spark.conf.get("spark.checkpoint.dir", "") or "file://" + mkdtemp(prefix="evalsieve-")
-    return dedup.greedy_keep(spark, docs.select("doc_id"), dedup.buckets(docs, "doc_id", "text"), folder).withColumnRenamed("id", "doc_id")
+    return dedup.greedy_keep(spark, docs.select("doc_id"), dedup.buckets(docs, "doc_id", "text"), shared_dir(spark)).withColumnRenamed("id", "doc_id")
 
 
 SPLIT = """o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents),
@@ -290,3 +301,126 @@ def first_of_equals(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(w)).where("n = 1").select("conv_id", F.col("turn").alias("shortest_turn"))
 
 
+# JSON files: each query writes a table to the shared folder and reads it back
+
+
+def stored(spark, name: str, write) -> str:
+    """The path under which write(path) has stored something."""
+    from ..sources.store import place
+
+    path = place(spark, name)
+    write(path)
+    return path
+
+
+def json_lines(rows):
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+@query("SELECT doc_id, lang, md5(text) AS text_md5 FROM documents WHERE doc_id % 7 <> 3")
+def jsonl_lenient(spark, sf_dir):
+    """Blank and broken lines among the good ones are left out: every seventh line is cut short, blank ones follow."""
+    d = table(spark, sf_dir, "documents")
+    line = F.to_json(F.struct("doc_id", "lang", "text"))
+    line = F.when(F.col("doc_id") % 7 == 3, F.substring(line, 1, 9)).otherwise(line)
+    path = stored(spark, "lines", lambda p: d.select(F.concat(line, F.when(F.col("doc_id") % 5 == 0, "\n\n").otherwise("")).alias("value")).write.text(p))
+    return jsonl.lenient(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT item_id, md5(text) AS text_md5 FROM benchmark")
+def jsonl_strict(spark, sf_dir):
+    path = stored(spark, "strict", lambda p: json_lines(table(spark, sf_dir, "benchmark")).write.text(p))
+    return jsonl.strict(spark, path, "item_id long, text string").select("item_id", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def json_objects(spark, sf_dir):
+    """A file for each object, which spans several lines."""
+    rows = table(spark, sf_dir, "nation").repartition(25, "n_nationkey")
+    pretty = rows.select("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name"), {"pretty": "true"}).alias("value"))
+    path = stored(spark, "objects", lambda p: pretty.write.partitionBy("n_nationkey").option("lineSep", "\n").text(p))
+    return jsonl.objects(spark, f"{path}/*/*", "n_nationkey int, n_name string").select("n_nationkey", "n_name")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def jsonl_files(spark, sf_dir):
+    """Lines of many folders, counted by the file's folder."""
+    path = stored(spark, "files", lambda p: table(spark, sf_dir, "documents").select("doc_id", "lang").write.partitionBy("lang").json(p))
+    return jsonl.with_file(spark, f"{path}/*/*.json", "doc_id long").groupBy(F.regexp_extract("file", "/lang=([^/]*)/", 1).alias("lang")).agg(F.count("doc_id").alias("n"))
+
+
+@query(f"WITH {GRAM8} SELECT DISTINCT md5(x) AS gram, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source FROM be")
+def ngram_index_lines(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    grams = b.select(F.explode(text.catalog_grams(F.col("text"))).alias("gram"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("source"))
+    return jsonl.ngram_lines(spark, stored(spark, "index", lambda p: jsonl.write_ngram_lines(grams, p)))
+
+
+@query(f"WITH {MEASURE_SQL} SELECT benchmark, period, n_models, round(pearson, 6) AS pearson FROM records")
+def correlation_log(spark, sf_dir):
+    """Two appends to one log, read back as a whole."""
+    from ..operators import correlation
+
+    r = correlation.records(measurements(spark, sf_dir), ["benchmark", "period"], "model", "bench_score", "downstream_score").select("benchmark", "period", "n_models", F.round("pearson", 6).alias("pearson"))
+
+    def write(path):
+        jsonl.append(r.where("period % 2 = 0"), path)
+        jsonl.append(r.where("period % 2 = 1"), path)
+
+    return spark.read.parquet(stored(spark, "log", write))
+
+
+@query("SELECT conv_id, count(*) AS n_turns FROM conversations WHERE conv_id % 4 <> 0 GROUP BY conv_id")
+def chat_examples(spark, sf_dir):
+    """Conversations as training lines; those without turns don't come back."""
+    c = table(spark, sf_dir, "conversations")
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    said = F.when(F.col("conv_id") % 4 == 0, F.array().cast("array<struct<from:string,value:string>>")).otherwise(F.transform("t", lambda x: F.struct(x.role.alias("from"), x.text.alias("value"))))
+    lines = c.groupBy("conv_id").agg(turns.alias("t")).select(F.col("conv_id").cast("string").alias("id"), F.lit("chat").alias("type"), said.alias("conversations"))
+    return jsonl.chats(spark, stored(spark, "chats", lambda p: json_lines(lines).write.text(p))).select(F.col("id").cast("long").alias("conv_id"), F.size("conversations").cast("long").alias("n_turns"))
+
+
+@query("SELECT doc_id, md5(text) AS prompt_md5, quality FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 <> 0")
+def reward_lines(spark, sf_dir):
+    """Prompts with a ground truth; lines without one don't come back."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    truth = F.when(F.col("doc_id") % 3 != 0, F.struct(F.array(F.col("doc_id").cast("string")).alias("shortcuts_planted"), F.col("quality").cast("string").alias("type")))
+    lines = d.select(F.col("text").alias("prompt"), truth.alias("ground_truth"))
+    back = jsonl.reward_examples(spark, stored(spark, "rewards", lambda p: json_lines(lines).write.text(p)))
+    return back.select(F.get("ground_truth.shortcuts_planted", F.lit(0)).cast("long").alias("doc_id"), F.md5("prompt").alias("prompt_md5"), F.col("ground_truth.type").cast("int").alias("quality"))
+
+
+@query("SELECT conv_id, md5(string_agg(text, '|' ORDER BY turn)) AS pair_md5 FROM conversations WHERE turn < 3 GROUP BY conv_id HAVING count(*) = 3")
+def preference_lines(spark, sf_dir):
+    """First turns as prompt, chosen and rejected; lines that lack one don't come back."""
+    c = table(spark, sf_dir, "conversations").where("turn < 3")
+    at = lambda n: F.max(F.when(F.col("turn") == n, F.col("text")))
+    lines = c.groupBy("conv_id").agg(at(0).alias("prompt"), at(1).alias("chosen"), at(2).alias("rejected"), F.max("conv_id").cast("string").alias("preference_reason")).drop("conv_id")
+    back = jsonl.preferences(spark, stored(spark, "preferences", lambda p: json_lines(lines).write.text(p)))
+    return back.select(F.col("preference_reason").cast("long").alias("conv_id"), F.md5(F.concat_ws("|", "prompt", "chosen", "rejected")).alias("pair_md5"))
+
+
+@query("SELECT 'all' AS part, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents UNION ALL SELECT 'short', count(*), sum(doc_id)::BIGINT FROM documents WHERE n_chars < 1000")
+def jsonl_subsets(spark, sf_dir):
+    """A table as JSON lines, and a subset of it beside."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    path = stored(spark, "subsets", lambda p: jsonl.write_lines(d, f"{p}/all", F.col("n_chars") < 1000, f"{p}/short"))
+    of = lambda part: jsonl.lenient(spark, f"{path}/{part}", "doc_id long").agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+    return of("all").unionByName(of("short"))
+
+
+@query(f"WITH {SPLIT} SELECT split, count(*) AS n, min(doc_id) AS first_id FROM s GROUP BY split")
+def jsonl_splits(spark, sf_dir):
+    """A folder of JSON lines for each split, read back."""
+    path = stored(spark, "splits", lambda p: jsonl.write_splits(split_exact(spark, sf_dir), p))
+    return spark.read.schema("doc_id long, split string").json(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query(f"""WITH x AS (SELECT page_id, {CLEAN.format(MARKUP.format('html'))} AS t FROM pages)
+    SELECT page_id, 1 + (page_id % 2)::BIGINT AS n_containers, md5(CASE page_id % 2 WHEN 0 THEN trim('a b ' || t) ELSE trim('a b ' || t) || chr(10) || 'last' END) AS text_md5 FROM x""")
+def html_containers(spark, sf_dir):
+    """The text of named containers, with others nested inside: pages are put into one, after a decoy of another class."""
+    body = text.without_markup(F.col("html"))
+    page = F.concat(F.lit('<div class="other">no</div><div class="wide problem_content">a <div>b</div> '), body, F.lit(" </div><p>no</p>"), F.when(F.col("page_id") % 2 == 1, '<DIV id=1 class="problem_content">last').otherwise(""))
+    found = corpus.container_texts(page, "problem_content")
+    return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n_containers"), F.md5(F.array_join(found, "\n")).alias("text_md5"))

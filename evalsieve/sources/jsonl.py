@@ -52,7 +52,10 @@ def catalog_maps(catalog: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ngram_index(spark: SparkSession, path: str) -> DataFrame:
-    """(gram, source) from one JSON object gram -> [sources]; empty if there is no such file or it can't be parsed."""
+    """(gram, source) from one JSON object gram -> [sources]; empty if there is no such file or it can't be parsed.
+
+    One object is one row and one task: for large indexes write and read the form of ngram_lines.
+    """
     empty = spark.createDataFrame([], "gram string, source string")
     try:
         whole = spark.read.option("wholetext", True).text(path)
@@ -62,6 +65,19 @@ def ngram_index(spark: SparkSession, path: str) -> DataFrame:
         return empty
 
 
+def ngram_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(gram, source) from JSON lines {gram, sources}, which any number of tasks read; empty if there is no such path."""
+    try:
+        return lenient(spark, path, "gram string, sources array<string>").select("gram", F.explode("sources").alias("source"))
+    except AnalysisException:
+        return spark.createDataFrame([], "gram string, source string")
+
+
+def write_ngram_lines(grams: DataFrame, path: str) -> None:
+    """(gram, source) rows as ngram_lines reads them."""
+    grams.groupBy("gram").agg(F.sort_array(F.collect_set("source")).alias("sources")).write.mode("overwrite").json(path)
+
+
 def chats(spark: SparkSession, path: str) -> DataFrame:
     return lenient(spark, path, CHAT).where(F.size("conversations") > 0)
 

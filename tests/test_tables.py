@@ -133,7 +133,7 @@ def test_taxonomy_has_23_patterns_in_six_categories(spark):
 
 def test_no_pairs_of_rows_are_formed(spark):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    for df in (contamination.gram_ratio(items, docs, "item_id", "text", "text"), audit.self_bleu(items, "item_id", "text"), dedup.candidate_pairs(docs, "doc_id", "text")):
+    for df in (contamination.gram_ratio(items, docs, "item_id", "text", "text"), audit.self_bleu(items, "item_id", "text"), dedup.similar_sets(spark, docs, "doc_id", "text")[0]):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan
         joins = [x for x in plan.splitlines() if "BroadcastNestedLoopJoin" in x]
@@ -151,6 +151,8 @@ def test_grids_and_peaks(spark):
 def test_plans_equal_their_sql(spark, name):
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
+    # ten models are too few for estimates within the box, which Newton steps alone find
+    SF = "/root/testdata/sf0.01" if "seen AS MATERIALIZED" in registry.SQL[name] else "/root/testdata/sf0.001"
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = registry.QUERIES[name](spark, SF)
@@ -164,7 +166,7 @@ def test_plans_equal_their_sql(spark, name):
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert set(registry.QUERIES) - set(registry.SQL) == {"irt_fit", "greedy_dedup"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"greedy_dedup"}
 
 
 def test_external_calls_and_code_checks(spark):
@@ -184,6 +186,93 @@ def test_audit_report_as_json_and_text(spark):
     assert json.loads(row.j)["n_items"] == 10 and "20.0%" in row.t and "PARTIAL" in row.t
 
 
+def test_detection_moves_with_the_labels(spark):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(60)]
+    some = lambda k: " ".join(r.sample(words, k))
+    items = spark.createDataFrame([(i, some(8), [some(4) for _ in range(4)], "ABCD"[i % 4]) for i in range(80)], "doc_id long, question string, choices array<string>, answer string")
+    mix = planting.labelled_mix(items, "doc_id", 40)
+    rows = mix.collect()
+    assert len(rows) == 60 and sum(x.is_contaminated for x in rows) == 40 and {x.planted_type for x in rows if not x.is_contaminated} == {None}
+    whole = {x.doc_id: x for x in items.collect()}
+    for x in rows:
+        old = whole[int(x.doc_id.split("-")[1])]
+        assert ((x.question, x.choices, x.answer) == (old.question, old.choices, old.answer)) == (not x.is_contaminated or x.planted_type == "position_bias" and old.answer == "A")
+    found = {x.doc_id: x.kinds for x in audit.faults(mix, "doc_id").collect()}
+    flagged = [x for x in rows if found[x.doc_id]]
+    right = [x for x in rows if x.is_contaminated and x.planted_type in found[x.doc_id]]
+    got = audit.detection(mix, "doc_id").first()
+    assert got.recall == round(len(right) / 40, 4) > 0 and got.precision == round(sum(x.is_contaminated for x in flagged) / len(flagged), 4)
+    flipped = audit.detection(mix.withColumn("is_contaminated", ~F.col("is_contaminated")), "doc_id").first()
+    assert abs(flipped.precision - (1 - got.precision)) < 1e-3
+    renamed = audit.detection(mix.withColumn("planted_type", F.when(F.col("is_contaminated"), "none")), "doc_id").first()
+    assert renamed.recall == 0 and renamed.precision == got.precision
+    none = audit.detection(mix.where("false"), "doc_id").first()
+    assert (none.recall, none.precision) == (0, 0)
+
+
+def test_recovery_and_audit_follow_their_inputs(spark):
+    fitted = spark.createDataFrame([(1, 1.0, ["OK"]), (2, 4.0, ["FLOOR"]), (3, 0.0, ["LOW_DISCRIMINATION"])], "item long, b double, flags array<string>")
+    truth = spark.createDataFrame([(1, 0.5), (2, 4.0), (3, 1.0)], "item long, t double")
+    assert irt.recovery(fitted, truth, "t").first().mse == round((0.25 + 1) / 3, 4)
+    assert irt.recovery(fitted, truth.withColumn("t", F.col("t") + 1), "t").first().mse == round((0.25 + 1 + 4) / 3, 4)
+    report = spark.createDataFrame([(i, [("x", 0.5)] if i < 3 else []) for i in range(10)], "doc_id long, shortcuts array<struct<pattern:string,severity:double>>")
+    bad = spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id long")
+    rel = spark.createDataFrame([(0.75,)], "reliability double")
+    row = audit.audit(report, bad, fitted, rel).first()
+    assert (row.n_contaminated, row.n_fitted, row.low_discrimination, row.ceiling, row.floor, row.reliability, row.recommendation) == (4, 3, 1, 0, 1, 0.75, "MAJOR_REVISION_REQUIRED")
+    assert "n_fitted" not in audit.audit(report, bad).columns
+
+
+def test_catalog_check_is_a_cascade(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    catalog = spark.createDataFrame([("a", long), ("b", long), ("c", "x " + long[4:])], "source string, q string")
+    asked = spark.createDataFrame([(1, long.upper() + " "), (2, long + " and more words"), (3, "none of it"), (4, None), (5, "x " + long[4:])], "id long, t string")
+    got = {r.id: (r.is_contaminated, r.source, r.match_type, r.confidence) for r in contamination.catalog_check(asked, catalog, "id", "t", "source", "q").collect()}
+    assert got == {1: (True, "b", "exact", 1.0), 2: (True, "c", "fuzzy", 0.5), 3: (False, None, None, 0.0), 4: (False, None, None, 0.0), 5: (True, "c", "exact", 1.0)}
+
+
+def test_similar_sets_equal_all_pairs(spark):
+    r = random.Random(9)
+    base = [[f"t{r.randrange(80)}" for _ in range(r.randrange(1, 25))] for _ in range(40)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:-1] + [f"n{r.randrange(9)}"]) for b in base for _ in range(3)] + ["", None, " ".join(base[0] * 2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for common in (1 << 17, 5):
+        pairs, members = dedup.similar_sets(spark, rows, "id", "t", 0.8, common)
+        sets = {}
+        for i, t in enumerate(texts):
+            if (t or "").split():
+                sets.setdefault(frozenset(t.split()), []).append(i)
+        assert {(m.id, m.set_id) for m in members.collect()} == {(i, g[0]) for g in sets.values() for i in g}
+        want = {(min(a[0], b[0]), max(a[0], b[0])) for x, a in sets.items() for y, b in sets.items() if a != b and len(x & y) / len(x | y) >= 0.8}
+        assert {(p.a, p.b) for p in pairs.collect()} == want and len(want) > 20
+
+
+def test_element_texts_follow_nesting(spark):
+    html = "<div class='p x'>a<div class=\"p\">b</div>c</div><div class='px'>d</div><DIV\nCLASS = 'y p'>e<b>f</b></Div >g<div class='p'>h<div>i"
+    row = spark.createDataFrame([(html,), (None,), ("no tags",)], "h string").select(text.element_texts(F.col("h"), "div", "p").alias("x")).collect()
+    assert [r.x for r in row] == [["a<div class=\"p\">b</div>c", "e<b>f</b>", "h<div>i"], None, []]
+
+
+def test_shared_folder_needs_a_setting_off_local_mode(spark):
+    from evalsieve.sources import store
+
+    class Session:
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "x"
+
+        class conf:
+            get = staticmethod(lambda k, d: d)
+
+    with pytest.raises(ValueError):
+        store.shared_dir(Session)
+    path = store.place(spark, "t")
+    spark.range(3).write.parquet(path)
+    store.delete(spark, path)
+    with pytest.raises(PySparkException):
+        spark.read.parquet(path)
+
+
 # streams
 
 
