@@ -6,6 +6,11 @@ Every stage but the last returns the columns of `documents` for the rows that it
 2. exact dedup: of texts equal but for A-Z and a-z, the row with the largest doc_id stays;
 3. near dedup: of each class of near-duplicates, the row with the smallest doc_id stays;
 4. packing: a row per piece, with its sequence and offset.
+
+Defined results: null text counts as empty; all empty texts are copies of each other, so one of them is packed. A row without
+a doc_id is judged by its text like any other and loses to rows with one; of rows of the same id and text one stays.
+Without usable labels nothing is toxic; with labels of one class only, their rate (0 or 1) is every score. Texts may be of
+any length, and extra columns are passed on by every stage but the last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("packing", pack)]
 
-#: SQL has no nearest examples, no MinHash and no tokenizer; tests/llm holds the pipeline against a brute-force version.
+#: SQL has no nearest examples, no MinHash and no tokenizer; tests/llm holds every stage against what it must keep, by brute force.
 ORACLE_SQL = None
 
 
