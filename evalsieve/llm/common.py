@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,27 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
+from ..sources.store import written
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="evalsieve-")
-    return _own_dirs[app]
+__all__ = ["written"]
 
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/evalsieve/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
@@ -71,10 +53,12 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     before = None
     while True:
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written, so that the joins have two plain exchanges and a hub's rows can be split among tasks
+        low = written(spark, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), name)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         # small star: each node's smaller neighbours and the node itself point at the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(spark, large, name)
+        least = written(spark, large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         e = written(spark, small, name)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -84,6 +68,21 @@ def components(spark: SparkSession, edges: DataFrame, name: str) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp").union(e.select("b", "b").distinct().toDF("node", "comp"))
 
 
+def kept(name: str | None = None, make=None):
+    """One object for each worker process, made once and kept while tasks ask for it by its name; any other is dropped.
+
+    Worker processes outlive tasks, stages and queries, so what an earlier operator remembered would take memory from the
+    next one. It is kept in Arrow's namespace: this package is shipped by value, so its own lasts for one task only.
+    """
+    registry = vars(pa).setdefault("_evalsieve_kept", {})
+    for other in [k for k in registry if k != name]:
+        del registry[other]
+        tidy()
+    if name is not None and name not in registry:
+        registry[name] = make()
+    return registry.get(name)
+
+
 def tidy() -> None:
     """Gives memory that Arrow's and C's allocators hold back to the system: worker processes outlive their tasks."""
     pa.default_memory_pool().release_unused()

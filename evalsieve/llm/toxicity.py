@@ -2,69 +2,75 @@
 
 Labelled rows outside the held-out fold (crc32 of the doc_id as text, mod 5, is 0 there) supply at most EXAMPLES
 examples of each class; that bound is the only sampling, and documents are all scored on their whole texts. Terms are
-words and word beginnings of four to six letters; every term of the examples counts, at its TF-IDF in the examples times
-the strength of its association with the label (the phi coefficient, which does not grow with their number); the norm of
-a vector runs over these weights. A document's K nearest examples by exact cosine come from an inverted index: with all
-terms kept, a block of a term's postings holds hardly more than one, so bounds by block cost more than the products that
-they save. All products are added up, and the K best are looked for in the blocks of examples whose greatest product can
-be among them. Terms that more than one in DENSE examples has are rows of a matrix instead of postings. Votes are weighted by similarity and by how far each
+words and the beginnings of longer ones, BEGINNING letters; every term of two examples or more counts, at its TF-IDF in
+the examples times the strength of its association with the label (the phi coefficient, which does not grow with their
+number); the norm of a vector runs over these weights.
+
+A document's K nearest examples by exact cosine come from a block-max inverted index. Frequent terms are rows of a
+matrix, multiplied for many documents at a time. Of the other terms, those whose bounds are worth most for their
+postings are essential and traversed; the others can add SLACK at most in all. Where a block's greatest sum so far and
+the block's maxima of the other terms reach the K-th best sum, the examples that can still be among the K best are
+opened: their whole vectors are multiplied with the document's. Votes are weighted by similarity and by how far each
 class was thinned out; VAGUE votes at the labels' overall rate pull scores of documents with weak evidence towards that
 rate.
 
 Defined results: null text counts as empty; a text without any of the examples' terms, or only with terms of no
-association at all, scores the overall rate (0 without labelled rows). Labels other than 0 and 1 are ignored; a doc_id labelled both ways counts as toxic. Neighbours that tie are
-taken in order of the example's place. Repeated rows are each scored. Columns besides id and text are not read.
+association at all, scores the overall rate (0 without labelled rows). Texts may be of any length. Labels other than 0
+and 1 are ignored; a doc_id labelled both ways counts as toxic; a null doc_id is scored, not held out and no example.
+Neighbours that tie are taken in order of the example's place. Repeated rows are each scored; an empty table gives an
+empty result. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, text_or_empty, written
+from .common import kept, slices, small_batches, text_or_empty, written
 
 EXAMPLES, K, BLOCK, VAGUE = 4096, 9, 64, 0.5
-DENSE, TOGETHER = 16, 64
+DENSE, SLACK, TOGETHER = 16, 0.01, 128
+BEGINNING, MIN_DF = 5, 2
 EDGES = ".,;:!?\"'()[]{}<>*#%&-_"
-MEMO = 150_000
 
 
 def held_out(doc_id: Column, mod: int = 5, rest: int = 0) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % mod == rest
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
 def terms_of(chunk: str) -> list[str]:
     word = chunk.strip(EDGES)
-    return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) >= n)] if word else []
-
-
-class TermIds(dict):
-    """Chunk -> ids of its known terms; forgets when it has grown to MEMO chunks."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, chunk: str) -> tuple:
-        if len(self) >= MEMO:
-            self.clear()
-        self[chunk] = found = tuple(i for t in terms_of(chunk) if (i := self.vocabulary.get(t)) is not None)
-        return found
-
-
-def vector(text: str, ids: TermIds, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term ids and unit-length weights: TF times idf, which holds a term's association too."""
-    found = list(chain.from_iterable(filter(None, map(ids.__getitem__, text.lower().split()))))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0)
-    terms, tf = np.unique(np.array(found, np.int64), return_counts=True)
-    w = (1 + np.log(tf)) * idf[terms]
-    size = np.sqrt((w * w).sum())
-    return (terms, w / size) if size else (np.empty(0, np.int64), np.empty(0))
+    return [word, f"{word[:BEGINNING]}*"] if len(word) >= BEGINNING else [word] if word else []
+
+
+class Vectors:
+    """Texts' vectors, from the known words, the known beginnings and the weight of each, words first."""
+
+    def __init__(self, words: pa.Array, beginnings: pa.Array, idf: np.ndarray):
+        self.words, self.beginnings, self.idf = words, beginnings, idf
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start of each text and the end, term ids in order, unit-length weights)."""
+        chunks = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+        sizes = pc.list_value_length(chunks).to_numpy()
+        coded = chunks.flatten().dictionary_encode()
+        words = pc.utf8_trim(coded.dictionary, EDGES)
+        ids = lambda known, keys: pc.fill_null(pc.index_in(keys, known), -1).to_numpy().astype(np.int64)
+        beginning = ids(self.beginnings, pc.utf8_slice_codeunits(words, 0, BEGINNING))
+        long = (beginning >= 0) & (pc.utf8_length(words).to_numpy() >= BEGINNING)
+        pairs = np.stack((ids(self.words, words), np.where(long, beginning + len(self.words), -1)), axis=1)
+        terms = pairs[coded.indices.to_numpy()]
+        n = max(1, len(self.idf))
+        keys, tf = np.unique((terms + (np.repeat(np.arange(len(texts)), sizes) * n)[:, None])[terms >= 0], return_counts=True)
+        doc, terms = np.divmod(keys, n)
+        w = (1 + np.log(tf)) * self.idf[terms] if len(keys) else np.empty(0)
+        size = np.sqrt(np.bincount(doc, w * w, len(texts)))
+        keep = w > 0
+        doc, terms, w = doc[keep], terms[keep], w[keep]
+        return np.searchsorted(doc, np.arange(len(texts) + 1)), terms, w / size[doc]
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -74,29 +80,37 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings of each term, frequent terms in a matrix; the best are found by the maxima of blocks of examples.
+    """Postings of each term with their maxima by blocks of examples, frequent terms in a matrix, and whole vectors.
 
-    All that a search needs is in `arrays`, plain values that can be broadcast. Weights, and the sums over frequent terms,
-    are 32-bit numbers, so products are exact to about 1e-7.
+    All that a search needs is in `arrays`, plain values that can be broadcast. Weights are 32-bit numbers; the products
+    of opened examples are summed in 64 bits, always in the same order.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        n = len(vectors)
-        terms = np.concatenate([np.asarray(t, np.int32) for t, _ in vectors]) if n else np.empty(0, np.int32)
-        weights = np.concatenate([np.asarray(w, np.float32) for _, w in vectors]) if n else np.empty(0, np.float32)
-        rows = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in vectors])
+    #: 32-bit sums of bounds and products are off by less than this
+    MARGIN = 1e-4
+
+    def __init__(self, start: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = BLOCK):
+        n = len(start) - 1
+        rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
+        terms, weights = terms.astype(np.int32), weights.astype(np.float32)
+        vectors = {"row_start": start.astype(np.int64), "row_terms": terms, "row_weights": weights}
         often = np.flatnonzero(np.bincount(terms, minlength=n_terms) * DENSE > n)
         place = np.full(n_terms, -1, np.int32)
         place[often] = np.arange(len(often))
         matrix = np.zeros((len(often), n), np.float32)
         at = place[terms] >= 0
         matrix[place[terms[at]], rows[at]] = weights[at]
-        terms, weights, rows = terms[~at], weights[~at], rows[~at]
-        order = np.lexsort((rows, terms))
-        rows, weights, terms = rows[order], weights[order], terms[order]
-        self.use({
-            "n": n, "block": block, "place": place, "matrix": matrix, "rows": rows.astype(np.min_scalar_type(n)), "weights": weights,
-            "start": np.searchsorted(terms, np.arange(n_terms + 1)).astype(np.int32),
+        order = np.lexsort((rows[~at], terms[~at]))
+        terms, weights, rows = terms[~at][order], weights[~at][order], rows[~at][order]
+        key = terms.astype(np.int64) * (n // block + 1) + rows // block
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        begins = lambda t: np.searchsorted(t, np.arange(n_terms + 1)).astype(np.int32)
+        block_max = np.maximum.reduceat(weights, first) if len(key) else weights
+        most = np.zeros(n_terms, np.float32)
+        np.maximum.at(most, terms, weights)
+        self.use(vectors | {
+            "n": n, "block": block, "place": place, "matrix": matrix, "rows": rows.astype(np.min_scalar_type(n)), "weights": weights, "start": begins(terms), "most": most,
+            "block_start": begins(terms[first]), "block_of": (rows[first] // block).astype(np.int32), "block_max": block_max,
         })
 
     def use(self, arrays: dict) -> BlockMaxIndex:
@@ -108,35 +122,59 @@ class BlockMaxIndex:
     def of(cls, arrays: dict) -> BlockMaxIndex:
         return cls.__new__(cls).use(arrays)
 
-    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    def frequent(self, start: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """What the frequent terms add to the inner product of each query with each row."""
-        wide = np.zeros((len(queries), len(self.matrix)), np.float32)
-        for q, (terms, weights) in enumerate(queries):
-            at = self.place[terms]
-            wide[q, at[at >= 0]] = weights[at >= 0]
-        return (wide @ self.matrix).astype(np.float64)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of greatest positive inner product, best first, ties by row; and their products."""
-        base = self.frequent([(terms, weights)])[0] if base is None else base
-        start, end = self.start[terms], self.start[terms + 1]
+        wide = np.zeros((len(start) - 1, len(self.matrix)), np.float32)
+        at = self.place[terms]
+        wide[np.repeat(np.arange(len(start) - 1), np.diff(start))[at >= 0], at[at >= 0]] = weights[at >= 0]
+        return wide @ self.matrix
+
+    def products(self, rows: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Inner products of rows, none of them without terms, with a query that is spread out over all terms."""
+        start, end = self.row_start[rows], self.row_start[rows + 1]
         here = ranges(start, end)
-        n_blocks = self.n // self.block + 1
+        return np.add.reduceat(dense[self.row_terms[here]] * self.row_weights[here], np.cumsum(end - start) - (end - start)) if len(rows) else np.empty(0)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, base: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k rows of greatest positive inner product, best first, ties by row; and their products.
+
+        base: what frequent() gives for this query; dense: zeros for every term, which are zeros again afterwards.
+        """
+        if not self.n:
+            return np.empty(0, np.int64), np.empty(0)
+        n_blocks = (self.n - 1) // self.block + 1
+        number = self.start[terms + 1] - self.start[terms]
+        rare = np.flatnonzero(number)
+        bound = weights[rare] * self.most[terms[rare]]
+        order = np.argsort(bound / number[rare])
+        rest, essential = np.split(rare[order], [np.searchsorted(np.cumsum(bound[order]), SLACK)])
         total = np.zeros(n_blocks * self.block)
         total[: self.n] = base
-        total += np.bincount(self.rows[here], self.weights[here] * np.repeat(weights, end - start), n_blocks * self.block)
-        most = total.reshape(n_blocks, self.block).max(1)
-        # as many blocks as k, or all, reach `least`, so no row below it is among the k best
-        least = np.partition(most, -k)[-k] - 1e-8 if n_blocks >= k else -1.0
-        opened = np.flatnonzero(most >= least)
-        rows = (opened[:, None] * self.block + np.arange(self.block)).ravel()
-        rows = rows[(total[rows] >= least) & (total[rows] > 0)]
-        best = np.lexsort((rows, -np.round(total[rows], 9)))[:k]
-        return rows[best], total[rows[best]]
+        at = terms[essential]
+        here = ranges(self.start[at], self.start[at + 1])
+        total += np.bincount(self.rows[here], self.weights[here] * np.repeat(weights[essential], number[essential]), len(total))
+        at = terms[rest]
+        here = ranges(self.block_start[at], self.block_start[at + 1])
+        more = np.bincount(self.block_of[here], self.block_max[here] * np.repeat(weights[rest], self.block_start[at + 1] - self.block_start[at]), n_blocks)
+        by_block = total.reshape(n_blocks, self.block)
+        most = by_block.max(1)
+        # k rows at least reach `least`: those that lead as many blocks, or any k; others that stay below it are not among the k best
+        sums = most if n_blocks >= k else total
+        least = max(np.partition(sums, len(sums) - k)[-k] if len(sums) >= k else 0.0, 0.0) - self.MARGIN
+        open_ = np.flatnonzero(most + more >= least)
+        rows = (open_[:, None] * self.block + np.arange(self.block))[by_block[open_] + more[open_, None] >= least]
+        rows = rows[rows < self.n]
+        rows = rows[self.row_start[rows] < self.row_start[rows + 1]]
+        dense[terms] = weights
+        exact = self.products(rows, dense)
+        dense[terms] = 0
+        best = np.lexsort((rows, -np.round(exact, 9)))[:k]
+        best = best[exact[best] > 0]
+        return rows[best], exact[best]
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
-    """What scoring needs: vocabulary, idf, index, labels, class weights and the overall rate; of bounded size."""
+    """What scoring needs: terms, their weights, index, labels, class weights and the overall rate; of bounded size."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
     known = written(spark, known.join(docs.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id"), "labels")
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -148,6 +186,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     texts = written(spark, texts.groupBy(same.alias("h"), "y").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("x")).select("x.*", "y"), "examples")
 
     def presence(batches):
+        kept()
         for b in batches:
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
                 found = list({t for c in set(text.lower().split()) for t in terms_of(c)})
@@ -160,40 +199,52 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     total = float(n0 + n1)
     ahead = F.col("c1") * (n0 - F.col("c0")) - F.col("c0") * (n1 - F.col("c1"))
     phi = F.abs(ahead) / F.sqrt(1.0 * max(n0, 1) * max(n1, 1) * both * F.greatest(total - both, F.lit(0.5)))
-    terms = df.select("term", both.alias("df"), phi.alias("phi")).toArrow()
-    vocabulary = {t: i for i, t in enumerate(terms.column("term").to_pylist())}
+    terms = df.where(both >= MIN_DF).select("term", both.alias("df"), phi.alias("phi")).toArrow()
+    short = pc.ends_with(terms.column("term"), "*")
+    terms = pa.concat_tables([terms.filter(pc.invert(short)), terms.filter(short)])
+    words = terms.column("term").slice(0, len(terms) - pc.sum(short).as_py()).combine_chunks() if len(terms) else pa.array([], pa.string())
+    beginnings = pc.utf8_slice_codeunits(terms.column("term").slice(len(words)).combine_chunks(), 0, -1) if len(terms) else words
     idf = (np.log((1 + total) / (1 + terms.column("df").to_numpy())) + 1) * terms.column("phi").to_numpy()
-    del terms
-    learnt = spark.sparkContext.broadcast((vocabulary, idf))
+    learnt = spark.sparkContext.broadcast((words, beginnings, idf))
 
-    def vectors(batches):
-        ids = TermIds(learnt.value[0])
+    def rows_of(batches):
+        kept()
+        vectors = Vectors(*learnt.value)
         for b in slices(batches):
-            found = [vector(t, ids, learnt.value[1]) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([w for _, w in found], pa.list_(pa.float32()))], ["doc_id", "y", "terms", "weights"])
+            start, found, w = vectors.of(b.column("text"))
+            lists = [pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(x, t)) for x, t in ((found, pa.int32()), (w, pa.float32()))]
+            yield pa.record_batch([b.column("doc_id"), b.column("y"), *lists], ["doc_id", "y", "terms", "weights"])
 
-    rows = texts.mapInArrow(vectors, "doc_id long, y int, terms array<int>, weights array<float>").withColumn("h", F.xxhash64("doc_id")).toArrow().combine_chunks()
+    rows = texts.mapInArrow(rows_of, "doc_id long, y int, terms array<int>, weights array<float>").withColumn("h", F.xxhash64("doc_id")).toArrow().combine_chunks()
     learnt.destroy()
     rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending")])
-    index = BlockMaxIndex([(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(rows.column("terms"), rows.column("weights"))], len(vocabulary))
+    lists = [rows.column(c).combine_chunks() for c in ("terms", "weights")]
+    start = np.r_[0, np.cumsum(pc.list_value_length(lists[0]).to_numpy())].astype(np.int64)
+    index = BlockMaxIndex(start, *(x.flatten().to_numpy() for x in lists), len(idf))
     y = rows.column("y").to_numpy().astype(np.int64)
     per_class = np.array([counts.get(0, 0) / max(n0, 1), counts.get(1, 0) / max(n1, 1)])
-    return {"vocabulary": vocabulary, "idf": idf, "index": index.arrays, "y": y, "ids": rows.column("doc_id").to_numpy().astype(np.int64), "weight": per_class, "rate": counts.get(1, 0) / max(1, sum(counts.values()))}
+    return {"terms": (words, beginnings, idf), "index": index.arrays, "y": y, "ids": rows.column("doc_id").to_numpy().astype(np.int64), "weight": per_class, "rate": counts.get(1, 0) / max(1, sum(counts.values()))}
+
 
+class Scorer:
+    """Scores texts by a model of train()."""
 
-def score_all(model: dict, index: BlockMaxIndex, ids: TermIds, texts: list[str], k: int = K):
-    """Of each text its score, neighbours' places and their similarities."""
-    for at in range(0, len(texts), TOGETHER):
-        vectors = [vector(t, ids, model["idf"]) for t in texts[at : at + TOGETHER]]
-        for (terms, weights), base in zip(vectors, index.frequent(vectors)):
-            if not len(terms):
-                yield model["rate"], np.empty(0, np.int64), np.empty(0)
-                continue
-            rows, near = index.search(terms, weights, k, base)
-            y = model["y"][rows]
-            votes = near * model["weight"][y]
-            vague = VAGUE * model["weight"].mean()
-            yield float(min(1.0, (votes @ y + vague * model["rate"]) / (votes.sum() + vague))), rows, near
+    def __init__(self, model: dict):
+        self.model, self.index, self.vectors = model, BlockMaxIndex.of(model["index"]), Vectors(*model["terms"])
+        self.dense = np.zeros(len(model["terms"][-1]))
+
+    def score_all(self, texts: pa.Array, k: int = K):
+        """Of each text its score, neighbours' places and their similarities."""
+        model, (start, terms, weights) = self.model, self.vectors.of(texts)
+        vague = VAGUE * model["weight"].mean()
+        for at in range(0, len(texts), TOGETHER):
+            s = start[at : at + TOGETHER + 1]
+            some = slice(s[0], s[-1])
+            for first, last, base in zip(s, s[1:], self.index.frequent(s - s[0], terms[some], weights[some])):
+                rows, near = self.index.search(terms[first:last], weights[first:last], k, base, self.dense) if first < last else (np.empty(0, np.int64), np.empty(0))
+                y = model["y"][rows]
+                votes = near * model["weight"][y]
+                yield (float(min(1.0, (votes @ y + vague * model["rate"]) / (votes.sum() + vague))) if len(rows) else model["rate"]), rows, near
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -202,15 +253,16 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     shared = spark.sparkContext.broadcast(train(spark, docs, labels, id_col, text_col, label_col))
 
     def run(batches):
+        kept()
         model = shared.value
-        index, ids = BlockMaxIndex.of(model["index"]), TermIds(model["vocabulary"])
-        near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
+        scorer = Scorer(model)
         for b in slices(batches):
-            scores, near = [], []
-            for s, rows, sims in score_all(model, index, ids, b.column("text").to_pylist()):
-                scores.append(s)
-                near.append([{"doc_id": int(model["ids"][r]), "label": int(model["y"][r]), "similarity": float(x)} for r, x in zip(rows[:5], sims[:5])])
-            yield pa.record_batch([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(near, near_type)], ["doc_id", "score", "neighbours"])
+            found = list(scorer.score_all(b.column("text")))
+            rows = np.concatenate([r for _, r, _ in found])
+            parts = [pa.array(model["ids"][rows]), pa.array(model["y"][rows], pa.int32()), pa.array(np.concatenate([x for _, _, x in found]))]
+            ends = np.cumsum([0, *(len(r) for _, r, _ in found)])
+            near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["doc_id", "label", "similarity"]))
+            yield pa.record_batch([b.column("doc_id"), pa.array([s for s, _, _ in found], pa.float64()), near], ["doc_id", "score", "neighbours"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return picked.mapInArrow(run, "doc_id long, score double, neighbours array<struct<doc_id:long,label:int,similarity:double>>")
@@ -222,10 +274,10 @@ def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     shared = spark.sparkContext.broadcast(train(spark, docs, labels, id_col, text_col, label_col))
 
     def run(batches):
-        model = shared.value
-        index, ids = BlockMaxIndex.of(model["index"]), TermIds(model["vocabulary"])
+        kept()
+        scorer = Scorer(shared.value)
         for b in slices(batches, text_col):
-            texts = b.column(text_col).to_pylist()
-            yield b.filter(pa.array([s < most for s, _, _ in score_all(model, index, ids, [t or "" for t in texts])], pa.bool_()))
+            texts = pc.fill_null(b.column(text_col).cast(pa.string()), "")
+            yield b.filter(pa.array([s < most for s, _, _ in scorer.score_all(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
