@@ -16,14 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_rows, row_key, text_or_empty, written
+from .common import ascii_lower, keep_rows, kept, row_key, text_or_empty, written
 
 HEAVY = 1024
 
 
-def misra_gries(values, k: int) -> dict:
-    """At most k counters over an iterable: any value with more than n / (k + 1) of n occurrences is among them."""
-    counts: dict = {}
+def misra_gries(values, k: int, counts: dict | None = None) -> dict:
+    """At most k counters over an iterable: any value with more than n / (k + 1) of n occurrences is among them.
+
+    With the counters of what came before, it goes on from these.
+    """
+    counts = {} if counts is None else counts
     for v in values:
         if v in counts:
             counts[v] += 1
@@ -36,15 +39,10 @@ def misra_gries(values, k: int) -> dict:
 
 def summaries(k: int):
     def run(batches):
+        kept()
         counts: dict = {}
         for b in batches:
-            for v in b.column(0).to_pylist():
-                if v in counts:
-                    counts[v] += 1
-                elif len(counts) < k:
-                    counts[v] = 1
-                else:
-                    counts = {x: c - 1 for x, c in counts.items() if c > 1}
+            counts = misra_gries(b.column(0).to_pylist(), k, counts)
         yield pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["digest", "n"])
 
     return run
