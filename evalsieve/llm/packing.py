@@ -15,7 +15,9 @@ it makes has a bounded size too, whatever the number of documents:
 Pieces get consecutive ranks within their length, and the plan turns (length, rank) into sequence and offset. Ranks
 are counted in salted parts, so a length that many documents share is no bottleneck.
 
-Defined results: null text counts as empty and gives the closing id alone. Repeated rows are packed one by one.
+Defined results: null text counts as empty and gives the closing id alone. Repeated rows are packed one by one; texts of
+any length are encoded whole. An empty table gives an empty result. Columns besides id and text are not read. The
+tokenizer's file has to be on every executor, under the path given.
 """
 
 from __future__ import annotations
@@ -33,10 +35,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, text_or_empty, written
+from .common import kept, slices, small_batches, text_or_empty, written
 
 CAPACITY, SMALL, GROUPS, CLOSE = 2048, 1 / 3, 64, 0
-MEMO, PORTION = 500_000, 4_500_000
+MEMO, PORTION = 320_000, 4_500_000
 
 
 class ChunkIds:
@@ -101,27 +103,18 @@ class ChunkIds:
         return out
 
 
-def chunk_ids(path: str) -> ChunkIds:
-    """One ChunkIds for each worker process. It is kept in the tokenizer library's namespace: this module is shipped by
-    value, so its own namespace lasts for one task only."""
-    import tokenizers
-
-    kept = vars(tokenizers).setdefault("_evalsieve_chunk_ids", {})
-    if path not in kept:
-        kept[path] = ChunkIds(path)
-    return kept[path]
-
-
-def cutter(path: str, capacity: int, close: int):
+def cutter(path: str, capacity: int, close: int, with_ids: bool = False):
     closing = np.array([close], "<u4").tobytes()
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row", *["ids"] * with_ids]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = chunk_ids(path)
+        coder = kept(f"chunk ids {path}", lambda: ChunkIds(path))
         row = TaskContext.get().partitionId() << 33
         gc.disable()  # millions of small objects, none of them in cycles
         for b in slices(batches, "text", PORTION):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for doc_id, buf in zip(b.column("doc_id").to_pylist(), coder.encode(b.column("text").to_pylist())):
                 buf += closing
                 n = len(buf) // 4
@@ -129,8 +122,10 @@ def cutter(path: str, capacity: int, close: int):
                     part = buf[4 * at : 4 * (at + capacity)]
                     for column, x in zip(out, (doc_id, piece, at, len(part) // 4, zlib.crc32(part), row)):
                         column.append(x)
+                    if with_ids:
+                        out[-1].append(np.frombuffer(part, "<i4"))
                 row += 1
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds)], names)
         gc.enable()
 
     return run
@@ -273,11 +268,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: float = SMA
     return rows
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, close: int = CLOSE) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, close: int = CLOSE, with_ids: bool = False) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids (array<int>) if asked for."""
     small_batches(spark)
+    more = ["ids"] * with_ids
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    pieces = written(spark, texts.mapInArrow(cutter(tokenizer, capacity, close), "doc_id long, piece int, start long, length long, ids_crc32 long, row long"), "pieces")
+    pieces = written(spark, texts.mapInArrow(cutter(tokenizer, capacity, close, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + ", ids array<int>" * with_ids), "pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = np.array(sorted(plan(histogram, capacity)), np.int64).reshape(-1, 6)
     salts = max(32, max(histogram.values(), default=0) // 100_000)
@@ -296,7 +292,17 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "do
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             r = rows[np.searchsorted(first, length * wide + rank, "right") - 1]
             at = rank - r[:, 1]
-            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(r[:, 3] + at // r[:, 4]), pa.array(r[:, 5] + at % r[:, 4] * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.record_batch([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(r[:, 3] + at // r[:, 4]), pa.array(r[:, 5] + at % r[:, 4] * length), *(b.column(c) for c in more)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *more])
+
+    ready = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *more, (F.col("before") + F.col("nth") - 1).alias("rank"))
+    return ready.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
 
-    ready = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
-    return ready.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids, doc_ids, offsets): the packed sequences themselves, from pack(..., with_ids=True).
+
+    A group is one sequence, of `capacity` ids at most.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "ids")))
+    each = lambda c: F.transform("x", lambda p: p[c])
+    return packed.groupBy("sequence_id").agg(parts.alias("x")).select("sequence_id", F.flatten(each("ids")).alias("ids"), each("doc_id").alias("doc_ids"), each("offset").alias("offsets"))
