@@ -9,8 +9,10 @@ tree is frozen after training: a decision's probability mixes the estimates alon
 that training never met pass the estimate of the deepest one it met.
 
 Partitions count their words and their byte grams (a context of DEPTH bytes and the byte after it), and the counts are
-added up; the tree is computed from distinct grams, subtrees below two bytes of context apart, so that what remains on
-the driver has at most 256 * 255 nodes. Looking words and grams up in texts goes in two steps at every size: the
+added up; the tree is computed from distinct grams, subtrees below two bytes of context apart. Contexts of two bytes with
+more than one in SHARE of all grams (and more than FEW) are split once more, by their third byte, so no subtree is far
+larger than the others; there are fewer than SHARE of them. What remains on the driver has at most 255 nodes for each of
+these and 256 * 255 others, whatever the input. Looking words and grams up in texts goes in two steps at every size: the
 TOP_WORDS and TOP_GRAMS most frequent ones are broadcast, and the others, of which none is frequent, are joined by an
 ordinary shuffle.
 
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, text_or_empty, written
 
 DEPTH, TOP_WORDS, TOP_GRAMS = 5, 200_000, 1 << 20
+SHARE, FEW = 4096, 2048
 END, BLANK = b"\n", b" "
 AT_ONCE = 300_000
 
@@ -170,66 +173,73 @@ def levels(code: np.ndarray, n: np.ndarray, depth: int, low: int) -> dict[tuple[
     return found
 
 
-def read_grams(batches) -> tuple[np.ndarray, np.ndarray]:
-    some = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
+def read_grams(batches) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth of the subtrees' roots, grams in order, counts) of a task's split contexts and of all others."""
+    some = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "n", "hot")] for b in batches if b.num_rows]
     if not some:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    code, n = (np.concatenate(x) for x in zip(*some))
+        return []
+    code, n, hot = (np.concatenate(x) for x in zip(*some))
     order = np.argsort(code)
-    return code[order], n[order]
+    code, n, hot = code[order], n[order], hot[order]
+    return [(low, code[at], n[at]) for low, at in ((2, ~hot), (3, hot)) if at.any()]
 
 
 def subtree_roots(depth: int):
-    """(gram, n), whole subtrees below two bytes together -> nodes of depth 1 that they add to: (key, n, n1, below)."""
+    """(gram, n, hot), whole subtrees together -> the nodes above them, with what they add: (level, key, bit, n, n1, below)."""
 
     def run(batches):
-        code, n = read_grams(batches)
-        if len(code):
-            found = levels(code, n, depth, 2)
+        for low, code, n in read_grams(batches):
+            found = levels(code, n, depth, low)
             for bit in range(8):
-                x = found[2, bit]
-                key, back = np.unique(x.key & ((1 << 8 + bit) - 1), return_inverse=True)
+                x = found[low, bit]
+                key, back = np.unique(x.key & ((1 << 8 * (low - 1) + bit) - 1), return_inverse=True)
                 sums = [np.bincount(back, v, len(key)) for v in (x.n, x.n1, x.weighted)]
-                yield pa.record_batch([pa.array(key), pa.array(np.full(len(key), bit)), *map(pa.array, sums)], ["key", "bit", "n", "n1", "below"])
+                yield pa.record_batch([pa.array(np.full(len(key), low - 1)), pa.array(key), pa.array(np.full(len(key), bit)), *map(pa.array, sums)], ["level", "key", "bit", "n", "n1", "below"])
 
     return run
 
 
 def tops(rows) -> dict[tuple[int, int], Level]:
-    """The nodes of depths 1 and 0 from an Arrow table of what lies below them."""
+    """The nodes of depths 1 and 0, and of depth 2 in split contexts, from an Arrow table of what lies below them."""
     found = {}
-    key, bit, n, n1, below = (rows.column(c).to_numpy() for c in ("key", "bit", "n", "n1", "below"))
+    level, key, bit, n, n1, below = (rows.column(c).to_numpy() for c in ("level", "key", "bit", "n", "n1", "below"))
     for b in range(8):
-        mine = np.flatnonzero(bit == b)
-        mine = mine[np.argsort(key[mine])]
-        one = found[1, b] = Level(key[mine], n[mine], n1[mine], below[mine])
-        k, back = np.unique(one.key & ((1 << b) - 1), return_inverse=True)
-        found[0, b] = Level(k, np.bincount(back, one.n, len(k)), np.bincount(back, one.n1, len(k)), np.bincount(back, one.weighted, len(k)))
+
+        def summed(keys, parts):
+            k, back = np.unique(keys, return_inverse=True)
+            return Level(k, *(np.bincount(back, v, len(k)) for v in parts))
+
+        mine = np.flatnonzero((bit == b) & (level == 2))
+        two = found[2, b] = summed(key[mine], (n[mine], n1[mine], below[mine]))
+        mine = np.flatnonzero((bit == b) & (level == 1))
+        up = two.key & ((1 << 8 + b) - 1)
+        one = found[1, b] = summed(np.r_[key[mine], up], [np.r_[x[mine], y] for x, y in ((n, two.n), (n1, two.n1), (below, two.weighted))])
+        found[0, b] = summed(one.key & ((1 << b) - 1), (one.n, one.n1, one.weighted))
     return found
 
 
 def gram_scores(shared, depth: int):
-    """(gram, n), whole subtrees together -> (gram, n, score): log10 of the byte's probability in its context."""
+    """(gram, n, hot), whole subtrees together -> (gram, n, score): log10 of the byte's probability in its context."""
 
     def run(batches):
-        code, n = read_grams(batches)
-        if not len(code):
-            return
-        found = levels(code, n, depth, 2) | pickle.loads(shared.value)
-        total = np.zeros(len(code))
-        for bit in range(8):
-            one = (code >> (7 - bit) & 1).astype(float)
-            prefix, p, met = code >> (8 - bit), None, None
-            for d in range(depth, -1, -1):
-                x = found[d, bit]
-                at = np.searchsorted(x.key, prefix & ((1 << 8 * d + bit) - 1))
-                seen, n1 = x.n[at], x.n1[at]
-                own = (np.where(one > 0, n1, seen - n1) + 0.5) / (seen + 1)
-                p = own if p is None else x.weight[at] * own + (1 - x.weight[at]) * np.where(met, p, own)
-                met = seen > 0
-            total += np.log10(p)
-        for at in range(0, len(code), 200_000):
-            yield pa.record_batch([pa.array(x[at : at + 200_000]) for x in (code, n, total)], ["gram", "n", "score"])
+        top = None
+        for low, code, n in read_grams(batches):
+            top = top or pickle.loads(shared.value)
+            found = top | levels(code, n, depth, low)
+            total = np.zeros(len(code))
+            for bit in range(8):
+                one = (code >> (7 - bit) & 1).astype(float)
+                prefix, p, met = code >> (8 - bit), None, None
+                for d in range(depth, -1, -1):
+                    x = found[d, bit]
+                    at = np.searchsorted(x.key, prefix & ((1 << 8 * d + bit) - 1))
+                    seen, n1 = x.n[at], x.n1[at]
+                    own = (np.where(one > 0, n1, seen - n1) + 0.5) / (seen + 1)
+                    p = own if p is None else x.weight[at] * own + (1 - x.weight[at]) * np.where(met, p, own)
+                    met = seen > 0
+                total += np.log10(p)
+            for at in range(0, len(code), 200_000):
+                yield pa.record_batch([pa.array(x[at : at + 200_000]) for x in (code, n, total)], ["gram", "n", "score"])
 
     return run
 
@@ -305,9 +315,14 @@ def tree_scores(spark: SparkSession, texts: DataFrame, depth: int = DEPTH) -> Da
     """(gram, n, score) for every gram of texts (text binary, train boolean), learnt from those with train."""
     counted = texts.mapInArrow(count_grams(depth), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counted = written(spark, counted, "grams")
-    parts = max(spark.sparkContext.defaultParallelism, counted.count() // 1_000_000)
-    together = counted.repartition(parts, F.shiftright("gram", 8).bitwiseAND(0xFFFF))
-    roots = together.mapInArrow(subtree_roots(depth), "key long, bit long, n double, n1 double, below double").groupBy("key", "bit").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "below")])
+    total = counted.count()
+    parts = max(spark.sparkContext.defaultParallelism, total // 1_000_000)
+    two = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
+    limit = max(FEW, total // SHARE) if depth > 2 else total
+    hot = written(spark, counted.groupBy(two.alias("two")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit).select("two", F.lit(True).alias("hot")), "hot_contexts")
+    known = counted.withColumn("two", two).join(F.broadcast(hot), "two", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    together = known.repartition(parts, "two", F.when(F.col("hot"), F.shiftright("gram", 24).bitwiseAND(0xFF))).select("gram", "n", "hot")
+    roots = together.mapInArrow(subtree_roots(depth), "level long, key long, bit long, n double, n1 double, below double").groupBy("level", "key", "bit").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "below")])
     top = spark.sparkContext.broadcast(cloudpickle.dumps(tops(roots.toArrow())))
     return written(spark, together.mapInArrow(gram_scores(top, depth), "gram long, n long, score double"), "gram_scores")
 
