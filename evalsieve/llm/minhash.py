@@ -1,19 +1,24 @@
 """Near-duplicate classes by BagMinHash (operator 3).
 
 A text is a multiset of shingles: WORDS consecutive words of the lower-cased text, split at white space (all words, if
-fewer). Each shingle's weight axis is cut into [0, 1), [1, 2), [2, 4), ...; every interval up to the multiplicity has
-a Poisson process of points in time, each with a signature component and a position that halves of the interval
-decide, so two multisets share a component's first point with probability sum(min) / sum(max). Points are made in
-order of time only while they can still come before a component's present first point. Texts that share ROWS
+fewer). Each shingle's weight axis is discretised into the levels [0, 1), [1, 2), [2, 4), ...; every interval up to the
+multiplicity has a Poisson process of points in time, each with a signature component and a place in the interval, so
+two multisets share a component's first point with probability sum(min) / sum(max). Points are made in order of time only
+while they can still come before a component's present first point, and those above the multiplicity don't count. The
+hierarchy is that of the doubling intervals: they aren't halved further, since multiplicities are small integers and an
+interval's points above the multiplicity are at most as many as the others. Texts that share ROWS
 components in one of BANDS bands are candidates (a pair at similarity 0.8 is missed with probability 7e-5).
 
-Texts with the same words are one node. Candidate groups are the components of the graph of bands; within these, all
-pairs are compared exactly, shingle by shingle, in blocks: first each block on its own together with a few central
-texts of the group, then the texts outside the group's largest class against every block. Links are similarities of
-at least SIMILARITY; classes are their components. Blocks bound a task's memory, no pairs of a group become rows, and
-nothing is capped.
+Texts with the same words are one node. A bucket is the set of nodes that share a band; equal buckets count once. Within
+a bucket all pairs are compared exactly, shingle by shingle, in blocks of BLOCK nodes and about BLOCK_BYTES of text: first
+each block on its own together with a few central texts of the bucket, then the texts outside the bucket's largest class
+against every block. This is done for the buckets of the first FIRST bands, and then for those of all bands that still
+hold nodes of several classes. Links are similarities of at least SIMILARITY; classes are their components. So a text is
+sent to BANDS tasks at most, but for buckets of more than one block that fall into several classes, whose pairs have to
+be compared. Blocks bound a task's memory, no pairs of a group become rows, and nothing is capped.
 
-Defined results: null and white-space texts have no shingles and form one class. The smallest doc_id of a class stays
+Defined results: null and white-space texts have no shingles and form one class. Texts may be of any length; one of more
+than a block's bytes has a block of its own. The smallest doc_id of a class stays
 (nulls last; of repeated rows, one). Other columns are untouched, and an empty table gives an empty result.
 """
 
@@ -24,13 +29,15 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep_rows, row_key, slices, small_batches, text_or_empty, tidy, with_ids, written
+from .common import components, keep_rows, kept, row_key, slices, small_batches, text_or_empty, tidy, with_ids, written
 
-WORDS, SIMILARITY, BANDS, ROWS, BLOCK, HUBS = 5, 0.8, 24, 5, 192, 8
+WORDS, SIMILARITY, BANDS, ROWS, FIRST, BLOCK, HUBS = 5, 0.8, 24, 5, 2, 192, 8
+BLOCK_BYTES = 16 << 20
 COMPONENTS = BANDS * ROWS
 MEMO, UNITS = 200_000, 120_000
 
@@ -112,7 +119,8 @@ def content(words: list[str]) -> bytes:
 
 
 def sign(batches):
-    """(doc_id, rid, _evs_key, text) -> (doc_id, rid, _evs_key, ck, bands)."""
+    """(doc_id, rid, _evs_key, text) -> (doc_id, rid, _evs_key, ck, bytes, bands)."""
+    kept()
     hashes = WordHashes()
     for b in slices(batches):
         cks, bags, keys, held = [], [], [], 0
@@ -127,7 +135,7 @@ def sign(batches):
         keys.append(band_keys(signatures(bags)).reshape(-1, BANDS))
         flat = np.concatenate(keys).ravel()
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-        yield pa.record_batch([b.column("doc_id"), b.column("rid"), b.column("_evs_key"), pa.array(cks, pa.binary()), bands], ["doc_id", "rid", "_evs_key", "ck", "bands"])
+        yield pa.record_batch([b.column("doc_id"), b.column("rid"), b.column("_evs_key"), pa.array(cks, pa.binary()), pc.binary_length(b.column("text")).cast(pa.int64()), bands], ["doc_id", "rid", "_evs_key", "ck", "bytes", "bands"])
 
 
 def occurrences(shingle: np.ndarray) -> np.ndarray:
@@ -139,8 +147,11 @@ def occurrences(shingle: np.ndarray) -> np.ndarray:
     return np.where(nth == 0, s, mix(s + nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
 
 
-def links(sets: list[np.ndarray], asks: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Pairs (i, j), i in asks, of similarity or more, without those that join what earlier ones had joined."""
+def links(sets: list[np.ndarray], asks: np.ndarray, similarity: float = SIMILARITY, known: list | None = None) -> list[tuple[int, int]]:
+    """Pairs (i, j), i in asks, of similarity or more, without those that join what earlier ones, or known, had joined.
+
+    known: each set's class so far.
+    """
     sizes = np.array([len(s) for s in sets])
     doc = np.repeat(np.arange(len(sets)), sizes)
     _, term = np.unique(np.concatenate(sets), return_inverse=True)
@@ -148,7 +159,7 @@ def links(sets: list[np.ndarray], asks: np.ndarray, similarity: float = SIMILARI
     postings = doc[order]
     start = np.r_[0, np.cumsum(np.bincount(term))]
     begins = np.r_[0, np.cumsum(sizes)]
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
     found = []
     for i in asks:
         if root[i] == root[0] and (root == root[0]).all():
@@ -170,9 +181,10 @@ def links(sets: list[np.ndarray], asks: np.ndarray, similarity: float = SIMILARI
 
 def compare(task: pd.DataFrame) -> pd.DataFrame:
     """Links between the texts of one task; rows with ask are compared with all rows."""
+    kept()
     tidy()
-    hashes, sets, nodes, asks, seen = WordHashes(), [], [], [], set()
-    for text, ck, node, ask in zip(task["text"], task["ck"], task["node"], task["ask"]):
+    hashes, sets, nodes, asks, known, seen = WordHashes(), [], [], [], [], set()
+    for text, ck, node, ask, cls in zip(task["text"], task["ck"], task["node"], task["ask"], task["class"]):
         words = text.lower().split()
         if node in seen or content(words) != bytes(ck):
             continue
@@ -180,62 +192,92 @@ def compare(task: pd.DataFrame) -> pd.DataFrame:
         if ask:
             asks.append(len(nodes))
         nodes.append(node)
+        known.append(cls)
         sets.append(occurrences(shingles(words, hashes)))
-    found = links(sets, np.array(asks, np.int64)) if asks and len(sets) > 1 else []
+    found = links(sets, np.array(asks, np.int64), known=known) if asks and len(sets) > 1 else []
     return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype="int64")
 
 
+TASK = ("node", "_evs_key", "ck", "class")
+
+
 def verified(docs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The links found by tasks (task, node, _evs_key, ck, ask) between texts (_evs_key, text)."""
+    """The links found by tasks (task, ask and TASK's columns) between texts (_evs_key, text)."""
     wanted = with_ids(docs, tasks.select("_evs_key").distinct(), "_evs_key", "left_semi")
     return wanted.join(tasks, "_evs_key").drop("_evs_key").groupBy("task").applyInPandas(compare, "a long, b long")
 
 
+def bucket_links(spark: SparkSession, docs: DataFrame, member: DataFrame) -> DataFrame:
+    """All links that are missing within buckets: member (bucket, bytes, c: how central a node is, and TASK's columns)."""
+    many_of = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES))
+    blocks = member.groupBy("bucket").agg(many_of().alias("blocks"))
+    member = written(spark, member.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "member")
+    name = lambda kind, *x: F.concat_ws(":", F.lit(kind), *x)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    many = member.where("blocks > 1")
+    central = many.where(F.col("bytes") <= BLOCK_BYTES // (4 * HUBS)).groupBy("bucket", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS))).agg(F.max(F.struct("c", *TASK)).alias("x"))
+    hubs = central.select("bucket", "x.*", every("blocks").alias("block"))
+    alone = member.select(name("b", "bucket", "block").alias("task"), *TASK, F.lit(True).alias("ask"))
+    tasks = written(spark, alone.unionByName(hubs.select(name("b", "bucket", "block").alias("task"), *TASK, F.lit(True).alias("ask"))), "tasks")
+    found = written(spark, verified(docs, tasks), "links")
+    if many.isEmpty():
+        return found
+
+    # buckets of more than one block: whatever lies outside the largest class so far is compared with every block
+    old = many.select("node", F.col("class").alias("b")).where("node <> b").distinct()
+    now = components(spark, found.unionByName(old.select(F.col("node").alias("a"), "b")), "first").withColumnRenamed("comp", "now")
+    placed = written(spark, many.join(now, "node", "left").withColumn("class", F.coalesce("now", "class")).drop("now"), "placed")
+    sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("k", -F.col("class"))).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    outside = placed.join(largest, "bucket").where("class <> main")
+    parts = outside.groupBy("bucket").agg(many_of().alias("parts"))
+    outside = written(spark, outside.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "parts")), "outside")
+    if outside.isEmpty():
+        return found
+    asks = outside.select("bucket", "part", *TASK, every("blocks").alias("block"), F.lit(True).alias("ask"))
+    told = placed.join(parts, "bucket").select("bucket", every("parts").alias("part"), *TASK, "block", F.lit(False).alias("ask"))
+    tasks = written(spark, asks.unionByName(told).select(name("x", "bucket", "part", "block").alias("task"), *TASK, "ask").groupBy("task", *TASK).agg(F.max("ask").alias("ask")), "tasks")
+    return found.unionByName(written(spark, verified(docs, tasks), "links"))
+
+
+def with_class(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """rows with their node's class: a node without links is one by itself."""
+    return rows.join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
+
+
 def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), class_size, kept, and the row's key."""
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), row_key(id_col, text_col).alias("_evs_key"), text_or_empty(text_col).alias("text"))
-    signed = texts.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "rid", "_evs_key", "text").mapInArrow(sign, "doc_id long, rid long, _evs_key string, ck binary, bands array<long>")
+    signed = texts.withColumn("rid", F.monotonically_increasing_id()).select("doc_id", "rid", "_evs_key", "text").mapInArrow(sign, "doc_id long, rid long, _evs_key string, ck binary, bytes long, bands array<long>")
     rows = written(spark, signed, "signed")
     best = F.min(F.struct("doc_id", "rid", "_evs_key")).alias("best")
-    nodes = written(spark, rows.groupBy("ck").agg(best, F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).select("ck", "best", F.col("best._evs_key").alias("_evs_key"), F.col("best.rid").alias("node"), "n", "bands"), "nodes")
-
-    bands = nodes.where(F.col("ck") != content([])).select("node", F.explode("bands").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = written(spark, bands.join(buckets, "key").groupBy("node", "low").agg(F.sum("c").alias("c")), "shared")
-    groups = written(spark, components(spark, shared.select(F.col("node").alias("a"), F.col("low").alias("b")), "groups"), "groups")
+    whole = [best, F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands")]
+    nodes = written(spark, rows.groupBy("ck").agg(*whole).select("ck", "best", F.col("best._evs_key").alias("_evs_key"), F.col("best.rid").alias("node"), "n", "bytes", "bands"), "nodes")
 
-    size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    central = shared.groupBy("node").agg(F.sum("c").alias("c"))
-    member = written(spark, groups.join(size, "comp").join(central, "node", "left").join(nodes.select("node", "_evs_key", "ck"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "member")
-    columns = ("node", "_evs_key", "ck")
-    name = lambda kind, *x: F.concat_ws(":", F.lit(kind), *x)
-    hubs = member.where("blocks > 1").groupBy("comp", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS))).agg(F.max(F.struct(F.coalesce("c", F.lit(0)), *columns)).alias("x")).select("comp", "x.*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    alone = member.select(name("b", "comp", "block").alias("task"), *columns, F.lit(True).alias("ask"))
-    tasks = written(spark, alone.unionByName(hubs.select(name("b", "comp", "block").alias("task"), *columns, F.lit(True).alias("ask"))), "tasks")
+    bands = nodes.where(F.col("ck") != content([])).select("node", F.posexplode("bands").alias("band", "key"))
+    met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    shared = written(spark, bands.join(met, "key"), "shared")
     plain = texts.select("_evs_key", "text")
-    found = written(spark, verified(plain, tasks), "links")
-
-    # groups of more than one block: whatever lies outside the largest class so far is compared with every block
-    many = member.where("blocks > 1")
-    if not many.isEmpty():
-        placed = written(spark, many.join(components(spark, found, "first").withColumnRenamed("comp", "class"), "node", "left").withColumn("class", F.coalesce("class", "node")), "placed")
-        largest = placed.groupBy("comp", "class").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max_by("class", F.struct("k", -F.col("class"))).alias("main"))
-        outside = placed.join(largest, "comp").where("class <> main")
-        parts = outside.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-        outside = written(spark, outside.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), "parts")), "outside")
-        if not outside.isEmpty():
-            asks = outside.select("comp", "part", *columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("ask"))
-            told = many.join(parts, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *columns, "block", F.lit(False).alias("ask"))
-            tasks = written(spark, asks.unionByName(told).select(name("x", "comp", "part", "block").alias("task"), *columns, "ask").groupBy("task", *columns).agg(F.max("ask").alias("ask")), "tasks")
-            found = found.unionByName(written(spark, verified(plain, tasks), "links"))
-
-    joined = components(spark, found, "classes").withColumnRenamed("comp", "class")
-    named = nodes.drop("bands").join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    joined, found = None, None
+    for first in (True, False):
+        now = shared.where(F.col("band") < FIRST) if first else shared
+        now = (with_class(now, joined) if joined is not None else now.withColumn("class", F.col("node"))).drop("band")
+        # buckets of the same nodes count once; those of one class are done
+        same = [F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("node").alias("low")]
+        buckets = now.groupBy("key").agg(*same, F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").groupBy("size", "sum", "low").agg(F.min("key").alias("key")).select("key")
+        chosen = with_ids(now, written(spark, buckets, "buckets"), "key", "left_semi").withColumnRenamed("key", "bucket")
+        central = shared.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
+        member = chosen.join(central, "node").join(nodes.select("node", "_evs_key", "ck", "bytes"), "node")
+        more = bucket_links(spark, plain, member)
+        found = more if found is None else found.unionByName(more)
+        joined = written(spark, components(spark, found, "classes").withColumnRenamed("comp", "class"), "classes")
+
+    named = with_class(nodes.drop("bands", "bytes"), joined)
     whole = named.groupBy("class").agg(F.min("best").alias("first"), F.sum("n").alias("class_size"))
     by_ck = written(spark, named.select("ck", "class").join(whole, "class").select("ck", "first", "class_size"), "by_ck")
     real = lambda c: F.nullif(F.col(c), F.lit(2**63 - 1))
-    return rows.drop("bands").join(by_ck, "ck").select("_evs_key", real("doc_id").alias("doc_id"), real("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"))
+    return rows.drop("bands", "bytes").join(by_ck, "ck").select("_evs_key", real("doc_id").alias("doc_id"), real("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
