@@ -116,6 +116,20 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch):
         assert r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id)
 
 
+@pytest.mark.parametrize("bytes_", [16 << 20, 2000])
+def test_near_dedup_finds_all_pairs_of_a_table(spark, monkeypatch, bytes_):
+    """Recall of links on the documents of sf0.001 and edited copies of them, against all pairs; and blocks by bytes."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", bytes_)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    texts = [r.text for r in docs][: 200 if bytes_ > 2000 else 60]
+    texts += [edited(t, i, 1 + len(t.split()) * (i % 5) // 250) for i, t in enumerate(texts) if len(t.split()) > 30]
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark, documents(spark, texts)).collect()}
+    want = near_classes(texts)
+    joined = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if want[i] == want[j]]
+    assert len(joined) > 20 and sum(got[i] == got[j] for i, j in joined) >= 0.99 * len(joined)
+    assert all(want[i] == want[j] for i, j in itertools.combinations(range(len(texts)), 2) if got[i] == got[j])
+
+
 def test_near_dedup_repeats_nulls_and_slices(spark, monkeypatch):
     monkeypatch.setattr(minhash, "UNITS", 0)  # signatures are made after every text
     docs = documents(spark, ["a b c d e f", "a b c d e f", "q", None, "a b c d e f"], [4, 4, None, None, 9])
@@ -162,6 +176,16 @@ def test_packing_ids_pieces_and_places(spark):
         assert at <= 256
     total = sum(r.length for r in rows)
     assert len(placed) <= -(-total // 256) * 1.05 + 1
+    packed = packing.pack(spark, documents(spark, texts), path, capacity=256, with_ids=True)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in packed.collect())
+    whole = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    parts = collections.defaultdict(list)
+    for r in packing.sequences(packed).collect():
+        assert len(r.ids) <= 256 and len(r.offsets) == len(r.doc_ids)
+        for i, a, b in zip(r.doc_ids, r.offsets, [*r.offsets[1:], len(r.ids)]):
+            parts[i].append(r.ids[a:b])
+    for i, ids in whole.items():
+        assert sorted(parts[i]) == sorted(ids[s : s + 256] for s in range(0, len(ids), 256))
     assert packing.pack(spark, documents(spark, texts).limit(0), path).count() == 0
 
 
@@ -183,7 +207,10 @@ def test_packing_plan_is_exact_and_near_the_bound(n):
 # top-k (5)
 
 
-def test_maxscore_equals_brute_force(spark):
+@pytest.mark.parametrize("shard, block", [(8192, 32 << 20), (7, 200)])
+def test_maxscore_equals_brute_force(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(maxscore, "SHARD", shard)
+    monkeypatch.setattr(maxscore, "BLOCK_BYTES", block)
     r = random.Random(3)
     vectors = [[r.gauss(0, 0.3) for _ in range(12)] for _ in range(300)]
     vectors[10] = vectors[11] = vectors[12]
@@ -212,9 +239,19 @@ def test_templates_drop_recurring_lines_only(spark):
         assert (out[i]["_evs_lines"], out[i]["_evs_dropped"]) == (4, 2)
     assert all(out[i].text == "" for i in range(30, 48))
     assert [out[i].text for i in (48, 49, 50)] == ["", "", "\n"]
+    both = [f"the build of {w} is ready to be used now" for w in map(str.upper, "abcdefghijklmnopqrstuvwxyz")] + [f"the build of {w} has failed at the second step" for w in "abcdefghijklmnopqrst"]
+    mixed = both + [f"the build of {prose(i, 7)}" for i in range(40)]  # two templates and prose share a leaf
+    left = {r.doc_id: r.text for r in templates.cleaned(spark, documents(spark, mixed)).collect()}
+    assert [left[i] for i in range(len(both))] == [""] * len(both) and [left[i] for i in range(len(both), len(mixed))] == mixed[len(both) :]
+    even = documents(spark, both[:20] + both[26:46])
+    assert {r.text for r in templates.cleaned(spark, even).collect()} == {""}
     few = documents(spark, ["same line here"] * 9)
     assert {r.text for r in templates.cleaned(spark, few).collect()} == {"same line here"}
     assert templates.cleaned(spark, few.limit(0)).count() == 0
+    long = prose(1, 60)
+    passages = documents(spark, [f"a\n{long}", f"{long}\nb", f"{long}\n{long}", f"c {long}", "x " * 50_000, "a", "a"], [4, 5, 3, 7, None, 8, 8])
+    kept = {r.doc_id: r.text for r in templates.cleaned(spark, passages).collect()}
+    assert kept == {4: "a", 5: "b", 3: f"{long}\n{long}", 7: f"c {long}", None: "x " * 50_000, 8: "a"}
 
 
 # toxicity (4)
@@ -256,24 +293,86 @@ def test_toxicity_needs_no_number_of_examples(spark):
         assert sum(got[i] >= 0.5 for i in range(n + len(fresh), n + len(fresh) + 20)) <= 1
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("slack", [0, 0.02, 0.5, 9])
+def test_block_max_search_is_exact(slack, monkeypatch):
+    monkeypatch.setattr(toxicity, "SLACK", slack)
     r = np.random.default_rng(4)
-    vectors = []
-    for _ in range(500):
-        t = np.sort(r.choice(80, r.integers(0, 12), replace=False))
-        w = r.random(len(t))
-        vectors.append((t, w / max(1e-9, np.sqrt((w * w).sum()))))
-    index = toxicity.BlockMaxIndex(vectors, 80, block=16)
     dense = np.zeros((500, 80))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
+    for i in range(500):
+        t = r.choice(80, r.integers(0, 12), replace=False)
+        dense[i, t] = r.random(len(t)) * np.where(t < 5, 9, 1)
+        dense[i] /= max(1e-9, np.sqrt((dense[i] ** 2).sum()))
+    dense[40:60] = dense[:20]
+    row, terms = np.nonzero(dense)
+    start, weights = np.searchsorted(row, np.arange(501)), dense[row, terms]
+    index = toxicity.BlockMaxIndex(start, terms, weights, 80, block=16)
+    assert 0 < len(index.matrix) < 80 and len(index.rows)
+    base, spread = index.frequent(start, terms, weights), np.zeros(80)
     for i in range(0, 500, 7):
-        t, w = vectors[i]
-        rows, scores = index.search(t, w, 9)
-        want = dense[:, t] @ w
+        here = slice(start[i], start[i + 1])
+        rows, scores = index.search(terms[here], weights[here], 9, base[i], spread)
+        want = dense.astype(np.float32).astype(float) @ dense[i]
         order = np.lexsort((np.arange(500), -np.round(want, 9)))[:9]
         order = order[want[order] > 0]
-        assert rows.tolist() == order.tolist() and np.allclose(scores, want[order])
+        assert rows.tolist() == order.tolist() and np.allclose(scores, want[order]) and not spread.any()
+
+
+def test_toxicity_equals_brute_force(spark):
+    r = random.Random(6)
+    texts, toxic = [], []
+    for i in range(160):
+        bad = i % 3 == 0
+        texts.append(" ".join(r.choice(["alpha,", "beta", "Gamma.", "delta", "epsilon", "zetas", "vile" if bad else "kind", f"w{i % 40}"]) for _ in range(r.randrange(1, 30))))
+        toxic.append(int(bad != (i % 17 == 0)))
+    texts[50], texts[51], texts[52] = texts[3], texts[3].upper(), texts[4]  # copies, and one labelled otherwise
+    asked = texts + [None, "", "unheard of", "vile " * 40_000, "vile kind", "vile kind"]
+    ids = [*range(len(asked) - 1), None]
+    got = toxicity.score(spark, documents(spark, asked, ids), spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")).collect()
+    assert len(got) == len(asked)
+
+    def terms(text):
+        out = collections.Counter()
+        for chunk in (text or "").lower().split():
+            if word := chunk.strip(toxicity.EDGES):
+                out[word] += 1
+                if len(word) >= 5:
+                    out[word[:5] + "*"] += 1
+        return out
+
+    train = [i for i in range(160) if zlib.crc32(str(i).encode()) % 5]
+    first = {}
+    for i in train:
+        first.setdefault((texts[i].lower(), toxic[i]), i)
+    examples = sorted(first.values())
+    bags = {i: terms(texts[i]) for i in examples}
+    n, n1 = len(examples), sum(toxic[i] for i in examples)
+    weight = {}
+    for t in set().union(*bags.values()):
+        c = [sum(t in bags[i] for i in examples if toxic[i] == y) for y in (0, 1)]
+        if sum(c) >= 2:
+            phi = abs(c[1] * (n - n1 - c[0]) - c[0] * (n1 - c[1])) / math.sqrt(n1 * (n - n1) * sum(c) * max(n - sum(c), 0.5))
+            weight[t] = (math.log((1 + n) / (1 + sum(c))) + 1) * phi
+
+    def vector(bag):
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in bag.items() if weight.get(t)}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    known = {i: vector(bags[i]) for i in examples}
+    rate = sum(toxic[i] for i in train) / len(train)
+    per_class = [sum(toxic[i] == y for i in train) / (n1 if y else n - n1) for y in (0, 1)]
+    for row in got:
+        text = "vile kind" if row.doc_id is None else asked[row.doc_id]
+        v = vector(terms(text))
+        near = sorted(((sum(x * known[i].get(t, 0) for t, x in v.items()), i) for i in examples), reverse=True)
+        near = [x for x in near if x[0] > 1e-6]
+        assert np.allclose([x.similarity for x in row.neighbours], [s for s, _ in near[: toxicity.K]], atol=1e-5)
+        assert all(abs(x.similarity - sum(w * known[x.doc_id].get(t, 0) for t, w in v.items())) < 1e-5 and x.label == toxic[x.doc_id] for x in row.neighbours)
+        vague = toxicity.VAGUE * sum(per_class) / 2
+        votes = [x.similarity * per_class[x.label] for x in row.neighbours]
+        want = (sum(w * x.label for w, x in zip(votes, row.neighbours)) + vague * rate) / (sum(votes) + vague) if votes else rate
+        assert abs(row.score - min(1, want)) < 1e-5
+    assert toxicity.score(spark, documents(spark, []), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
 
 
 # sharding (1)
@@ -303,6 +402,39 @@ def test_sharding_equals_recursive_splitting(spark):
     assert {r.key: (r.shard, r.shard_bytes) for r in got} == {i: want[bits[i]] for i in range(400)}
 
 
+@pytest.mark.parametrize("group", [0, 2, 5, 16])
+def test_sharding_ranges_of_the_directory_are_found_on_executors(spark, group):
+    r = random.Random(3)
+    texts = ["x" * n for n in r.choices([0, 10, 100, 900, 7000], k=300)]
+    ids = [0] * 60 + [*range(1, 241)]  # a fifth of the rows has one key
+    docs = documents(spark, texts, ids)
+    got = sharding.assign(spark, docs, limit=3000, group=group).collect()
+    load = collections.defaultdict(list)
+    for row in got:
+        load[row.shard].append(row)
+        assert row.depth == len(row.shard)
+    sizes = collections.Counter()
+    assert sorted(r.key for r in got) == sorted(ids)
+    for shard, rows in load.items():
+        sizes[rows[0].shard_bytes] += 1
+        assert rows[0].shard_bytes <= 3000 or len(rows) == 1
+    assert sum(k * v for k, v in sizes.items()) == sum(map(len, texts))
+    shards = sorted(load)
+    assert not any(b.startswith(a) for a, b in zip(shards, shards[1:]))
+    bits = {i: format(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), "060b") for i in range(1, 241)}
+    want = brute_shards([(bits[i], len(t)) for i, t in zip(ids, texts) if i] + [(format(int(hashlib.md5(b"0").hexdigest()[:15], 16), "060b"), sum(len(t) for i, t in zip(ids, texts) if not i))] * 1, 3000)
+    assert all((r.shard, r.shard_bytes) == want[bits[r.key]] for r in got if r.key)
+
+
+def test_sharding_writes_shards(spark, tmp_path):
+    texts = ["x" * n for n in random.Random(5).choices([0, 10, 100, 900], k=60)] + [None, "é" * 50]
+    docs = documents(spark, texts)
+    back = sharding.sharded(spark, docs, f"file://{tmp_path}/shards", limit=2000)
+    assert sorted((r.doc_id, r.text, r.key) for r in back.collect()) == sorted(((i, t, "k") for i, t in enumerate(texts)), key=lambda x: (x[0],))
+    load = {r["_evs_shard"]: r.b for r in back.groupBy("_evs_shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("b")).collect()}
+    assert len(load) > 3 and max(load.values()) <= 2000
+
+
 def test_sharding_one_key_and_a_giant_row(spark):
     texts = ["y" * 100] * 90 + ["z" * 5000, None, ""]
     docs = documents(spark, texts, [7] * 90 + [8, None, None])
@@ -450,7 +582,9 @@ def slow_ctw(train, text, depth):
     return score
 
 
-def test_context_tree_equals_the_slow_tree(spark, monkeypatch):
+@pytest.mark.parametrize("few", [2048, 3])
+def test_context_tree_equals_the_slow_tree(spark, monkeypatch, few):
+    monkeypatch.setattr(ctw, "FEW", few)  # with 3, some contexts of two bytes are split
     monkeypatch.setattr(ctw, "TOP_WORDS", 5)
     monkeypatch.setattr(ctw, "TOP_GRAMS", 20)
     texts = ["the cat sat on the mat", "The dog sat", "a cat and a dog", None, "", "the\tthe\x0bthe  mat", "Été été", "zzz unseen words", "the cat", "the cat"] + [prose(i, 12, 30) for i in range(8)]
@@ -480,7 +614,7 @@ def test_context_tree_probabilities_sum_to_one(spark):
 
     import pyarrow as pa
 
-    batch = pa.record_batch([pa.array(every), pa.array(counts)], ["gram", "n"])
+    batch = pa.record_batch([pa.array(every), pa.array(counts), pa.array(np.zeros(len(every), bool))], ["gram", "n", "hot"])
     roots = pa.Table.from_batches(list(ctw.subtree_roots(2)([batch])))
     shared = types.SimpleNamespace(value=pickle.dumps(ctw.tops(roots)))
     scored = pa.Table.from_batches(list(ctw.gram_scores(shared, 2)([batch])))
@@ -510,3 +644,55 @@ def test_sentencepiece_ids_are_those_of_the_rebuilt_tokenizer():
     want = np.array(codes.tokenizer.encode(" some words", add_special_tokens=False).ids, "<u4").tobytes()
     for found in (codes.encode(["some words"]), codes.encode_whole(["some words"])):
         assert found[0][0] == want and not found[0][1]
+
+
+# edge cases of several operators
+
+
+def test_license_scan_edge_rows(spark):
+    two = "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."
+    texts = [None, "", "no notice", two, two, "w " * 60_000 + "\nAll rights reserved."]
+    rows = licenses.scan(documents(spark, texts, [0, 1, 2, 3, 3, None])).collect()
+    found = collections.Counter((r.doc_id, r.license) for r in rows)
+    assert found == {(3, "Apache-2.0"): 2, (3, "MIT"): 2, (None, "Proprietary"): 1}
+    assert licenses.scan(documents(spark, [])).count() == 0
+
+
+def test_maxscore_clashing_columns_and_repeats(spark):
+    rows = [(50, [0.5, 0.25], 7, 7, "x", True), (50, [0.5, 0.25], 7, 7, "x", True), (1, [0.5, 0.5], 7, 7, "x", False), (None, [1.0, 1.0], 7, 7, "x", True)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, row long, score long, v string, ask boolean")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in maxscore.top_k(spark, table, F.col("vec_id") % 50 == 0, 5).collect())
+    assert got == [(50, 1, 1, 24576), (50, 1, 1, 24576), (50, 2, 50, 20480), (50, 2, 50, 20480)]
+
+
+def test_sentencepiece_edge_rows(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    long = "straße und so " * 40_000
+    texts = [long, long, None, ""]
+    coded = pieces.encode(documents(spark, texts, [1, 1, None, 2]), path)
+    rows = coded.collect()
+    assert len({r.ids_crc32 for r in rows if r.doc_id == 1}) == 1 and sorted(r.n_ids for r in rows)[:2] == [0, 0]
+    assert all(r.parity and r.round_trip for r in rows)
+    back = sorted((str(r.doc_id), r.text) for r in pieces.decode(coded, path).collect())
+    assert back == sorted([("1", long), ("1", long), ("None", ""), ("2", "")])
+    assert pieces.encode(documents(spark, []), path).count() == 0
+
+
+def test_templates_repeated_rows_null_ids_and_long_lines(spark):
+    line = "x" * 300_000 + " " + "y " * 60
+    texts = ["a line that recurs\nown " + str(i) for i in range(12)] + [line, line, None, None]
+    ids = [*range(11), 10, None, None, None, None]
+    rows = templates.cleaned(spark, documents(spark, texts, ids)).collect()
+    assert len(rows) == 16 and all("recurs" not in (r.text or "") for r in rows)
+    assert sum(r.text == line for r in rows) == 2  # null ids are one document, which keeps its long line
+    assert templates.cleaned(spark, documents(spark, [])).count() == 0
+
+
+def test_context_tree_long_and_repeated_texts(spark):
+    long = prose(3, 60_000)
+    rows = ctw.score(spark, documents(spark, [long, "one two", "one two", None], [4, 9, 9, None])).collect()
+    assert len(rows) == 4
+    same = [r for r in rows if r.doc_id == 9]
+    assert same[0] == same[1]
+    assert all(math.isfinite(r.score) and r.score < 0 and r.base_score < 0 for r in rows)
+    assert next(r.n_tokens for r in rows if r.doc_id == 4) == 60_001

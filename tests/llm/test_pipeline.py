@@ -53,6 +53,23 @@ def test_stages_take_an_empty_table(spark, folder, tmp_path):
         assert stage(spark, docs, folder).count() == 0
 
 
+@pytest.mark.parametrize("labels", [[], [(i, 1, 0) for i in range(30)], [(i, 1, 1) for i in range(30)], [(None, 1, 1), (1, None, None)]])
+def test_stages_with_null_ids_repeated_rows_and_one_class(spark, tmp_path, labels):
+    texts = [prose(i, 40) for i in range(30)] + [None, None, "", "Tiny", "tiny", prose(0, 40), prose(0, 40)]
+    ids = [*range(30), None, None, 31, None, 32, None, 40]
+    documents(spark, texts, ids).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert left.count() == (0 if labels and all(y == 1 for _, _, y in labels) else 37)  # one class only: its rate decides
+    copies = corpus_pipeline.drop_copies(spark, docs, str(tmp_path))
+    assert sorted((str(r.doc_id), r.text or "") for r in copies.collect()) == sorted([*((str(i), prose(i, 40)) for i in range(1, 30)), ("40", prose(0, 40)), ("31", ""), ("32", "tiny")])
+    assert corpus_pipeline.drop_near_copies(spark, copies, str(tmp_path)).count() == 32
+    if left.count():
+        pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert len(pieces) == 32 and {r.doc_id for r in pieces} == {*range(1, 30), 31, 32, 40}
+
+
 @pytest.mark.parametrize("name", sorted(entry.SQL))
 def test_queries_equal_their_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
