@@ -70,12 +70,14 @@ def self_bleu(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, bleu): mean share of an item's bigrams that another item has, over others with bigrams; 0 without bigrams.
 
     Pairs without a common bigram add nothing, so a bigram that k items share adds k - 1 for each of them and no pair
-    is ever formed.
+    is ever formed. The bigrams' counts are written, so that the join's tasks can be split where one bigram is very common.
     """
+    from ..sources.store import written
+
     own = items.select(id_col, text.bigrams(F.col(text_col)).alias("b"))
     n = own.where(F.size("b") > 0).agg(F.count(F.lit(1)).alias("n"))
     spread = own.select(id_col, F.size("b").alias("k"), F.explode("b").alias("b"))
-    shared = spread.groupBy("b").agg((F.count(F.lit(1)) - 1).alias("others"))
+    shared = written(items.sparkSession, spread.groupBy("b").agg((F.count(F.lit(1)) - 1).alias("others")).where("others > 0"), "bigrams")
     sums = spread.join(shared, "b").groupBy(id_col, "k").agg(F.sum("others").alias("s"))
     return own.select(id_col).join(sums, id_col, "left").crossJoin(F.broadcast(n)).select(id_col, F.coalesce(F.col("s") / F.nullif(F.col("k") * (F.col("n") - 1), F.lit(0)), F.lit(0.0)).alias("bleu"))
 
