@@ -8,7 +8,9 @@ rest is held against the other templates again, so that neighbouring notices eac
 their words, so a notice that many documents share is compressed once per task.
 
 Defined results: null text counts as empty; texts without a confirmed block have no rows. Repeated rows give repeated
-rows. Columns besides id and text are not read.
+rows. Texts of any length are scanned whole; an empty table gives an empty result. Of templates that fit equally well the
+one with fewer lost words, then the one that makes the block smaller, comes first. Columns besides id and text are not
+read.
 """
 
 from __future__ import annotations
@@ -126,6 +128,22 @@ def differences(template: list[str], block: list[str | None]) -> tuple[float, li
     return len(places) / max(1, len(template)), said, places
 
 
+# Names of whole license texts as some systems file them, and the licenses they are.
+FILED = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+def whole_texts(folder: str) -> dict[str, list[str]]:
+    """Whole license texts from a folder of the driver, for scan(forms=...): a file for each license, named as in FILED."""
+    import os
+
+    found: dict[str, list[str]] = {}
+    for name, license in FILED.items():
+        if os.path.isfile(f"{folder}/{name}"):
+            with open(f"{folder}/{name}", encoding="utf-8") as f:
+                found.setdefault(license, []).append(f.read())
+    return found
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], forms: dict[str, list[str]] | None = None):
         import zstandard
@@ -149,6 +167,8 @@ class Scanner:
         return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in self.with_template.items()), key=lambda x: (-x[0], x[1]))
 
     def confirm(self, key: str, words: list[str | None]) -> tuple[float, list[str], list[int]] | None:
+        if sum(w is not None for w in words) < KEPT * len(self.words[key]):
+            return None
         kept, said, places = differences(self.words[key], words)
         numbers = {w for w in self.words[key] if any(c.isdigit() for c in w)}
         return (kept, said, places) if kept >= KEPT and not numbers & {w[1:] for w in said if w[0] == "-"} else None
@@ -178,14 +198,19 @@ class Scanner:
         return next(iter(self.scan_all(block)), None)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """A row per template that a block holds: doc_id, start, length (characters), license, reduction, kept, differences, block."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, forms: dict[str, list[str]] | None = None) -> DataFrame:
+    """A row per template that a block holds: doc_id, start, length (characters), license, reduction, kept, differences, block.
+
+    templates replace TEMPLATES and FORMS; forms are further wordings of licenses, such as whole_texts gives.
+    """
     small_batches(docs.sparkSession)
     wanted = templates or TEMPLATES
+    known_forms = {} if templates else FORMS
+    more = {k: [*known_forms.get(k, []), *(forms or {}).get(k, [])] for k in dict.fromkeys([*known_forms, *(forms or {})])}
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where(F.col("text").rlike(f"(?i){CUES}"))
 
     def run(batches):
-        scanner = Scanner(wanted, None if templates else FORMS)
+        scanner = Scanner(wanted, more)
         known = list({frozenset(w) for w in scanner.words.values()})
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.string())
         names = ("doc_id", "start", "length", "license", "reduction", "kept", "differences", "block")

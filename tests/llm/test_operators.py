@@ -649,6 +649,30 @@ def test_sentencepiece_ids_are_those_of_the_rebuilt_tokenizer():
 # edge cases of several operators
 
 
+def test_every_license_template_has_a_cue_and_is_found_alone():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.FORMS)
+    known = list({frozenset(w) for w in scanner.words.values()})
+    for name, words in [(k, v) for k, v in licenses.TEMPLATES.items()] + [(k, x) for k, v in licenses.FORMS.items() for x in v]:
+        (span,) = licenses.blocks(words, known)
+        assert name in [f[0] for f in scanner.scan_all(words[slice(*span)])] or name == "GPL-2.0", (name, words)
+
+
+def test_license_scan_of_whole_texts(spark, tmp_path):
+    from pathlib import Path
+
+    folder = "/usr/share/common-licenses"
+    forms = licenses.whole_texts(folder)
+    if not forms:
+        pytest.skip("no license texts on this machine")
+    names = sorted(forms)
+    docs = documents(spark, [f"{prose(i, 50)}\n\n{forms[n][0]}" for i, n in enumerate(names)])
+    got = collections.defaultdict(set)
+    for r in licenses.scan(docs, forms=forms).collect():
+        got[r.doc_id].add(r.license)
+    assert all(n in got[i] for i, n in enumerate(names)), (names, dict(got))
+    assert licenses.whole_texts(str(tmp_path)) == {} and Path(folder).exists()
+
+
 def test_license_scan_edge_rows(spark):
     two = "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."
     texts = [None, "", "no notice", two, two, "w " * 60_000 + "\nAll rights reserved."]
