@@ -327,6 +327,21 @@ def tree_scores(spark: SparkSession, texts: DataFrame, depth: int = DEPTH) -> Da
     return written(spark, together.mapInArrow(gram_scores(top, depth), "gram long, n long, score double"), "gram_scores")
 
 
+def most_frequent(counted: DataFrame, most: int):
+    """The rows of greatest n, `most` at most, as an Arrow table: those above a count that a histogram gives.
+
+    The histogram has 64 steps for each doubling of n, so the driver sees a few thousand sums and no task sorts all rows.
+    """
+    step = F.coalesce(F.floor(F.log2("n") * 64), F.lit(-1)).cast("int")
+    room, least = most, None
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r.step):
+        room -= r.c
+        if room < 0:
+            break
+        least = r.step
+    return counted.where(step >= least if least is not None else F.lit(False)).toArrow()
+
+
 def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     small_batches(spark)
@@ -338,8 +353,8 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     words = words.select("word", "n", (F.col("n") > 0).cast("long").alias("known"), F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("base"))
     scored = tree_scores(spark, learnt, depth)
 
-    often = words.orderBy(F.desc("n"), "word").limit(TOP_WORDS).toArrow()
-    common = scored.orderBy(F.desc("n"), "gram").limit(TOP_GRAMS).toArrow()
+    often = most_frequent(words, TOP_WORDS)
+    common = most_frequent(scored, TOP_GRAMS)
     shared = spark.sparkContext.broadcast(cloudpickle.dumps((often.column("word").combine_chunks(), *(often.column(c).to_numpy() for c in ("known", "base")), *(common.column(c).to_numpy() for c in ("gram", "score")))))
     half = texts.mapInArrow(score_texts(shared, depth), "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base_score double, words array<binary>, score double, grams array<long>")
     half = written(spark, half, "half")
