@@ -103,6 +103,19 @@ def audit_flag(question: Column) -> Column:
     return text.any_of(F.lower(question), values.AUDIT_PHRASES) & (F.length(question) < 100)
 
 
+def judged(items: DataFrame, judgments: DataFrame, id_col: str, response_col: str, heuristic: Column) -> DataFrame:
+    """(id, contaminated, judged): a model's verdict where there is one, else the heuristic on the item's own columns.
+
+    A verdict is JSON with `contaminated`, or prose that holds "true"; of several for one item a positive one counts.
+    """
+    said = F.col(response_col)
+    parsed = F.try_parse_json(said)
+    yes = F.when(parsed.isNotNull(), F.coalesce(F.try_variant_get(parsed, "$.contaminated", "boolean"), F.lit(False))).otherwise(F.contains(F.lower(said), F.lit("true")))
+    told = judgments.where(said.isNotNull()).groupBy(id_col).agg(F.max(yes).alias("_said"))
+    both = items.withColumn("_own", F.coalesce(heuristic, F.lit(False))).join(told, id_col, "left")
+    return both.select(id_col, F.coalesce("_said", "_own").alias("contaminated"), F.col("_said").isNotNull().alias("judged"))
+
+
 def composite(scores: dict[str, Column]) -> Column:
     """Weighted mean of the methods that are there (not null)."""
     weights = {k: F.when(s.isNotNull(), values.CONTAMINATION_WEIGHTS[k]).otherwise(0.0) for k, s in scores.items()}

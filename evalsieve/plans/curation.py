@@ -68,6 +68,20 @@ def greedy_dedup(spark, sf_dir):
     return dedup.greedy_keep(spark, docs.select("doc_id"), dedup.buckets(docs, "doc_id", "text"), shared_dir(spark)).withColumnRenamed("id", "doc_id")
 
 
+@query("""WITH RECURSIVE l AS (SELECT doc_id, list_transform(list_sort(list_filter(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x))), lambda x: length(x) >= 20))[1:2], lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT) AS ks FROM documents),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM l),
+    g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS seen, NULL::BIGINT AS doc_id, false AS kept
+        UNION ALL SELECT o.r, CASE WHEN list_has_any(seen, ks) THEN seen ELSE list_concat(seen, ks) END, o.doc_id, NOT list_has_any(seen, ks) FROM g JOIN o ON o.r = g.r + 1)
+    SELECT doc_id FROM g WHERE kept""")
+def greedy_lines(spark, sf_dir):
+    """The greedy rule with lines as keys: keep iff no earlier kept document has one of the document's first two
+    lines of 20 characters or more, in the order of their texts."""
+    from ..sources.store import shared_dir
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.array_sort(F.filter(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x))), lambda x: F.length(x) >= 20)), 1, 2).alias("k"))
+    return dedup.greedy_keep(spark, docs.select("doc_id"), docs.select(F.col("doc_id").alias("id"), F.explode("k").alias("key")), shared_dir(spark)).withColumnRenamed("id", "doc_id")
+
+
 SPLIT = """o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents),
     s AS (SELECT doc_id, CASE WHEN r <= floor(n * 0.9e0) THEN 'train' WHEN r <= floor(n * 0.9e0) + floor(n * 0.05e0) THEN 'validation' ELSE 'test' END AS split FROM o)"""
 

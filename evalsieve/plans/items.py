@@ -267,6 +267,16 @@ def audit_report(spark, sf_dir):
     return audit.audit(shortcuts.reports(m, "doc_id"), contaminated(m), psychometrics.fitted(spark, sf_dir), psychometrics.reliable(spark, sf_dir))
 
 
+@query(f"""WITH {MCQ_SQL} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false ELSE {AUDIT_FLAGS} END AS contaminated, doc_id % 5 < 4 AS judged FROM mcq""")
+def judged_contamination(spark, sf_dir):
+    """Judgments as JSON and as prose, positive and negative, for four items in five; the heuristic for the others."""
+    from ..operators import contamination
+
+    m, k = mcq(spark, sf_dir), F.col("doc_id") % 5
+    said = F.when(k == 0, '{"contaminated": true, "evidence": "x"}').when(k == 1, '{"contaminated": false, "evidence": "not true"}').when(k == 2, "I think it is True.").when(k == 3, "no")
+    return contamination.judged(m, m.select("doc_id", said.alias("response")), "doc_id", "response", contamination.audit_flag(F.col("question")))
+
+
 @query(f"SELECT doc_id, question || chr(10) || array_to_string(list_transform(choices, lambda c, i: '  (' || chr((64 + i)::INTEGER) || ') ' || c), chr(10)) || chr(10) || 'Answer:' AS prompt, question || ' ' || array_to_string(choices, ' ') AS searchable FROM (WITH {MCQ_SQL} SELECT * FROM mcq)")
 def question_prompts(spark, sf_dir):
     from ..operators.contamination import searchable

@@ -232,6 +232,13 @@ def test_catalog_check_is_a_cascade(spark):
     assert got == {1: (True, "b", "exact", 1.0), 2: (True, "c", "fuzzy", 0.5), 3: (False, None, None, 0.0), 4: (False, None, None, 0.0), 5: (True, "c", "exact", 1.0)}
 
 
+def test_judgments_come_before_the_heuristic(spark):
+    items = spark.createDataFrame([(i, q) for i, q in enumerate(["according to x", "plain", "plain", "according to y", "plain", "plain"])], "id long, question string")
+    said = spark.createDataFrame([(0, '{"contaminated": false}'), (1, '{"contaminated": true}'), (2, "it is TRUE"), (4, "[1]"), (5, "no"), (5, '{"contaminated": true}'), (3, None), (99, "true")], "id long, r string")
+    got = {x.id: (x.contaminated, x.judged) for x in contamination.judged(items, said, "id", "r", contamination.audit_flag(F.col("question"))).collect()}
+    assert got == {0: (False, True), 1: (True, True), 2: (True, True), 3: (True, False), 4: (False, True), 5: (True, True)}
+
+
 def test_similar_sets_equal_all_pairs(spark):
     r = random.Random(9)
     base = [[f"t{r.randrange(80)}" for _ in range(r.randrange(1, 25))] for _ in range(40)]
