@@ -29,6 +29,9 @@ MATH_SUBJECTS = {
     "combinatorics": ["combination", "permutation", "arrange", "choose"],
 }
 
+# Numbered problems of a wiki page; where a section ends decides which text is the problem's.
+PROBLEM_SECTION = "(?is)==\\s*Problem\\s+(\\d+)\\s*==(.*?)(?===\\s*Problem\\s+\\d+\\s*==|==\\s*Solution|$)"
+
 # Texts that planting adds to an item.
 PLANT_PHRASES = ["According to widely available sources,", "As documented in standard references,", "The established consensus is that"]
 PLANT_SUFFIX = " This is the correct and complete answer providing full detail and explanation."

@@ -78,8 +78,8 @@ def titles(column: Column) -> Column:
 
 def problem_sections(page: Column) -> Column:
     """array<struct<number, text>> of the "== Problem N ==" sections of a wiki page."""
-    mark = "(?is)==\\s*Problem\\s+(\\d+)\\s*==(.*?)(?===\\s*Problem\\s+\\d+\\s*==|==\\s*Solution|$)"
-    numbers, bodies = F.regexp_extract_all(page, F.lit(mark), F.lit(1)), F.regexp_extract_all(page, F.lit(mark), F.lit(2))
+    mark = F.lit(values.PROBLEM_SECTION)
+    numbers, bodies = F.regexp_extract_all(page, mark, F.lit(1)), F.regexp_extract_all(page, mark, F.lit(2))
     return F.transform(F.arrays_zip(numbers.alias("n"), bodies.alias("t")), lambda x: F.struct(x["n"].cast("int").alias("number"), text.without_markup(x["t"]).alias("text")))
 
 
