@@ -132,18 +132,26 @@ def contam_template(spark, sf_dir):
 
 
 @query(f"""
-    WITH {GRAM6}, t AS (SELECT item_id, least(1e0, ({' + '.join(f"regexp_matches(lower(text), {quoted(p)})::INTEGER" for p in values.TEMPLATE_PATTERNS)}) * 0.25e0) AS template,
-        coalesce(round(least(1e0, 3e0 * m / n), 3), 0e0) AS ngram FROM benchmark LEFT JOIN s6 USING (item_id))
-    SELECT item_id, round((0.4e0 * ngram + 0.3e0 * template) / 0.7e0, 3) AS composite, (0.4e0 * ngram + 0.3e0 * template) / 0.7e0 > 0.5e0 AS is_contaminated,
-        concat_ws(',', CASE WHEN ngram > 0.5e0 THEN 'ngram' END, CASE WHEN template > 0.5e0 THEN 'template' END) AS methods,
-        CASE WHEN ngram > 0.5e0 AND template > 0.5e0 THEN 'HIGH' WHEN greatest(ngram, template) > 0.7e0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM t""")
+    WITH {GRAM6}, mw AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark),
+    mr AS (SELECT item_id, list_distinct(list_transform(w[greatest(3, len(w) // 3) + 1:], lambda x: lower(x))) AS expected FROM mw WHERE len(w) >= 5),
+    mm AS (SELECT item_id, round(CASE WHEN len(expected) = 0 THEN 0 ELSE len(list_intersect(expected, list_distinct({LOW.format('text')}))) / len(expected)::DOUBLE END, 3) AS memory FROM mr JOIN documents ON doc_id = item_id),
+    t AS (SELECT item_id, least(1e0, ({' + '.join(f"regexp_matches(lower(text), {quoted(p)})::INTEGER" for p in values.TEMPLATE_PATTERNS)}) * 0.25e0) AS template,
+        coalesce(round(least(1e0, 3e0 * m / n), 3), 0e0) AS ngram, memory FROM benchmark LEFT JOIN s6 USING (item_id) LEFT JOIN mm USING (item_id)),
+    c AS (SELECT *, (0.4e0 * ngram + 0.3e0 * template + CASE WHEN memory IS NULL THEN 0e0 ELSE 0.3e0 * memory END) / (0.4e0 + 0.3e0 + CASE WHEN memory IS NULL THEN 0e0 ELSE 0.3e0 END) AS whole FROM t)
+    SELECT item_id, round(whole, 3) AS composite, whole > 0.5e0 AS is_contaminated, memory IS NOT NULL AS completed,
+        concat_ws(',', CASE WHEN ngram > 0.5e0 THEN 'ngram' END, CASE WHEN template > 0.5e0 THEN 'template' END, CASE WHEN memory > 0.5e0 THEN 'memorization' END) AS methods,
+        CASE WHEN (ngram > 0.5e0)::INTEGER + (template > 0.5e0)::INTEGER + coalesce((memory > 0.5e0)::INTEGER, 0) >= 2 THEN 'HIGH' WHEN greatest(ngram, template, coalesce(memory, 0e0)) > 0.7e0 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM c""")
 def contam_composite(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    ngram = op.index_score(b, table(spark, sf_dir, "documents"), "item_id", "text", "text").select("item_id", F.col("score").alias("ngram"))
-    scored = b.select("item_id", op.template_score(F.col("text")).alias("template")).join(ngram, "item_id")
-    scores = {"ngram": F.col("ngram"), "template": F.col("template"), "memorization": F.lit(None).cast("double")}
+    """All three methods; a document of the item's number stands for a model's completion of it."""
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    ngram = op.index_score(b, d, "item_id", "text", "text").select("item_id", F.col("score").alias("ngram"))
+    prefix, rest = text.prefix_and_rest(F.col("text"))
+    said = d.select(F.col("doc_id").alias("item_id"), F.col("text").alias("said"))
+    memory = b.where(prefix.isNotNull()).select("item_id", rest.alias("rest")).join(said, "item_id").select("item_id", op.memorised(F.col("rest"), F.col("said")).alias("memory"))
+    scored = b.select("item_id", op.template_score(F.col("text")).alias("template")).join(ngram, "item_id").join(memory, "item_id", "left")
+    scores = {"ngram": F.col("ngram"), "template": F.col("template"), "memorization": F.col("memory")}
     whole = op.composite(scores)
-    return scored.select("item_id", F.round(whole, 3).alias("composite"), (whole > 0.5).alias("is_contaminated"), F.array_join(op.methods_flagged(scores), ",").alias("methods"), op.confidence(scores).alias("confidence"))
+    return scored.select("item_id", F.round(whole, 3).alias("composite"), (whole > 0.5).alias("is_contaminated"), F.col("memory").isNotNull().alias("completed"), F.array_join(op.methods_flagged(scores), ",").alias("methods"), op.confidence(scores).alias("confidence"))
 
 
 @query(f"""

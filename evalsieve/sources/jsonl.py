@@ -104,10 +104,10 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def write_lines(rows: DataFrame, path: str, subset: Column | None = None, subset_path: str | None = None) -> None:
-    """JSON lines, and those of a subset to a second folder; rows are read twice, not kept in memory."""
+    """JSON lines, and those of a subset to a second folder, taken from what was written: rows are computed once."""
     rows.write.mode("overwrite").json(path)
     if subset is not None and subset_path:
-        rows.where(subset).write.mode("overwrite").json(subset_path)
+        rows.sparkSession.read.schema(rows.schema).json(path).where(subset).write.mode("overwrite").json(subset_path)
 
 
 def write_splits(rows: DataFrame, path: str) -> None:
