@@ -45,13 +45,28 @@ def sampled(rows: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
     return rows.orderBy(split_order(F.col(id_col), seed), id_col).limit(n)
 
 
-def minhash(tokens: Column, permutations: int, seed: str = "mh") -> Column:
-    """Smallest hash of the tokens under each of several seeds; null for no tokens."""
-    return text.bound(tokens, lambda w: F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda i: F.array_min(F.transform(w, lambda t: F.substring(F.md5(F.concat(F.lit(seed), i.cast("string"), F.lit("|"), t)), 1, 12)))))
+#: modulus of the permutations: a prime, so that products with 28-bit hashes stay within 64 bits
+PRIME = 2147483647
+
+
+def permutation(i: int) -> tuple[int, int]:
+    """Factor and summand of the i-th permutation."""
+    return 1 + (i * 1103515245 + 12345) % (PRIME - 1), (i * 69069 + 1) % PRIME
+
+
+def minhash(tokens: Column, permutations: int = 128) -> Column:
+    """Smallest value of the tokens' hashes under each permutation a * h + b; null for no tokens.
+
+    A token is hashed once, by seven hex digits of its MD5, and permuted by plain arithmetic, which any SQL engine can
+    repeat.
+    """
+    hashes = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("long"))
+    ab = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in map(permutation, range(permutations))])
+    return text.bound(hashes, lambda h: F.transform(ab, lambda p: F.array_min(F.transform(h, lambda x: (x * p.a + p.b) % F.lit(PRIME)))))
 
 
 def band_keys(signature: Column, rows: int) -> Column:
-    return text.bound(signature, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - rows, F.lit(rows)), lambda i: F.concat_ws(":", i.cast("string"), F.slice(s, i + 1, rows))))
+    return text.bound(signature, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - rows, F.lit(rows)), lambda i: F.md5(F.concat_ws(":", i.cast("string"), F.transform(F.slice(s, i + 1, rows), lambda x: x.cast("string"))))))
 
 
 def similar_sets(spark: SparkSession, rows: DataFrame, id_col: str, text_col: str, similarity: float = 0.8, common: int = 1 << 17) -> tuple[DataFrame, DataFrame]:
@@ -84,17 +99,11 @@ def similar_sets(spark: SparkSession, rows: DataFrame, id_col: str, text_col: st
     return pairs.where(F.col("jaccard") >= similarity), members
 
 
-def seeded_minhash(tokens: Column, permutations: int) -> Column:
-    """As minhash, with a fast 64-bit hash: for signatures that no other engine has to repeat."""
-    return text.bound(tokens, lambda w: F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), lambda i: F.array_min(F.transform(w, lambda t: F.xxhash64(t, i)))))
-
-
 def buckets(rows: DataFrame, id_col: str, text_col: str, permutations: int = 128, band_rows: int = 16) -> DataFrame:
-    """(id, key): the MinHash bands of each text's white-space tokens, of those that more than one row has."""
+    """(id, key): the MinHash bands of each text's white-space tokens."""
     tokens = F.array_distinct(text.words(F.col(text_col)))
-    signed = rows.select(F.col(id_col).alias("id"), tokens.alias("w")).where(F.size("w") > 0).select("id", seeded_minhash(F.col("w"), permutations).alias("s"))
-    keys = signed.select("id", F.explode(text.bound(F.col("s"), lambda s: F.transform(F.sequence(F.lit(0), F.lit(permutations - band_rows), F.lit(band_rows)), lambda i: F.xxhash64(i, F.slice(s, i + 1, band_rows))))).alias("key"))
-    return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
+    signed = rows.select(F.col(id_col).alias("id"), tokens.alias("w")).where(F.size("w") > 0).select("id", minhash(F.col("w"), permutations).alias("s"))
+    return signed.select("id", F.explode(band_keys(F.col("s"), band_rows)).alias("key"))
 
 
 def greedy_keep(spark: SparkSession, ids: DataFrame, members: DataFrame, folder: str) -> DataFrame:
@@ -110,6 +119,8 @@ def greedy_keep(spark: SparkSession, ids: DataFrame, members: DataFrame, folder:
         return spark.read.schema(df.schema).parquet(path)
 
     members = written(members.select("id", "key"))
+    several = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
+    members = written(members.join(several, "key", "left_semi").select("id", "key"))  # keys of one row decide nothing
     state = written(ids.select(F.col(ids.columns[0]).alias("id")).join(members.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")).withColumn("in", F.lit(True)), "id", "left").select("id", F.when(F.col("in").isNull(), True).alias("kept")))
     while not state.where("kept is null").isEmpty():
         now = members.join(state, "id")

@@ -26,11 +26,11 @@ def dup_groups(spark, sf_dir):
     return dedup.duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+PERMUTED = "[" + ", ".join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT}}" for a, b in map(dedup.permutation, range(128))) + "]"
 MINHASH = f"""
-    t AS (SELECT doc_id AS id, list_sort(list_distinct({WORDS.format('text')})) AS w FROM documents),
-    one AS (SELECT min(id) AS id, w FROM t WHERE len(w) > 0 GROUP BY w),
-    s AS (SELECT id, w, list_transform(range(16), lambda i: list_min(list_transform(w, lambda x: substr(md5('mh' || i || '|' || x), 1, 12)))) AS s FROM one),
-    k AS (SELECT id, unnest(list_transform([0, 4, 8, 12], lambda i: concat_ws(':', i, s[i + 1], s[i + 2], s[i + 3], s[i + 4]))) AS key FROM s)"""
+    mt AS (SELECT doc_id AS id, list_transform(list_distinct({WORDS.format('text')}), lambda x: ('0x' || substr(md5(x), 1, 7))::BIGINT) AS h FROM documents),
+    ms AS (SELECT id, list_transform({PERMUTED}, lambda p: list_min(list_transform(h, lambda x: (x * p.a + p.b) % {dedup.PRIME}))) AS s FROM mt WHERE len(h) > 0),
+    mk AS (SELECT id, list_transform(range(0, 128, 16), lambda i: md5(i || ':' || array_to_string(s[i + 1:i + 16], ':'))) AS ks FROM ms)"""
 
 
 SETS = f"""
@@ -51,28 +51,41 @@ def word_sets(spark, sf_dir):
     return dedup.similar_sets(spark, table(spark, sf_dir, "documents"), "doc_id", "text")[1]
 
 
-@query(f"WITH {MINHASH} SELECT key, count(*) AS n, min(id) AS first_id FROM k GROUP BY key HAVING count(*) > 1")
+@query(f"WITH {MINHASH} SELECT key, count(*) AS n, min(id) AS first_id FROM (SELECT id, unnest(ks) AS key FROM mk) GROUP BY key HAVING count(*) > 1")
 def minhash_bands(spark, sf_dir):
-    tokens = F.array_sort(F.array_distinct(text.words(F.col("text"))))
-    one = table(spark, sf_dir, "documents").select("doc_id", tokens.alias("w")).where(F.size("w") > 0).groupBy("w").agg(F.min("doc_id").alias("id"))
-    keys = one.select("id", F.explode(dedup.band_keys(dedup.minhash(F.col("w"), 16), 4)).alias("key"))
+    """The buckets of 128 permutations in bands of 16 that several documents share."""
+    keys = dedup.buckets(table(spark, sf_dir, "documents"), "doc_id", "text")
     return keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
-@query()
-def greedy_dedup(spark, sf_dir):
-    """Keep iff no earlier kept document shares a MinHash band: rounds, so no SQL; tests hold it against a loop."""
+def greedy_sql(members: str) -> str:
+    """The greedy rule over members(doc_id, ks: keys as numbers): CTEs that end in kept(doc_id)."""
+    return f"""
+    o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM {members}),
+    g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS seen, NULL::BIGINT AS doc_id, false AS kept
+        UNION ALL SELECT o.r, CASE WHEN list_has_any(seen, ks) THEN seen ELSE list_concat(seen, ks) END, o.doc_id, NOT list_has_any(seen, ks) FROM g JOIN o ON o.r = g.r + 1),
+    kept AS (SELECT doc_id FROM g WHERE kept)"""
+
+
+GREEDY = f"""RECURSIVE {MINHASH}, gm AS MATERIALIZED (SELECT doc_id, coalesce(list_transform(ks, lambda x: ('0x' || substr(x, 1, 15))::BIGINT), []::BIGINT[]) AS ks FROM documents LEFT JOIN mk ON id = doc_id), {greedy_sql('gm')}"""
+
+
+def kept_of(spark, docs, id_col="doc_id"):
     from ..sources.store import shared_dir
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup.greedy_keep(spark, docs.select("doc_id"), dedup.buckets(docs, "doc_id", "text"), shared_dir(spark)).withColumnRenamed("id", "doc_id")
+    return dedup.greedy_keep(spark, docs.select(id_col), dedup.buckets(docs, id_col, "text"), shared_dir(spark)).withColumnRenamed("id", id_col)
 
 
-@query("""WITH RECURSIVE l AS (SELECT doc_id, list_transform(list_sort(list_filter(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x))), lambda x: length(x) >= 20))[1:2], lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT) AS ks FROM documents),
-    o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM l),
-    g AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS seen, NULL::BIGINT AS doc_id, false AS kept
-        UNION ALL SELECT o.r, CASE WHEN list_has_any(seen, ks) THEN seen ELSE list_concat(seen, ks) END, o.doc_id, NOT list_has_any(seen, ks) FROM g JOIN o ON o.r = g.r + 1)
-    SELECT doc_id FROM g WHERE kept""")
+@query(f"WITH {GREEDY} SELECT doc_id FROM kept")
+def greedy_dedup(spark, sf_dir):
+    """Keep iff no earlier kept document shares a MinHash band, in the order of ids."""
+    return kept_of(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LINE_KEYS = "list_transform(list_sort(list_filter(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x))), lambda x: length(x) >= 20))[1:2], lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT)"
+
+
+@query(f"WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, {LINE_KEYS} AS ks FROM documents), {greedy_sql('l')} SELECT doc_id FROM kept")
 def greedy_lines(spark, sf_dir):
     """The greedy rule with lines as keys: keep iff no earlier kept document has one of the document's first two
     lines of 20 characters or more, in the order of their texts."""
@@ -96,11 +109,11 @@ def split_statistics(spark, sf_dir):
     return jsonl.statistics(split_exact(spark, sf_dir), "split")
 
 
-@query(f"""WITH u AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY {FINGERPRINT.format('text')}), o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM u)
-    SELECT split, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, CASE WHEN r <= floor(n * 0.9e0) THEN 'train' WHEN r <= floor(n * 0.9e0) + floor(n * 0.05e0) THEN 'validation' ELSE 'test' END AS split FROM o) GROUP BY split""")
+@query(f"""WITH {GREEDY}, so AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM kept)
+    SELECT split, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, CASE WHEN r <= floor(n * 0.9e0) THEN 'train' WHEN r <= floor(n * 0.9e0) + floor(n * 0.05e0) THEN 'validation' ELSE 'test' END AS split FROM so) GROUP BY split""")
 def merge_dedup_split(spark, sf_dir):
-    """The corpus build: merged, deduplicated, split."""
-    s = dedup.exact_split(dedup_exact(spark, sf_dir), "doc_id")
+    """The corpus build: merged, greedily deduplicated, split."""
+    s = dedup.exact_split(greedy_dedup(spark, sf_dir), "doc_id")
     return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 

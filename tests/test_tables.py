@@ -166,7 +166,7 @@ def test_plans_equal_their_sql(spark, name):
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert set(registry.QUERIES) - set(registry.SQL) == {"greedy_dedup"}
+    assert set(registry.QUERIES) == set(registry.SQL)
 
 
 def test_external_calls_and_code_checks(spark):
