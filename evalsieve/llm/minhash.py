@@ -210,7 +210,8 @@ def verified(docs: DataFrame, tasks: DataFrame) -> DataFrame:
 def bucket_links(spark: SparkSession, docs: DataFrame, member: DataFrame) -> DataFrame:
     """All links that are missing within buckets: member (bucket, bytes, c: how central a node is, and TASK's columns)."""
     many_of = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES))
-    blocks = member.groupBy("bucket").agg(many_of().alias("blocks"))
+    member = written(spark, member, "chosen")
+    blocks = written(spark, member.groupBy("bucket").agg(many_of().alias("blocks")), "blocks")  # written, so that the join can split a bucket
     member = written(spark, member.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "member")
     name = lambda kind, *x: F.concat_ws(":", F.lit(kind), *x)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalsieve.llm import ctw, exact_dedup, licenses, maxscore, minhash, packing, pieces, sharding, templates, toxicity
+from evalsieve.llm import common, ctw, exact_dedup, licenses, maxscore, minhash, packing, pieces, sharding, templates, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, key string, row long, word string"
@@ -103,7 +103,31 @@ def edited(text, seed, n):
     return " ".join(w)
 
 
-def test_near_dedup_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components_equal_union_find(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
+    r = random.Random(8)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, i) for i in range(6000, 6050)] + [(7, 7), (9000, 9000)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(edges, "a long, b long")
+    got = {x.node: x.comp for x in common.components(spark, table, "t").collect()}
+    alone = {x for x in root if all(x not in e or e[0] == e[1] for e in edges)}
+    assert got == {x: find(x) for x in root if x not in alone}
+    assert common.components(spark, table.limit(0), "t").count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(common, "SMALL_GRAPH", small)
     monkeypatch.setattr(minhash, "BLOCK", 16)  # many blocks within one group
     base = prose(1, 120)
     texts = [*ODD, base, base.upper(), *(edited(base, s, 1 + s % 4) for s in range(80)), *(prose(s, 60) for s in range(50, 80)), "a b c", "A b C", ("x y z " * 40).strip(), ("x y z " * 41).strip(), ("x y z " * 20).strip()]
