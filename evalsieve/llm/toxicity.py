@@ -34,6 +34,7 @@ from .common import kept, slices, small_batches, text_or_empty, written
 EXAMPLES, K, BLOCK, VAGUE = 4096, 9, 64, 0.5
 DENSE, SLACK, TOGETHER = 16, 0.01, 128
 BEGINNING, MIN_DF = 5, 2
+PORTION = 500_000
 EDGES = ".,;:!?\"'()[]{}<>*#%&-_"
 
 
@@ -110,7 +111,7 @@ class BlockMaxIndex:
         np.maximum.at(most, terms, weights)
         self.use(vectors | {
             "n": n, "block": block, "place": place, "matrix": matrix, "rows": rows.astype(np.min_scalar_type(n)), "weights": weights, "start": begins(terms), "most": most,
-            "block_start": begins(terms[first]), "block_of": (rows[first] // block).astype(np.int32), "block_max": block_max,
+            "block_start": begins(terms[first]), "block_of": (rows[first] // block).astype(np.min_scalar_type(n // block)), "block_max": block_max,
         })
 
     def use(self, arrays: dict) -> BlockMaxIndex:
@@ -210,7 +211,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     def rows_of(batches):
         kept()
         vectors = Vectors(*learnt.value)
-        for b in slices(batches):
+        for b in slices(batches, "text", PORTION):
             start, found, w = vectors.of(b.column("text"))
             lists = [pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(x, t)) for x, t in ((found, pa.int32()), (w, pa.float32()))]
             yield pa.record_batch([b.column("doc_id"), b.column("y"), *lists], ["doc_id", "y", "terms", "weights"])
@@ -256,7 +257,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
         kept()
         model = shared.value
         scorer = Scorer(model)
-        for b in slices(batches):
+        for b in slices(batches, "text", PORTION):
             found = list(scorer.score_all(b.column("text")))
             rows = np.concatenate([r for _, r, _ in found])
             parts = [pa.array(model["ids"][rows]), pa.array(model["y"][rows], pa.int32()), pa.array(np.concatenate([x for _, _, x in found]))]
@@ -276,7 +277,7 @@ def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     def run(batches):
         kept()
         scorer = Scorer(shared.value)
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, PORTION):
             texts = pc.fill_null(b.column(text_col).cast(pa.string()), "")
             yield b.filter(pa.array([s < most for s, _, _ in scorer.score_all(texts)], pa.bool_()))
 
