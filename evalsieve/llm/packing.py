@@ -27,10 +27,10 @@ import gc
 import json
 import os
 import zlib
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from .common import kept, slices, small_batches, text_or_empty, written
 
 CAPACITY, SMALL, GROUPS, CLOSE = 2048, 1 / 3, 64, 0
-MEMO, PORTION = 320_000, 4_500_000
+MEMO, PORTION = 400_000, 2_000_000
 
 
 class ChunkIds:
-    """Token ids, as bytes of unsigned 32-bit numbers, of texts cut at blanks and line feeds.
+    """Token ids of texts cut at blanks and line feeds, as unsigned 32-bit numbers.
 
     Holds for tokenizers that lower-case, part letters from other characters and never join across white space; a
     text's ids are then those of its chunks, and letters before one of PUNCTUATION stand on their own. Others get
@@ -64,43 +64,53 @@ class ChunkIds:
         if self.by_chunk:
             bytes_only = said["pre_tokenizer"]["pretokenizers"][1]
             self.letters = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": bytes_only, "added_tokens": []}))
-        self.known: dict[str, bytes] = {"": b""}
-        if self.by_chunk:
-            self.known.update(zip(sorted(self.PUNCTUATION), self.whole(sorted(self.PUNCTUATION))))
+            self.marks = {"": b""} | dict(zip(sorted(self.PUNCTUATION), self.whole(sorted(self.PUNCTUATION))))
+        # the chunks remembered, and where each one's ids are in `flat`; the first ones met, which mostly are the frequent ones
+        self.chunks, self.flat, self.start = pa.array([], pa.string()), np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
 
-    def learn(self, new: set[str]) -> list[str]:
-        """Encodes new chunks; returns all that was added."""
-        known, marks, letters = self.known, self.PUNCTUATION, self.LETTERS
-        chunks = list(new)
-        bodies = [c[:-1] if c[-1] in marks else c for c in chunks]
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks that aren't remembered."""
+        marks, letters = self.marks, self.LETTERS
+        bodies = [c[:-1] if c and c[-1] in marks else c for c in chunks]
         lows = [x.lower() if x.isalpha() and (x.isascii() or (max(x) < letters and len(x.lower()) == len(x))) else "" for x in bodies]
-        plain = [c for c, low in zip(chunks, lows) if not low]
-        cut = [(c, low, c[len(low) :]) for c, low in zip(chunks, lows) if low and low != c]
-        known.update(zip(plain, self.whole(plain)))
-        words = list(set(lows).difference(known))
+        plain = [c for c, low in zip(chunks, lows) if not low and c]
+        known = dict(zip(plain, self.whole(plain)), **{"": b""})
+        words = list(dict.fromkeys(low for low in lows if low))
         for at in range(0, len(words), 8 * self.CALL):
             calls = [words[i : i + self.CALL] for i in range(at, min(at + 8 * self.CALL, len(words)), self.CALL)]
             for call, e in zip(calls, self.letters.encode_batch(calls, is_pretokenized=True, add_special_tokens=False)):
                 buf = array.array("I", e.ids).tobytes()
                 ends = (4 * np.searchsorted(np.array(e.word_ids), np.arange(1, len(call) + 1))).tolist()
                 known.update(zip(call, map(buf.__getitem__, map(slice, [0, *ends], ends))))
-        known.update([(c, known[low] + known[mark] if mark else known[low]) for c, low, mark in cut])
-        return [*plain, *words, *(c for c, _, _ in cut)]
+        return [known[low] + marks[c[len(low) :]] if low else known[c] for c, low in zip(chunks, lows)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after another; where each text's ids end)."""
         if not self.by_chunk:
-            return self.whole(texts)
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        added = self.learn(set().union(*parts).difference(self.known))
-        # itemgetter looks up all chunks of a text in one call; of a single one it gives no tuple
-        out = [b"".join(itemgetter(*p)(self.known)) if len(p) > 1 else self.known[p[0]] for p in parts]
-        # the first chunks met are mostly the frequent ones: they stay, side by side in memory, and later ones go again
-        for c in added[max(0, MEMO - len(self.known) + len(added)) :]:
-            del self.known[c]
-        return out
+            found = self.whole(texts.to_pylist())
+            return np.frombuffer(b"".join(found), np.uint32), np.cumsum([len(x) // 4 for x in found], dtype=np.int64)
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        place = pc.index_in(coded.dictionary, self.chunks)
+        new = coded.dictionary.filter(pc.is_null(place))
+        ids = self.learn(new.to_pylist())
+        flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), np.uint32)))
+        start = np.concatenate((self.start, self.start[-1] + np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
+        at = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at[at < 0] = len(self.chunks) + np.arange(len(new))
+        each = at[coded.indices.to_numpy()]
+        n = start[each + 1] - start[each]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(start[each] - (ends - n), n) + np.arange(n.sum())]
+        if room := min(len(new), MEMO - len(self.chunks)):
+            self.chunks = pa.concat_arrays([self.chunks, new[:room]])
+            self.start = start[: len(self.chunks) + 1]
+            self.flat = flat[: self.start[-1]]
+        last = np.cumsum(pc.list_value_length(parts).to_numpy())
+        return out, np.concatenate(([0], ends))[last]
 
 
 def cutter(path: str, capacity: int, close: int, with_ids: bool = False):
@@ -115,8 +125,9 @@ def cutter(path: str, capacity: int, close: int, with_ids: bool = False):
         gc.disable()  # millions of small objects, none of them in cycles
         for b in slices(batches, "text", PORTION):
             out: list[list] = [[] for _ in names]
-            for doc_id, buf in zip(b.column("doc_id").to_pylist(), coder.encode(b.column("text").to_pylist())):
-                buf += closing
+            ids, ends = coder.encode(b.column("text"))
+            for doc_id, first, last in zip(b.column("doc_id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                buf = ids[first:last].tobytes() + closing
                 n = len(buf) // 4
                 for piece, at in enumerate(range(0, n, capacity)):
                     part = buf[4 * at : 4 * (at + capacity)]
