@@ -31,7 +31,7 @@ def newton_sql(steps: int = 12) -> str:
     tail AS (SELECT item, greatest(0e0, 1 - 2 * exp(lgamma((n - 1) / 2e0) - lgamma((n - 2) / 2e0)) / sqrt(pi()) * asin(abs(rho)) / 3000 * list_sum(list_transform(range(1001),
         lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(cos(asin(abs(rho)) * i / 1000), n - 3)))) AS p FROM tell WHERE rho IS NOT NULL),
     fit AS (SELECT *, coalesce(nullif(concat_ws(',', CASE WHEN a < 0.3e0 AND a > 0 THEN 'LOW_DISCRIMINATION' END, CASE WHEN b > 3 THEN 'FLOOR' END, CASE WHEN b < -3 THEN 'CEILING' END), ''), 'OK') AS flags FROM (
-        SELECT item, CASE WHEN mean >= 0.99e0 OR mean <= 0.01e0 THEN 0e0 ELSE u END AS a, CASE WHEN mean >= 0.99e0 THEN -4e0 WHEN mean <= 0.01e0 THEN 4e0 ELSE -v / u END AS b, coalesce(p, 'NaN'::DOUBLE) AS fit_p_value
+        SELECT item, CASE WHEN mean >= 0.99e0 OR mean <= 0.01e0 THEN 0e0 ELSE u END AS a, CASE WHEN mean >= 0.99e0 THEN -4e0 WHEN mean <= 0.01e0 THEN 4e0 ELSE -v / u END AS b, p AS fit_p_value
         FROM w{steps} JOIN tell USING (item) LEFT JOIN tail USING (item)))"""
 
 
