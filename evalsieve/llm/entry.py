@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, exact_dedup, licenses, maxscore, minhash, packing, pieces, sharding, templates, toxicity
+from . import ctw, exact_dedup, licenses, maxscore, media, minhash, packing, pieces, sharding, spelling, templates, toxicity, whitening
 
 
 def tokenizer_file(name: str) -> str:
@@ -61,6 +61,21 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = media.read(media.stored(table(spark, sf_dir, "documents")))
+    size = F.concat_ws("x", "width", "height"), F.concat_ws("x", "thumbnail_width", "thumbnail_height")
+    feature = F.concat_ws(" ", size[0], F.concat(F.lit("thumbnail="), size[1]), F.concat(F.lit("crc32="), F.lower(F.hex("thumbnail_crc32"))), F.concat(F.lit("average="), "average_hash"), F.concat(F.lit("difference="), "difference_hash"))
+    return said.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def line_templates_sql(splits: int = templates.SPLITS) -> str:
     """The template tree, a group of common table expressions for each level."""
     of_size = "QUALIFY sum(docs) OVER (PARTITION BY node) >= 10 AND count(*) OVER (PARTITION BY node) > 1"
@@ -110,6 +125,30 @@ SQL = {
             FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
         SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM p
         WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op11_spelling_groups": """
+        WITH RECURSIVE d AS (
+            SELECT coalesce(doc_id::VARCHAR, 'null') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+        o AS MATERIALIZED (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS k FROM d WHERE length(run) >= 7 GROUP BY ALL),
+        t AS MATERIALIZED (
+            SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, i)) AS crc),
+        b AS (SELECT id, w, k, flatten(list_transform(string_split(id || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS bs FROM o),
+        h AS MATERIALIZED (SELECT w, k, xor(list_reduce(bs, lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM b, t),
+        c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+        v AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM c WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+        i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+        m AS MATERIALIZED (SELECT word, n, i || ':' || substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS masked FROM i),
+        s AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS shorter FROM i),
+        u AS MATERIALIZED (SELECT s.word, s.n, v.word AS other, v.n AS other_n FROM s JOIN v ON v.word = s.shorter),
+        p AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM m a JOIN m b USING (masked) WHERE a.word <> b.word
+            UNION ALL SELECT word, n, other, other_n FROM u UNION ALL SELECT other, other_n, word, n FROM u),
+        q AS MATERIALIZED (
+            SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) FILTER (other_n >= 10 * n) AS form, max(other_n) FILTER (other_n >= 10 * n) AS form_n
+            FROM p GROUP BY word),
+        r AS (SELECT word, form AS root FROM q WHERE form IS NOT NULL UNION ALL SELECT r.word, q.form FROM r JOIN q ON q.word = r.root WHERE q.form IS NOT NULL),
+        e AS (SELECT r.word, r.root FROM r LEFT JOIN q ON q.word = r.root WHERE q.form IS NULL)
+        SELECT v.word, form, coalesce(root, v.word) AS root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+        FROM v LEFT JOIN q ON q.word = v.word LEFT JOIN e ON e.word = v.word""",
     "op8_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
