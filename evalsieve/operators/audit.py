@@ -93,3 +93,10 @@ def as_json(report: DataFrame) -> Column:
 def as_text() -> Column:
     """The audit's row for people."""
     return F.format_string("%d items, %d contaminated (%.1f%%), %.1f%% with shortcuts: %s", "n_items", "n_contaminated", F.col("contamination_score") * 100, F.col("flagged_item_fraction") * 100, "recommendation")
+
+
+def named(cases: DataFrame, truth: str, response: str) -> DataFrame:
+    """(accuracy, n): a case is right if its response holds the true pattern's id, or what stands before its underscore. Without
+    a response it is wrong."""
+    right = F.contains(response, truth) | F.contains(F.col(response), F.substring_index(truth, "_", 1))
+    return cases.agg(F.avg(F.coalesce(right, F.lit(False)).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))

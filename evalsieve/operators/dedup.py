@@ -24,20 +24,24 @@ def split_order(key: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed + "|"), key.cast("string")))
 
 
-def exact_split(rows: DataFrame, id_col: str, seed: str = "42", train: float = 0.9, validation: float = 0.05) -> DataFrame:
-    """(id, split) of exact sizes: int(train * n), int(validation * n), the rest test.
+def ranked(rows: DataFrame, id_col: str, seed: str = "42") -> DataFrame:
+    """(id, nth, all): each row's place, from 1, in the order of a hash of its id, and the number of rows.
 
-    Global ranks come from counts per range of the hash, so no task sorts all rows: rows are numbered within one of
-    65,536 ranges and the ranges' totals, as many numbers, are added up.
+    Ranks come from counts per range of the hash, so no task sorts all rows: rows are numbered within one of 65,536
+    ranges and the ranges' totals, as many numbers, are added up.
     """
     h = rows.select(F.col(id_col).alias("id"), split_order(F.col(id_col), seed).alias("h")).withColumn("part", F.substring("h", 1, 4))
     sizes = h.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("part")
     before = sizes.select("part", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("all"))
     nth = F.row_number().over(Window.partitionBy("part").orderBy("h", "id")) + F.col("before")
-    ranked = h.join(F.broadcast(before), "part").select("id", nth.alias("nth"), "all")
+    return h.join(F.broadcast(before), "part").select(F.col("id").alias(id_col), nth.alias("nth"), "all")
+
+
+def exact_split(rows: DataFrame, id_col: str, seed: str = "42", train: float = 0.9, validation: float = 0.05) -> DataFrame:
+    """(id, split) of exact sizes: int(train * n), int(validation * n), the rest test."""
     n_train, n_val = F.floor(F.col("all") * F.lit(train)), F.floor(F.col("all") * F.lit(validation))
-    return ranked.select(F.col("id").alias(id_col), F.when(F.col("nth") <= n_train, "train").when(F.col("nth") <= n_train + n_val, "validation").otherwise("test").alias("split"))
+    return ranked(rows, id_col, seed).select(id_col, F.when(F.col("nth") <= n_train, "train").when(F.col("nth") <= n_train + n_val, "validation").otherwise("test").alias("split"))
 
 
 def sampled(rows: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
@@ -45,6 +49,15 @@ def sampled(rows: DataFrame, id_col: str, n: int, seed: str) -> DataFrame:
     return rows.orderBy(split_order(F.col(id_col), seed), id_col).limit(n)
 
 
+def drawn(rows: DataFrame, id_col: str, n: int, seed: str, first: int = 0) -> DataFrame:
+    """(draw, id): n draws with replacement, numbered from `first`. Draw i takes the row whose rank is a hash of i, so draws
+    don't depend on each other: more of them, or the same again, can be taken at any time. No rows, no draws."""
+    ranks = ranked(rows, id_col, seed)
+    draws = rows.sparkSession.range(first, first + n).select(F.col("id").alias("draw"), F.conv(F.substring(split_order(F.col("id"), seed + "|draw"), 1, 15), 16, 10).cast("long").alias("x"))
+    known = ranks.agg(F.max("all").alias("all")).where("all is not null")  # one row
+    return draws.crossJoin(F.broadcast(known)).select("draw", (F.col("x") % F.col("all") + 1).alias("nth")).join(ranks.select(id_col, "nth"), "nth").select("draw", id_col)
+
+
 #: modulus of the permutations: a prime, so that products with 28-bit hashes stay within 64 bits
 PRIME = 2147483647
 
@@ -75,8 +88,11 @@ def similar_sets(spark: SparkSession, rows: DataFrame, id_col: str, text_col: st
     Texts with the same words are one set, named by the smallest of their ids; the second table tells each text's set.
     The first has every pair of sets, a < b, whose Jaccard similarity is `similarity` or more. Words are ordered from
     rare to frequent (`common` of the most frequent are ranked, the others come first in the order of their hashes), and
-    two similar sets share a word among the first of either, as many as could be missing and one more. A pair is formed
-    only at the first such word that it shares, and only of sets whose sizes allow it.
+    two similar sets share a word among the first of either, as many as could be missing and one more.
+
+    Sets meet as rows (word, set, size, place), which carry no other words, so what is shuffled grows with the number of
+    words. At the first word that two sets share, none before it is common, so they can have that word and as many more as
+    follow it in the one with fewer left; pairs that need more are dropped there. Only sets of the pairs left are fetched.
     """
     from ..sources.store import written
 
@@ -85,16 +101,19 @@ def similar_sets(spark: SparkSession, rows: DataFrame, id_col: str, text_col: st
     one = written(spark, sets.groupBy("h", "k").agg(F.min("id").alias("set_id"), F.first("t").alias("t")), "sets")
     members = sets.select("id", "h", "k").join(one.select("h", "k", "set_id"), ["h", "k"]).select("id", "set_id")
 
-    words = one.select("set_id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    words = one.select("set_id", F.explode("t").alias("w"))
     ranks = words.groupBy("w").agg(F.count(F.lit(1)).alias("f")).orderBy(F.desc("f"), "w").limit(common)
-    ordered = words.join(F.broadcast(written(spark, ranks, "ranks")), "w", "left").groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("o"))
-    length = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
-    starts = written(spark, ordered.select("set_id", "n", F.transform(F.slice("o", F.lit(1), length), lambda x: x.w).alias("p")), "starts")
-    left = starts.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.explode("p").alias("w"))
-    right = starts.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.explode("p").alias("w"))
+    ordered = words.join(F.broadcast(written(spark, ranks, "ranks")), "w", "left").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w"))).alias("o"))
+    n = F.size("o")
+    first = F.slice("o", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
+    placed = written(spark, ordered.select("set_id", n.alias("n"), F.posexplode(F.transform(first, lambda x: x.w)).alias("at", "w")), "places")
+    left, right = (placed.select("w", F.col("set_id").alias(s), F.col("n").alias(f"n{s}"), F.col("at").alias(f"at{s}")) for s in ("a", "b"))
     sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
-    met = left.join(right, "w").where((F.col("a") < F.col("b")) & sizes & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("w"))).select("a", "b")
-    sides = [one.select(F.col("set_id").alias(c), F.col("t").alias(f"t{c}")) for c in ("a", "b")]
+    most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))  # places count from 0: this word and all after it
+    enough = most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    met = written(spark, left.join(right, "w").where((F.col("a") < F.col("b")) & sizes & enough).select("a", "b").distinct(), "met")
+    needed = one.join(met.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "set_id", "left_semi")
+    sides = [needed.select(F.col("set_id").alias(c), F.col("t").alias(f"t{c}")) for c in ("a", "b")]
     pairs = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
     return pairs.where(F.col("jaccard") >= similarity), members
 

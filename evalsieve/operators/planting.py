@@ -62,5 +62,26 @@ def labelled_mix(items: DataFrame, id_col: str, n: int, seed: str = "mix") -> Da
     return named(flawed, "planted").unionByName(named(clean, "clean"))
 
 
-def bundle(key: Column, bundles: int, seed: str = "bundle") -> Column:
-    return draw(key, seed, bundles)
+def bundles(items: DataFrame, id_col: str, n: int, seed: str = "bundle", least: int = 5, most: int = 15, tenths: int = 3) -> DataFrame:
+    """n bundles of `least` to `most` different items each (all, if there are fewer), in which `tenths` items in ten get a fault:
+    (bundle, items, shortcuts_planted, n_shortcuts); items: slot, id, question, choices, answer, planted_type.
+
+    A bundle's slots are the first places of a permutation of all items' ranks, a different one for each bundle, so they
+    meet their items by an equi-join on ranks. Faults that don't fit an item leave it as it is and aren't in the ground truth.
+    """
+    from .dedup import ranked
+    from .ranges import shuffled_place
+
+    ranks = ranked(items, id_col, seed)
+    known = ranks.agg(F.max("all").alias("all")).where("all is not null")  # one row
+    each = items.sparkSession.range(n).select(F.col("id").alias("bundle")).crossJoin(F.broadcast(known))
+    size = F.least(least + draw(F.col("bundle"), seed + "|size", most - least + 1), F.col("all")).cast("int")
+    slots = each.select("bundle", "all", F.explode(F.sequence(F.lit(0), size - 1)).alias("slot"))
+    place = shuffled_place(F.col("slot").cast("long"), F.col("all"), F.concat(F.lit(seed + "|"), F.col("bundle").cast("string")))
+    key = F.concat_ws("|", F.col("bundle").cast("string"), F.col("slot").cast("string"))
+    kind = F.when(draw(key, seed + "|plant", 10) < tenths, F.get(F.array(*map(F.lit, values.PLANT_SEVERITY)), draw(key, seed + "|kind", len(values.PLANT_SEVERITY))))
+    chosen = slots.select("bundle", "slot", (place + 1).alias("nth"), kind.alias("_kind")).join(ranks.select(id_col, "nth"), "nth").join(items, id_col)
+    flawed = planted(chosen, id_col, F.col("_kind"))
+    told = flawed.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("slot", F.col(id_col).alias("id"), "question", "choices", "answer", "planted_type"))).alias("items"))
+    truth = F.array_sort(F.array_distinct(F.array_compact(F.col("items.planted_type"))))
+    return told.select("bundle", "items", truth.alias("shortcuts_planted"), F.size(truth).alias("n_shortcuts"))

@@ -1,11 +1,9 @@
-"""Numerical helpers in numpy for what SQL lacks: Student's t tail and logistic fits."""
+"""Numerical helpers for what SQL lacks: Student's t tail."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by Lentz's continued fraction."""
@@ -38,44 +36,3 @@ def correlation_p_value(r: float, n: int) -> float:
     df = n - 2
     t2 = r * r * df / (1 - r * r)
     return incomplete_beta(df / 2, 0.5, df / (df + t2))
-
-
-def log_likelihood(r: np.ndarray, theta: np.ndarray, a: float, b: float) -> float:
-    p = np.clip(1 / (1 + np.exp(-a * (theta - b))), 1e-8, 1 - 1e-8)
-    return float((r * np.log(p) + (1 - r) * np.log(1 - p)).sum())
-
-
-def fit_2pl(r: np.ndarray, theta: np.ndarray, a_range=(0.01, 5.0), b_range=(-4.0, 4.0)) -> tuple[float, float]:
-    """Most likely (a, b) in the box for fixed abilities.
-
-    The logit a * theta - a * b is linear in (a, -a * b) and its likelihood concave, so Newton steps find the maximum;
-    if it lies outside the box, the maximum is on a face, where one parameter is fixed and the other found by
-    golden-section search.
-    """
-    x = np.stack([theta, np.ones_like(theta)], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-10 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (r - p))
-        w = w + np.clip(step, -5, 5)
-        if abs(step).max() < 1e-10:
-            break
-    a = float(w[0])
-    b = float(-w[1] / w[0]) if w[0] else math.inf
-    if a_range[0] <= a <= a_range[1] and b_range[0] <= b <= b_range[1]:
-        return a, b
-
-    def best(f, low: float, high: float) -> float:
-        ratio = (math.sqrt(5) - 1) / 2
-        grid = np.linspace(low, high, 41)
-        k = int(np.argmax([f(v) for v in grid]))
-        low, high = grid[max(0, k - 1)], grid[min(40, k + 1)]
-        while high - low > 1e-9:
-            m, n = high - ratio * (high - low), low + ratio * (high - low)
-            low, high = (low, n) if f(m) >= f(n) else (m, high)
-        return float((low + high) / 2)
-
-    found = [(a0, best(lambda v: log_likelihood(r, theta, a0, v), *b_range)) for a0 in a_range]  # noqa: B023
-    found += [(best(lambda v: log_likelihood(r, theta, v, b0), *a_range), b0) for b0 in b_range]  # noqa: B023
-    return max(found, key=lambda ab: log_likelihood(r, theta, *ab))

@@ -122,6 +122,15 @@ def hash_sample(spark, sf_dir):
     return dedup.sampled(table(spark, sf_dir, "documents"), "doc_id", 100, "draw").select("doc_id")
 
 
+@query("""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('pick|' || doc_id), doc_id) AS nth FROM documents),
+    d AS (SELECT i AS draw, ('0x' || substr(md5('pick|draw|' || i), 1, 15))::BIGINT % (SELECT count(*) FROM documents) + 1 AS nth FROM (SELECT unnest(range((SELECT count(*) FROM documents))) AS i))
+    SELECT draw, doc_id FROM d JOIN o USING (nth)""")
+def drawn_with_replacement(spark, sf_dir):
+    """As many draws as there are documents: about a third of these are never drawn, others several times."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return dedup.drawn(docs, "doc_id", docs.count(), "pick")
+
+
 @query(f"SELECT {DIFFICULTY} AS difficulty, lang, coalesce(quality, -1) AS quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
 def difficulty_dist(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
@@ -388,7 +397,7 @@ def correlation_log(spark, sf_dir):
     """Two appends to one log, read back as a whole."""
     from ..operators import correlation
 
-    r = correlation.records(measurements(spark, sf_dir), ["benchmark", "period"], "model", "bench_score", "downstream_score").select("benchmark", "period", "n_models", F.round("pearson", 6).alias("pearson"))
+    r = correlation.records(measurements(spark, sf_dir), ["benchmark", "period"], "bench_score", "downstream_score").select("benchmark", "period", "n_models", F.round("pearson", 6).alias("pearson"))
 
     def write(path):
         jsonl.append(r.where("period % 2 = 0"), path)

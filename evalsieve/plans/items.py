@@ -102,15 +102,21 @@ KINDS = list(values.PLANT_SEVERITY)
 DRAW = "(('0x' || substr(md5('{}|' || doc_id), 1, 8))::UBIGINT % {})::INTEGER"
 KIND = f"[{', '.join(map(quoted, KINDS))}][{DRAW.format('kind', 5)} + 1]"
 PHRASES = "[" + ", ".join(map(quoted, values.PLANT_PHRASES)) + "]"
-PLANTED_SQL = f"""
-    pk AS (SELECT *, {KIND} AS planted_type, choices[ascii(answer) - 64] AS correct FROM mcq),
-    planted AS (SELECT doc_id, planted_type,
+
+def planted_sql(source: str, kind: str, name: str = "planted", more: str = "") -> str:
+    """CTEs that end in `name`: the source's items with the fault that an expression names (null: none)."""
+    return f"""
+    {name}_k AS (SELECT *, {kind} AS planted_type, choices[ascii(answer) - 64] AS correct FROM {source}),
+    {name} AS (SELECT doc_id, planted_type,{more}
         CASE planted_type WHEN 'ngram_overlap' THEN {PHRASES}[{DRAW.format('phrase', 3)} + 1] || ' ' || question
             WHEN 'template_fill' THEN 'The answer to ''' || substr(question, 1, 50) || '...'' is: ___'
             WHEN 'answer_leak' THEN question || ' (Note: ' || array_to_string(({WORDS.format('correct')})[1:3], ' ') || ' is relevant.)' ELSE question END AS question,
         CASE planted_type WHEN 'length_bias' THEN list_transform(choices, lambda c, i: CASE WHEN i = ascii(answer) - 64 THEN c || {quoted(values.PLANT_SUFFIX)} ELSE c END)
             WHEN 'position_bias' THEN list_concat([correct], list_filter(choices, lambda c, i: i <> ascii(answer) - 64)) ELSE choices END AS choices,
-        CASE planted_type WHEN 'position_bias' THEN 'A' ELSE answer END AS answer FROM pk)"""
+        CASE planted_type WHEN 'position_bias' THEN 'A' ELSE answer END AS answer FROM {name}_k)"""
+
+
+PLANTED_SQL = planted_sql("mcq", KIND)
 
 
 def planted(spark, sf_dir):
@@ -143,12 +149,30 @@ def planted_recall(spark, sf_dir):
     return found.groupBy("planted_type").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_contains("kinds", F.col("planted_type")).cast("double")).alias("recall"))
 
 
-@query(f"""WITH {MCQ_SQL}, b AS (SELECT doc_id, {DRAW.format('bundle', 50)} AS bundle, ('0x' || substr(md5('plant|' || doc_id), 1, 8))::UBIGINT % 10 < 3 AS planted, {KIND} AS kind FROM mcq)
-    SELECT bundle, count(*) AS n_items, count(*) FILTER (planted) AS n_planted, coalesce(array_to_string(list_sort(list(DISTINCT kind) FILTER (planted)), ','), '') AS kinds FROM b GROUP BY bundle""")
+HASHED = "('0x' || substr(md5({}), 1, 8))::UBIGINT"
+#: one pass of the network over left * base + right, and the walk until it ends within n
+FEISTEL = "list_reduce(range(4), lambda s, r: (s % base) * base + ((s // base) + ('0x' || substr(md5('bundle|' || bundle || '|' || r || '|' || (s % base)), 1, 7))::BIGINT) % base, {})"
+WALK = f"list_reduce(range(64), lambda x, i: CASE WHEN x < n THEN x ELSE {FEISTEL.format('x')} END, {FEISTEL.format('slot')})"
+SLOT_KIND = "CASE WHEN {} % 10 < 3 THEN {}[({} % 5)::INTEGER + 1] END".format(HASHED.format("'bundle|plant|' || key"), f"[{', '.join(map(quoted, KINDS))}]", HASHED.format("'bundle|kind|' || key"))
+BUNDLE_SIZE = HASHED.format("'bundle|size|' || bundle")
+
+
+@query(f"""WITH {MCQ_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY md5('bundle|' || doc_id), doc_id) - 1 AS place FROM mcq),
+    e AS (SELECT n, ceil(sqrt(n))::BIGINT AS base, unnest(range(greatest(1, n // 10))) AS bundle FROM (SELECT count(*) AS n FROM mcq)),
+    s AS (SELECT *, unnest(range(least(5 + {BUNDLE_SIZE} % 11, n)::BIGINT)) AS slot FROM e),
+    c AS (SELECT bundle, slot, bundle || '|' || slot AS key, {WALK} AS place FROM s),
+    i AS (SELECT bundle, slot, key, o.* FROM c JOIN o USING (place)), {planted_sql("i", SLOT_KIND, "p", " bundle, slot,")}
+    SELECT bundle, count(*) AS n_items, count(planted_type) AS n_planted, coalesce(array_to_string(list_sort(list(DISTINCT planted_type) FILTER (planted_type IS NOT NULL)), ','), '') AS shortcuts_planted,
+        count(DISTINCT planted_type) AS n_shortcuts, string_agg(doc_id::VARCHAR, ',' ORDER BY slot) AS ids,
+        md5(string_agg(concat_ws('|', question, array_to_string(choices, '|'), answer, planted_type), chr(10) ORDER BY slot)) AS items_md5 FROM p GROUP BY bundle""")
 def planted_bundles(spark, sf_dir):
-    kind = F.get(F.array(*map(F.lit, KINDS)), planting.draw(F.col("doc_id"), "kind", 5))
-    b = mcq(spark, sf_dir).select(planting.bundle(F.col("doc_id"), 50).alias("bundle"), (planting.draw(F.col("doc_id"), "plant", 10) < 3).alias("planted"), kind.alias("kind"))
-    return b.groupBy("bundle").agg(F.count(F.lit(1)).alias("n_items"), F.count_if("planted").alias("n_planted"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("planted"), F.col("kind")))), ",").alias("kinds"))
+    """A bundle for every ten items: which items it holds, what they became, and the ground truth."""
+    items = mcq(spark, sf_dir)
+    found = planting.bundles(items, "doc_id", max(1, items.count() // 10))
+    lines = F.transform("items", lambda x: F.concat_ws("|", x.question, F.array_join(x.choices, "|"), x.answer, x.planted_type))
+    ids = F.array_join(F.transform("items", lambda x: x.id.cast("string")), ",")
+    n_planted = F.size(F.filter("items", lambda x: x.planted_type.isNotNull())).cast("long")
+    return found.select("bundle", F.size("items").cast("long").alias("n_items"), n_planted.alias("n_planted"), F.array_join("shortcuts_planted", ",").alias("shortcuts_planted"), F.col("n_shortcuts").cast("long").alias("n_shortcuts"), ids.alias("ids"), F.md5(F.array_join(lines, "\n")).alias("items_md5"))
 
 
 MIX_SQL = f"""{MCQ_SQL}, {PLANTED_SQL}, mo AS (SELECT doc_id, row_number() OVER (ORDER BY md5('mix|' || doc_id), doc_id) AS nth FROM mcq),
@@ -217,10 +241,14 @@ def format_reward(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.format_reward(said).alias("reward"), F.get_json_object(text.json_text(said), "$.k").cast("long").alias("k"))
 
 
-@query("""WITH t AS (SELECT * FROM (VALUES """ + ", ".join(f"({quoted(a)}, {quoted(b)}, {quoted(c)})" for a, b, c in values.PATTERNS) + """) v(pattern_id, category, name))
-    SELECT category, count(*) AS n, min(pattern_id) AS first_id FROM t GROUP BY category""")
+@query(f"""{RULES}, t AS (SELECT * FROM (VALUES {", ".join(f"({quoted(a)}, {quoted(b)})" for a, b, _ in values.PATTERNS)}) v(pattern_id, category)),
+    p AS (SELECT pattern, count(*) AS n FROM (SELECT unnest(string_split(patterns, ',')) AS pattern FROM reports WHERE patterns <> '') GROUP BY pattern)
+    SELECT category, count(*) AS n_patterns, min(pattern_id) AS first_id, count(n) AS n_found, coalesce(sum(n), 0)::BIGINT AS n_findings FROM t LEFT JOIN p ON substr(pattern_id, 5) = pattern GROUP BY category""")
 def taxonomy_summary(spark, sf_dir):
-    return taxonomy.patterns(spark).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("pattern_id").alias("first_id"))
+    """Categories: how many patterns they have, how many of these the items show, and how often."""
+    found = shortcuts.reports(mcq(spark, sf_dir), "doc_id").select(F.explode("shortcuts.pattern").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    known = taxonomy.patterns(spark).withColumn("pattern", F.substring("pattern_id", 5, 100))
+    return known.join(found, "pattern", "left").groupBy("category").agg(F.count(F.lit(1)).alias("n_patterns"), F.min("pattern_id").alias("first_id"), F.count("n").alias("n_found"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_findings"))
 
 
 @query(f"""{RULES}, t AS (SELECT * FROM (VALUES {", ".join(f"({quoted(a)}, {quoted(b)})" for a, b, _ in values.PATTERNS)}) v(pattern_id, category)),
@@ -232,17 +260,19 @@ def pattern_lookup(spark, sf_dir):
     return found.join(known, "pattern").groupBy("pattern_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-ACCURACY_SQL = """SELECT avg((answer_id = (list_value('G01','G02','G03','G04'))[(conv_id % 4 + 1)::INTEGER])::INTEGER) AS accuracy, count(*) AS n FROM (
-    SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'G01' ELSE (list_value('G01','G02','G03','G04'))[(conv_id % 4 + 1)::INTEGER] END AS answer_id FROM conversations WHERE turn = 0)"""
+ACCURACY_SQL = """SELECT avg(coalesce(contains(said, truth) OR contains(said, split_part(truth, '_', 1)), false)::INTEGER) AS accuracy, count(*) AS n FROM (
+    SELECT truth, string_agg(text, chr(10) ORDER BY turn) AS said FROM (SELECT conv_id, lower(regexp_extract(text, '[A-Za-zÀ-ÿ]+')) || '_' || role AS truth FROM conversations WHERE turn = 0) c
+    LEFT JOIN (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') a USING (conv_id) GROUP BY conv_id, truth)"""
 
 
 @query(ACCURACY_SQL)
 def pattern_accuracy(spark, sf_dir):
-    ids = F.array(*[F.lit(x) for x in ("G01_length_bias", "G02_lexical_overlap", "G03_negation_artifact", "G04_position_bias")])
-    truth = F.get(ids, (F.col("conv_id") % 4).cast("int"))
-    said = F.concat(F.lit("it is "), F.when(F.col("conv_id") % 3 == 0, F.lit("G01")).otherwise(F.substring(truth, 1, 3)), F.lit("."))
-    right = F.contains(said, truth) | F.contains(said, F.substring_index(truth, "_", 1))
-    return table(spark, sf_dir, "conversations").where("turn = 0").agg(F.avg(right.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    """Whether replies name what they were asked: a conversation's pattern is the first word of its first turn, with the role
+    behind it, and its response all that the assistant says."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("turn = 0").select("conv_id", F.concat(F.lower(F.regexp_extract("text", "[A-Za-zÀ-ÿ]+", 0)), F.lit("_"), "role").alias("truth"))
+    replies = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), "\n").alias("said"))
+    return audit.named(asked.join(replies, "conv_id", "left"), "truth", "said")
 
 
 AUDIT_SQL = f"""{RULES}, bad AS (SELECT doc_id FROM mcq WHERE question IN (SELECT question FROM mcq GROUP BY question HAVING count(*) > 1) OR ({AUDIT_FLAGS})),

@@ -58,7 +58,7 @@ def ability_logit(spark, sf_dir):
     return irt.abilities(responses(spark, sf_dir)).withColumn("theta", F.round("theta", RND))
 
 
-@query(f"WITH {RESPONSES_SQL}, kept AS (SELECT model, item, response FROM responses WHERE substr(md5(model || '-' || item), 1, 1) <> '0') SELECT r.model, r.item, coalesce(k.response, 0.5e0) AS response FROM responses r LEFT JOIN kept k USING (model, item)")
+@query(f"WITH {RESPONSES_SQL} SELECT model, item, CASE WHEN substr(md5(model || '-' || item), 1, 1) <> '0' THEN response ELSE 0.5e0 END AS response FROM responses")
 def response_grid_fill(spark, sf_dir):
     r = responses(spark, sf_dir).select("model", "item", "response")
     kept = r.where(F.substring(F.md5(F.concat_ws("-", F.col("model").cast("string"), F.col("item").cast("string"))), 1, 1) != "0")

@@ -14,7 +14,7 @@ KEYS = ["benchmark", "period"]
 
 
 def records(spark, sf_dir):
-    found = op.records(measurements(spark, sf_dir), KEYS, "model", "bench_score", "downstream_score")
+    found = op.records(measurements(spark, sf_dir), KEYS, "bench_score", "downstream_score")
     return found.select(*KEYS, "n_models", *[F.round(c, 6).alias(c) for c in ("pearson", "spearman", "tau")])
 
 
@@ -34,7 +34,7 @@ def corr_spearman(spark, sf_dir):
 
 @query(f"WITH {MEASURE_SQL} SELECT benchmark, period, round(tau, 6) AS tau FROM taus")
 def corr_kendall(spark, sf_dir):
-    return op.kendall(measurements(spark, sf_dir), KEYS, "model", "bench_score", "downstream_score").withColumn("tau", F.round("tau", 6))
+    return op.kendall(measurements(spark, sf_dir), KEYS, "bench_score", "downstream_score").withColumn("tau", F.round("tau", 6))
 
 
 @query(f"WITH {MEASURE_SQL} SELECT benchmark, period, model, rx AS rank_bench, ry AS rank_downstream FROM ranked")

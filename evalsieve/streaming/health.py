@@ -20,7 +20,7 @@ def track(stream: DataFrame, log_path: str, report_path: str, checkpoint: str):
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        found = correlation.records(batch, ["benchmark", "period"], "model", "bench_score", "downstream_score")
+        found = correlation.records(batch, ["benchmark", "period"], "bench_score", "downstream_score")
         found.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
         correlation.reports(spark.read.parquet(log_path), "benchmark", "period").write.mode("overwrite").parquet(report_path)
 

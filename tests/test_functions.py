@@ -1,12 +1,15 @@
 """Column functions and rules on hand-made rows: every guard once."""
 
+import itertools
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evalsieve.functions import text
-from evalsieve.operators import contamination, corpus, correlation, irt, responses, rewards, shortcuts, stats
+from evalsieve.operators import contamination, corpus, correlation, dedup, irt, ranges, responses, rewards, shortcuts, stats
 
 
 def value(spark, column, **given):
@@ -109,17 +112,56 @@ def test_abilities_are_clipped_logits(spark):
     assert got["all"] == pytest.approx(math.log(99)) and got["none"] == pytest.approx(-math.log(99)) and got["half"] == pytest.approx(0)
 
 
-def test_fit_recovers_parameters_and_flags_extremes(spark):
-    import numpy as np
+def log_likelihood(r: np.ndarray, theta: np.ndarray, a: float, b: float) -> float:
+    p = np.clip(1 / (1 + np.exp(-a * (theta - b))), 1e-8, 1 - 1e-8)
+    return float((r * np.log(p) + (1 - r) * np.log(1 - p)).sum())
+
+
+def fit_2pl(r: np.ndarray, theta: np.ndarray, a_range=(0.01, 5.0), b_range=(-4.0, 4.0)) -> tuple[float, float]:
+    """Most likely (a, b) in the box for fixed abilities.
+
+    The logit a * theta - a * b is linear in (a, -a * b) and its likelihood concave, so Newton steps find the maximum;
+    if it lies outside the box, the maximum is on a face, where one parameter is fixed and the other found by
+    golden-section search.
+    """
+    x = np.stack([theta, np.ones_like(theta)], axis=1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-10 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (r - p))
+        w = w + np.clip(step, -5, 5)
+        if abs(step).max() < 1e-10:
+            break
+    a = float(w[0])
+    b = float(-w[1] / w[0]) if w[0] else math.inf
+    if a_range[0] <= a <= a_range[1] and b_range[0] <= b <= b_range[1]:
+        return a, b
+
+    def best(f, low: float, high: float) -> float:
+        ratio = (math.sqrt(5) - 1) / 2
+        grid = np.linspace(low, high, 41)
+        k = int(np.argmax([f(v) for v in grid]))
+        low, high = grid[max(0, k - 1)], grid[min(40, k + 1)]
+        while high - low > 1e-9:
+            m, n = high - ratio * (high - low), low + ratio * (high - low)
+            low, high = (low, n) if f(m) >= f(n) else (m, high)
+        return float((low + high) / 2)
+
+    found = [(a0, best(lambda v: log_likelihood(r, theta, a0, v), *b_range)) for a0 in a_range]  # noqa: B023
+    found += [(best(lambda v: log_likelihood(r, theta, v, b0), *a_range), b0) for b0 in b_range]  # noqa: B023
+    return max(found, key=lambda ab: log_likelihood(r, theta, *ab))
+
 
+def test_fit_recovers_parameters_and_flags_extremes(spark):
     rng = np.random.default_rng(0)
     theta = np.linspace(-2, 2, 400)
     for a, b in ((1.2, 0.5), (0.6, -1.0)):
         r = (rng.random(400) < 1 / (1 + np.exp(-a * (theta - b)))).astype(float)
-        got = stats.fit_2pl(r, theta)
-        best = max(((x, y) for x in np.linspace(0.01, 5, 120) for y in np.linspace(-4, 4, 161)), key=lambda ab: stats.log_likelihood(r, theta, *ab))
-        assert stats.log_likelihood(r, theta, *got) >= stats.log_likelihood(r, theta, *best) - 1e-6
-    assert stats.fit_2pl((theta < 0).astype(float), theta)[0] == 0.01  # wrong way round: the face a = .01
+        got = fit_2pl(r, theta)
+        best = max(((x, y) for x in np.linspace(0.01, 5, 120) for y in np.linspace(-4, 4, 161)), key=lambda ab: log_likelihood(r, theta, *ab))
+        assert log_likelihood(r, theta, *got) >= log_likelihood(r, theta, *best) - 1e-6
+    assert fit_2pl((theta < 0).astype(float), theta)[0] == 0.01  # wrong way round: the face a = .01
     rows = [(f"m{m}", i, float(v)) for m in range(10) for i, v in (("easy", 1), ("hard", 0), ("mid", m > 4))]
     got = {r.item: r for r in irt.fit(spark.createDataFrame(rows, "model string, item string, response double")).collect()}
     assert (got["easy"].a, got["easy"].b, got["easy"].flags) == (0, -4, ["CEILING"]) and (got["hard"].b, got["hard"].flags) == (4, ["FLOOR"])
@@ -142,7 +184,7 @@ def test_trend_and_alerts(spark, rows, trend, reason):
 
 def test_correlations_of_few_or_constant_scores(spark):
     rows = [("two", 1, 1.0, 2.0), ("two", 2, 2.0, 1.0), *[("flat", m, 1.0, float(m)) for m in range(4)], *[("up", m, float(m), float(m * m)) for m in range(5)]]
-    got = {r.k: r for r in correlation.records(spark.createDataFrame(rows, "k string, m int, x double, y double"), ["k"], "m", "x", "y").collect()}
+    got = {r.k: r for r in correlation.records(spark.createDataFrame(rows, "k string, m int, x double, y double"), ["k"], "x", "y").collect()}
     assert set(got) == {"flat", "up"} and got["flat"].pearson is None and got["flat"].tau is None
     assert got["up"].spearman == pytest.approx(1) and got["up"].tau == pytest.approx(1)
 
@@ -171,3 +213,125 @@ def test_papers_and_pages(spark):
     assert value(spark, text.without_markup(T), t="a [[File:x]] <b>c</b> {{d}} e") == "a c e"
     assert [(s.number, s.text) for s in value(spark, corpus.problem_sections(T), t="== Problem 1 ==\none\n==problem 2==\ntwo\n== Solution ==\nno")] == [(1, "one"), (2, "two")]
     assert value(spark, text.math_subject(T), t="a random triangle") == "probability" and value(spark, text.math_subject(T), t="hm") == "general"
+
+
+# items fitted by sums, order by ranges
+
+
+def brute_tau(x, y):
+    up = down = tied_x = tied_y = 0
+    for (a, b), (c, d) in itertools.combinations(zip(x, y), 2):
+        s = (a > c) - (a < c), (b > d) - (b < d)
+        up, down = up + (s[0] * s[1] > 0), down + (s[0] * s[1] < 0)
+        tied_x, tied_y = tied_x + (s[0] != 0), tied_y + (s[1] != 0)
+    return (up - down) / math.sqrt(tied_x * tied_y) if tied_x * tied_y else None
+
+
+@pytest.mark.parametrize("block", [1 << 16, 30, 5])
+def test_kendall_equals_all_pairs(spark, block):
+    r = random.Random(block)
+    rows = [(k, "m", float(r.randrange(wide)), float(r.randrange(wide))) for k, n, wide in (("ties", 120, 6), ("few", 3, 9), ("many", 260, 10**6), ("equal", 40, 1), ("one", 1, 5)) for _ in range(n)]
+    rows += [("const", "m", 1.0, float(i)) for i in range(9)] + [("ties", "m", None, 1.0), (None, "m", 1.0, 2.0), (None, "m", 2.0, 1.0)]
+    scores = spark.createDataFrame(rows, "k string, w string, x double, y double")
+    got = {t.k: t.tau for t in correlation.kendall(scores, ["k"], "x", "y", block).collect()}
+    want = {k: brute_tau(*zip(*[(x, y) for a, _, x, y in rows if a == k and x is not None])) for k in ("ties", "few", "many", "equal", "one", "const")}
+    assert got.keys() == want.keys()
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or got[k] == pytest.approx(want[k], abs=1e-12)) for k in want)
+
+
+def test_kendall_of_a_large_key_forms_no_pairs(spark):
+    """10^5 models under one key: y is x but for a block that is turned round, which has known inversions."""
+    n, turned = 100_000, 2_000
+    x = F.col("id")
+    scores = spark.range(n).select(F.lit("b").alias("k"), x.cast("double").alias("x"), F.when(x < turned, turned - 1 - x).otherwise(x).cast("double").alias("y"))
+    tau = correlation.kendall(scores, ["k"], "x", "y", 20_000)
+    assert tau.first().tau == pytest.approx(1 - 2 * turned * (turned - 1) / (n * (n - 1)), abs=1e-12)
+
+
+def test_fit_by_sums_equals_item_by_item(spark):
+    r = np.random.default_rng(3)
+    theta = np.concatenate([np.linspace(-2.5, 2.5, 60), np.zeros(40)])
+    kinds = {"good": (1.3, 0.4), "steep": (40.0, 0.1), "wrong": (-1.0, 0.0), "hard": (0.4, 9.0), "flat": (0.02, 60.0), "split": (1e9, 0.3)}
+    rows = [(f"m{m}", i, float(r.random() < 1 / (1 + math.exp(min(700, max(-700, -a * (t - b))))))) for i, (a, b) in kinds.items() for m, t in enumerate(theta)]
+    rows += [(f"m{m}", "half", 0.5) for m in range(100)] + [(f"m{m}", f"anchor{k}", float(t > -2 + k / 3)) for m, t in enumerate(theta) for k in range(12)]
+    responses = spark.createDataFrame(rows, "model string, item string, response double")
+    abilities = {a.model: a.theta for a in irt.abilities(responses).collect()}
+    got = {x.item: x for x in irt.fit(responses).collect()}
+    outside = 0
+    for item in {i for _, i, _ in rows}:
+        y, t = np.array([v for _, i, v in rows if i == item]), np.array([abilities[m] for m, i, _ in rows if i == item])
+        if not 0.01 < y.mean() < 0.99:
+            continue
+        a, b = fit_2pl(y, t)
+        outside += a in (0.01, 5.0) or b in (-4.0, 4.0)
+        assert log_likelihood(y, t, got[item].a, got[item].b) == pytest.approx(log_likelihood(y, t, a, b), abs=1e-7), item
+        assert (got[item].a, got[item].b) == pytest.approx((a, b), abs=1e-3), item
+        if y.std():
+            assert got[item].fit_p_value == pytest.approx(stats.correlation_p_value(float(np.corrcoef(t, y)[0, 1]), len(y)), abs=1e-9)
+        else:
+            assert got[item].fit_p_value is None
+    assert outside >= 4
+
+
+def test_fit_of_an_item_with_a_million_responses(spark):
+    """Twenty anchors' values, 50,000 models each: forty abilities, so the fit has forty rows to go through."""
+    n, k = 1_000_000, np.arange(1_000_000) % 20
+    right = np.arange(n) // 20 < np.round(50_000 / (1 + np.exp(-(k - 9.5) / 4)))
+    m = F.col("id")
+    p = 1 / (1 + F.exp(-(m % 20 - 9.5) / 4))
+    rows = spark.range(n).select(m.alias("model"), F.explode(F.create_map(F.lit("anchor"), (m % 20 + 0.5) / 20, F.lit("big"), (F.floor(m / 20) < F.round(p * 50_000)).cast("double"))).alias("item", "response"))
+    mean = np.clip(((k + 0.5) / 20 + right) / 2, 0.01, 0.99)
+    got = {x.item: x for x in irt.fit(rows).collect()}
+    assert (got["big"].a, got["big"].b) == pytest.approx(fit_2pl(right.astype(float), np.log(mean / (1 - mean))), abs=1e-3)
+
+
+def test_places_and_medians_by_ranges(spark):
+    r = random.Random(8)
+    rows = [(r.choice("abc") if i % 9 else None, r.randrange(40), i) for i in range(500)]
+    got = ranges.placed(spark.createDataFrame(rows, "k string, x int, i int").repartition(7), ["x", "i"], ["k"]).collect()
+    for key in ("a", "b", "c", None):
+        assert [(g.x, g.i) for g in sorted((g for g in got if g.k == key), key=lambda g: g.place)] == sorted((x, i) for k, x, i in rows if k == key)
+        assert sorted(g.place for g in got if g.k == key) == list(range(sum(k == key for k, _, _ in rows)))
+    for values in ([], [3.0], [1.0, 2.0], [5.0] * 200, [float(i) for i in range(301)], [r.gauss(0, 1) ** 9 for _ in range(500)], [1.0] * 100 + [2.0] * 100, [None, 4.0, None]):
+        known = [v for v in values if v is not None]
+        for most in (10_000, 3):
+            got = ranges.median(spark.createDataFrame([(v,) for v in values], "v double"), "v", most)
+            assert got == (float(np.median(known)) if known else None)
+
+
+def test_a_feistel_network_permutes(spark):
+    for n in (1, 2, 3, 7, 50, 911):
+        got = spark.range(n).select(*[ranges.shuffled_place(F.col("id"), F.lit(n).cast("long"), F.lit(s)).alias(s) for s in ("s", "t")]).collect()
+        assert all(sorted(g[s] for g in got) == list(range(n)) for s in ("s", "t"))
+        assert n < 50 or [g.s for g in got] != [g.t for g in got]
+
+
+def items_of(spark, n):
+    return spark.createDataFrame([(i, f"question {i}", [f"c{i} {k}" for k in range(4 if i % 5 else 3)], "ABC"[i % 3], "x") for i in range(n)], "id long, question string, choices array<string>, answer string, nth string")
+
+
+@pytest.mark.parametrize("n", [0, 3, 60])
+def test_bundles_draw_different_items_and_tell_what_was_planted(spark, n):
+    from evalsieve.operators import planting
+
+    items = items_of(spark, n).drop("nth")
+    found = planting.bundles(items, "id", 40).collect()
+    assert len(found) == (40 if n else 0)
+    known = {r.id: r for r in items.collect()}
+    for b in found:
+        ids = [x.id for x in b["items"]]
+        assert len(set(ids)) == len(ids) and (len(ids) == 3 if n == 3 else 5 <= len(ids) <= 15)
+        changed = [x for x in b["items"] if (x.question, x.choices, x.answer) != tuple(known[x.id])[1:4]]
+        assert {x.id for x in changed} <= {x.id for x in b["items"] if x.planted_type}
+        assert b.shortcuts_planted == sorted({x.planted_type for x in b["items"] if x.planted_type}) and b.n_shortcuts == len(b.shortcuts_planted)
+        assert not any(x.planted_type == "position_bias" and x.id % 5 == 0 for x in b["items"])
+    share = np.mean([x.planted_type is not None for b in found for x in b["items"]]) if n else 0.3
+    assert 0.15 < share < 0.45 and (n < 60 or len({tuple(x.id for x in b["items"]) for b in found}) == 40)
+
+
+def test_draws_with_replacement_repeat(spark):
+    rows = spark.createDataFrame([(i, "n") for i in range(50)], "i long, nth string")
+    all_ = {d.draw: d.i for d in dedup.drawn(rows, "i", 300, "s").collect()}
+    assert sorted(all_) == list(range(300)) and len(set(all_.values())) > 40
+    assert {d.draw: d.i for d in dedup.drawn(rows, "i", 100, "s", first=150).collect()} == {k: all_[k] for k in range(150, 250)}
+    assert dedup.drawn(rows.limit(0), "i", 5, "s").count() == 0

@@ -292,7 +292,7 @@ def test_measurement_stream_equals_the_batch(spark, tmp_path):
     health.track(stream, f"{tmp_path}/log", f"{tmp_path}/report", f"{tmp_path}/checkpoint").awaitTermination()
     from evalsieve.operators import correlation
 
-    whole = correlation.records(spark.createDataFrame(rows, health.SCORES), ["benchmark", "period"], "model", "bench_score", "downstream_score")
+    whole = correlation.records(spark.createDataFrame(rows, health.SCORES), ["benchmark", "period"], "bench_score", "downstream_score")
     want = correlation.reports(whole, "benchmark", "period").first()
     got = spark.read.parquet(f"{tmp_path}/report").first()
     assert got.n_records == 4 and got.slope == pytest.approx(want.slope) and got.trend == want.trend
