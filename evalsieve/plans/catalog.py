@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, curation, items, psychometrics, registry, tracking  # noqa: F401  they register themselves
+from . import contamination, curation, items, psychometrics, registry, state, tracking  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

@@ -51,20 +51,6 @@ def catalog_maps(catalog: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     return exact, grams
 
 
-def ngram_index(spark: SparkSession, path: str) -> DataFrame:
-    """(gram, source) from one JSON object gram -> [sources]; empty if there is no such file or it can't be parsed.
-
-    One object is one row and one task: for large indexes write and read the form of ngram_lines.
-    """
-    empty = spark.createDataFrame([], "gram string, source string")
-    try:
-        whole = spark.read.option("wholetext", True).text(path)
-        parsed = whole.select(F.from_json("value", "map<string,array<string>>").alias("m"))
-        return parsed.select(F.explode("m").alias("gram", "sources")).select("gram", F.explode("sources").alias("source"))
-    except AnalysisException:
-        return empty
-
-
 def ngram_lines(spark: SparkSession, path: str) -> DataFrame:
     """(gram, source) from JSON lines {gram, sources}, which any number of tasks read; empty if there is no such path."""
     try:
@@ -98,11 +84,6 @@ def mapped(rows: DataFrame, fields: dict[str, Column], subset: Column, order: st
     return (capped(out, "subset", "_order", most) if most else out).drop("_order")
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Adds rows to a log table."""
-    rows.write.mode("append").parquet(path)
-
-
 def write_lines(rows: DataFrame, path: str, subset: Column | None = None, subset_path: str | None = None) -> None:
     """JSON lines, and those of a subset to a second folder, taken from what was written: rows are computed once."""
     rows.write.mode("overwrite").json(path)
@@ -115,13 +96,5 @@ def write_splits(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").json(path)
 
 
-def not_yet(rows: DataFrame, spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Rows whose key an earlier run hasn't stored; all rows if nothing is stored."""
-    try:
-        return rows.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    except AnalysisException:
-        return rows
-
-
 def statistics(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))

@@ -32,29 +32,22 @@ def test_lenient_and_strict_lines(spark, tmp_path):
         jsonl.strict(spark, str(tmp_path), "a int").collect()
 
 
-def test_objects_files_and_index(spark, tmp_path):
+def test_objects_and_files(spark, tmp_path):
     for i in range(3):
         os.makedirs(tmp_path / f"d{i}")
         (tmp_path / f"d{i}" / "items.jsonl").write_text(json.dumps({"a": i}) + "\n")
         (tmp_path / f"o{i}.json").write_text(json.dumps({"a": i}, indent=1))
     assert {os.path.basename(os.path.dirname(r.file)) for r in jsonl.with_file(spark, f"{tmp_path}/*/items.jsonl", "a int").collect()} == {"d0", "d1", "d2"}
     assert sorted(r.a for r in jsonl.objects(spark, f"{tmp_path}/o*.json", "a int").collect()) == [0, 1, 2]
-    (tmp_path / "index.json").write_text('{"g": ["x", "y"], "h": ["z"]}')
-    assert sorted(map(tuple, jsonl.ngram_index(spark, str(tmp_path / "index.json")).collect())) == [("g", "x"), ("g", "y"), ("h", "z")]
-    (tmp_path / "broken.json").write_text("{oops")
-    assert jsonl.ngram_index(spark, str(tmp_path / "broken.json")).count() == 0 and jsonl.ngram_index(spark, str(tmp_path / "none.json")).count() == 0
 
 
-def test_sinks_splits_and_resuming(spark, tmp_path):
+def test_sinks_and_splits(spark, tmp_path):
     rows = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") > 15).alias("bad"))
     jsonl.write_lines(rows, f"{tmp_path}/all", F.col("bad"), f"{tmp_path}/bad")
     assert jsonl.lenient(spark, f"{tmp_path}/bad", "doc_id long").count() == 4
     split = dedup.exact_split(rows, "doc_id")
     jsonl.write_splits(split, f"{tmp_path}/splits")
     assert sorted(d for d in os.listdir(tmp_path / "splits") if d.startswith("split=")) == ["split=test", "split=train", "split=validation"]
-    assert jsonl.not_yet(rows, spark, f"{tmp_path}/state", "doc_id").count() == 20
-    jsonl.append(rows.limit(8), f"{tmp_path}/state")
-    assert jsonl.not_yet(rows, spark, f"{tmp_path}/state", "doc_id").count() == 12
 
 
 def test_loaders_require_their_fields(spark, tmp_path):
@@ -286,15 +279,15 @@ def test_shared_folder_needs_a_setting_off_local_mode(spark):
 def test_measurement_stream_equals_the_batch(spark, tmp_path):
     r = random.Random(1)
     rows = [("b", p, m, r.random(), r.random()) for p in range(4) for m in range(6)]
-    for p in range(4):
+    for p in (0, 2, 1, 3):
         spark.createDataFrame([x for x in rows if x[1] == p], health.SCORES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = health.measurements(spark, f"{tmp_path}/in", per_trigger=1)
-    health.track(stream, f"{tmp_path}/log", f"{tmp_path}/report", f"{tmp_path}/checkpoint").awaitTermination()
+    health.track(stream, f"{tmp_path}/log", f"{tmp_path}/state", f"{tmp_path}/checkpoint").awaitTermination()
     from evalsieve.operators import correlation
 
     whole = correlation.records(spark.createDataFrame(rows, health.SCORES), ["benchmark", "period"], "bench_score", "downstream_score")
     want = correlation.reports(whole, "benchmark", "period").first()
-    got = spark.read.parquet(f"{tmp_path}/report").first()
+    got = health.reports(health.current(spark, f"{tmp_path}/state")).first()
     assert got.n_records == 4 and got.slope == pytest.approx(want.slope) and got.trend == want.trend
 
 
