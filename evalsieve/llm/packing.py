@@ -4,13 +4,16 @@ Every text becomes token ids and a closing id; ids beyond one sequence are cut i
 How to pack depends on the piece lengths alone, so the driver sees a histogram of at most `capacity` rows and the plan
 it makes has a bounded size too, whatever the number of documents:
 
-1. lengths over capacity * SMALL are sorted and cut into GROUPS groups of equal cardinality, each rounded up to its
-   greatest length;
+1. lengths over capacity * share, for each share of LARGE, are sorted and cut into GROUPS groups of equal cardinality, each
+   rounded up to its greatest length;
 2. configurations (how many pieces of each group share a sequence) are optimised by column generation: a linear
    programme over configurations, new ones found by a knapsack over the dual prices; whole parts of the solution are
    taken;
 3. actual lengths replace the rounded ones, but for each configuration's shortest, whose room best fit fills exactly;
-4. the pieces left over and the small ones go, longest first, into the sequence with the least room that holds them.
+4. the pieces left over and the small ones go, longest first, into the sequence with the least room that holds them;
+5. of the shares' plans the one with the fewest sequences stays; the first that needs no more than the tokens do ends the
+   search. Low shares leave configurations most to decide, which pays where several large pieces share a sequence; with 1/2,
+   a configuration is one piece, and the plan is what best fit alone would make, so no plan is worse than that.
 
 Pieces get consecutive ranks within their length, and the plan turns (length, rank) into sequence and offset. Ranks
 are counted in salted parts, so a length that many documents share is no bottleneck.
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, slices, small_batches, text_or_empty, written
 
-CAPACITY, SMALL, GROUPS, CLOSE = 2048, 1 / 3, 64, 0
+CAPACITY, LARGE, GROUPS, CLOSE = 2048, (1 / 8, 1 / 3, 1 / 2), 32, 0
 MEMO, PORTION = 400_000, 2_000_000
 
 
@@ -223,11 +226,34 @@ def best_fit(bins: list[tuple[int, int, list]], left: dict[int, int], capacity:
     return [(n, room, held) for room, some in rooms.items() for n, held in some]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: float = SMALL, groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: tuple[float, ...] = LARGE, groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, first rank, number of ranks, first sequence, pieces of the length in each, their offset)."""
+    least = -(-sum(k * n for k, n in histogram.items()) // capacity)
+    best: tuple[int, list] | None = None
+    for share in large:
+        made = filled(histogram, capacity, share, groups)
+        n = sum(n for n, _, _ in made)
+        if best is None or n < best[0]:
+            best = n, made
+        if n == least:
+            break
+    done, rows, sequence = dict.fromkeys(histogram, 0), [], 0
+    for n, _, held in best[1]:
+        offset = 0
+        for length, each in held:
+            rows.append((length, done[length], n * each, sequence, each, offset))
+            done[length] += n * each
+            offset += each * length
+        sequence += n
+    return rows
+
+
+def filled(histogram: dict[int, int], capacity: int, share: float, groups: int) -> list[tuple[int, int, list]]:
+    """Sequences as (how many, room in each, what each holds as (length, count)), by configurations of lengths over
+    capacity * share."""
     left = {k: v for k, v in histogram.items() if v}
     bins: list[tuple[int, int, list]] = []
-    large = sorted((k for k in left if small * capacity < k < capacity), reverse=True)
+    large = sorted((k for k in left if share * capacity < k < capacity), reverse=True)
     if large:
         total, stock, sizes, demand, seen = sum(left[k] for k in large), [], [], [], 0
         for length in large:  # a length stays whole, so groups are equal up to the last length's count
@@ -268,15 +294,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: float = SMA
                     stock[j] = [run for run in stock[j] if run[1]]
                 bins.append((k, room, held))
                 n -= k
-    done, rows, sequence = dict.fromkeys(histogram, 0), [], 0
-    for n, _, held in best_fit(bins, {k: v for k, v in left.items() if v}, capacity):
-        offset = 0
-        for length, each in held:
-            rows.append((length, done[length], n * each, sequence, each, offset))
-            done[length] += n * each
-            offset += each * length
-        sequence += n
-    return rows
+    return best_fit(bins, {k: v for k, v in left.items() if v}, capacity)
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, close: int = CLOSE, with_ids: bool = False) -> DataFrame:

@@ -213,10 +213,8 @@ def test_packing_ids_pieces_and_places(spark):
     assert packing.pack(spark, documents(spark, texts).limit(0), path).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 7, 400, 20000])
-def test_packing_plan_is_exact_and_near_the_bound(n):
-    r = np.random.default_rng(n)
-    lengths = np.clip(r.lognormal(6.4, 1, n).astype(int), 1, 2048)
+def planned(lengths):
+    """How many sequences a plan takes, checked piece by piece."""
     histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
     seen, room = collections.Counter(), collections.Counter()
     for length, first, count, sequence, each, _ in packing.plan(histogram):
@@ -225,7 +223,21 @@ def test_packing_plan_is_exact_and_near_the_bound(n):
         for k in range(count // each):
             room[sequence + k] += each * length
     assert dict(seen) == histogram and max(room.values()) <= 2048
-    assert len(room) <= -(-int(lengths.sum()) // 2048) * 1.01 + 1
+    return len(room), sum(n for n, _, _ in packing.best_fit([], histogram, 2048)), -(-int(lengths.sum()) // 2048)
+
+
+@pytest.mark.parametrize("n", [1, 7, 400, 20000])
+def test_packing_plan_is_exact_and_near_the_bound(n):
+    lengths = np.clip(np.random.default_rng(n).lognormal(6.4, 1, n).astype(int), 1, 2048)
+    got, alone, bound = planned(lengths)
+    assert got <= bound * 1.01 + 1 and got <= alone
+
+
+@pytest.mark.parametrize("low, high, better", [(683, 1365, 0), (500, 1100, 0.04), (1, 2048, 0), (300, 690, 0.03), (600, 1000, 0), (2000, 2048, 0), (100, 250, 0)])
+def test_packing_plan_is_never_above_best_fit(low, high, better):
+    lengths = np.random.default_rng(low).integers(low, high + 1, 20000)
+    got, alone, bound = planned(lengths)
+    assert bound <= got <= alone * (1 - better)
 
 
 # top-k (5)
