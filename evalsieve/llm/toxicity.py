@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples (operator 4).
 
 Labelled rows outside the held-out fold (crc32 of the doc_id as text, mod 5, is 0 there) supply at most EXAMPLES
-examples of each class; that bound is the only sampling, and documents are all scored on their whole texts. Terms are
+examples of each class, and no more than TEXT_BYTES of text; these bounds are the only sampling, and documents are all scored
+on their whole texts. Terms are
 words and the beginnings of longer ones, BEGINNING letters; every term of two examples or more counts, at its TF-IDF in
 the examples times the strength of its association with the label (the phi coefficient, which does not grow with their
 number); the norm of a vector runs over these weights.
 
-A document's K nearest examples by exact cosine come from a block-max inverted index. Frequent terms are rows of a
-matrix, multiplied for many documents at a time. Of the other terms, those whose bounds are worth most for their
+A document's K nearest examples by exact cosine, itself left out, come from a block-max inverted index: where a document is
+an example, its own label has no say in its score. Frequent terms are rows of a
+matrix of MATRIX_BYTES at most, the most frequent ones first, multiplied for many documents at a time; the others are postings. Of the other terms, those whose bounds are worth most for their
 postings are essential and traversed; the others can add SLACK at most in all. Where a block's greatest sum so far and
 the block's maxima of the other terms reach the K-th best sum, the examples that can still be among the K best are
 opened: their whole vectors are multiplied with the document's. Votes are weighted by similarity and by how far each
@@ -28,12 +30,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import kept, slices, small_batches, text_or_empty, written
 
 EXAMPLES, K, BLOCK, VAGUE = 4096, 9, 64, 0.5
 DENSE, SLACK, TOGETHER = 16, 0.01, 128
 BEGINNING, MIN_DF = 5, 2
+TEXT_BYTES, MATRIX_BYTES = 64 << 20, 128 << 20
 PORTION = 500_000
 EDGES = ".,;:!?\"'()[]{}<>*#%&-_"
 
@@ -95,7 +99,9 @@ class BlockMaxIndex:
         rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
         terms, weights = terms.astype(np.int32), weights.astype(np.float32)
         vectors = {"row_start": start.astype(np.int64), "row_terms": terms, "row_weights": weights}
-        often = np.flatnonzero(np.bincount(terms, minlength=n_terms) * DENSE > n)
+        number = np.bincount(terms, minlength=n_terms)
+        often = np.argsort(-number, kind="stable")[: MATRIX_BYTES // (4 * max(n, 1))]
+        often = np.sort(often[number[often] * DENSE > n])
         place = np.full(n_terms, -1, np.int32)
         place[often] = np.arange(len(often))
         matrix = np.zeros((len(often), n), np.float32)
@@ -180,7 +186,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
     known = written(spark, known.join(docs.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id"), "labels")
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for y in (0, 1)]
-    picked = F.broadcast(written(spark, draw[0].union(draw[1]), "picked"))
+    drawn = F.broadcast(written(spark, draw[0].union(draw[1]), "drawn"))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_or_empty(text_col)).cast("long").alias("size")).join(drawn, "doc_id").groupBy("doc_id", "y").agg(F.sum("size").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("size")  # EXAMPLES rows at most
+    picked = F.broadcast(written(spark, sizes.withColumn("before", before).where(F.col("before") < TEXT_BYTES).select("doc_id", "y"), "picked"))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(picked, "doc_id")
     # of examples with the same words one is enough: copies would pass off their words as typical of a class
     same = F.xxhash64(F.lower("text"))
@@ -233,16 +242,19 @@ class Scorer:
     def __init__(self, model: dict):
         self.model, self.index, self.vectors = model, BlockMaxIndex.of(model["index"]), Vectors(*model["terms"])
         self.dense = np.zeros(len(model["terms"][-1]))
+        self.place = {i: k for k, i in enumerate(model["ids"].tolist())}
 
-    def score_all(self, texts: pa.Array, k: int = K):
-        """Of each text its score, neighbours' places and their similarities."""
+    def score_all(self, texts: pa.Array, own: list[int | None], k: int = K):
+        """Of each text its score, neighbours' places and their similarities; own: the texts' ids, which are no neighbours."""
+        own = np.array([-1 if i is None else self.place.get(i, -1) for i in own], np.int64)
         model, (start, terms, weights) = self.model, self.vectors.of(texts)
         vague = VAGUE * model["weight"].mean()
         for at in range(0, len(texts), TOGETHER):
             s = start[at : at + TOGETHER + 1]
             some = slice(s[0], s[-1])
-            for first, last, base in zip(s, s[1:], self.index.frequent(s - s[0], terms[some], weights[some])):
-                rows, near = self.index.search(terms[first:last], weights[first:last], k, base, self.dense) if first < last else (np.empty(0, np.int64), np.empty(0))
+            for me, first, last, base in zip(own[at:], s, s[1:], self.index.frequent(s - s[0], terms[some], weights[some])):
+                rows, near = self.index.search(terms[first:last], weights[first:last], k + (me >= 0), base, self.dense) if first < last else (np.empty(0, np.int64), np.empty(0))
+                rows, near = rows[rows != me][:k], near[rows != me][:k]
                 y = model["y"][rows]
                 votes = near * model["weight"][y]
                 yield (float(min(1.0, (votes @ y + vague * model["rate"]) / (votes.sum() + vague))) if len(rows) else model["rate"]), rows, near
@@ -258,7 +270,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str =
         model = shared.value
         scorer = Scorer(model)
         for b in slices(batches, "text", PORTION):
-            found = list(scorer.score_all(b.column("text")))
+            found = list(scorer.score_all(b.column("text"), b.column("doc_id").to_pylist()))
             rows = np.concatenate([r for _, r, _ in found])
             parts = [pa.array(model["ids"][rows]), pa.array(model["y"][rows], pa.int32()), pa.array(np.concatenate([x for _, _, x in found]))]
             ends = np.cumsum([0, *(len(r) for _, r, _ in found)])
@@ -279,6 +291,6 @@ def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
         scorer = Scorer(shared.value)
         for b in slices(batches, text_col, PORTION):
             texts = pc.fill_null(b.column(text_col).cast(pa.string()), "")
-            yield b.filter(pa.array([s < most for s, _, _ in scorer.score_all(texts)], pa.bool_()))
+            yield b.filter(pa.array([s < most for s, _, _ in scorer.score_all(texts, b.column(id_col).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -314,6 +314,16 @@ def test_toxicity_learns_and_ignores_the_held_out_fold(spark):
     assert [r.score for r in toxicity.score(spark, docs.limit(3), lab.limit(0)).collect()] == [0.0] * 3
 
 
+def test_toxicity_examples_are_bounded_and_no_neighbours_of_their_own(spark, monkeypatch):
+    texts = [prose(i, 40) + (" vile" if i % 3 == 0 else "") for i in range(120)]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    got = toxicity.score(spark, documents(spark, texts), lab).collect()
+    assert all(r.neighbours and r.doc_id not in [x.doc_id for x in r.neighbours] for r in got)
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 1500)
+    few = {x.doc_id for r in toxicity.score(spark, documents(spark, texts), lab).collect() for x in r.neighbours}
+    assert 4 < len(few) < 30 and {i % 3 == 0 for i in few} == {True, False}
+
+
 def test_toxicity_needs_no_number_of_examples(spark):
     def corpus(n, each):
         bad = [i for i in range(n) if i % 5 == 0]
@@ -353,7 +363,10 @@ def test_block_max_search_is_exact(slack, monkeypatch):
         assert rows.tolist() == order.tolist() and np.allclose(scores, want[order]) and not spread.any()
 
 
-def test_toxicity_equals_brute_force(spark):
+@pytest.mark.parametrize("matrix", [128 << 20, 3000, 0])
+def test_toxicity_equals_brute_force(spark, monkeypatch, matrix):
+    """Also where few or no frequent terms have room in the matrix."""
+    monkeypatch.setattr(toxicity, "MATRIX_BYTES", matrix)
     r = random.Random(6)
     texts, toxic = [], []
     for i in range(160):
@@ -400,7 +413,7 @@ def test_toxicity_equals_brute_force(spark):
     for row in got:
         text = "vile kind" if row.doc_id is None else asked[row.doc_id]
         v = vector(terms(text))
-        near = sorted(((sum(x * known[i].get(t, 0) for t, x in v.items()), i) for i in examples), reverse=True)
+        near = sorted(((sum(x * known[i].get(t, 0) for t, x in v.items()), i) for i in examples if i != row.doc_id), reverse=True)
         near = [x for x in near if x[0] > 1e-6]
         assert np.allclose([x.similarity for x in row.neighbours], [s for s, _ in near[: toxicity.K]], atol=1e-5)
         assert all(abs(x.similarity - sum(w * known[x.doc_id].get(t, 0) for t, w in v.items())) < 1e-5 and x.label == toxic[x.doc_id] for x in row.neighbours)
