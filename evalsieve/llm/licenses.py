@@ -1,33 +1,34 @@
 """License scans by conditional compression (operator 2).
 
-A text is cut into segments at line ends and after sentence marks; runs of segments that hold one of CUES are the
-candidate blocks. Each block is compressed by zstandard alone and with every template as raw dictionary, which tells how
-much smaller it becomes; every template is held against the exact wording: a block holds a template if at least KEPT of
-the template's words occur in it in order, all numbers among them. The best one takes its words out of the block, and the
-rest is held against the other templates again, so that neighbouring notices each get a row. Blocks are looked up by
+A text is cut into segments at line ends and after sentence marks; runs of segments that hold a cue are the candidate
+blocks. Cues are words of the templates themselves, so many of each that no text which keeps enough of a template is
+without one. Each block is compressed by zstandard alone and with every template as raw dictionary, and goes to the template
+that makes it smallest, if the exact wording confirms it: at least KEPT of the template's words in order, all numbers among
+them, and short templates in one piece. Else the next one in the ranking is held against it. A winner's words are taken out,
+and the rest is compressed with all templates again, so that neighbouring notices each get a row. Blocks are looked up by
 their words, so a notice that many documents share is compressed once per task.
 
 Defined results: null text counts as empty; texts without a confirmed block have no rows. Repeated rows give repeated
-rows. Texts of any length are scanned whole; an empty table gives an empty result. Of templates that fit equally well the
-one with fewer lost words, then the one that makes the block smaller, comes first. Columns besides id and text are not
-read.
+rows. Texts of any length are scanned whole; an empty table gives an empty result. Of templates that make a block equally
+small the first by name comes first; a block names a license once. Columns besides id and text are not read.
 """
 
 from __future__ import annotations
 
+import collections
 import re
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import slices, small_batches, text_or_empty
 
-KEPT, MEMO = 0.85, 100_000
+KEPT, SHORT, MEMO = 0.85, 3, 100_000
 
-# Words that a license notice has, and the notices looked for.
-CUES = "licen[cs]e|copyright|warranty|spdx|public domain|all rights reserved|creative commons|cc by|cc0|redistribution and use|mozilla.org/mpl"
+# The notices looked for.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -73,8 +74,26 @@ FORMS = {
     "CC-BY-NC-4.0": [CC.format("-NonCommercial")],
     "CC-BY-ND-4.0": [CC.format("-NoDerivatives")],
 }
+#: short notices: what a license is called, and how it is said
+NAMES_OF = {
+    "MIT": ["MIT"], "ISC": ["ISC"], "Unlicense": ["Unlicense"], "Apache-2.0": ["Apache 2.0", "Apache License 2.0", "Apache-2.0"], "BSD-3-Clause": ["BSD 3-Clause", "BSD-3-Clause"], "BSD-2-Clause": ["BSD 2-Clause", "BSD-2-Clause"],
+    "GPL-2.0": ["GNU GPL v2", "GPL v2", "GPLv2", "GPL-2.0"], "GPL-3.0": ["GNU GPL v3", "GPL v3", "GPLv3", "GPL-3.0"], "LGPL-3.0": ["GNU LGPL v3", "LGPL v3", "LGPLv3", "LGPL-3.0"], "AGPL-3.0": ["GNU AGPL v3", "AGPL v3", "AGPLv3", "AGPL-3.0"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"], "EPL-2.0": ["Eclipse Public License 2.0", "EPL 2.0", "EPL-2.0"], "BSL-1.0": ["Boost Software License 1.0", "Boost Software License, Version 1.0", "BSL-1.0"],
+}
+SAID = ["Licensed under the {}", "Licensed under the {} License", "Released under the {}", "Released under the {} License", "Distributed under the {}", "Distributed under the {} License", "{} License", "{} Licenses"]
+FORMS |= {
+    "CC-BY-3.0": [CC.format("").replace("4.0", "3.0"), "Licensed under CC BY 3.0."],
+    "CC-BY-SA-3.0": [CC.format("-ShareAlike").replace("4.0", "3.0"), "Licensed under CC BY-SA 3.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+}
+SPDX |= {k: [k] for k in ("CC-BY-3.0", "CC-BY-SA-3.0", "Unlicense", "BSL-1.0")}
 for _name, _ids in SPDX.items():
     FORMS.setdefault(_name, []).extend(f"SPDX-License-Identifier: {i}" for i in _ids)
+for _name, _called in NAMES_OF.items():
+    FORMS.setdefault(_name, []).extend(s.format(c) for c in _called for s in SAID if not (s.startswith("{}") and "License" in c))
+    # a colon is no word, and "mit" is one in other texts
+    FORMS[_name] += [f"License: {c}" for c in _called if c not in ("MIT", "ISC")]
 
 SEGMENT = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|$)")
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
@@ -84,25 +103,48 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def blocks(text: str, known: list[set[str]] | None = None):
+IDENTIFIER = "spdx-license-identifier"
+IDS = frozenset(i.lower() for ids in SPDX.values() for i in ids)
+
+
+def spelt_out(words: list[str]) -> list[str]:
+    """Words with the identifier before every license of an SPDX expression, not before its first one alone."""
+    out: list[str] = []
+    in_expression = False
+    for w in words:
+        if in_expression and w not in IDS and w not in ("or", "and", "with"):
+            in_expression = False
+        if in_expression and w in IDS and out[-1] != IDENTIFIER:
+            out.append(IDENTIFIER)
+        in_expression = in_expression or w == IDENTIFIER
+        out.append(w)
+    return out
+
+
+def cues_of(templates: list[list[str]]) -> frozenset[str]:
+    """Words of which every text that keeps KEPT of a template's words has one: of each template as many of its longest words as
+    can be lost, and one more."""
+    return frozenset(w for t in templates for w in sorted(set(t), key=lambda w: (-len(w), w))[: int((1 - KEPT) * len(t) + 1e-9) + 1])
+
+
+def blocks(text: str, cues: frozenset[str], known: list[frozenset[str]]):
     """(start, end) of each run of segments with a cue.
 
     Segments beside them belong to the run too if KEPT of their words are in one of `known`, the templates' words: the
     other lines of a wrapped or long notice.
     """
-    cue = re.compile(CUES, re.IGNORECASE)
-    parts = [(m.start(), m.end(), m[0]) for m in SEGMENT.finditer(text) if m[0].strip()]
-    taken = [bool(cue.search(x)) for _, _, x in parts]
+    parts = [(m.start(), m.end(), words_of(m[0])) for m in SEGMENT.finditer(text) if m[0].strip()]
+    taken = [not cues.isdisjoint(words) for _, _, words in parts]
     fits: dict[int, bool] = {}
 
     def belongs(i: int) -> bool:
         if i not in fits:
-            words = words_of(parts[i][2])
-            fits[i] = any(sum(w in t for w in words) >= KEPT * len(words) for t in known or ())
+            words = parts[i][2]
+            fits[i] = any(sum(w in t for w in words) >= KEPT * len(words) for t in known)
         return fits[i]
 
     for order, step in ((range(1, len(parts)), -1), (range(len(parts) - 2, -1, -1), 1)):
-        for i in order if known else ():
+        for i in order:
             taken[i] = taken[i] or (taken[i + step] and belongs(i))
     run: list[int] | None = None
     for (start, end, _), inside in zip(parts, taken):
@@ -117,14 +159,20 @@ def blocks(text: str, known: list[set[str]] | None = None):
 
 def differences(template: list[str], block: list[str | None]) -> tuple[float, list[str], list[int]]:
     """Share of the template's words that the block has in order, the words lost (-) and added (+), and the places of
-    the words kept. Places that are None were taken by another template."""
-    matcher = SequenceMatcher(None, template, block, autojunk=False)
-    said, places = [], []
-    for kind, a, b, c, d in matcher.get_opcodes():
-        if kind == "equal":
-            places += range(c, d)
-        else:
-            said += [f"-{w}" for w in template[a:b]] + [f"+{w}" for w in block[c:d] if w is not None]
+    the words kept. Places that are None were taken by another template. A template of SHORT words or fewer has to stand in one
+    piece. Of the block, only the template's own words are compared, so a long block costs time in proportion to its length.
+    """
+    if len(template) <= SHORT:
+        at = next((i for i in range(len(block) - len(template) + 1) if block[i : i + len(template)] == template), None)
+        own, places = range(0 if at is None else len(template)), [] if at is None else list(range(at, at + len(template)))
+    else:
+        words = frozenset(template)
+        where = [i for i, w in enumerate(block) if w in words]
+        matches = SequenceMatcher(None, template, [block[i] for i in where], autojunk=False).get_matching_blocks()
+        own = [a + k for a, _, n in matches for k in range(n)]
+        places = [where[b + k] for _, b, n in matches for k in range(n)]
+    lost, taken = set(range(len(template))).difference(own), set(places)
+    said = [f"-{template[i]}" for i in sorted(lost)] + [f"+{w}" for i, w in enumerate(block) if w is not None and i not in taken]
     return len(places) / max(1, len(template)), said, places
 
 
@@ -152,43 +200,52 @@ class Scanner:
         for name, more in (forms or {}).items():
             templates = templates | {f"{name}#{i}": x for i, x in enumerate(more)}
             self.license |= {f"{name}#{i}": name for i in range(len(more))}
-
-        options = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        make = lambda **more: zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(options["level"], write_content_size=0, write_checksum=0, write_dict_id=0), **more)
+        make = lambda **more: zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(19, write_content_size=0, write_checksum=0, write_dict_id=0), **more)
         self.plain = make()
-        self.with_template = {k: make(dict_data=zstandard.ZstdCompressionDict(v.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in templates.items()}
         self.words = {k: words_of(v) for k, v in templates.items()}
+        self.with_template = {k: make(dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items()}
+        self.cues, self.sets = cues_of(list(self.words.values())), list({frozenset(w) for w in self.words.values()})
         self.known: dict[tuple, list[tuple]] = {}
 
+    def blocks(self, text: str):
+        return blocks(text, self.cues, self.sets)
+
     def ranking(self, block: str) -> list[tuple[float, str]]:
         """(share by which the template makes the block smaller, template), greatest first."""
-        data = block.lower().encode()
+        data = block.encode()
         alone = len(self.plain.compress(data))
         return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in self.with_template.items()), key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, key: str, words: list[str | None]) -> tuple[float, list[str], list[int]] | None:
-        if sum(w is not None for w in words) < KEPT * len(self.words[key]):
+    def confirm(self, key: str, words: list[str | None], there: collections.Counter) -> tuple[float, list[str], list[int]] | None:
+        """kept, differences and places of a template, if KEPT of its words are there in order, all its numbers among them."""
+        template = self.words[key]
+        need = collections.Counter(template)
+        if (need & there).total() < KEPT * len(template) or any(there[w] < n for w, n in need.items() if any(c.isdigit() for c in w)):
             return None
-        kept, said, places = differences(self.words[key], words)
-        numbers = {w for w in self.words[key] if any(c.isdigit() for c in w)}
+        kept, said, places = differences(template, words)
+        numbers = {w for w in template if any(c.isdigit() for c in w)}
         return (kept, said, places) if kept >= KEPT and not numbers & {w[1:] for w in said if w[0] == "-"} else None
 
     def scan_all(self, block: str) -> list[tuple]:
-        """(license, reduction, kept, differences) of each template that the block holds, best first, no word in two."""
-        words = words_of(block)
+        """(license, reduction, kept, differences) of each license that the block holds, no word in two.
+
+        The block goes to the template that makes it smallest, if its wording is there; else to the next. Its words are taken
+        out, the rest is compressed with all templates again, and so on until none that is left is confirmed."""
+        words = spelt_out(words_of(block))
         if (key := tuple(words)) not in self.known:
             if len(self.known) >= MEMO:
                 self.known.clear()
             self.known[key] = found = []
-            gains = {k: gain for gain, k in self.ranking(" ".join(words))}
             left: list[str | None] = list(words)
-            while True:
-                sure = [(got[0], gain, k, *got[1:]) for k, gain in gains.items() if (got := self.confirm(k, left))]
-                if not sure:
+            while rest := [w for w in left if w is not None]:
+                there, done = collections.Counter(rest), {name for name, *_ in found}
+                for gain, k in self.ranking(" ".join(rest)):
+                    if self.license[k] not in done and (got := self.confirm(k, left, there)):
+                        break
+                else:
                     break
-                kept, gain, k, said, places = max(sure, key=lambda x: (x[0], -sum(w[0] == "-" for w in x[3]), x[1]))
+                kept, said, places = got
                 found.append((self.license[k], gain, kept, said))
-                gains = {c: g for c, g in gains.items() if self.license[c] != self.license[k]}
                 for i in places:
                     left[i] = None
         return self.known[key]
@@ -199,7 +256,7 @@ class Scanner:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, forms: dict[str, list[str]] | None = None) -> DataFrame:
-    """A row per template that a block holds: doc_id, start, length (characters), license, reduction, kept, differences, block.
+    """A row per license that a block holds: doc_id, start, length (characters), license, reduction, kept, differences, block.
 
     templates replace TEMPLATES and FORMS; forms are further wordings of licenses, such as whole_texts gives.
     """
@@ -207,15 +264,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     wanted = templates or TEMPLATES
     known_forms = {} if templates else FORMS
     more = {k: [*known_forms.get(k, []), *(forms or {}).get(k, [])] for k in dict.fromkeys([*known_forms, *(forms or {})])}
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).where(F.col("text").rlike(f"(?i){CUES}"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches):
         scanner = Scanner(wanted, more)
-        known = list({frozenset(w) for w in scanner.words.values()})
+        any_cue = "|".join(map(re.escape, sorted(scanner.cues)))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.string())
         names = ("doc_id", "start", "length", "license", "reduction", "kept", "differences", "block")
-        for b in batches:
-            out = [(i, s, e - s, *found, t[s:e]) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for s, e in blocks(t, known) for found in scanner.scan_all(t[s:e])]
+        for b in slices(batches):
+            b = b.filter(pc.match_substring_regex(b.column("text"), any_cue, ignore_case=True))
+            out = [(i, s, e - s, *found, t[s:e]) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for s, e in scanner.blocks(t) for found in scanner.scan_all(t[s:e])]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * len(names), kinds)], list(names))
 
     return texts.mapInArrow(run, "doc_id long, start long, length long, license string, reduction double, kept double, differences array<string>, block string")
