@@ -241,6 +241,14 @@ def bucket_links(spark: SparkSession, docs: DataFrame, member: DataFrame) -> Dat
     return found.unionByName(written(spark, verified(docs, tasks), "links"))
 
 
+def once_each(spark: SparkSession, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """texts (_evs_key, text) with rows that are repeated there once, so that a task gets a text once however often it occurs."""
+    twins = written(spark, rows.groupBy("_evs_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_evs_key"), "twins")
+    if twins.isEmpty():
+        return texts
+    return with_ids(texts, twins, "_evs_key", "left_anti").unionByName(with_ids(texts, twins, "_evs_key", "left_semi").distinct())
+
+
 def with_class(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """rows with their node's class: a node without links is one by itself."""
     return rows.join(joined, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -259,7 +267,7 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     bands = nodes.where(F.col("ck") != content([])).select("node", F.posexplode("bands").alias("band", "key"))
     met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     shared = written(spark, bands.join(met, "key"), "shared")
-    plain = texts.select("_evs_key", "text")
+    plain = once_each(spark, texts.select("_evs_key", "text"), rows)
     joined, found = None, None
     for first in (True, False):
         now = shared.where(F.col("band") < FIRST) if first else shared

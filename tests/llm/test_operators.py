@@ -290,6 +290,25 @@ def test_templates_drop_recurring_lines_only(spark):
     assert kept == {4: "a", 5: "b", 3: f"{long}\n{long}", 7: f"c {long}", None: "x " * 50_000, 8: "a"}
 
 
+@pytest.mark.parametrize("n", [30_000])
+def test_near_dedup_of_many_repeated_rows_in_small_tasks(spark, monkeypatch, n):
+    """Rows of one id and text, and near copies: no task gets more than a block and its hubs."""
+    text = prose(1, 60)
+    near = [" ".join([*text.split()[:-2], f"x{k}", f"y{k}"]) for k in range(40)]
+    made = spark.range(n).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(100 + k, t) for k, t in enumerate(near)], "doc_id long, text string"))
+    largest, original = [], minhash.verified
+
+    def counted(docs, tasks):
+        wanted = docs.join(tasks, "_evs_key").groupBy("task").count().agg(F.max("count")).first()[0]
+        largest.append(wanted or 0)
+        return original(docs, tasks)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    sizes = minhash.classes(spark, made).groupBy("class_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    assert [(r.class_id, r.n, r.kept) for r in sizes] == [(5, n + 40, 1)]
+    assert 0 < max(largest) <= minhash.BLOCK + minhash.HUBS
+
+
 # toxicity (4)
 
 
