@@ -76,8 +76,8 @@ def op13_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
-def line_templates_sql(splits: int = templates.SPLITS) -> str:
-    """The template tree, a group of common table expressions for each level."""
+def line_templates_sql(splits: int = 6) -> str:
+    """The template tree, a group of common table expressions for each level: more levels than the given tables have."""
     of_size = "QUALIFY sum(docs) OVER (PARTITION BY node) >= 10 AND count(*) OVER (PARTITION BY node) > 1"
     levels = f"n0 AS (SELECT * FROM (SELECT list_prepend(n::VARCHAR, head) AS node, toks, docs FROM u) {of_size})"
     for r in range(splits + 1):

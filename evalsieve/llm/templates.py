@@ -5,8 +5,8 @@ with the same number of tokens and the same first DEPTH tokens share a leaf. Wit
 one token has more than half of the node's documents; a line that agrees with the constants in SIMILAR of its
 positions or more belongs to the node's template, whose other positions are fields. The lines left over become nodes
 themselves: together, if the node had a template, else parted by their tokens at the position of fewest different ones.
-This goes on SPLITS levels below the leaves, in nodes of MIN_DOCS documents or more; a line without a template by then
-is a template of its own. Templates that occur in MIN_DOCS documents or more are dropped from all texts; lines of LONG
+This goes on as long as there are nodes of MIN_DOCS documents or more with several kinds of lines, which have fewer lines at
+each level; a line without a template by then is a template of its own. Templates that occur in MIN_DOCS documents or more are dropped from all texts; lines of LONG
 tokens or more that recur in fewer documents stay in the one with the smallest id alone.
 
 Nodes and templates are counted once per distinct line after partial aggregation, so a line that a third of all
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import row_bound, row_key, text_or_empty, with_ids, written
 
-DEPTH, SPLITS, SIMILAR, MIN_DOCS, LONG = 3, 4, 0.7, 10, 25
+DEPTH, SIMILAR, MIN_DOCS, LONG = 3, 0.7, 10, 25
 GAP = "[ \\t\\f\\r]+"
 FIELD = "<*>"
 
@@ -68,21 +68,19 @@ def described(lines: DataFrame) -> DataFrame:
 def template_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """(leaf, line, node): the lines of lines (leaf, line, tokens, docs, node) that belong to a node's template."""
     found = None
-    for level in range(SPLITS + 1):
+    while True:
         about = written(spark, described(lines), "nodes")
         agree = F.size(F.filter(F.zip_with("tokens", "constants", lambda t, c: t == c), lambda same: same))
         judged = with_size(lines, about, "node").withColumn("fits", agree >= SIMILAR * F.size("tokens")).drop("constants")
         judged = written(spark, judged, "judged")
         fits = judged.where("fits").select("leaf", "line", "node")
         found = fits if found is None else found.unionByName(fits)
-        if level < SPLITS:
-            rest = with_size(judged.where("not fits"), fits.groupBy("node").agg(F.lit(True).alias("one")), "node", "left")
-            deeper = F.when(F.col("one"), F.xxhash64("node")).otherwise(F.xxhash64("node", "at", F.element_at("tokens", F.col("at"))))
-            rest = rest.select("leaf", "line", "tokens", "docs", deeper.alias("node"))
-            lines = written(spark, with_ids(rest, of_size(rest), "node", "left_semi"), "rest")
-            if lines.isEmpty():
-                break
-    return found
+        rest = with_size(judged.where("not fits"), fits.groupBy("node").agg(F.lit(True).alias("one")), "node", "left")
+        deeper = F.when(F.col("one"), F.xxhash64("node")).otherwise(F.xxhash64("node", "at", F.element_at("tokens", F.col("at"))))
+        rest = rest.select("leaf", "line", "tokens", "docs", deeper.alias("node"))
+        lines = written(spark, with_ids(rest, of_size(rest), "node", "left_semi"), "rest")
+        if lines.isEmpty():
+            return found
 
 
 def with_size(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int = 20_000) -> DataFrame:

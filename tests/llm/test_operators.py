@@ -860,6 +860,15 @@ def test_sentencepiece_edge_rows(spark):
     assert pieces.encode(documents(spark, []), path).count() == 0
 
 
+def test_templates_are_found_seven_levels_below_a_leaf(spark, monkeypatch):
+    """128 templates in one leaf, two lines each, told apart by seven positions: none has enough constants above the seventh level."""
+    monkeypatch.setattr(templates, "MIN_DOCS", 2)
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    lines = [" ".join(["all", "start", "alike", *(f"{'ab'[k >> i & 1]}{'xyzuvwt'[i]}" for i in range(7)), *(f"w{letters(k)}q{'mn'[copy]}{'rst'[i]}" for i in range(3))]) for k in range(128) for copy in range(2)]
+    left = templates.cleaned(spark, documents(spark, [*lines, "all start alike but this one is not like any of the others here"])).collect()
+    assert [r.doc_id for r in left if r.text] == [256] and sum(r._evs_dropped for r in left) == 256
+
+
 def test_templates_repeated_rows_null_ids_and_long_lines(spark):
     line = "x" * 300_000 + " " + "y " * 60
     texts = ["a line that recurs\nown " + str(i) for i in range(12)] + [line, line, None, None]
