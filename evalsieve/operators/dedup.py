@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.store import written
 
 
 def first_by_fingerprint(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,8 +94,6 @@ def similar_sets(spark: SparkSession, rows: DataFrame, id_col: str, text_col: st
     words. At the first word that two sets share, none before it is common, so they can have that word and as many more as
     follow it in the one with fewer left; pairs that need more are dropped there. Only sets of the pairs left are fetched.
     """
-    from ..sources.store import written
-
     hashes = F.array_sort(F.transform(F.array_distinct(text.words(F.col(text_col))), lambda w: F.xxhash64(w)))
     sets = rows.select(F.col(id_col).alias("id"), hashes.alias("t")).where(F.size("t") > 0).withColumns({"h": F.xxhash64("t"), "k": F.hash("t")})
     one = written(spark, sets.groupBy("h", "k").agg(F.min("id").alias("set_id"), F.first("t").alias("t")), "sets")
@@ -125,30 +123,55 @@ def buckets(rows: DataFrame, id_col: str, text_col: str, permutations: int = 128
     return signed.select("id", F.explode(band_keys(F.col("s"), band_rows)).alias("key"))
 
 
-def greedy_keep(spark: SparkSession, ids: DataFrame, members: DataFrame, folder: str) -> DataFrame:
-    """(id): keep iff no earlier kept row shares a key, in the order of ids. members: (id, key).
+#: up to so many memberships of undecided rows are decided in one task
+SMALL = 100_000
 
-    Rounds over keys, never over pairs: a row goes if a kept row comes before it in one of its keys, and is kept once
-    it is the first undecided row of all its keys. Rows are written to `folder`, which executors share, each round.
-    """
 
-    def written(df: DataFrame) -> DataFrame:
-        path = f"{folder}/greedy-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+def decided(batches):
+    """(id, key, kept_first: the first kept id of the key so far) of undecided rows -> (id, kept), in the order of ids."""
+    keys: dict = {}
+    first: dict = {}
+    for b in batches:
+        for i, key, kept in zip(*(b.column(c).to_pylist() for c in ("id", "key", "kept_first"))):
+            keys.setdefault(i, []).append(key)
+            if kept is not None:
+                first[key] = kept
+    ids = sorted(keys)
+    said = []
+    for i in ids:
+        said.append(not any(first.get(k, i) < i for k in keys[i]))
+        if said[-1]:
+            for k in keys[i]:
+                first[k] = min(first.get(k, i), i)
+    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(said, pa.bool_())], ["id", "kept"])
 
-    members = written(members.select("id", "key"))
+
+def greedy_keep(spark: SparkSession, ids: DataFrame, members: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id long): keep iff no earlier kept row shares a key, in the order of ids. members: (id, key).
+
+    Rounds over keys, never over pairs: a row goes if a kept row comes before it in one of its keys, and is kept once
+    it is the first undecided row of all its keys. As many rounds as the longest chain would take are cut short: what is still
+    undecided goes to one task once it is no more than `small` memberships. Each round is written to the shared folder.
+    """
+    members = written(spark, members.select(F.col("id").cast("long").alias("id"), "key"), "greedy")
     several = members.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    members = written(members.join(several, "key", "left_semi").select("id", "key"))  # keys of one row decide nothing
-    state = written(ids.select(F.col(ids.columns[0]).alias("id")).join(members.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")).withColumn("in", F.lit(True)), "id", "left").select("id", F.when(F.col("in").isNull(), True).alias("kept")))
-    while not state.where("kept is null").isEmpty():
+    members = written(spark, members.join(several, "key", "left_semi").select("id", "key"), "greedy")  # keys of one row decide nothing
+    rows = ids.select(F.col(ids.columns[0]).cast("long").alias("id"))
+    state = written(spark, rows.join(members.select("id").distinct().withColumn("in", F.lit(True)), "id", "left").select("id", F.when(F.col("in").isNull(), True).alias("kept")), "greedy")
+    while True:
+        left = members.join(state.where("kept is null").select("id"), "id", "left_semi")
+        n = left.limit(small + 1).count()
+        if not n:
+            return state.where("kept").select("id")
         now = members.join(state, "id")
         first = now.groupBy("key").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("kept_first"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("open_first"))
-        open_ = now.where("kept is null").join(first, "key")
-        said = open_.groupBy("id").agg(F.max(F.coalesce(F.col("kept_first") < F.col("id"), F.lit(False))).alias("goes"), F.min(F.col("open_first") == F.col("id")).alias("first"))
-        verdict = F.when(F.col("goes"), False).when(F.col("first"), True)
-        state = written(state.join(said, "id", "left").select("id", F.coalesce("kept", verdict).alias("kept")))
-    return state.where("kept").select("id")
+        if n <= small:
+            said = left.join(first, "key").select("id", "key", "kept_first").repartition(1).mapInArrow(decided, "id long, kept boolean").select("id", F.col("kept").alias("verdict"))
+        else:
+            open_ = now.where("kept is null").join(first, "key")
+            said = open_.groupBy("id").agg(F.max(F.coalesce(F.col("kept_first") < F.col("id"), F.lit(False))).alias("goes"), F.min(F.col("open_first") == F.col("id")).alias("first"))
+            said = said.select("id", F.when(F.col("goes"), False).when(F.col("first"), True).alias("verdict"))
+        state = written(spark, state.join(said, "id", "left").select("id", F.coalesce("kept", "verdict").alias("kept")), "greedy")
 
 
 def unseen(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -71,9 +71,7 @@ GREEDY = f"""RECURSIVE {MINHASH}, gm AS MATERIALIZED (SELECT doc_id, coalesce(li
 
 
 def kept_of(spark, docs, id_col="doc_id"):
-    from ..sources.store import shared_dir
-
-    return dedup.greedy_keep(spark, docs.select(id_col), dedup.buckets(docs, id_col, "text"), shared_dir(spark)).withColumnRenamed("id", id_col)
+    return dedup.greedy_keep(spark, docs.select(id_col), dedup.buckets(docs, id_col, "text")).withColumnRenamed("id", id_col)
 
 
 @query(f"WITH {GREEDY} SELECT doc_id FROM kept")
@@ -82,17 +80,15 @@ def greedy_dedup(spark, sf_dir):
     return kept_of(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-LINE_KEYS = "list_transform(list_sort(list_filter(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x))), lambda x: length(x) >= 20))[1:2], lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT)"
+LINE_KEYS = "list_transform(list_filter(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x))), lambda x: length(x) >= 20), lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT)"
 
 
 @query(f"WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, {LINE_KEYS} AS ks FROM documents), {greedy_sql('l')} SELECT doc_id FROM kept")
 def greedy_lines(spark, sf_dir):
-    """The greedy rule with lines as keys: keep iff no earlier kept document has one of the document's first two
-    lines of 20 characters or more, in the order of their texts."""
-    from ..sources.store import shared_dir
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.array_sort(F.filter(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x))), lambda x: F.length(x) >= 20)), 1, 2).alias("k"))
-    return dedup.greedy_keep(spark, docs.select("doc_id"), docs.select(F.col("doc_id").alias("id"), F.explode("k").alias("key")), shared_dir(spark)).withColumnRenamed("id", "doc_id")
+    """The greedy rule with lines as keys: keep iff no earlier kept document has one of the document's lines of 20 characters or
+    more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x))), lambda x: F.length(x) >= 20).alias("k"))
+    return dedup.greedy_keep(spark, docs.select("doc_id"), docs.select(F.col("doc_id").alias("id"), F.explode("k").alias("key"))).withColumnRenamed("id", "doc_id")
 
 
 SPLIT = """o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents),
@@ -216,11 +212,12 @@ def html_paragraphs(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", p.alias("p")).select("page_id", F.size("p").cast("long").alias("n_paragraphs"), F.md5(F.array_join("p", "\n")).alias("text_md5"))
 
 
-@query("""SELECT page_id, unnest([1, 2, 3]) AS number, unnest([a, b, c]) AS text FROM (SELECT page_id, 'alpha ' || url AS a, 'beta ' || page_id AS b, 'gamma' AS c FROM pages)""")
+@query(f"""WITH p AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: {CLEAN.format(MARKUP.format('x'))}), lambda x: x <> '') AS p FROM pages)
+    SELECT page_id, unnest(range(1, len(p) + 1))::INTEGER AS number, md5(unnest(p)) AS text_md5 FROM p""")
 def problem_sections(spark, sf_dir):
-    """Sections of a wiki page made of each page's url and id, with markup, a solution and three problems."""
-    page = F.concat(F.lit("Intro\n== Problem 1 ==\nalpha [[File:x.png]]"), F.col("url"), F.lit("\n==Problem 2==\n<b>beta</b> {{tag}}"), F.col("page_id").cast("string"), F.lit("\n== Solution ==\nno\n== problem 3 ==\ngamma\n"))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(corpus.problem_sections(page)).alias("x")).select("page_id", "x.*")
+    """Problem sections of a wiki page that is made of each page's paragraphs: a heading before each, a solution behind."""
+    page = F.array_join(F.transform(corpus.paragraphs(F.col("html")), lambda p, i: F.concat(F.lit("== Problem "), (i + 1).cast("string"), F.lit(" ==\n"), p, F.lit("\n== Solution ==\nno\n"))), "")
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(corpus.problem_sections(page)).alias("x")).select("page_id", "x.number", F.md5("x.text").alias("text_md5"))
 
 
 @query("SELECT page_id, page_id::INTEGER AS number, 'title ' || page_id AS title FROM pages WHERE page_id % 3 <> 0")
