@@ -2,7 +2,7 @@
 
 Every stage but the last returns the columns of `documents` for the rows that it keeps:
 
-1. toxicity: documents scored 0.5 or more by their nearest labelled examples go;
+1. toxicity: documents scored 0.5 or more by their nearest labelled examples, themselves left out, go;
 2. exact dedup: of texts equal but for A-Z and a-z, the row with the largest doc_id stays;
 3. near dedup: of each class of near-duplicates, the row with the smallest doc_id stays;
 4. packing: a row per piece, with its sequence and offset.
