@@ -30,15 +30,14 @@ def distractors(choices: Column, answer: Column) -> Column:
 
 
 def mean_words(texts: Column) -> Column:
-    total = F.aggregate(texts, F.lit(0), lambda a, c: a + text.word_count(c))
-    return F.when(F.size(texts) > 0, total / F.size(texts)).otherwise(0.0)
+    total = lambda n: F.aggregate(n, F.lit(0), lambda a, k: a + k)
+    return text.bound(F.transform(texts, text.word_count), lambda n: F.when(F.size(n) > 0, total(n) / F.size(n)).otherwise(0.0))
 
 
 def length_bias(choices: Column, answer: Column) -> Column:
     """Severity, null if the rule doesn't hold."""
-    mean = mean_words(distractors(choices, answer))
-    ratio = F.when(mean > 0, text.word_count(correct_choice(choices, answer)) / mean)
-    return F.when(ratio >= 2, F.round(F.least(F.lit(1.0), (ratio - 2) * 0.5 + 0.5), 2))
+    ratio = text.bound(mean_words(distractors(choices, answer)), lambda mean: F.when(mean > 0, text.word_count(correct_choice(choices, answer)) / mean))
+    return text.bound(ratio, lambda r: F.when(r >= 2, F.round(F.least(F.lit(1.0), (r - 2) * 0.5 + 0.5), 2)))
 
 
 def lexical_overlap(question: Column, choices: Column, answer: Column) -> Column:
@@ -46,7 +45,7 @@ def lexical_overlap(question: Column, choices: Column, answer: Column) -> Column
 
     def of(own: Column) -> Column:
         share = F.size(F.array_intersect(own, asked)) / F.nullif(F.size(own), F.lit(0))
-        return F.when((F.size(own) >= 2) & (share >= 0.75), F.round(share, 2))
+        return F.when(F.size(own) >= 2, text.bound(share, lambda s: F.when(s >= 0.75, F.round(s, 2))))
 
     return text.bound(text.content_words(correct_choice(choices, answer)), of)
 
@@ -54,7 +53,7 @@ def lexical_overlap(question: Column, choices: Column, answer: Column) -> Column
 def negation_artifact(question: Column, choices: Column, answer: Column) -> Column:
     others = distractors(choices, answer)
     alike = text.bound(F.array_distinct(text.without_negation(correct_choice(choices, answer))), lambda own: F.exists(others, lambda d: text.jaccard(own, F.array_distinct(text.without_negation(d))) > 0.8))
-    return F.when(text.has_negation(question) & alike, 0.7)
+    return F.when(text.has_negation(question), F.when(alike, 0.7))
 
 
 def implausible_distractor(choices: Column, answer: Column) -> Column:
@@ -62,8 +61,8 @@ def implausible_distractor(choices: Column, answer: Column) -> Column:
 
 
 def asymmetry(choices: Column) -> Column:
-    n = F.transform(choices, text.word_count)
-    return F.when((F.size(choices) >= 2) & (F.array_min(n) > 0) & (F.array_max(n) >= 5 * F.array_min(n)), 0.4)
+    ends = lambda n: (F.size(n) >= 2) & (F.array_min(n) > 0) & (F.array_max(n) >= 5 * F.array_min(n))
+    return text.bound(F.transform(choices, text.word_count), lambda n: F.when(ends(n), 0.4))
 
 
 def quality(severities: Column) -> Column:
@@ -80,7 +79,8 @@ def reports(items: DataFrame, id_col: str) -> DataFrame:
     q, c, a = F.col("question"), F.col("choices"), F.col("answer")
     valid = F.coalesce((F.size(c) > 0) & correct_choice(c, a).isNotNull(), F.lit(False))
     rules = {"length_bias": length_bias(c, a), "lexical_overlap": lexical_overlap(q, c, a), "negation_artifact": negation_artifact(q, c, a), "distractor_implausibility": implausible_distractor(c, a), "answer_choice_asymmetry": asymmetry(c)}
-    found = F.array_compact(F.array(*[F.when(valid & s.isNotNull(), F.struct(F.lit(k).alias("pattern"), s.cast("double").alias("severity"))) for k, s in rules.items()]))
+    told = lambda k, s: text.bound(s.cast("double"), lambda v: F.when(v.isNotNull(), F.struct(F.lit(k).alias("pattern"), v.alias("severity"))))
+    found = F.array_compact(F.array(*[F.when(valid, told(k, s)) for k, s in rules.items()]))
     out = items.select(id_col, found.alias("shortcuts"))
     return out.withColumn("score", quality(F.col("shortcuts.severity"))).withColumn("recommendation", recommendation(F.col("score")))
 
@@ -106,6 +106,5 @@ def position_bias(items: DataFrame) -> DataFrame:
 def valid_items(items: DataFrame) -> DataFrame:
     """Items whose answer is among the choices and whose correct choice is at most 2.5 times the mean distractor."""
     c, a = F.col("choices"), F.col("answer")
-    mean = mean_words(distractors(c, a))
-    long = (mean > 0) & (text.word_count(correct_choice(c, a)) / F.nullif(mean, F.lit(0.0)) > 2.5)
+    long = text.bound(mean_words(distractors(c, a)), lambda mean: (mean > 0) & (text.word_count(correct_choice(c, a)) / F.nullif(mean, F.lit(0.0)) > 2.5))
     return items.where(F.col("question").isNotNull() & correct_choice(c, a).isNotNull() & ~F.coalesce(long, F.lit(False)))
