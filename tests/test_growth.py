@@ -26,3 +26,24 @@ def test_items_of_odd_white_space(spark, tmp_path):
     assert sorted(got) == [0, 1]
     assert got[1].choices == [" ".join(words[s : s + 1 + (m + m) % 12]) for s, m in ((12, 5), (25, 7), (38, 11), (51, 13))]
     assert got[1].question == " ".join(words[:12]) and got[0].question == "not " + " ".join(words[:12])
+
+
+def test_minhash_of_parts_equals_the_plain_one(spark, monkeypatch):
+    """Python's own arithmetic, text by text; parts are made small, so that words, texts and vocabularies are cut."""
+    import hashlib
+
+    from evalsieve.operators import dedup
+
+    monkeypatch.setattr(dedup, "WORDS", 3)
+    texts = ["a b a", "\x0b é ü\tb\r\nc  ", " ".join(map(str, range(50))), "x"]
+
+    def plain(i, t):
+        words = [w for w in __import__("re").split("[ \t\n\x0b\f\r]+", t) if w]
+        hs = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in words]
+        s = [min((h * a + b) % dedup.PRIME for h in hs) for a, b in map(dedup.permutation, range(128))]
+        return [(i, hashlib.md5(":".join(map(str, [k, *s[k : k + 16]])).encode()).hexdigest()) for k in range(0, 128, 16)]
+
+    rows = spark.createDataFrame([*enumerate(texts), (7, None), (8, " \n"), (9, "")], "i long, t string")
+    got = dedup.buckets(rows, "i", "t")
+    assert "array_min" not in optimized(got)  # a word was permuted anew for each text that has it
+    assert sorted(map(tuple, got.collect())) == sorted(x for i, t in enumerate(texts) for x in plain(i, t))
