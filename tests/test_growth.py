@@ -47,3 +47,11 @@ def test_minhash_of_parts_equals_the_plain_one(spark, monkeypatch):
     got = dedup.buckets(rows, "i", "t")
     assert "array_min" not in optimized(got)  # a word was permuted anew for each text that has it
     assert sorted(map(tuple, got.collect())) == sorted(x for i, t in enumerate(texts) for x in plain(i, t))
+
+
+def test_votes_on_the_edge_of_a_step_dont_depend_on_order(spark, tmp_path):
+    on_edge = [8.36, 1.99, 36.69, 10.45, 42.46, 32.2, 7.85]  # 140 in all, 20 on average; less when doubles are added in this order
+    rows = [(1, "a", v) for v in on_edge] + [(1, "b", -v) for v in on_edge] + [(2, "a", -0.01), (2, "b", None), (3, "a", 1e20), (3, "b", 39.99), (3, "c", 40.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.question, r.model): r.answer for r in fixtures.votes(spark, str(tmp_path)).collect()}
+    assert got == {(1, "a"): "1", (1, "b"): "-1", (2, "a"): "-1", (2, "b"): None, (3, "a"): "5000000000000000000", (3, "b"): "1", (3, "c"): "2"}
