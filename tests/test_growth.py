@@ -55,3 +55,14 @@ def test_votes_on_the_edge_of_a_step_dont_depend_on_order(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got = {(r.question, r.model): r.answer for r in fixtures.votes(spark, str(tmp_path)).collect()}
     assert got == {(1, "a"): "1", (1, "b"): "-1", (2, "a"): "-1", (2, "b"): None, (3, "a"): "5000000000000000000", (3, "b"): "1", (3, "c"): "2"}
+
+
+def test_word_sets_makes_no_pairs(spark, monkeypatch):
+    """It once made all the tables of the similarity join, and then told sets only."""
+    from evalsieve.operators import dedup
+    from evalsieve.plans import curation
+
+    made, real = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda spark, df, name: made.append((name, df.columns)) or real(spark, df, name))
+    assert curation.word_sets(spark, "/root/testdata/sf0.001").count() > 0
+    assert made == [("set_keys", ["id", "h", "k"])]
