@@ -66,3 +66,41 @@ def test_word_sets_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(dedup, "written", lambda spark, df, name: made.append((name, df.columns)) or real(spark, df, name))
     assert curation.word_sets(spark, "/root/testdata/sf0.001").count() > 0
     assert made == [("set_keys", ["id", "h", "k"])]
+
+
+def near_copies(n):
+    words = [f"w{i}" for i in range(300)]
+    return [" ".join(words[: 290 + i % 10] + [f"n{i}"]) for i in range(n)]
+
+
+def test_similar_pairs_fetch_no_words_for_each_pair(spark):
+    """Pairs were joined with the words of both their sets, so a set was shuffled once for each pair that it was in."""
+    from evalsieve.operators import dedup
+
+    found = dedup.similar_pairs(spark, spark.createDataFrame(list(enumerate(near_copies(80))), "id long, t string"), "id", "t")
+    assert found.count() == 80 * 79 // 2
+    plan = optimized(found).splitlines()
+    assert sum("Join" in x for x in plan) <= 1  # of tasks' sets with their words
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 3}, {"BLOCK_BYTES": 500}, {"TOGETHER": 2, "BITS": 64}, {"TEXT": 64, "BLOCK": 2}])
+def test_similar_pairs_in_blocks_equal_all_pairs(spark, monkeypatch, limits):
+    import itertools
+    import random
+
+    from evalsieve.operators import dedup
+
+    for name, value in limits.items():
+        monkeypatch.setattr(dedup, name, value)
+    r = random.Random(4)
+    base = [[f"t{r.randrange(60)}" for _ in range(r.randrange(1, 30))] for _ in range(25)]
+    texts = near_copies(7) + [" ".join(b + [f"n{r.randrange(5)}"] * k) for b in base for k in range(2)] + ["", " ", None, "one", "One", "é one"]
+    rows = spark.createDataFrame([(f"x{i:03}", t) for i, t in enumerate(texts)], "id string, t string")
+    sets = {}
+    for i, t in enumerate(texts):
+        if (t or "").split():
+            sets.setdefault(frozenset(t.split()), f"x{i:03}")
+    want = {(*sorted((a, b)), len(x & y) / len(x | y)) for (x, a), (y, b) in itertools.combinations(sets.items(), 2) if len(x & y) / len(x | y) >= 0.8}
+    for common in (1 << 17, 40):
+        got = dedup.similar_pairs(spark, rows, "id", "t", 0.8, common).collect()
+        assert len(got) == len(want) > 20 and {tuple(p) for p in got} == want
