@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import text, values
-from ..operators import audit, planting, rewards, shortcuts, taxonomy
+from ..operators import audit, dedup, planting, rewards, shortcuts, taxonomy
+from ..sources.store import written
 from . import psychometrics
 from .contamination import LOW, PLAIN, WORDS, any_sql, quoted
-from .fixtures import MCQ_SQL, mcq, table
+from .fixtures import MCQ_SQL, item_texts, items_of, mcq, table
 from .registry import query
 
 STOP = "[" + ", ".join(map(quoted, values.STOP_WORDS)) + "]"
@@ -181,7 +182,9 @@ MIX_SQL = f"""{MCQ_SQL}, {PLANTED_SQL}, mo AS (SELECT doc_id, row_number() OVER
 
 
 def mixed(spark, sf_dir):
-    return planting.labelled_mix(mcq(spark, sf_dir), "doc_id", 200)
+    """The mix's 200 items are drawn as texts, in one pass over the documents, and only then made."""
+    drawn = written(spark, dedup.sampled(item_texts(spark, sf_dir), "doc_id", 200, "mix"), "drawn")
+    return planting.labelled_mix(items_of(drawn), "doc_id", 200, "mix")
 
 
 @query(f"""WITH {MIX_SQL} SELECT doc_id, is_contaminated, planted_type, CASE planted_type WHEN 'ngram_overlap' THEN 0.8e0 WHEN 'template_fill' THEN 0.7e0 WHEN 'answer_leak' THEN 0.9e0 WHEN 'length_bias' THEN 0.6e0 WHEN 'position_bias' THEN 0.5e0 ELSE 0e0 END AS severity,

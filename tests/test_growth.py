@@ -104,3 +104,19 @@ def test_similar_pairs_in_blocks_equal_all_pairs(spark, monkeypatch, limits):
     for common in (1 << 17, 40):
         got = dedup.similar_pairs(spark, rows, "id", "t", 0.8, common).collect()
         assert len(got) == len(want) > 20 and {tuple(p) for p in got} == want
+
+
+def documents_read(monkeypatch, df_of):
+    """How often documents are scanned: by tables written on the way, and by what is left to run."""
+    from evalsieve.plans import items
+
+    scans, real = [], getattr(items, "written", None)
+    of = lambda df: scans.extend(f for f in df.inputFiles() if "documents.parquet" in f)
+    monkeypatch.setattr(items, "written", lambda spark, df, name: of(df) or real(spark, df, name), raising=False)
+    df = df_of(items)
+    return len(scans) + optimized(df).count("Filter (isnotnull(text") * (any("documents.parquet" in f for f in df.inputFiles()))
+
+
+@pytest.mark.parametrize("query", ["forge_quality", "fault_detection", "labelled_mix"])
+def test_mixes_read_the_documents_once_and_make_200_items(spark, monkeypatch, query):
+    assert documents_read(monkeypatch, lambda items: getattr(items, query)(spark, "/root/testdata/sf0.001")) == 1
