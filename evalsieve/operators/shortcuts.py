@@ -74,14 +74,15 @@ def recommendation(score: Column) -> Column:
     return F.when(score < 0.4, "REPLACE").when(score < 0.7, "REVISE").otherwise("KEEP")
 
 
-def reports(items: DataFrame, id_col: str) -> DataFrame:
-    """(id, shortcuts array<struct<pattern,severity>>, score, recommendation); items without a valid answer have none."""
+def reports(items: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """(id, more columns, shortcuts array<struct<pattern,severity>>, score, recommendation); items without a valid answer have
+    none."""
     q, c, a = F.col("question"), F.col("choices"), F.col("answer")
     valid = F.coalesce((F.size(c) > 0) & correct_choice(c, a).isNotNull(), F.lit(False))
     rules = {"length_bias": length_bias(c, a), "lexical_overlap": lexical_overlap(q, c, a), "negation_artifact": negation_artifact(q, c, a), "distractor_implausibility": implausible_distractor(c, a), "answer_choice_asymmetry": asymmetry(c)}
     told = lambda k, s: text.bound(s.cast("double"), lambda v: F.when(v.isNotNull(), F.struct(F.lit(k).alias("pattern"), v.alias("severity"))))
     found = F.array_compact(F.array(*[F.when(valid, told(k, s)) for k, s in rules.items()]))
-    out = items.select(id_col, found.alias("shortcuts"))
+    out = items.select(id_col, *more, found.alias("shortcuts"))
     return out.withColumn("score", quality(F.col("shortcuts.severity"))).withColumn("recommendation", recommendation(F.col("score")))
 
 

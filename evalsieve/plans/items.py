@@ -284,6 +284,11 @@ AUDIT_SQL = f"""{RULES}, bad AS (SELECT doc_id FROM mcq WHERE question IN (SELEC
         CASE WHEN n_contaminated / greatest(1, n_items)::DOUBLE > 0.3e0 OR flagged > 0.5e0 THEN 'MAJOR_REVISION_REQUIRED' WHEN n_contaminated / greatest(1, n_items)::DOUBLE > 0.1e0 OR flagged > 0.2e0 THEN 'PARTIAL_REVISION_RECOMMENDED' ELSE 'ACCEPTABLE_WITH_MONITORING' END AS recommendation FROM s)"""
 
 
+def reported(spark, sf_dir):
+    """(doc_id, question, shortcuts): all that an audit asks of the items, from one pass over the documents."""
+    return written(spark, shortcuts.reports(mcq(spark, sf_dir), "doc_id", "question").select("doc_id", "question", "shortcuts"), "reported")
+
+
 def contaminated(items):
     """Items whose question another one has too, or that an audit flags."""
     from ..operators.contamination import audit_flag
@@ -296,8 +301,8 @@ def contaminated(items):
     SELECT report.*, (SELECT count(*) FROM fit) AS n_fitted, (SELECT count(*) FROM fit WHERE contains(flags, 'LOW')) AS low_discrimination, (SELECT count(*) FROM fit WHERE contains(flags, 'CEILING')) AS ceiling, (SELECT count(*) FROM fit WHERE contains(flags, 'FLOOR')) AS floor,
         round(reliability, 6) AS reliability FROM report, reliable""")
 def audit_report(spark, sf_dir):
-    m = mcq(spark, sf_dir)
-    return audit.audit(shortcuts.reports(m, "doc_id"), contaminated(m), psychometrics.fitted(spark, sf_dir), psychometrics.reliable(spark, sf_dir))
+    r = reported(spark, sf_dir)
+    return audit.audit(r, contaminated(r), psychometrics.fitted(spark, sf_dir), psychometrics.reliable(spark, sf_dir))
 
 
 @query(f"""WITH {MCQ_SQL} SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false ELSE {AUDIT_FLAGS} END AS contaminated, doc_id % 5 < 4 AS judged FROM mcq""")
@@ -358,6 +363,6 @@ def answer_checks(spark, sf_dir):
 
 @query(f"""{AUDIT_SQL} SELECT '{{"n_items":' || n_items || ',"n_contaminated":' || n_contaminated || ',"contamination_score":' || contamination_score || ',"recommendation":"' || recommendation || '"}}' AS report FROM report""")
 def audit_json(spark, sf_dir):
-    m = mcq(spark, sf_dir)
-    r = audit.audit(shortcuts.reports(m, "doc_id"), contaminated(m)).drop("flagged_item_fraction")
+    seen = reported(spark, sf_dir)
+    r = audit.audit(seen, contaminated(seen)).drop("flagged_item_fraction")
     return r.select(audit.as_json(r).alias("report"))

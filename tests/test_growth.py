@@ -117,6 +117,11 @@ def documents_read(monkeypatch, df_of):
     return len(scans) + optimized(df).count("Filter (isnotnull(text") * (any("documents.parquet" in f for f in df.inputFiles()))
 
 
+@pytest.mark.parametrize("query", ["audit_report", "audit_json"])
+def test_audits_read_the_documents_once(spark, monkeypatch, query):
+    assert documents_read(monkeypatch, lambda items: getattr(items, query)(spark, "/root/testdata/sf0.001")) == 1
+
+
 @pytest.mark.parametrize("query", ["forge_quality", "fault_detection", "labelled_mix"])
 def test_mixes_read_the_documents_once_and_make_200_items(spark, monkeypatch, query):
     assert documents_read(monkeypatch, lambda items: getattr(items, query)(spark, "/root/testdata/sf0.001")) == 1
