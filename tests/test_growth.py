@@ -83,7 +83,7 @@ def test_similar_pairs_fetch_no_words_for_each_pair(spark):
     assert sum("Join" in x for x in plan) <= 1  # of tasks' sets with their words
 
 
-@pytest.mark.parametrize("limits", [{}, {"BLOCK": 3}, {"BLOCK_BYTES": 500}, {"TOGETHER": 2, "BITS": 64}, {"TEXT": 64, "BLOCK": 2}])
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 3}, {"BLOCK_BYTES": 500}, {"TOGETHER": 2, "BITS": 64}, {"TEXT": 64, "BLOCK": 2}, {"LARGE": 3, "WIDE": 128}])
 def test_similar_pairs_in_blocks_equal_all_pairs(spark, monkeypatch, limits):
     import itertools
     import random
