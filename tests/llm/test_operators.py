@@ -4,11 +4,13 @@ import collections
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -343,6 +345,14 @@ def test_toxicity_examples_are_bounded_and_no_neighbours_of_their_own(spark, mon
     assert 4 < len(few) < 30 and {i % 3 == 0 for i in few} == {True, False}
 
 
+def test_toxicity_sends_vectors_and_no_index(spark):
+    texts = [prose(i, 40) + (" vile" if i % 3 == 0 else "") for i in range(400)]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.train(spark, documents(spark, texts), lab)
+    entries = len(toxicity.Vectors(*model["terms"]).of(pa.array([texts[i] for i in model["ids"]]))[1])
+    assert len(pickle.dumps({k: x for k, x in model.items() if k != "terms"})) < 8 * entries + 24 * len(model["ids"]) + 2000
+
+
 def test_toxicity_needs_no_number_of_examples(spark):
     def corpus(n, each):
         bad = [i for i in range(n) if i % 5 == 0]
