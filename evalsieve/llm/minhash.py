@@ -266,7 +266,8 @@ def classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
 
     bands = nodes.where(F.col("ck") != content([])).select("node", F.posexplode("bands").alias("band", "key"))
     met = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    shared = written(spark, bands.join(met, "key"), "shared")
+    # merged in any case: Spark takes the exploded bands for no larger than the rows they come from, and would broadcast them
+    shared = written(spark, bands.hint("merge").join(met, "key"), "shared")
     plain = once_each(spark, texts.select("_evs_key", "text"), rows)
     joined, found = None, None
     for first in (True, False):

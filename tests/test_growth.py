@@ -125,3 +125,13 @@ def test_audits_read_the_documents_once(spark, monkeypatch, query):
 @pytest.mark.parametrize("query", ["forge_quality", "fault_detection", "labelled_mix"])
 def test_mixes_read_the_documents_once_and_make_200_items(spark, monkeypatch, query):
     assert documents_read(monkeypatch, lambda items: getattr(items, query)(spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_bands_are_never_broadcast(spark, monkeypatch):
+    """Spark takes exploded bands for as small as the rows that hold them; they were broadcast and broke the driver's memory."""
+    from evalsieve.llm import minhash
+
+    plans, real = {}, minhash.written
+    monkeypatch.setattr(minhash, "written", lambda spark, df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and real(spark, df, name))
+    assert minhash.classes(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).count() == 200
+    assert "SortMergeJoin" in plans["shared"] and "Broadcast" not in plans["shared"]
