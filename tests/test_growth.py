@@ -135,3 +135,14 @@ def test_bands_are_never_broadcast(spark, monkeypatch):
     monkeypatch.setattr(minhash, "written", lambda spark, df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and real(spark, df, name))
     assert minhash.classes(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).count() == 200
     assert "SortMergeJoin" in plans["shared"] and "Broadcast" not in plans["shared"]
+
+
+def test_pairs_get_their_bits_in_parts(spark, monkeypatch):
+    """All pairs were joined with the bits of both their sets at once, whatever their number."""
+    from evalsieve.operators import dedup
+
+    made, real = [], dedup.written
+    monkeypatch.setattr(dedup, "AT_ONCE", 1000)
+    monkeypatch.setattr(dedup, "written", lambda spark, df, name: made.append(name) or real(spark, df, name))
+    assert dedup.similar_pairs(spark, spark.createDataFrame(list(enumerate(near_copies(80))), "id long, t string"), "id", "t").count() == 80 * 79 // 2
+    assert made.count("alike") == 8  # 3,160 pairs, twice
